@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import mixing
+from lorekeep.llm import decontaminate, licenses, mixing, quadratic, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mix": mixing.op4_mix}
+    return {"op2_quality_rules": quality_rules.op2_quality_rules, "op3_licenses": licenses.op3_licenses, "op4_mix": mixing.op4_mix, "op8_decontaminate": decontaminate.op8_decontaminate, "op9_quadratic": quadratic.op9_quadratic}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": mixing.SQL}
+    return {"op3_licenses": licenses.sql(), "op4_mix": mixing.SQL, "op8_decontaminate": decontaminate.sql()}
