@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, licenses, mixing, quadratic, quality_rules
+from lorekeep.llm import decontaminate, licenses, mixing, quadratic, quality_rules, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": quality_rules.op2_quality_rules, "op3_licenses": licenses.op3_licenses, "op4_mix": mixing.op4_mix, "op8_decontaminate": decontaminate.op8_decontaminate, "op9_quadratic": quadratic.op9_quadratic}
+    return {"op2_quality_rules": quality_rules.op2_quality_rules, "op3_licenses": licenses.op3_licenses, "op4_mix": mixing.op4_mix, "op6_token_store": token_store.op6_token_store, "op7_token_counts": token_counts.op7_token_counts, "op8_decontaminate": decontaminate.op8_decontaminate, "op9_quadratic": quadratic.op9_quadratic}
 
 
 def oracle_sql() -> dict[str, str]:
