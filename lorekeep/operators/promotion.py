@@ -149,7 +149,8 @@ def scored(rows: DataFrame, project_ids: list[str]) -> DataFrame:
         (pointer > 0, "pointer-density"), (F.col("findings") >= 1, "finding-rows"), (F.col("ephemera") > 0, "ephemera"), (F.col("past"), "superseded"), (F.col("front"), "frontmatter-only"), (short | thin, "thin-content"), (F.col("capped"), "thin-cap"),
     ]
     rows = rows.withColumn("reasons", F.array_compact(F.array(F.col("archetype"), *(F.when(holds, F.lit(tag)) for holds, tag in tags))))
-    rows = refined(rows)
+    # the score goes through a generator, below which no filter on it is pushed: there each pattern would run several times
+    rows = refined(rows).withColumn("score", F.explode_outer(F.array("score")))
     return rows.drop("rule", "words_m", "units", "near", "far", "heading", "middle", "tables", "links", "names", "versions", "findings", "ephemera", "past", "front", "n_status", "n_durable", "raw", "capped", "base", "n_words")
 
 
