@@ -50,7 +50,7 @@ class Bank:
 
     def _pointer(self) -> dict:
         jvm = self.spark._jvm
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current.json")
+        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
         fs = pointer.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(pointer):
             return {"token": None, "tables": {}}
@@ -80,8 +80,8 @@ class Bank:
             current["tables"][name] = f"{name}/{token}"
         jvm, said = self.spark._jvm, json.dumps(current | {"token": token, "schema": SCHEMA_VERSION})
         conf = self.spark._jsc.hadoopConfiguration()
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_new-{token}.json")
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current.json")
+        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/new-{token}.json")
+        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
         fs = new.getFileSystem(conf)
         out = fs.create(new)
         out.write(bytearray(said.encode()))
