@@ -64,7 +64,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select("doc_id", plain.alias("plain"))
     rows = rows.select("doc_id", F.explode_outer(F.array_distinct(F.concat(F.split("plain", "\n"), F.split("plain", BLANK_LINES), F.array("plain")))).alias("piece"))
     rows = rows.select("doc_id", F.array_remove(F.split("piece", "[\n ]+"), "").alias("words")).filter(F.size("words") > least)
-    grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = F.greatest(F.size("words") - 1, F.lit(0))
+    grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), pairs), F.slice("words", F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b)))
     rows = rows.select("doc_id", grams.alias("grams")).filter(F.size("grams").between(least, most))
     fit = F.filter(_templates(threshold), lambda t: (F.size("grams") >= t.least) & (F.size("grams") <= t.most))
     scores = F.transform(fit, lambda t: F.struct(t.license.alias("license"), (2.0 * F.size(F.array_intersect(F.col("grams"), t.grams)) / (F.size("grams") + t.n)).alias("score")))

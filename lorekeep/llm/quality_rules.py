@@ -5,8 +5,9 @@ Every rule rejects a document whose statistic is above a cutoff. Cutoffs come fr
 cutoff would reject are counted. A cutoff is safe if an exact binomial test refutes that it falsely rejects more
 than RISK / rules of good documents. The level is CONFIDENCE's remainder over strata x rules (Bonferroni); within one, cutoffs
 are tested from the highest down until one fails (a fixed sequence needs no further correction). So with that
-confidence no stratum loses more than RISK of its good documents, all rules together. Of the safe cutoffs the one that
-rejects the most bad documents is taken, the highest among equals; a rule that catches none in a stratum is not used there.
+confidence no stratum loses more than RISK of its good documents, all rules together. Of the safe cutoffs the one with the
+largest share of rejected bad documents less PRICE times that of good ones is taken, the highest among equals; a rule for which
+that is not above 0 in a stratum is not used there.
 
 Only counts for strata x rules x cutoffs reach the driver, whatever the input's size.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm._shared import documents, stash
 from lorekeep.llm._stats import NAMES, text_stats
 
-RISK, CONFIDENCE = 0.02, 0.95
+RISK, CONFIDENCE, PRICE = 0.02, 0.95, 10
 STRATA = ("en", "de", "fr", "es")
 GRID = tuple(k / 32 for k in range(1, 17)) + (0.625, 0.75, 0.875)
 
@@ -76,8 +77,8 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: Column, strata: tupl
             continue
         for rule in RULES:
             falling = sorted(enumerate(grid), key=lambda x: -x[1])
-            safe = [(bad[f"{rule}_{k}"], cut) for k, cut in takewhile(lambda x: is_safe(good[f"{rule}_{x[0]}"], good["n"], risk / len(RULES), level), falling)]
-            if safe and max(safe)[0]:
+            safe = [(bad[f"{rule}_{k}"] / bad["n"] - PRICE * good[f"{rule}_{k}"] / good["n"], cut) for k, cut in takewhile(lambda x: is_safe(good[f"{rule}_{x[0]}"], good["n"], risk / len(RULES), level), falling)]
+            if safe and max(safe)[0] > 0:
                 cutoffs[name, rule] = max(safe)[1]
     return cutoffs
 
