@@ -23,6 +23,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm._shared import _powers, documents, mixed, slices, stash
+from lorekeep.llm._shared import _powers, documents, mixed, run_tables, slices
 
 LENGTH, ANCHOR = 50, 20
+#: Upper bits of an anchor that make its bucket; tasks hold one bucket at a time, so a larger corpus takes more.
+BUCKET = 10
 #: Bits of the bitmap of recurring anchors, most windows in a segment, bytes of text for one transform, segments a task remembers.
-BITMAP, WINDOWS, TEXT, SENT = 1 << 26, 256, 1 << 20, 1 << 20
+BITMAP, WINDOWS, TEXT, SENT = 1 << 26, 256, 1 << 18, 1 << 20
 _NONE = -(1 << 63)
 
 
@@ -74,48 +77,93 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
     return np.searchsorted(offsets, begin, "right") - 1, begin, windows, least[begin]
 
 
-def _recurring(docs: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the anchors that several documents may have."""
+def _packed(values: np.ndarray, several: np.ndarray) -> bytes:
+    """Ascending 48-bit values as the byte planes of their differences, and a flag for each, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return zlib.compress(np.ascontiguousarray(steps.T).tobytes() + np.packbits(several).tobytes(), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def met() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(counts, 2))], ["anchor", "n"])
+def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = raw[: 6 * n].reshape(6, n).T
+    return np.cumsum(steps.view("<u8").ravel()), np.unpackbits(raw[6 * n :], count=n).astype(bool)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, n, packed): the anchors' upper 48 bits by their upper BUCKET bits, each once in about 4 million, with a flag if several texts have it."""
+    held: list[np.ndarray] = []
+
+    def met() -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        cuts = np.searchsorted(found >> np.uint64(48 - BUCKET), np.arange((1 << BUCKET) + 1, dtype=np.uint64))
+        rows = [(k, int(b - a), _packed(found[a:b], counts[a:b] > 1)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "packed"])
+
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column("text")):
+            of, _, _, anchors = segments(data, offsets)
+            anchors = anchors >> np.uint64(16)
+            order = np.lexsort((anchors, of))
+            of, anchors = of[order], anchors[order]
+            once = np.ones(len(of), bool)
+            once[1:] = (of[1:] != of[:-1]) | (anchors[1:] != anchors[:-1])
+            held.append(anchors[once])
+            if sum(map(len, held)) > 4_000_000:
+                yield met()
+    if sum(map(len, held)):
+        yield met()
 
+
+def _places(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the bitmap for each anchor's upper 48 bits."""
+    spread = mixed(anchors)
+    return spread & np.uint64(bits - 1), (spread >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def _recurring(docs: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the anchors that several texts may have: one bucket after another in the tasks, which return their bits of it, joined in parts."""
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for table in run_tables(batches, "bucket"):
+            both = [_unpacked(p, n) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
+            values, several = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+            order = np.argsort(values, kind="stable")
+            values, several = values[order], several[order]
+            again = values[1:] == values[:-1]
+            for place in _places(np.concatenate([values[several], values[1:][again]]), bits):
+                seen[place.astype(np.int64)] = True
+        for part, packed in enumerate(np.packbits(seen, bitorder="little").reshape(-1, min(bits, 1 << 20) >> 3)):
+            if packed.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(packed.tobytes(), 1)])], ["part", "bits"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text")):
-                of, _, _, anchors = segments(data, offsets)
-                order = np.lexsort((anchors, of))
-                of, anchors = of[order], anchors[order]
-                once = np.ones(len(of), bool)
-                once[1:] = (of[1:] != of[:-1]) | (anchors[1:] != anchors[:-1])
-                held.append(anchors[once])
-                if sum(map(len, held)) > 4_000_000:
-                    yield met()
-        if held:
-            yield met()
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist()):
+                found[part] = found.get(part, 0) | np.frombuffer(zlib.decompress(packed), np.uint8)
+        for part, packed in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(packed.tobytes(), 1)])], ["part", "bits"])
 
-    anchors = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
-    places = anchors.select(F.explode(F.array(F.expr(f"anchor & {bits - 1}"), F.expr(f"shiftrightunsigned(anchor, 36) & {bits - 1}"))).alias("place"))
-    words = places.groupBy(F.expr("shiftright(place, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("bits")).toPandas()
-    bitmap = np.zeros(bits >> 6, np.uint64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return bitmap
+    rows = docs.select("text").mapInArrow(_anchors, "bucket int, n int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    parts = rows.mapInArrow(filled, "part int, bits binary").repartition("part").mapInArrow(joined, "part int, bits binary").collect()
+    bitmap = np.zeros((-(-bits // (1 << 20)), min(bits, 1 << 20) >> 3), np.uint8)
+    for part, packed in parts:
+        bitmap[part] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return bitmap.ravel()
 
 
 def _may_recur(anchors: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    most = np.uint64(len(bitmap) * 64 - 1)
     found = np.ones(len(anchors), bool)
-    for place in (anchors & most, (anchors >> np.uint64(36)) & most):
-        found &= (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    for place in _places(anchors >> np.uint64(16), len(bitmap) * 8):
+        found &= (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
     return found
 
 
 def _sent(docs: DataFrame, bitmap) -> DataFrame:
-    """A row for each segment that may recur: anchor, segment (a hash of its bytes), doc_id, text_key, at, n_windows and, the first time in a task, bytes."""
+    """A row for each segment that may recur: anchor (32 bits: it only says where to meet), segment (a hash of its bytes), doc_id, text_key, at, n_windows and, the first time in a task, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -141,37 +189,44 @@ def _sent(docs: DataFrame, bitmap) -> DataFrame:
                         fresh[k] = data[begin[k] : begin[k] + windows[k] + LENGTH - 1].tobytes()
                 rows = lo + of
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchors.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(doc_ids[rows]), pa.array(keys[rows]), pa.array((begin - offsets[of]).astype(np.int64)),
+                    pa.array((anchors >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(hashes.view(np.int64)), pa.array(doc_ids[rows]), pa.array(keys[rows]), pa.array((begin - offsets[of]).astype(np.int32)),
                     pa.array(windows.astype(np.int32)), pa.array([fresh.get(k) for k in range(len(of))], pa.binary()),
                 ], ["anchor", "segment", "doc_id", "text_key", "at", "n_windows", "bytes"])
 
-    return docs.mapInArrow(run, "anchor long, segment long, doc_id long, text_key long, at long, n_windows int, bytes binary")
+    return docs.mapInArrow(run, "anchor int, segment long, doc_id long, text_key int, at int, n_windows int, bytes binary")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a text of symbols below 512 whose last is its only 0: by prefix doubling from 7 symbols."""
-    n = len(text)
-    key, padded = np.zeros(n, np.int64), np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
-    for k in range(7):
-        key = (key << 9) | padded[k : k + n]
-    done = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if rank[order[-1]] == n - 1:
-            return order
-        key = rank * (n + 1)
-        key[: n - done] += rank[done:] + 1
+    """Suffix array of a text of small symbols whose last is its only 0, by prefix doubling: suffixes are sorted by as many symbols as fit a word,
+    then those not yet alone with their prefix, again and again, by their rank and that of the suffix behind it."""
+    n, bits = len(text), int(text.max()).bit_length()
+    done = 63 // bits
+    key, padded = np.zeros(n, np.int64), np.concatenate([text.astype(np.int64), np.zeros(done, np.int64)])
+    for k in range(done):
+        key = (key << bits) | padded[k : k + n]
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    while len(places := np.flatnonzero(~(new & np.append(new[1:], True)))):
+        part = order[places]
+        behind = part + done
+        key = rank[part] * (n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        part, key = part[turn], key[turn]
+        order[places] = part
+        new[places] = first = np.append(True, key[1:] != key[:-1])
+        rank[part] = places[first][np.cumsum(first) - 1]
         done *= 2
+    return order
 
 
 class Transform:
     """The Burrows-Wheeler transform of a text as a wavelet matrix: for intervals of suffixes, those of all extensions by one symbol to the left."""
 
     def __init__(self, text: np.ndarray, order: np.ndarray):
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << int(text.max()).bit_length()))]).astype(np.int32)
         self.bits = max(1, int(text.max()).bit_length())
         self.zeros, at = [], np.zeros(1 << self.bits, np.int64)
         symbols, codes = text[order - 1], np.arange(1 << self.bits)
@@ -182,20 +237,28 @@ class Transform:
             self.zeros.append(zeros)
             at = np.where((codes >> bit) & 1 == 1, zeros[-1] + at - zeros[at], zeros[at])
             symbols = np.concatenate([symbols[~one], symbols[one]])
-        self.begin = at
+        self.begin = at.astype(np.int32)
+
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.before = place[order - 1]
 
     def extended(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = np.zeros(len(lo), np.int64)
+        """Intervals of one suffix have one extension, the suffix that starts a symbol earlier; the others go down the matrix."""
+        one = hi - lo == 1
+        single = self.before[lo[one]]
+        lo, hi, code = lo[~one], hi[~one], np.zeros(len(one) - len(single), np.int32)
         for zeros in self.zeros:
             zlo, zhi = zeros[lo], zeros[hi]
-            left, right = zhi > zlo, hi - lo > zhi - zlo
+            left, right = np.flatnonzero(zhi > zlo), np.flatnonzero(hi - lo > zhi - zlo)
             lo, hi, code = (
                 np.concatenate([zlo[left], (lo - zlo)[right] + zeros[-1]]),
                 np.concatenate([zhi[left], (hi - zhi)[right] + zeros[-1]]),
                 np.concatenate([code[left] * 2, code[right] * 2 + 1]),
             )
-        lo, size = self.first[code] + lo - self.begin[code], hi - lo
-        return lo, lo + size
+        size = hi - lo
+        lo = self.first[code] + lo - self.begin[code]
+        return np.concatenate([single, lo]), np.concatenate([single + 1, lo + size])
 
 
 def borders(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -206,7 +269,7 @@ def borders(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """
     transform, border = Transform(text, order), np.zeros(len(text) + 1, bool)
     border[0] = border[-1] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, len(text), np.int64)
+    lo, hi = np.zeros(1, np.int32), np.full(1, len(text), np.int32)
     for _ in range(length):
         lo, hi = transform.extended(lo, hi)
         new = ~border[hi]
@@ -271,8 +334,8 @@ def _runs(sent: DataFrame) -> DataFrame:
         run = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + runs_at[:-1][number[row]]
         gone = first[lo[run]] < doc[row]
         row, run = row[gone], run[gone]
-        base = at[row] - begin[number[row]]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(key[row]), pa.array(base + lo[run]), pa.array(base + hi[run] + LENGTH - 1)], ["doc_id", "text_key", "lo", "hi"])
+        base = at[row].astype(np.int64) - begin[number[row]]
+        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(key[row]), pa.array((base + lo[run]).astype(np.int32)), pa.array((base + hi[run] + LENGTH - 1).astype(np.int32))], ["doc_id", "text_key", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -298,7 +361,7 @@ def _runs(sent: DataFrame) -> DataFrame:
         if held:
             yield solved(held)
 
-    return sent.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(run, "doc_id long, text_key long, lo long, hi long")
+    return sent.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(run, "doc_id long, text_key int, lo int, hi int")
 
 
 def removed(docs: DataFrame, bits: int = BITMAP) -> DataFrame:
@@ -310,7 +373,7 @@ def removed(docs: DataFrame, bits: int = BITMAP) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.hash("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +382,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             at = runs.offsets.to_numpy()
             lows, highs = (runs.values.field(k).to_numpy() for k in (0, 1))
             for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                lo, hi = lows[at[k] : at[k + 1]], highs[at[k] : at[k + 1]]
+                lo, hi = lows[at[k] : at[k + 1]].astype(np.int64), highs[at[k] : at[k + 1]].astype(np.int64)
                 if not len(lo):
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
                     continue
@@ -332,7 +395,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             sizes, gone, spans, names, kept = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(names, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = rows.join(removed(rows), ["doc_id", "text_key"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("runs"))
+    found = rows.join(removed(rows), ["doc_id", "text_key"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<lo:int,hi:int>>")).alias("runs"))
     found = found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != _NONE, F.col("doc_id")).cast(kind))
 
