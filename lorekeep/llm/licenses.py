@@ -64,6 +64,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select("doc_id", plain.alias("plain"))
     rows = rows.select("doc_id", F.explode_outer(F.array_distinct(F.concat(F.split("plain", "\n"), F.split("plain", BLANK_LINES), F.array("plain")))).alias("piece"))
     rows = rows.select("doc_id", F.array_remove(F.split("piece", "[\n ]+"), "").alias("words")).filter(F.size("words") > least)
+    # n different words make at least n - 1 different bigrams: pieces that are surely too large go before their bigrams are made
+    rows = rows.filter(F.size(F.array_distinct("words")) <= most + 1)
     pairs = F.greatest(F.size("words") - 1, F.lit(0))
     grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), pairs), F.slice("words", F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b)))
     rows = rows.select("doc_id", grams.alias("grams")).filter(F.size("grams").between(least, most))
