@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import regex
@@ -13,12 +14,13 @@ from tokenizers import Tokenizer
 
 # Fixed value: how the byte-level vocabulary's pre-tokenizer splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most units of text that a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+#: Most units of text that a worker remembers in each of two generations: when the newer is full it becomes the older, from which units that recur come back.
+REMEMBERED = 500_000
 
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How the vocabulary writes bytes.
 _LETTER = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+_ID = attrgetter("id")
 _UNSURE = re.compile(r"[\x1c-\x1f\x85]")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -37,14 +39,18 @@ class _Units(dict):
     """Ids, as bytes, of the pieces of text between single spaces; each is encoded when first asked for."""
 
     def __init__(self, encode, before: str):
-        self.encode, self.before = encode, before
+        self.encode, self.before, self.old = encode, before, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace() or _UNSURE.search(piece):
-            raise _Unclear
+        found = self.old.get(piece)
+        if found is None:
+            if not piece or piece[0].isspace() or piece[-1].isspace() or _UNSURE.search(piece):
+                raise _Unclear
+            found = self.encode(self.before + piece)
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        found = self[piece] = self.encode(self.before + piece)
+        self[piece] = found
         return found
 
 
@@ -60,9 +66,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # only new words get there
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special)[:1]  # what all of them start with, maybe nothing
         self.find = regex.compile(PATTERN).findall
         self.first, self.after = _Units(self._unit, ""), _Units(self._unit, " ")
         self.parts: dict[str, bytes] = {}
@@ -75,14 +84,18 @@ class Encoder:
         if found is None:
             if len(self.parts) >= REMEMBERED // 2:
                 self.parts.clear()
-            found = self.parts[part] = array(self.kind, [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(_LETTER))]).tobytes()
+            written = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_LETTER)
+            found = self.parts[part] = array(self.kind, map(_ID, self.model.tokenize(written))).tobytes()
         return found
 
     def _unit(self, unit: str) -> bytes:
-        if any(x in unit for x in self.special):
+        if self.mark in unit and any(x in unit for x in self.special):
             raise _Unclear
-        if unit.isalpha() or unit[0] == " " and unit[1:].isalpha():
+        word = unit[unit[0] == " " :]
+        if word.isalpha():
             return self._part(unit)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self._part(unit[:-1]) + self._part(unit[-1])
         return b"".join(map(self._part, self.find(unit)))
 
     def ids(self, text: str) -> bytes:

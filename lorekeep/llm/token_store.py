@@ -41,27 +41,32 @@ SENT = 500_000
 _TABLE = np.random.default_rng(6).integers(0, 1 << 63, 1 << 12, np.uint64) | np.uint64(1)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    x = _TABLE[ids & 0xFFF] + ids.astype(np.uint64)
-    rolled = np.zeros(n, np.uint64)
-    for k in range(SPAN):
-        rolled[k:] += x[: n - k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)
-    found, last = [], 0
-    for end in (np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1).tolist():
-        while end - last > MOST:
+def cuts_of(ids: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
+    """Ends of the chunks of each of the id streams that lie between offsets. As no chunk is shorter than SPAN, the hash never tells of the stream before."""
+    x = _TABLE[ids & 0xFFF] + ids
+    rolled = np.zeros(len(ids), np.uint64)
+    for k in range(min(SPAN, len(ids))):
+        rolled[k:] += x[: len(ids) - k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)
+    marks = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+    at = np.searchsorted(marks, offsets, "right")
+    for start, stop, a, b in zip(offsets.tolist(), offsets[1:].tolist(), at, at[1:]):
+        found, last, n = [], 0, stop - start
+        for end in (marks[a:b] - start).tolist():
+            while end - last > MOST:
+                last += MOST
+                found.append(last)
+            if end - last >= LEAST:
+                found.append(end)
+                last = end
+        while n - last > MOST:
             last += MOST
             found.append(last)
-        if end - last >= LEAST:
-            found.append(end)
-            last = end
-    while n - last > MOST:
-        last += MOST
-        found.append(last)
-    return found if last == n else [*found, n]
+        yield found if last == n else [*found, n]
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return next(cuts_of(ids, np.array([0, len(ids)])))
 
 
 def digest(payload: bytes) -> bytes:
@@ -74,11 +79,11 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sent, task, row = encoder(tokenizer), set(), TaskContext.get().partitionId(), 0
         width, end = encode.dtype.itemsize, np.array([end_id], encode.dtype).tobytes()
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id"), texts(batch.column("text"))):
-                raw = encode.ids(text.decode()) + end
-                ends, digests, last = cuts(np.frombuffer(raw, encode.dtype)), [], 0
+        def rows(doc_ids: list, raws: list[bytes]) -> Iterator[tuple]:
+            nonlocal row
+            offsets = np.cumsum([0, *(len(r) // width for r in raws)])
+            for doc_id, raw, ends in zip(doc_ids, raws, cuts_of(np.frombuffer(b"".join(raws), encode.dtype), offsets)):
+                digests, last = [], 0
                 for cut in ends:
                     payload = raw[last * width : cut * width]
                     digests.append(digest(payload))
@@ -86,15 +91,20 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                         if len(sent) >= SENT:
                             sent.clear()
                         sent.add(digests[-1])
-                        out.append(("chunk", digests[-1], payload, None, None, None))
+                        yield ("chunk", digests[-1], payload, None, None, None)
                     last = cut
-                out.append(("recipe", struct.pack(">qq", task, row), None, doc_id.as_py(), digests, ends))
+                yield ("recipe", struct.pack(">qq", task, row), None, doc_id, digests, ends)
                 row += 1
-                if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+
+        for batch in batches:
+            doc_ids, each, lo = batch.column("doc_id").to_pylist(), texts(batch.column("text")), 0
+            while lo < len(each):
+                raws, size, hi = [], 0, lo
+                while hi < len(each) and size < 500_000 * width:
+                    raws.append(encode.ids(each[hi].decode()) + end)
+                    size, hi = size + len(raws[-1]), hi + 1
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows(doc_ids[lo:hi], raws)), kinds)], names)
+                lo = hi
 
     names = ["kind", "digest", "payload", "doc_id", "digests", "ends"]
     kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
@@ -120,7 +130,9 @@ def _nodes(recipes: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0) -> None:
     """Write the store of the documents' ids, end_id after each document, to a new path that all executors share."""
     spark = docs.sparkSession
-    _encoded(docs, tokenizer or default_path(), end_id).dropDuplicates(["kind", "digest"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
+    # the first of equals by a window: one sort behind the shuffle, where dropDuplicates sorts payloads on both sides of it
+    same = Window.partitionBy("kind", "digest").orderBy("digest")
+    _encoded(docs, tokenizer or default_path(), end_id).withColumn("again", F.lag("kind").over(same)).filter("again IS NULL").drop("again").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
     recipes = _data(spark, path).filter("kind = 'recipe'").select("doc_id", "digests", "ends", "digest")
     recipes.repartitionByRange("doc_id", "digest").sortWithinPartitions(F.asc_nulls_first("doc_id"), "digests", "digest").withColumn("part", F.spark_partition_id()).withColumn("n_tokens", F.element_at("ends", -1).cast("long")).write.parquet(f"{path}/sorted")
     ordered = spark.read.schema("doc_id long, digests array<binary>, ends array<int>, digest binary, part int, n_tokens long").parquet(f"{path}/sorted")
