@@ -124,6 +124,25 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.rule_verdicts(empty, labels).count() == 0
 
 
+def test_quality_rules_with_few_labels(spark):
+    rng = random.Random(3)
+    rows = [(n, prose(rng, 60) if n % 300 < 240 else " ".join(w + "###" for w in prose(rng, 60).split()), ["de", "fr", "xx"][n // 300]) for n in range(900)]
+    rows += [(n, " ".join(w + "###" for w in prose(rng, 60).split()), "es") for n in range(900, 920)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(n, int(n % 300 < 240 and n < 900)) for n in range(920)], "doc_id long, quality int")
+    got = quality_rules.rule_verdicts(df, labels).collect()
+    assert all(r.kept == (r.doc_id % 300 < 240) and r.calibrated for r in got if r.doc_id < 900)
+    assert all(r.kept and not r.calibrated for r in got if r.doc_id >= 900)
+    few = quality_rules.rule_verdicts(df, labels.filter("doc_id % 300 >= 13")).collect()
+    assert quality_rules.least_labels(0.02, 0.01) == 228 and not any(r.calibrated for r in few) and all(r.kept for r in few)
+
+
+def test_steps_stop_at_the_first_that_is_not_safe():
+    assert quality_rules.last_safe_step({3: 1, 4: 300}, 1000, 9, 0.02, 0.01) == 3
+    assert quality_rules.last_safe_step({0: 300}, 1000, 9, 0.02, 0.01) is None
+    assert quality_rules.last_safe_step({}, 227, 9, 0.02, 0.01) is None and quality_rules.last_safe_step({}, 228, 9, 0.02, 0.01) == 8
+
+
 # 3, 4 and 8 against their SQL
 
 
