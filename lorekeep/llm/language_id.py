@@ -2,7 +2,7 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum, over all ways to
 cut it into pieces, of the products of their probabilities; the forward algorithm gets it for all languages at once, and a text's
-log probability is the sum over its words (words of over BLOCK characters go in blocks of that many).
+log probability is the sum over its words (those of over BLOCK characters are summed in logarithms, against underflow).
 
 Learning. Texts with a language are taken from a sample of at most SAMPLE expected rows per language, chosen by a hash of
 doc_id; words are counted, and EM splits each word's count over its segmentations: tasks get a forward-backward pass over the
@@ -32,7 +32,9 @@ from lorekeep.llm._shared import documents, stash, texts
 SAMPLE = 2000
 #: About how many words a task remembers the scores of; beyond, it starts anew.
 REMEMBERED = 500_000
-ROUNDS, BLOCK, LONGEST = 2, 32, 8
+ROUNDS, BLOCK, STRIDE = 2, 32, 4096
+#: Characters of the longest piece that is looked for at least; a vocabulary with longer ones is searched up to its own longest.
+LONGEST = 16
 #: Probability of a character that no piece covers; weight of the smoothing over the whole vocabulary.
 UNKNOWN, SMOOTHING = 1e-7, 0.02
 
@@ -44,16 +46,16 @@ def default_path() -> str:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the pieces of at most LONGEST characters, and their numbers."""
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the pieces, their numbers, and the length up to which pieces are looked for."""
     import sentencepiece
 
     found = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {found.id_to_piece(k) for k in range(found.get_piece_size()) if not (found.is_byte(k) or found.is_control(k) or found.is_unknown(k))}
-    pieces = sorted(x for x in pieces if len(x) <= LONGEST)
+    pieces = sorted(pieces)
     hashes = np.array([_hash_one(x) for x in pieces], np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], order
+    return hashes[order], order, max(LONGEST, *map(len, pieces))
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -82,11 +84,11 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _pieces(chars: np.ndarray, path: str) -> dict[tuple[int, int], np.ndarray]:
     """For each start and end, the piece there in each word, or -1."""
-    hashes, numbers = vocabulary(path)
+    hashes, numbers, longest = vocabulary(path)
     found = {}
     for start in range(chars.shape[1]):
         hashed = np.ones(len(chars), np.uint64)
-        for end in range(start + 1, min(start + LONGEST, chars.shape[1]) + 1):
+        for end in range(start + 1, min(start + longest, chars.shape[1]) + 1):
             hashed = _step(hashed, chars[:, end - 1])
             at = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
             found[start, end] = np.where(hashes[at] == hashed, numbers[at], -1)
@@ -98,7 +100,9 @@ def _forward(found: dict, chars: np.ndarray, model: np.ndarray) -> list[np.ndarr
     rows, n = chars.shape
     alpha = [np.ones((rows, model.shape[1]))] + [np.zeros((rows, model.shape[1])) for _ in range(n)]
     for end in range(1, n + 1):
-        for start in range(max(0, end - LONGEST), end):
+        for start in range(end):
+            if (start, end) not in found:
+                continue
             piece = found[start, end]
             if end - start == 1:
                 alpha[end] += alpha[start] * model[piece]  # -1 is the last row
@@ -108,29 +112,111 @@ def _forward(found: dict, chars: np.ndarray, model: np.ndarray) -> list[np.ndarr
     return alpha
 
 
+def _padded(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of the words, their lengths and their characters as a matrix, padded with 0, for groups of words of alike lengths."""
+    lengths = np.array([len(w) for w in words])
+    order = np.argsort(-lengths, kind="stable")
+    lo = 0
+    while lo < len(order):
+        at = order[lo : lo + max(1, 4 * STRIDE // int(lengths[order[lo]]))]
+        chars = np.zeros((len(at), int(lengths[at[0]])), np.uint32)
+        for row, k in enumerate(at.tolist()):
+            chars[row, : lengths[k]] = np.frombuffer(words[k].encode("utf-32-le"), np.uint32)
+        yield at, lengths[at], chars
+        lo += len(at)
+
+
+def _ending(chars: np.ndarray, lo: int, hi: int, none: int, path: str) -> np.ndarray:
+    """For each word, place from lo to hi and length less 1: the piece that ends there, none - 1 for an unknown character, none for no piece."""
+    hashes, numbers, longest = vocabulary(path)
+    found = np.full((len(chars), hi - lo, longest), none)
+    for size in range(1, min(longest, hi) + 1):
+        first = max(lo, size - 1)  # the first place where so long a piece can end
+        hashed = np.ones((len(chars), hi - first), np.uint64)
+        for k in range(size):
+            hashed = _step(hashed, chars[:, first - size + 1 + k : hi - size + 1 + k])
+        at = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
+        found[:, first - lo :, size - 1] = np.where(hashes[at] == hashed, numbers[at], none - 1 if size == 1 else none)
+    return found
+
+
+def _log_model(model: np.ndarray) -> np.ndarray:
+    """Logarithms of the model, with one more row for what is no piece."""
+    return np.concatenate([np.log(np.maximum(model, 1e-300)), np.full((1, model.shape[1]), -np.inf)])
+
+
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    top = np.maximum(terms.max(0), -1e300)
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(terms - top).sum(0))
+
+
+def _log_forward(chars: np.ndarray, logs: np.ndarray, path: str) -> np.ndarray:
+    """Logarithms of _forward's sums: places x words x languages. What follows a word's end means nothing."""
+    rows, n = chars.shape
+    alpha = np.zeros((n + 1, rows, logs.shape[1]))
+    for lo in range(0, n, STRIDE):
+        pieces = _ending(chars, lo, min(n, lo + STRIDE), len(logs) - 1, path)
+        for end in range(lo + 1, min(n, lo + STRIDE) + 1):
+            k = min(end, pieces.shape[2])
+            alpha[end] = _log_sum(alpha[end - k : end][::-1] + logs[pieces[:, end - 1 - lo, :k]].transpose(1, 0, 2))
+    return alpha
+
+
+def _log_expected(chars: np.ndarray, lengths: np.ndarray, counts: np.ndarray, model: np.ndarray, path: str, total: np.ndarray) -> None:
+    """Adds the expected pieces of padded words to total."""
+    logs, (rows, n) = _log_model(model), chars.shape
+    longest, each = vocabulary(path)[2], np.arange(rows)
+    alpha = _log_forward(chars, logs, path)
+    whole = alpha[lengths, each]
+    beta = np.full((n + 1 + longest, rows, model.shape[1]), -np.inf)
+    beta[lengths, each] = 0
+    for hi in range(n, 0, -STRIDE):
+        lo = max(0, hi - STRIDE)
+        pieces = _ending(chars, lo, min(n, hi + longest), len(logs) - 1, path)
+        for start in range(hi - 1, lo - 1, -1):
+            sizes = np.arange(min(longest, n - start))
+            piece = pieces[:, start + sizes - lo, sizes].T
+            terms = logs[piece] + beta[start + 1 : start + 1 + len(sizes)]
+            beta[start] = np.where((lengths == start)[:, None], beta[start], _log_sum(terms))
+            size, row = np.nonzero((piece < len(logs) - 1) & (start + sizes[:, None] < lengths))
+            np.add.at(total, piece[size, row], np.exp(alpha[start][row] + terms[size, row] - whole[row]) * counts[row])
+
+
+def _short_and_long(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words with a mark before each, and the numbers of those of at most BLOCK characters and of the others."""
+    words = ["▁" + word for word in words]
+    short = np.array([len(word) <= BLOCK for word in words], bool)
+    return words, np.flatnonzero(short), np.flatnonzero(~short)
+
+
 def word_scores(words: list[str], model: np.ndarray, path: str) -> np.ndarray:
     """Log probability of each word in each language."""
-    blocks, owner = blocks_of(words)
-    found = np.zeros((len(blocks), model.shape[1]))
-    for at, chars in _by_length(blocks):
-        found[at] = np.log(np.maximum(_forward(_pieces(chars, path), chars, model)[-1], 1e-300))
+    words, short, long = _short_and_long(words)
     out = np.zeros((len(words), model.shape[1]))
-    np.add.at(out, owner, found)
+    for at, chars in _by_length([words[k] for k in short.tolist()]):
+        out[short[at]] = np.log(np.maximum(_forward(_pieces(chars, path), chars, model)[-1], 1e-300))
+    for at, lengths, chars in _padded([words[k] for k in long.tolist()]):
+        out[long[at]] = _log_forward(chars, _log_model(model), path)[lengths, np.arange(len(at))]
     return out
 
 
 def expected_pieces(words: list[str], counts: np.ndarray, model: np.ndarray, path: str) -> np.ndarray:
     """Expected number of each piece: counts (words x languages) split over each word's segmentations."""
     total = np.zeros_like(model)
-    words, owner = blocks_of(words)
-    counts = counts[owner]
-    for at, chars in _by_length(words):
+    words, short, long = _short_and_long(words)
+    for at, lengths, chars in _padded([words[k] for k in long.tolist()]):
+        _log_expected(chars, lengths, counts[long[at]], model, path, total)
+    counts = counts[short]
+    for at, chars in _by_length([words[k] for k in short.tolist()]):
         found, n = _pieces(chars, path), chars.shape[1]
         alpha = _forward(found, chars, model)
         beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
         weight = counts[at] / np.maximum(alpha[n], 1e-300)
         for start in range(n - 1, -1, -1):
-            for end in range(start + 1, min(start + LONGEST, n) + 1):
+            for end in range(start + 1, n + 1):
+                if (start, end) not in found:
+                    break
                 piece = found[start, end]
                 known = np.arange(len(piece)) if end - start == 1 else np.flatnonzero(piece >= 0)
                 here = model[piece[known]] * beta[end][known]
@@ -143,17 +229,6 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def blocks_of(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """A mark before each word, long ones in blocks; and each block's word."""
-    blocks, owner = [], []
-    for k, word in enumerate(words):
-        word = "▁" + word
-        for at in range(0, len(word), BLOCK):
-            blocks.append(word[at : at + BLOCK])
-            owner.append(k)
-    return blocks, np.array(owner, np.int64)
-
-
 class _Scored(dict):
     """Places of words in a matrix of their scores; new words wait until settle() scores them together."""
 

@@ -413,6 +413,37 @@ def test_forward_sums_all_segmentations():
         assert pieces[piece] == pytest.approx(slope * counts[0], rel=1e-3)
 
 
+def test_long_pieces_and_long_words_are_summed_whole(monkeypatch):
+    import sentencepiece
+
+    path = language_id.default_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = sorted({sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k))})
+    number = {x: k for k, x in enumerate(names)}
+    model = np.random.default_rng(2).uniform(1e-4, 1e-2, (len(names) + 1, 2))
+
+    def total(word):
+        sums = [np.ones(2)]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[a] * model[number.get(word[a:end], -1)] for a in range(end) if end - a == 1 or word[a:end] in number))
+        return sums[-1]
+
+    found = ["function", "different", "translation", "internationalization" * 3, "汉字translation" * 4, "translation" * 5, "x"]
+    assert max(map(len, names)) > 8
+    for stride in (language_id.STRIDE, 40):
+        monkeypatch.setattr(language_id, "STRIDE", stride)
+        scores = language_id.word_scores(found, model, path)
+        assert np.allclose(scores, [np.log(total("▁" + w)) for w in found])
+        counts = np.array([[1.0, 2.0], [2.0, 0.5]])
+        pieces = language_id.expected_pieces(found[3:5], counts, model, path)
+        for piece in ("translation", "n", "▁inter"):
+            bumped = model.copy()
+            bumped[number[piece]] *= 1 + 1e-6
+            slope = (language_id.word_scores(found[3:5], bumped, path) - language_id.word_scores(found[3:5], model, path)) / 1e-6
+            assert pieces[number[piece]] == pytest.approx((slope * counts).sum(0), rel=1e-3)
+    assert np.isfinite(language_id.word_scores(["qz" * 5000], model, path)).all()
+
+
 def test_language_id(spark, docs, empty):
     got = language_id.op10_language_id(spark, "/root/testdata/sf0.001").join(_shared.documents(spark, "/root/testdata/sf0.001", "doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
