@@ -8,10 +8,11 @@ places differ, as a test shows by trying all.
 
 The documents are read once and nothing of them is shuffled but the verified pairs: seeds are broadcast while there are
 at most BROADCAST_SEEDS of them; with more, narrow rows of hashes are joined by a shuffle and the hits meet the texts by
-doc_id. Both ways give the same rows.
+doc_id, those of rows without one by a digest of the text. Both ways give the same rows.
 
 Defined results: null and empty texts and items of fewer than LEAST tokens match nothing; for an item that
-fits a document in several places the best figures are returned; repeated rows of a doc_id or item_id are one; an empty
+fits a document in several places the best figures are returned; repeated rows of a doc_id or item_id are one; rows
+without doc_id are found as a null doc_id, and clean() judges each of them by its own text; an empty
 table on either side gives an empty result; other columns are not read.
 """
 
@@ -53,34 +54,47 @@ def _seeded(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 
 def _verified(hits: DataFrame, window: int, agree: float) -> DataFrame:
-    """From (doc_id, item_id, tokens, item, offset): the pairs that agree well enough, with their best figures."""
+    """From (doc_id, text_key, item_id, tokens, item, offset): the pairs that agree well enough, with their best figures."""
     same = F.transform("item", lambda x, i: F.when(F.get("tokens", F.col("offset") + i) == x, 1).otherwise(0))
     hits = hits.filter(F.aggregate(same, F.lit(0), lambda a, x: a + x) >= agree * F.least(F.size("item"), F.lit(window)))
-    hits = hits.select("doc_id", "item_id", same.alias("same")).withColumn("n_agree", F.aggregate("same", F.lit(0), lambda a, x: a + x)).withColumn("span", F.least(F.size("same"), F.lit(window)))
+    hits = hits.select("doc_id", "text_key", "item_id", same.alias("same")).withColumn("n_agree", F.aggregate("same", F.lit(0), lambda a, x: a + x)).withColumn("span", F.least(F.size("same"), F.lit(window)))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("span") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("span")), F.lit(0), lambda a, x: a + x))
     hits = hits.withColumn("best_window", F.array_max(sums)).filter(F.col("best_window") >= agree * F.col("span"))
-    return hits.groupBy("doc_id", "item_id").agg(F.max("best_window").alias("best_window"), F.max("n_agree").alias("n_agree"), F.max(F.size("same")).alias("n_tokens"))
+    return hits.select("doc_id", "text_key", "item_id", "best_window", "n_agree", F.size("same").alias("n_tokens"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """One row for each document and benchmark item of which it holds a passage: doc_id, item_id, best_window, n_agree, n_tokens."""
+def text_key() -> Column:
+    """A digest that tells rows without doc_id apart; null for the others."""
+    return F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))).alias("text_key")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """Rows (doc_id, text_key, item_id, best_window, n_agree, n_tokens) for each place of a document that an item fits."""
     items = benchmark.select("item_id", tokens("text").alias("item")).filter(F.size("item") >= LEAST).distinct()
     items = stash(items.withColumn("item_key", F.monotonically_increasing_id()))
     each = _seeded(items.withColumn("tokens", F.col("item")), masks).select("item_key", F.explode_outer("found").alias("x")).select("item_key", F.col("x.seed").alias("seed"), F.col("x.place").alias("item_place"))
-    rows = _seeded(docs.select("doc_id", tokens("text").alias("tokens")), masks)
+    rows = _seeded(docs.select("doc_id", text_key(), tokens("text").alias("tokens")), masks)
     offset = (F.col("x.place") - F.col("item_place")).alias("offset")
     if each.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = rows.select("doc_id", "tokens", F.explode_outer("found").alias("x")).join(F.broadcast(each), F.col("x.seed") == F.col("seed")).select("doc_id", "tokens", "item_key", offset)
+        hits = rows.select("doc_id", "text_key", "tokens", F.explode_outer("found").alias("x")).join(F.broadcast(each), F.col("x.seed") == F.col("seed")).select("doc_id", "text_key", "tokens", "item_key", offset)
         hits = hits.join(F.broadcast(items), "item_key")
     else:
-        hits = rows.select("doc_id", F.explode_outer("found").alias("x")).join(each, F.col("x.seed") == F.col("seed")).select("doc_id", "item_key", offset).distinct()
-        hits = hits.join(items, "item_key").join(docs.select("doc_id", tokens("text").alias("tokens")), "doc_id")
+        hits = rows.select("doc_id", "text_key", F.explode_outer("found").alias("x")).join(each, F.col("x.seed") == F.col("seed")).select("doc_id", "text_key", "item_key", offset).distinct()
+        texts = docs.select(F.col("doc_id").alias("own_id"), text_key().alias("own_key"), tokens("text").alias("tokens"))
+        hits = hits.join(items, "item_key").join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("text_key").eqNullSafe(F.col("own_key")))
     return _verified(hits, window, agree)
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """One row for each document and benchmark item of which it holds a passage: doc_id, item_id, best_window, n_agree, n_tokens."""
+    return _found(docs, benchmark, **parameters).groupBy("doc_id", "item_id").agg(*(F.max(x).alias(x) for x in ("best_window", "n_agree", "n_tokens")))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The documents that hold no benchmark passage. A null doc_id cannot be named by a leak and stays."""
-    return docs.join(leaks(docs, benchmark, **parameters).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark passage."""
+    found = _found(docs, benchmark, **parameters).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+    rows = docs.select(F.struct("*").alias("document"), "doc_id", text_key())
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("leak_id")) & F.col("text_key").eqNullSafe(F.col("leak_key")), "left_anti").select("document.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

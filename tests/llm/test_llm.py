@@ -231,6 +231,17 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(more, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_rows_without_doc_id(spark):
+    rng = random.Random(9)
+    item, other = prose(rng, 20), prose(rng, 30)
+    rows = [(None, "So: " + item), (None, "Thus: " + item), (None, other), (None, None), (1, item), (1, other), (2, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(5, item)], "item_id long, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        assert sorted(map(str, map(tuple, decontaminate.leaks(docs, benchmark, broadcast_seeds=most).collect()))) == ["(1, 5, 13, 20, 20)", "(None, 5, 13, 20, 20)"]
+        assert sorted(map(str, map(tuple, decontaminate.clean(docs, benchmark, broadcast_seeds=most).collect()))) == sorted(map(str, [(None, other), (None, None), (2, other)]))
+
+
 # 5
 
 
