@@ -1,7 +1,7 @@
 """The engine's queries over the driver's tables, each with its DuckDB SQL where SQL can say it.
 
-Entries are made from documents and embeddings (sources.bank.sample_entries); search texts are the first tokens of the benchmark's items,
-query vectors the embeddings with the items' numbers.
+Entries are made from documents and embeddings (sources.bank.sample_entries); search texts are the benchmark's items as a whole and TEXTS,
+query vectors the embeddings with their numbers. The keyword index is a kept table, made when it is first asked for.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
-from lorekeep.operators import chunk, evaluate, fusion, keyword, lifecycle, promotion, snippets, sync, vector
+from lorekeep.operators import evaluate, fusion, keyword, lifecycle, vector
 from lorekeep.plans import planner, search
-from lorekeep.sources.bank import sample_entries
+from lorekeep.sources.bank import sample_entries, violations
+from lorekeep.sources.tables import maintained
 from lorekeep.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,36 +56,59 @@ def _tokens(column: str) -> str:
     return TOKENS.format(column)
 
 
-def bm25_sql(terms: str, phrases: bool = False, weights: dict[str, float] = keyword.WEIGHTS) -> str:
-    """CTEs ending in hits(query_id, id, score, n_terms) for rows terms(query_id, term)."""
+def bm25_sql(terms: str, phrases: bool = False, weights: dict[str, float] = keyword.WEIGHTS, tag: str = "") -> str:
+    """CTEs ending in hits<tag>(query_id, id, score, n_terms) for rows (query_id, term), given by a query."""
     single = " UNION ALL ".join(f"SELECT id, unnest({_tokens(c)}) AS term, {w}::DOUBLE AS w FROM entries" for c, w in weights.items())
     pairs = " UNION ALL " + " UNION ALL ".join(f"SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term, {w}::DOUBLE AS w FROM (SELECT id, {_tokens(c)} AS t FROM entries)" for c, w in weights.items()) if phrases else ""
     lengths = " + ".join(f"len({_tokens(c)})" for c in keyword.WEIGHTS)
-    return f"""{terms}, occ AS ({single}{pairs}), tf AS (SELECT id, term, sum(w) AS f FROM occ WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
-lens AS (SELECT id, {lengths} AS d FROM entries), stats AS (SELECT count(*) AS n, avg(d) AS mean FROM lens), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-parts AS (SELECT tf.id, tf.term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * d / mean)) AS part
-  FROM tf JOIN dfs USING (term) JOIN lens USING (id), stats),
-hits AS (SELECT query_id, id, sum(part) AS score, count(DISTINCT term) AS n_terms FROM terms JOIN parts USING (term) GROUP BY query_id, id)"""
+    return f"""terms{tag} AS ({terms}), occ{tag} AS ({single}{pairs}), tf{tag} AS (SELECT id, term, sum(w) AS f FROM occ{tag} WHERE term IN (SELECT term FROM terms{tag}) GROUP BY ALL),
+lens{tag} AS (SELECT id, {lengths} AS d FROM entries), stats{tag} AS (SELECT count(*) AS n, avg(d) AS mean FROM lens{tag}), dfs{tag} AS (SELECT term, count(*) AS df FROM tf{tag} GROUP BY term),
+parts{tag} AS (SELECT t.id, t.term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * d / mean)) AS part
+  FROM tf{tag} t JOIN dfs{tag} USING (term) JOIN lens{tag} USING (id), stats{tag}),
+hits{tag} AS (SELECT query_id, id, sum(part) AS score, count(DISTINCT term) AS n_terms FROM terms{tag} JOIN parts{tag} USING (term) GROUP BY query_id, id)"""
 
 
-Q6 = f"q AS (SELECT item_id AS query_id, list_filter({_tokens('text')}[1:6], lambda t: t NOT IN ({RESERVED})) AS raw FROM benchmark)"
-TERMS6 = "terms AS (SELECT query_id, unnest(raw) AS term FROM q)"
+#: Short search texts beside the benchmark's long ones, so that every kind of plan occurs. Their query ids count down from -1.
+TEXTS = ["thble thtion", "Thing, the attion", "erble", "the and of", "anea AND thanedble ertion", "ering oning onble ontion", "thtion the thing or erble attion of ertion", "docs/3.md", " docs/5.md#en", "docs/2.MD#fr", "notes/none.txt"]
+_PATH_SQL = r"^([A-Za-z0-9_./-]+\.(?i:md|markdown|txt))(?:#([A-Za-z0-9_-]+))?$"
 
+Q = "q AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-n}, '{t}')" for n, t in enumerate(TEXTS, 1)) + f""") v(query_id, text)),
+c AS (SELECT *, list_filter(raw, lambda t: t NOT IN ({STOP})) AS content FROM (SELECT query_id, regexp_extract(trim(text), '{_PATH_SQL}', 1) AS file, regexp_extract(trim(text), '{_PATH_SQL}', 2) AS sect, list_filter({_tokens('text')}, lambda t: t NOT IN ({RESERVED})) AS raw FROM q))"""
+PLANS = f"""{Q}, plans AS (SELECT query_id, file <> '' AS is_path, sect <> '' AS has_section, CASE WHEN file <> '' THEN {_tokens('file')} || CASE WHEN sect <> '' THEN [array_to_string({_tokens('sect')}, ' ')] ELSE [] END WHEN len(content) BETWEEN 1 AND 4 THEN content ELSE [] END AS every,
+  CASE WHEN file = '' AND len(content) > 4 THEN raw ELSE [] END AS some_terms, CASE WHEN file = '' AND len(content) BETWEEN 2 AND 4 THEN raw || CASE WHEN len(content) > 2 THEN list_transform(range(1, len(content)), lambda i: content[i] || ' ' || content[i + 1]) ELSE [] END ELSE [] END AS fallback,
+  CASE WHEN file <> '' THEN len({_tokens('file')}) + (sect <> '')::INT ELSE len(content) END AS n_content FROM c)"""
+RAW = "SELECT query_id, unnest(raw) AS term FROM c"
+STRICT = "SELECT query_id, unnest(every) AS term FROM plans WHERE NOT is_path"
+LOOSE = "SELECT query_id, unnest(CASE WHEN len(every) > 0 THEN fallback ELSE some_terms END) AS term FROM plans WHERE NOT is_path"
 
-def search_texts(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
-    """(query_id, raw): the first n tokens of each benchmark item, reserved words left out."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), planner.raw_terms(F.slice(tx.tokens("text"), 1, n)).alias("raw"))
+
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text): every benchmark item as a whole, and TEXTS."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return items.unionByName(spark.createDataFrame([(-n, t) for n, t in enumerate(TEXTS, 1)], "query_id long, text string"))
+
+
+def raw_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, terms): all tokens of each search text but reserved words."""
+    return search_texts(spark, sf_dir).select("query_id", planner.raw_terms(tx.tokens("text")).alias("terms"))
 
 
 def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    return items.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    numbered = search_texts(spark, sf_dir).select("query_id", F.abs("query_id").alias("vec_id"))
+    return numbered.join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("query_id", "vector")
 
 
 def with_ctx(entries: DataFrame) -> DataFrame:
     return entries.withColumn("ctx", tx.context_key())
 
 
+def keyword_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The kept index of the entries (with phrases, ctx and path) and its statistics."""
+    entries, source = with_ctx(sample_entries(spark, sf_dir)), table(spark, sf_dir, "documents")
+    index = maintained("keyword index", source, lambda: keyword.ordered(keyword.postings(entries, phrases=True, keep=("ctx", "path"))))
+    return index, maintained("keyword statistics", source, lambda: keyword.corpus_stats(entries))
+
+
 # Identity and model
 
 
@@ -137,23 +161,26 @@ def config_resolve(spark, sf_dir):
     return own("watch.concurrency", "4").withColumnRenamed("value", "concurrency").join(own("watch.enabled", "false").withColumnRenamed("value", "enabled"), "project_id")
 
 
-@query(f"WITH {E} SELECT id, CASE WHEN (workspace_id IS NULL) = (scope IS NULL) THEN 'workspace xor scope' END AS rule FROM entries WHERE (workspace_id IS NULL) = (scope IS NULL)")
+@query(f"""WITH {E}, bad AS (SELECT id, scope, workspace_id, embed_state FROM entries UNION ALL SELECT -id - 1, CASE WHEN workspace_id IS NOT NULL THEN 'project' WHEN scope = 'custom' THEN 'odd' END, workspace_id, CASE WHEN scope = 'shared' THEN 'lost' ELSE embed_state END FROM entries)
+SELECT id, 'workspace xor scope' AS rule FROM bad WHERE (workspace_id IS NULL) = (scope IS NULL) UNION ALL SELECT id, 'scope' FROM bad WHERE scope NOT IN ('shared', 'project', 'custom')
+UNION ALL SELECT id, 'embed_state' FROM bad WHERE embed_state NOT IN ('pending', 'embedded') UNION ALL SELECT id, 'workspace missing' FROM bad WHERE workspace_id NOT IN ('w0', 'w1', 'w2', 'w3')""")
 def constraint_check(spark, sf_dir):
-    from lorekeep.sources.bank import violations
-
-    return violations(sample_entries(spark, sf_dir))
+    entries = sample_entries(spark, sf_dir).select("id", "scope", "workspace_id", "embed_state")
+    broken = entries.select((-F.col("id") - 1).alias("id"), F.when(F.col("workspace_id").isNotNull(), "project").when(F.col("scope") == "custom", "odd").alias("scope"), "workspace_id", F.when(F.col("scope") == "shared", "lost").otherwise(F.col("embed_state")).alias("embed_state"))
+    return violations(entries.unionByName(broken), spark.createDataFrame([(f"w{n}",) for n in range(4)], "id string"))
 
 
 # Writes
 
 
-@query(f"""WITH {E}, held AS (SELECT project_id, value, min(id) AS existing_id FROM entries WHERE scope IS NOT NULL AND id % 2 = 0 GROUP BY ALL),
-r AS (SELECT id AS request_id, project_id, value FROM entries), m AS (SELECT r.*, existing_id, row_number() OVER (PARTITION BY r.project_id, r.value ORDER BY request_id) AS turn FROM r LEFT JOIN held USING (project_id, value))
+@query(f"""WITH {E}, held AS (SELECT project_id, value, min(id) AS existing_id FROM entries WHERE scope IS NOT NULL GROUP BY ALL),
+r AS (SELECT id AS request_id, project_id, value FROM entries UNION ALL SELECT -conv_id * 1000 - turn - 1, 'p' || conv_id % 5, text FROM conversations), m AS (SELECT r.*, existing_id, row_number() OVER (PARTITION BY r.project_id, r.value ORDER BY request_id) AS turn FROM r LEFT JOIN held USING (project_id, value))
 SELECT request_id, project_id, sha256(value) || '.md' AS path, sha256(sha256(value) || '.md' || value) AS hash, existing_id, existing_id IS NULL AND turn = 1 AS inserts FROM m""")
 def write_dedup(spark, sf_dir):
     entries = sample_entries(spark, sf_dir)
-    requests = entries.select(F.col("id").alias("request_id"), "project_id", "value")
-    return lifecycle.write(entries.filter("id % 2 = 0"), requests).select("request_id", "project_id", "path", "hash", "existing_id", "inserts")
+    said = table(spark, sf_dir, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn") - 1).alias("request_id"), F.concat(F.lit("p"), F.col("conv_id") % 5).alias("project_id"), F.col("text").alias("value"))
+    requests = entries.select(F.col("id").alias("request_id"), "project_id", "value").unionByName(said)
+    return lifecycle.write(entries, requests).select("request_id", "project_id", "path", "hash", "existing_id", "inserts")
 
 
 @query(f"WITH {E}, b AS (SELECT id, section || '.md' AS path, sha256(section || '.md' || value) AS hash FROM entries) SELECT min(id) AS id, path, hash FROM b GROUP BY path, hash")
@@ -163,24 +190,24 @@ def bucket_dedupe(spark, sf_dir):
     return lifecycle.first_of_bucket(rows).select("id", "path", "hash")
 
 
-@query(f"WITH {E}, k AS (SELECT *, {CTX} AS ctx FROM entries WHERE id % 5 <> 0) SELECT id, ctx, (row_number() OVER (PARTITION BY ctx, source_file ORDER BY id) - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY ctx, source_file))::INT AS total_chunks FROM k")
+@query(f"WITH {E}, k AS (SELECT *, {CTX} AS ctx FROM entries) SELECT id, ctx, (row_number() OVER (PARTITION BY ctx, source_file ORDER BY id) - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY ctx, source_file))::INT AS total_chunks FROM k")
 def chunk_numbering(spark, sf_dir):
-    return lifecycle.numbered(sample_entries(spark, sf_dir).filter("id % 5 <> 0")).select("id", "ctx", "chunk_index", "total_chunks")
+    return lifecycle.numbered(sample_entries(spark, sf_dir)).select("id", "ctx", "chunk_index", "total_chunks")
 
 
-@query(f"""WITH {E}, c AS (SELECT *, 'shared/' || path AS shared_path, row_number() OVER (PARTITION BY path ORDER BY id) AS place FROM entries WHERE scope = 'project' AND id % 4 = 0)
+@query(f"""WITH {E}, c AS (SELECT *, 'shared/' || path AS shared_path, row_number() OVER (PARTITION BY path ORDER BY id) AS place FROM entries WHERE scope = 'project')
 SELECT id, shared_path AS path, sha256(shared_path || value) AS hash, source_file, section FROM c WHERE place = 1 AND shared_path NOT IN (SELECT path FROM entries WHERE scope = 'shared')""")
 def share_promote(spark, sf_dir):
     entries = sample_entries(spark, sf_dir)
-    return lifecycle.share(entries, entries.filter("scope = 'project' AND id % 4 = 0").select("project_id", "hash")).select("id", "path", "hash", "source_file", "section")
+    return lifecycle.share(entries, entries.filter("scope = 'project'").select("project_id", "hash")).select("id", "path", "hash", "source_file", "section")
 
 
 @query(f"""WITH {E}, inside AS (SELECT * FROM entries WHERE workspace_id = 'w2' AND project_id = 'p2'),
 p AS (SELECT min(id) AS id, path FROM inside WHERE path NOT IN (SELECT path FROM entries WHERE scope = 'project' AND project_id = 'p2') GROUP BY path)
-SELECT (SELECT count(*) FROM p) AS promoted, (SELECT count(*) FROM inside) AS discarded, (SELECT min(id) FROM p) AS first_id""")
+SELECT id, path, true AS promoted FROM p UNION ALL SELECT id, path, false FROM inside""")
 def workspace_consolidate(spark, sf_dir):
     promoted, discarded = lifecycle.consolidate_workspace(sample_entries(spark, sf_dir), "p2", "w2", ["ALL"])
-    return promoted.agg(F.count("*").alias("promoted"), F.min("id").alias("first_id")).join(discarded.agg(F.count("*").alias("discarded")))
+    return promoted.select("id", "path", F.lit(True).alias("promoted")).unionByName(discarded.select("id", "path", F.lit(False).alias("promoted")))
 
 
 @query(f"WITH {E} SELECT id FROM entries WHERE NOT (project_id = 'p3' AND scope IS NOT NULL AND (source_file = 'docs' OR starts_with(source_file, 'docs/')))")
@@ -191,10 +218,10 @@ def delete_subtree(spark, sf_dir):
 RATING = "0.5::DOUBLE * pow(0.5::DOUBLE, greatest(0.0, ({now} - created_at) / 86400.0::DOUBLE) / 30.0::DOUBLE) * (1 + 0.1::DOUBLE * {n})"
 
 
-@query(f"WITH {E}, h AS (SELECT DISTINCT hash FROM entries WHERE id % 10 = 0) SELECT id, access_count + CASE WHEN h.hash IS NULL THEN 0 ELSE 1 END AS access_count, round(CASE WHEN h.hash IS NULL THEN rating ELSE {RATING.format(now=NOW, n='(access_count + 1)')} END, 6) AS rating FROM entries LEFT JOIN h USING (hash)")
+@query(f"WITH {E}, h AS (SELECT DISTINCT hash FROM entries WHERE project_id = 'p1') SELECT id, access_count + CASE WHEN h.hash IS NULL THEN 0 ELSE 1 END AS access_count, round(CASE WHEN h.hash IS NULL THEN rating ELSE {RATING.format(now=NOW, n='(access_count + 1)')} END, 6) AS rating FROM entries LEFT JOIN h USING (hash)")
 def access_bump(spark, sf_dir):
     entries = sample_entries(spark, sf_dir)
-    return lifecycle.bump_access(entries, entries.filter("id % 10 = 0"), NOW).select("id", "access_count", F.round("rating", 6).alias("rating"))
+    return lifecycle.bump_access(entries, entries.filter("project_id = 'p1'"), NOW).select("id", "access_count", F.round("rating", 6).alias("rating"))
 
 
 @query(f"WITH {E} SELECT id, hash FROM entries WHERE embed_state = 'pending' ORDER BY id LIMIT 32")
@@ -215,95 +242,86 @@ def ttl_sweep(spark, sf_dir):
 # Keyword search
 
 
-@query(f"WITH {E}, {Q6}, {bm25_sql(TERMS6)} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hits QUALIFY rank <= 10")
+@query(f"WITH {E}, {Q}, {bm25_sql(RAW)} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hits QUALIFY rank <= 10")
 def bm25_weighted(spark, sf_dir):
-    entries = sample_entries(spark, sf_dir)
-    hits = keyword.any_of(search_texts(spark, sf_dir).select("query_id", F.col("raw").alias("terms")), keyword.postings(entries), keyword.corpus_stats(entries))
+    hits = keyword.any_of(raw_searches(spark, sf_dir), *keyword_index(spark, sf_dir))
     return keyword.ranked(hits, 10, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {E}, {Q6}, {bm25_sql(TERMS6, weights={'value': 1.0})} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hits QUALIFY rank <= 10")
+@query(f"WITH {E}, {Q}, {bm25_sql(RAW, weights={'value': 1.0})} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hits QUALIFY rank <= 10")
 def bm25_or(spark, sf_dir):
-    entries = sample_entries(spark, sf_dir)
-    hits = keyword.any_of(search_texts(spark, sf_dir).select("query_id", F.col("raw").alias("terms")), keyword.postings(entries, weights={"value": 1.0}), keyword.corpus_stats(entries))
+    hits = keyword.any_of(raw_searches(spark, sf_dir), *keyword_index(spark, sf_dir), {"value": 1.0})
     return keyword.ranked(hits, 10, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-C4 = f"q AS (SELECT item_id AS query_id, list_filter({_tokens('text')}[1:6], lambda t: t NOT IN ({RESERVED})) AS raw FROM benchmark), c AS (SELECT query_id, raw, list_filter(raw, lambda t: t NOT IN ({STOP}))[1:3] AS content FROM q)"
-
-
-@query(f"WITH {E}, {C4}, {bm25_sql('terms AS (SELECT query_id, unnest(content) AS term FROM c)')} SELECT query_id, id, round(score, 6) AS score FROM hits JOIN c USING (query_id) WHERE n_terms = len(list_distinct(content))")
+@query(f"WITH {E}, {PLANS}, {bm25_sql(STRICT)} SELECT query_id, id, round(score, 6) AS score FROM hits JOIN plans USING (query_id) WHERE n_terms = len(list_distinct(every))")
 def bm25_and(spark, sf_dir):
-    entries = sample_entries(spark, sf_dir)
-    asked = search_texts(spark, sf_dir).select("query_id", F.slice(planner.content_terms(F.col("raw")), 1, 3).alias("terms"))
-    return keyword.all_of(asked, keyword.postings(entries), keyword.corpus_stats(entries)).select("query_id", "id", F.round("score", 6).alias("score"))
+    asked = planner.planned(search_texts(spark, sf_dir)).filter("NOT is_path").select("query_id", F.col("every").alias("terms"))
+    return keyword.all_of(asked, *keyword_index(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {E}, {C4}, x AS (SELECT query_id, content, raw || CASE WHEN len(content) >= 3 THEN list_transform(range(1, len(content)), lambda i: content[i] || ' ' || content[i + 1]) ELSE [] END AS fallback FROM c),
-{bm25_sql('terms AS (SELECT query_id, unnest(content) AS term, 1 AS strict FROM x UNION ALL SELECT query_id, unnest(fallback), 0 FROM x)', True).replace('hits AS (SELECT query_id, id,', 'hits AS (SELECT query_id, strict, id,').replace('GROUP BY query_id, id)', 'GROUP BY query_id, strict, id)')},
-s AS (SELECT h.* FROM hits h JOIN x USING (query_id) WHERE strict = 1 AND n_terms = len(list_distinct(content))),
-n AS (SELECT x.query_id, count(s.id) <= greatest(len(any_value(content)), 10) AND len(any_value(fallback)) > 0 AS fell_back FROM x LEFT JOIN s USING (query_id) GROUP BY x.query_id),
-both_lists AS (SELECT query_id, id, score, false AS loose FROM s UNION ALL SELECT query_id, id, score, true FROM hits WHERE strict = 0)
-SELECT query_id, id, round(score, 6) AS score, fell_back, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM both_lists JOIN n USING (query_id) WHERE loose = fell_back QUALIFY rank <= 10""")
+@query(f"""WITH {E}, {PLANS}, {bm25_sql(STRICT, True, tag='_s')}, {bm25_sql(LOOSE, True, tag='_l')}, s AS (SELECT h.* FROM hits_s h JOIN plans USING (query_id) WHERE n_terms = len(list_distinct(every))),
+n AS (SELECT p.query_id, any_value(len(every)) > 0 AS has_every, count(s.id) <= greatest(any_value(n_content), 10) AND any_value(len(fallback)) > 0 AS fell_back FROM plans p LEFT JOIN s USING (query_id) WHERE NOT is_path GROUP BY p.query_id),
+both_lists AS (SELECT query_id, id, score, false AS loose FROM s UNION ALL SELECT query_id, id, score, true FROM hits_l)
+SELECT query_id, id, round(score, 6) AS score, fell_back, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM both_lists JOIN n USING (query_id) WHERE loose = (fell_back OR NOT has_every) QUALIFY rank <= 10""")
 def fts_fallback(spark, sf_dir):
-    entries = sample_entries(spark, sf_dir)
-    asked = search_texts(spark, sf_dir).withColumn("every", F.slice(planner.content_terms(F.col("raw")), 1, 3))
-    asked = asked.select("query_id", "every", F.concat("raw", planner.pair_terms("every")).alias("fallback"))
-    hits = keyword.with_fallback(asked, keyword.postings(entries, phrases=True), keyword.corpus_stats(entries), 10)
+    plans = planner.planned(search_texts(spark, sf_dir)).filter("NOT is_path")
+    hits = keyword.planned(plans, *keyword_index(spark, sf_dir), 10)
     return keyword.ranked(hits, 10, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "fell_back", "rank")
 
 
-PATHS = ["docs/3.md", "docs/5.md#en", "docs/2.md#fr", "notes/none.txt"]
+PATH_HITS = f"""{bm25_sql("SELECT query_id, unnest(every) AS term FROM plans WHERE is_path AND NOT has_section", True, {"source_file": 8.0}, "_f")}, {bm25_sql("SELECT query_id, unnest(every) AS term FROM plans WHERE is_path AND has_section", True, {"source_file": 8.0, "section": 16.0}, "_g")},
+path_hits AS (SELECT h.query_id, h.id, h.score FROM (SELECT * FROM hits_f UNION ALL SELECT * FROM hits_g) h JOIN plans USING (query_id) WHERE n_terms = len(list_distinct(every)))"""
 
 
-@query(f"""WITH {E}, terms AS (SELECT * FROM (VALUES (0, 'docs'), (0, '3'), (0, 'md'), (1, 'docs'), (1, '5'), (1, 'md'), (1, 'en'), (2, 'docs'), (2, '2'), (2, 'md'), (2, 'fr'), (3, 'notes'), (3, 'none'), (3, 'txt')) v(query_id, term)),
-w AS (SELECT query_id, count(*) AS wanted FROM terms GROUP BY ALL), occ AS (SELECT id, unnest({_tokens('source_file')}) AS term, 0 AS c FROM entries UNION ALL SELECT id, unnest({_tokens('section')}), 1 FROM entries),
-hit AS (SELECT query_id, id, count(DISTINCT term) AS n FROM terms JOIN occ USING (term) WHERE c = 0 OR query_id IN (1, 2) GROUP BY ALL)
-SELECT query_id, id FROM hit JOIN w USING (query_id) WHERE n = wanted""")
+@query(f"WITH {E}, {PLANS}, {PATH_HITS} SELECT query_id, id, round(score, 6) AS score FROM path_hits")
 def source_path_search(spark, sf_dir):
-    entries, found = sample_entries(spark, sf_dir), None
-    known = keyword.corpus_stats(entries)
-    for n, text in enumerate(PATHS):
-        plan = planner.path_plan(text)
-        asked = spark.createDataFrame([(n, list(plan.every))], "query_id int, terms array<string>")
-        index = keyword.postings(entries, phrases=True, weights={c: keyword.WEIGHTS[c] for c in plan.columns})
-        hits = keyword.all_of(asked, index, known).select("query_id", "id")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    paths = planner.planned(search_texts(spark, sf_dir)).filter("is_path")
+    asked = [r["ctx"] for r in with_ctx(sample_entries(spark, sf_dir)).select("ctx").distinct().collect()]
+    return search.keyword_hits(paths, *keyword_index(spark, sf_dir), asked, 20).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 # Vectors
 
-KNN = "near AS (SELECT b.item_id AS query_id, e.id, {keep} list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM {of} e, benchmark b JOIN embeddings v ON v.vec_id = b.item_id WHERE e.embedding IS NOT NULL)"
+KNN = "near AS (SELECT q.query_id, e.id, {keep} list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM {of} e, q JOIN embeddings v ON v.vec_id = abs(q.query_id) WHERE e.embedding IS NOT NULL)"
 
 
-@query(f"WITH {E}, {KNN.format(keep='', of='entries')} SELECT query_id, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM near QUALIFY rank <= 10")
+@query(f"WITH {E}, {Q}, {KNN.format(keep='', of='entries')} SELECT query_id, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM near QUALIFY rank <= 10")
 def knn_topk(spark, sf_dir):
     return vector.knn(sample_entries(spark, sf_dir), search_vectors(spark, sf_dir), 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query(f"""WITH {E}, {KNN.format(keep='', of='entries')}, s AS (SELECT e.id, v.embedding FROM entries e JOIN embeddings v ON v.vec_id = (e.id + 7) % 500 WHERE e.id % 2 = 0),
-{KNN.format(keep='', of='s').replace('near AS', 'near2 AS')},
+SHAPES = "shaped AS (SELECT e.* REPLACE (v.embedding AS embedding) FROM {of} e JOIN embeddings v ON v.vec_id = e.id + 7)"
+
+
+def with_structure(spark: SparkSession, sf_dir: str, entries: DataFrame) -> DataFrame:
+    """Entries with a structure vector: that of the seventh embedding behind their own."""
+    return entries.join(table(spark, sf_dir, "embeddings").select((F.col("vec_id") - 7).alias("id"), F.col("embedding").alias("structure_embedding")), "id", "left")
+
+
+@query(f"""WITH {E}, {Q}, {KNN.format(keep='', of='entries')}, {SHAPES.format(of='entries')}, {KNN.format(keep='', of='shaped').replace('near AS', 'near2 AS')},
 a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS r FROM near QUALIFY r <= 100), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS r FROM near2 QUALIFY r <= 100),
-f AS (SELECT query_id, id, 0.5::DOUBLE * coalesce(a.similarity, 0) + 0.5::DOUBLE * coalesce(b.similarity, 0) AS score FROM a FULL JOIN b USING (query_id, id))
+f AS (SELECT query_id, id, 0.3::DOUBLE * coalesce(a.similarity, 0) + 0.7::DOUBLE * coalesce(b.similarity, 0) AS score FROM a FULL JOIN b USING (query_id, id))
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f QUALIFY rank <= 10""")
 def dual_vector_fusion(spark, sf_dir):
-    entries, vectors = sample_entries(spark, sf_dir), search_vectors(spark, sf_dir)
-    shifted = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("at"), "embedding")
-    structure = entries.filter("id % 2 = 0").select("id", ((F.col("id") + 7) % 500).alias("at")).join(shifted, "at")
-    both = vector.dual_fusion(vector.knn(entries, vectors, 100), vector.knn(structure, vectors, 100), 0.5, "query_id")
+    entries, vectors = with_structure(spark, sf_dir, sample_entries(spark, sf_dir)), search_vectors(spark, sf_dir)
+    both = vector.dual_fusion(vector.knn(entries, vectors, 100), vector.knn(entries.withColumn("embedding", F.col("structure_embedding")), vectors, 100), 0.3, "query_id")
     return keyword.ranked(both, 10, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+@query("SELECT vec_id, unnest(range(0, len(embedding)))::INT AS i, round(unnest(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))), 6) AS x FROM embeddings")
 def vector_normalize(spark, sf_dir):
-    v = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(vector.dot(v, v)), 6).alias("norm"), F.round(F.get(vector.normalized(v), 0), 6).alias("first"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vector.normalized(F.col("embedding"))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
+
+
+@query("WITH f AS (SELECT label, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM f GROUP BY ALL) SELECT label, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m")
+def vector_mean_pool(spark, sf_dir):
+    return vector.mean_pooled(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", F.posexplode("embedding").alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
 
 
 # Fusion
 
-LISTS = f"""{E}, {Q6}, {bm25_sql(TERMS6)}, {KNN.format(keep='', of='entries')},
+LISTS = f"""{E}, {Q}, {bm25_sql(RAW)}, {KNN.format(keep='', of='entries')},
 lists AS (SELECT query_id, 0 AS list_no, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hits QUALIFY rank <= 100
   UNION ALL SELECT query_id, 1, id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM near QUALIFY rank <= 100)"""
 
@@ -311,7 +329,7 @@ lists AS (SELECT query_id, 0 AS list_no, id, row_number() OVER (PARTITION BY que
 def two_lists(spark, sf_dir, size: int = 100) -> DataFrame:
     """(query_id, list_no, rank, id, path): the keyword list and the vector list over the whole bank."""
     entries = sample_entries(spark, sf_dir)
-    hits = keyword.any_of(search_texts(spark, sf_dir).select("query_id", F.col("raw").alias("terms")), keyword.postings(entries, keep=("path",)), keyword.corpus_stats(entries))
+    hits = keyword.any_of(raw_searches(spark, sf_dir), *keyword_index(spark, sf_dir))
     words = keyword.ranked(hits, size, "query_id").select("query_id", F.lit(0).alias("list_no"), "rank", "id", "path")
     near = vector.knn(entries, search_vectors(spark, sf_dir), size).join(entries.select("id", "path"), "id").select("query_id", F.lit(1).alias("list_no"), "rank", "id", "path")
     return words.unionByName(near)
@@ -336,18 +354,11 @@ def rrf_sweep(spark, sf_dir):
     return evaluate.rrf_sweep(two_lists(spark, sf_dir), POINTS, "query_id").filter("rank <= 10").select("point", "query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def context_lists(spark, sf_dir) -> DataFrame:
-    """Vector lists of each context: (query_id, context, rank, id, path)."""
-    entries = with_ctx(sample_entries(spark, sf_dir))
-    return vector.knn(entries, search_vectors(spark, sf_dir), 50, ("ctx", "path")).select("query_id", F.col("ctx").alias("context"), "id", "path", "similarity")
-
-
-@query(f"""WITH {E}, {KNN.format(keep=f'{CTX} AS context, path,', of='entries')}, l AS (SELECT *, row_number() OVER (PARTITION BY query_id, context ORDER BY round(similarity, 9) DESC, path, id) AS r FROM near QUALIFY r <= 50),
+@query(f"""WITH {E}, {Q}, {KNN.format(keep=f'{CTX} AS context, path,', of='entries')}, l AS (SELECT *, row_number() OVER (PARTITION BY query_id, context ORDER BY round(similarity, 9) DESC, path, id) AS r FROM near QUALIFY r <= 50),
 f AS (SELECT query_id, id, any_value(path) AS path, sum(1.0::DOUBLE / (60 + r)) AS s FROM l GROUP BY query_id, id), z AS (SELECT *, s / max(s) OVER (PARTITION BY query_id) AS score FROM f)
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, id) AS rank FROM z QUALIFY rank <= 20""")
 def cross_context_merge(spark, sf_dir):
-    order = Window.partitionBy("query_id", "context").orderBy(F.desc(F.round("similarity", 9)), "path", "id")
-    lists = context_lists(spark, sf_dir).withColumn("rank", F.row_number().over(order)).filter("rank <= 50")
+    lists = vector.knn(with_ctx(sample_entries(spark, sf_dir)), search_vectors(spark, sf_dir), 50, ("ctx",), ("path", "id")).withColumnRenamed("ctx", "context")
     return fusion.merge_contexts(lists, 60, "query_id").filter("rank <= 20").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -381,22 +392,37 @@ def source_consolidation(spark, sf_dir):
     return fusion.consolidate(boosted, 0.1, "query_id").select("query_id", "id", F.round("ranking", 6).alias("ranking"))
 
 
-HYBRID = f"""WITH {E}, ec AS (SELECT *, {CTX} AS ctx FROM entries), {Q6}, {bm25_sql(TERMS6)}, {KNN.format(keep='ctx, path,', of='ec')},
-lists AS (SELECT query_id, ctx, 0 AS list_no, h.id, path, row_number() OVER (PARTITION BY query_id, ctx ORDER BY round(score, 9) DESC, h.id) AS rank FROM hits h JOIN ec USING (id) WHERE ctx IN ('shared', 'project:p1') QUALIFY rank <= 100
-  UNION ALL SELECT query_id, ctx, 1, id, path, row_number() OVER (PARTITION BY query_id, ctx ORDER BY round(similarity, 9) DESC, path, id) AS rank FROM near WHERE ctx IN ('shared', 'project:p1') QUALIFY rank <= 100),
+ASKED = ["shared", "project:p1", "workspace:2:p2:w2"]
+INSIDE = ", ".join(f"'{c}'" for c in ASKED)
+_TOP = "row_number() OVER (PARTITION BY query_id, ctx ORDER BY round(similarity, 9) DESC, path, id)"
+HYBRID = f"""WITH {E}, ec AS (SELECT *, {CTX} AS ctx FROM entries), inside AS (SELECT * FROM ec WHERE ctx IN ({INSIDE})), {PLANS}, {bm25_sql(STRICT, True, tag='_s')}, {bm25_sql(LOOSE, True, tag='_l')}, {PATH_HITS},
+s AS (SELECT h.*, ctx, path FROM hits_s h JOIN plans USING (query_id) JOIN inside USING (id) WHERE n_terms = len(list_distinct(every))), spots AS (SELECT * FROM plans, (SELECT unnest([{INSIDE}]) AS ctx) WHERE NOT is_path),
+n AS (SELECT p.query_id, p.ctx, any_value(len(every)) > 0 AS has_every, count(s.id) <= greatest(any_value(n_content), 20) AND any_value(len(fallback)) > 0 AS fell_back FROM spots p LEFT JOIN s USING (query_id, ctx) GROUP BY ALL),
+kw AS (SELECT query_id, ctx, path, id, score FROM s JOIN n USING (query_id, ctx) WHERE NOT fell_back UNION ALL SELECT query_id, ctx, path, id, score FROM hits_l JOIN inside USING (id) JOIN n USING (query_id, ctx) WHERE fell_back OR NOT has_every UNION ALL SELECT query_id, ctx, path, id, score FROM path_hits JOIN inside USING (id)),
+{SHAPES.format(of='inside')}, {KNN.format(keep='ctx, path,', of='inside')}, {KNN.format(keep='ctx, path,', of='shaped').replace('near AS', 'near2 AS')},
+va AS (SELECT *, {_TOP} AS r FROM near QUALIFY r <= 100), vb AS (SELECT *, {_TOP} AS r FROM near2 QUALIFY r <= 100),
+dual AS (SELECT query_id, ctx, path, id, 0.5::DOUBLE * coalesce(va.similarity, 0) + 0.5::DOUBLE * coalesce(vb.similarity, 0) AS similarity FROM va FULL JOIN vb USING (query_id, ctx, path, id)),
+lists AS (SELECT query_id, ctx, 0 AS list_no, id, path, row_number() OVER (PARTITION BY query_id, ctx ORDER BY round(score, 9) DESC, id) AS rank FROM kw QUALIFY rank <= 100 UNION ALL SELECT query_id, ctx, 1, id, path, {_TOP} AS rank FROM dual QUALIFY rank <= 100),
 f1 AS (SELECT query_id, ctx, id, any_value(path) AS path, sum(1.0::DOUBLE / (60 + rank)) AS s FROM lists GROUP BY query_id, ctx, id),
 f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, ctx ORDER BY round(s / m, 9) DESC, path, id) AS rank FROM (SELECT *, max(s) OVER (PARTITION BY query_id, ctx) AS m FROM f1)),
 f3 AS (SELECT query_id, id, any_value(path) AS path, sum(1.0::DOUBLE / (60 + rank)) AS s FROM f2 GROUP BY query_id, id),
-cand AS (SELECT x.query_id, x.id, x.path, x.s / max(x.s) OVER (PARTITION BY query_id) AS score, e.source_file, e.chunk_index FROM f3 x JOIN entries e USING (id)), {SIBLINGS}, {BOOSTED}, {CONSOLIDATED}
+cand AS (SELECT x.query_id, x.id, x.path, x.s / max(x.s) OVER (PARTITION BY query_id) AS score, e.source_file, e.chunk_index, CASE WHEN is_path THEN 0.0 ELSE 0.1 END::DOUBLE AS lift FROM f3 x JOIN entries e USING (id) JOIN plans USING (query_id)), {SIBLINGS}, {BOOSTED.replace('0.1::DOUBLE * s.siblings', 'lift * s.siblings')}, {CONSOLIDATED}
 SELECT query_id, id, round(ranking, 6) AS ranking, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM final WHERE round(ranking, 9) >= 0.7 QUALIFY rank <= 20"""
 
 
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = with_structure(spark, sf_dir, with_ctx(sample_entries(spark, sf_dir)))
+    return search.hybrid(entries, search_texts(spark, sf_dir), search_vectors(spark, sf_dir), ASKED, search.Parameters(), *keyword_index(spark, sf_dir))
+
+
 @query(HYBRID)
 def hybrid_search(spark, sf_dir):
-    entries = with_ctx(sample_entries(spark, sf_dir))
-    texts = search_texts(spark, sf_dir).select("query_id", F.col("raw").alias("terms"))
-    found = search.hybrid(entries, texts, search_vectors(spark, sf_dir), ["shared", "project:p1"])
-    return found.select("query_id", "id", F.round("ranking", 6).alias("ranking"), "rank")
+    return searched(spark, sf_dir).select("query_id", "id", F.round("ranking", 6).alias("ranking"), "rank")
+
+
+@query()
+def search_snippets(spark, sf_dir):
+    return search.shown(searched(spark, sf_dir), sample_entries(spark, sf_dir), search_texts(spark, sf_dir)).select("query_id", "id", "rank", "snippet")
 
 
 # Evaluation
@@ -435,13 +461,39 @@ def recall_at_k(spark, sf_dir):
     return judged(spark, sf_dir, 10).select("query_id", F.round("recall", 6).alias("recall"))
 
 
+@query(f"{JUDGED}, dcg AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg, count(*) AS g FROM hit WHERE good AND rank <= 10 GROUP BY ALL), f AS (SELECT query_id, min(rank) AS r FROM hit WHERE good GROUP BY ALL) SELECT count(*) AS n_queries, round(avg(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n), 0)), 6) AS ndcg, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS reciprocal_rank, round(avg(coalesce(g::DOUBLE / n, 0)), 6) AS recall FROM benchmark b LEFT JOIN nr ON nr.query_id = item_id LEFT JOIN dcg ON dcg.query_id = item_id LEFT JOIN f ON f.query_id = item_id")
+def macro_metrics(spark, sf_dir):
+    return evaluate.macro_average(judged(spark, sf_dir, 10)).select("n_queries", *(F.round(c, 6).alias(c) for c in ("ndcg", "reciprocal_rank", "recall")))
+
+
+WIDE = evaluate.grid()
+
+
+@query(f"""WITH {LISTS}, g AS (SELECT * FROM (VALUES {', '.join('({point}, {k}, {w0}::DOUBLE, {w1}::DOUBLE, {affinity}::DOUBLE, {window})'.format(**p) for p in WIDE)}) v(point, k, a, b, lift, win)),
+fused AS (SELECT point, lift, query_id, id, any_value(path) AS path, sum(CASE list_no WHEN 0 THEN a ELSE b END / (k + rank)) AS s FROM lists JOIN entries USING (id), g WHERE rank <= win GROUP BY ALL),
+cand AS (SELECT f.point, f.lift, f.query_id, f.id, f.path, s / max(s) OVER (PARTITION BY f.query_id, f.point) AS score, e.source_file, e.chunk_index FROM fused f JOIN entries e USING (id)),
+vis AS (SELECT *, score >= max(score) OVER (PARTITION BY query_id, point) - 0.1::DOUBLE AS visible FROM cand),
+sib AS (SELECT a.point, a.query_id, a.id, count(b.id) AS siblings FROM cand a LEFT JOIN vis b ON a.point = b.point AND a.query_id = b.query_id AND a.source_file = b.source_file AND abs(a.chunk_index - b.chunk_index) = 1 AND b.visible GROUP BY ALL),
+boosted AS (SELECT c.*, c.score + lift * s.siblings AS boosted FROM cand c JOIN sib s USING (point, query_id, id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, point ORDER BY round(boosted, 9) DESC, round(doc_score, 9) DESC, path, chunk_index, id) AS place FROM (SELECT *, max(boosted) OVER (PARTITION BY query_id, point, source_file) AS doc_score FROM boosted)),
+best AS (SELECT *, first_value(chunk_index) OVER w AS bi, first_value(boosted) OVER w AS bs, row_number() OVER w AS n FROM placed WINDOW w AS (PARTITION BY query_id, point, source_file ORDER BY place)),
+kept AS (SELECT * FROM best WHERE NOT (n > 1 AND abs(bi - chunk_index) = 1 AND round(bs - boosted, 9) >= 0.1)), final AS (SELECT *, boosted / max(boosted) OVER (PARTITION BY query_id, point) AS ranking FROM kept),
+top AS (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY query_id, point ORDER BY place) <= 10)
+SELECT point, count(*) AS n, round(sum(ranking), 4) AS total, sum(id)::BIGINT AS ids FROM top GROUP BY point""")
+def affinity_sweep(spark, sf_dir):
+    places = sample_entries(spark, sf_dir).select("id", "source_file", "chunk_index")
+    rows = evaluate.affinity_sweep(two_lists(spark, sf_dir), places, WIDE, 0.1, "query_id")
+    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "point").orderBy("place"))).filter("n <= 10")
+    return top.groupBy("point").agg(F.count("*").alias("n"), F.round(F.sum("ranking"), 4).alias("total"), F.sum("id").alias("ids"))
+
+
 @query(f"WITH {LISTS}, b AS (SELECT a.query_id, a.id, a.rank AS x, c.rank AS y FROM lists a JOIN lists c USING (query_id, id) WHERE a.list_no = 0 AND c.list_no = 1) SELECT p.query_id, round(sum(sign((p.x - q.x) * (p.y - q.y)))::DOUBLE / count(*), 6) AS tau FROM b p JOIN b q ON p.query_id = q.query_id AND p.id < q.id GROUP BY ALL")
 def kendall_tau(spark, sf_dir):
     lists = two_lists(spark, sf_dir)
     return evaluate.kendall_tau(lists.filter("list_no = 0"), lists.filter("list_no = 1"), "query_id").select("query_id", F.round("tau", 6).alias("tau"))
 
 
-@query("WITH l AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY ALL), r AS (SELECT d.lang, d.n_chars::DOUBLE AS x, l.quality::DOUBLE AS y FROM documents d JOIN l USING (doc_id)), k AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2.0::DOUBLE AS b FROM r) SELECT lang, round(corr(a, b), 6) AS rho, count(*) AS n FROM k GROUP BY ALL")
+@query("WITH l AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY ALL), r AS (SELECT d.lang, d.n_chars::DOUBLE AS x, l.quality::DOUBLE AS y FROM documents d JOIN l USING (doc_id)), k AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2.0::DOUBLE AS b FROM r) SELECT lang, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS rho, count(*) AS n FROM k GROUP BY ALL")
 def spearman_rho(spark, sf_dir):
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(marks, "doc_id")

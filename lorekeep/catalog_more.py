@@ -94,14 +94,16 @@ def foreign_subject(spark, sf_dir):
     return promotion.scored(scored_rows(spark, sf_dir), PROJECTS).select("id", F.array_contains("reasons", "foreign-subject").alias("foreign_subject"))
 
 
-CONV = f"notes AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(text, '[^\\x00-\\x7F]', 'q', 'g') AS v, text AS value FROM conversations)"
+CONV = f"""notes AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(text, '[^\\x00-\\x7F]', 'q', 'g') AS v, text AS value FROM conversations),
+n2 AS (SELECT *, {_n(_P.STATUS_WORDS)} AS ns, {_n(_P.DURABLE)} AS nd, regexp_matches(v[1:80], '{_re2(_P.STATUS_OPENER)}') AS r1, regexp_matches(v, '{_re2(_P.SECOND_PERSON)}') AS r3, {_n(_P.COMMIT)} >= 2 AS r4,
+  len(regexp_extract_all(regexp_replace(v, '{_re2(_P.TEST_COUNTS)}', ' ', 'g'), '{_re2(_P.MEASURE)}')) >= 2 AS r5, regexp_matches(v[1:120], '{_re2(_P.DATED_FACT)}') AS r7, len(regexp_extract_all(value, '\\S+')) < 40 AS brief FROM notes)"""
 
 
-@query(f"WITH {CONV} SELECT id, {_n(_P.STATUS_WORDS)}::INT AS n_status, {_n(_P.DURABLE)}::INT AS n_durable, regexp_matches(v, '{_re2(_P.SECOND_PERSON)}') AS second_person FROM notes")
+@query(f"""WITH {CONV} SELECT id, ns::INT AS n_status, nd::INT AS n_durable, r3 AS second_person, round(greatest(0.0, least(4.0, CASE WHEN brief AND nd >= 1 AND ns <= 1 THEN 2.2 ELSE 2.0 END
+ + greatest(-2.8, least(1.5, CASE WHEN r1 THEN -1.2 ELSE 0 END - least(1.5, 0.15::DOUBLE * ns) - CASE WHEN r3 THEN 0.5 ELSE 0 END - CASE WHEN r4 THEN 0.3 ELSE 0 END + CASE WHEN r5 THEN 0.5 ELSE 0 END + least(1.0, 0.35::DOUBLE * nd) + CASE WHEN r7 THEN 0.5 ELSE 0 END)))), 6) AS score FROM n2""")
 def organic_refine(spark, sf_dir):
-    notes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("value"))
-    rows = notes.withColumns({"source_file": F.lit(None).cast("string"), "base": F.lit(2.0), "reasons": F.array().cast("array<string>"), "n_status": promotion._count(promotion.STATUS_WORDS), "n_durable": promotion._count(promotion.DURABLE)})
-    return promotion.refined(rows).select("id", "n_status", "n_durable", F.array_contains("reasons", "second-person").alias("second_person"))
+    notes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("value"), F.lit("p0").alias("project_id"), F.lit(None).cast("string").alias("source_file"), F.lit(2.0).alias("base"), F.array().cast("array<string>").alias("reasons"))
+    return promotion.refined(promotion.measured(notes)).select("id", "n_status", "n_durable", "second_person", F.round("score", 6).alias("score"))
 
 
 POOL = "pool AS (SELECT * FROM done WHERE scope = 'project' AND embed_state = 'embedded' AND ttl_days IS NULL AND score >= 0.4 AND coalesce(NOT starts_with(source_file, 'docs/11'), true)), shared_rows AS (SELECT value, path FROM rows_ WHERE scope = 'shared' UNION ALL SELECT 'Done:mergedandpushed,worktreecleaned,174passed,exit0,see0a1b2c3dand9f8e7d6c.Youcanrerunwithyourowncronjob.', 'literal')"
@@ -178,9 +180,9 @@ def promote_from_queue(spark, sf_dir):
     return promotion.promote(sample_queue(spark, sf_dir), sample_entries(spark, sf_dir).filter("scope = 'shared'"), 30).select("project_id", "hash", "skipped", "shared_hash")
 
 
-# Sync: the remote has the even rows, some of the local ones and others
+# Sync: the banks of two sites, which hold different languages; rows of some ratings have been deleted
 
-SYNC = f"""{E}, local_ AS (SELECT * FROM entries WHERE id % 3 <> 0), remote AS (SELECT * FROM entries WHERE id % 2 = 0), lt AS (SELECT hash, scope, 100 + id AS deleted_at FROM entries WHERE id % 11 = 0 AND scope IS NOT NULL), rt AS (SELECT hash, scope, 200 + id AS deleted_at FROM entries WHERE id % 13 = 0 AND scope IS NOT NULL),
+SYNC = f"""{E}, local_ AS (SELECT * FROM entries WHERE section <> 'en'), remote AS (SELECT * FROM entries WHERE section <> 'de'), lt AS (SELECT hash, scope, 100 + id AS deleted_at FROM entries WHERE rating > 0.85 AND scope IS NOT NULL), rt AS (SELECT hash, scope, 200 + id AS deleted_at FROM entries WHERE access_count = 6 AND scope IS NOT NULL),
 new AS (SELECT * FROM remote r WHERE scope IS NOT NULL AND NOT EXISTS (FROM lt WHERE lt.hash = r.hash AND lt.scope = r.scope) AND NOT EXISTS (FROM local_ l WHERE l.path = r.path AND l.hash = r.hash AND l.scope = r.scope AND (l.scope = 'shared' OR l.project_id = r.project_id AND coalesce(l.context_label, '') = coalesce(r.context_label, '')))),
 fresh AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY path, hash, scope, CASE WHEN scope = 'shared' THEN '' ELSE project_id END, CASE WHEN scope = 'shared' THEN '' ELSE coalesce(context_label, '') END ORDER BY id) = 1),
 own AS (SELECT * FROM local_ QUALIFY scope IS NULL OR row_number() OVER (PARTITION BY path, hash, scope, CASE WHEN scope = 'shared' THEN '' ELSE project_id END, CASE WHEN scope = 'shared' THEN '' ELSE coalesce(context_label, '') END ORDER BY id) = 1)"""
@@ -188,11 +190,11 @@ own AS (SELECT * FROM local_ QUALIFY scope IS NULL OR row_number() OVER (PARTITI
 
 def sync_pair(spark, sf_dir):
     entries = sample_entries(spark, sf_dir)
-    stones = lambda m, base: entries.filter((F.col("id") % m == 0) & F.col("scope").isNotNull()).select("hash", "scope", (base + F.col("id")).alias("deleted_at"))
-    return entries.filter("id % 3 <> 0"), entries.filter("id % 2 = 0"), stones(11, 100), stones(13, 200)
+    stones = lambda gone, base: entries.filter(gone).filter("scope IS NOT NULL").select("hash", "scope", (base + F.col("id")).alias("deleted_at"))
+    return entries.filter("section <> 'en'"), entries.filter("section <> 'de'"), stones("rating > 0.85", 100), stones("access_count = 6", 200)
 
 
-@query(f"WITH {SYNC} SELECT id, hash, embed_state FROM own UNION ALL SELECT id, hash, 'pending' FROM fresh")
+@query(f"WITH {SYNC} SELECT id, hash, embed_state FROM own UNION ALL SELECT id - (SELECT min(id) FROM remote) + (SELECT max(id) FROM local_) + 1, hash, 'pending' FROM fresh")
 def sync_merge(spark, sf_dir):
     local, remote, stones, _ = sync_pair(spark, sf_dir)
     return sync.merged(local, remote, stones).select("id", "hash", "embed_state")
@@ -324,12 +326,14 @@ def chunk_markdown(spark, sf_dir):
     return chunk.chunked(sample_files(spark, sf_dir).withColumn("path", F.col("path").cast("string")))
 
 
-@query()
+@query(rf"""WITH {E}, n AS (SELECT id, coalesce(value, '') AS t, length(coalesce(value, '')) AS n, sha256(hash) AS h FROM entries), d AS (SELECT *, CASE WHEN n > 200 THEN (('0x' || h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT % (n - 199)::UBIGINT)::BIGINT END AS drawn FROM n),
+f AS (SELECT *, drawn + instr(t[drawn + 1:drawn + 200], ' ') AS start FROM d), w AS (SELECT *, t[start + 1:start + 200] AS piece FROM f), k AS (SELECT *, CASE WHEN contains(piece, ' ') AND length(regexp_extract(piece, '(?s)^(.*) ', 1)) > 0 THEN regexp_extract(piece, '(?s)^(.*) ', 1) ELSE piece END AS cut FROM w)
+SELECT id, CASE WHEN n <= 200 THEN t ELSE CASE WHEN start > 0 THEN '… ' ELSE '' END || regexp_replace(cut, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') || CASE WHEN start + length(cut) < n THEN ' …' ELSE '' END END AS snippet FROM k""")
 def snippet_fallback(spark, sf_dir):
-    return snippets.with_snippets(sample_entries(spark, sf_dir).select("id", "hash", "value")).select("id", "snippet")
+    return snippets.with_excerpt(sample_entries(spark, sf_dir).select("id", "hash", "value")).select("id", "snippet")
 
 
-@query()
+@query("SELECT vec_id, (4 * len(embedding))::INT AS n_bytes, true AS same FROM embeddings")
 def blob_roundtrip(spark, sf_dir):
     from lorekeep.functions.blobs import from_blob, to_blob
 

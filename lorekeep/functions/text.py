@@ -23,7 +23,9 @@ def _c(x: Column | str) -> Column:
 
 def tokens(x: Column | str) -> Column:
     """Tokens of the keyword index: runs of letters and digits, lower case, without accents. NULL has none."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(_c(x), F.lit(""))), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    low = F.lower(F.coalesce(_c(x), F.lit("")))
+    plain = F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)  # most texts need no translation, which is slow
+    return F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), "")
 
 
 def content_hash(path: Column | str, value: Column | str) -> Column:
@@ -57,6 +59,57 @@ def stripped(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), SPACE, "")
 
 
+def json_list(x: Column | str) -> Column:
+    """A JSON array of strings; anything else is no string at all."""
+    return F.coalesce(F.from_json(_c(x), "array<string>"), F.array().cast("array<string>"))
+
+
+def as_json_list(x: Column | str) -> Column:
+    return F.to_json(F.coalesce(_c(x), F.array().cast("array<string>")))
+
+
+def parsed(x: Column | str, kind: str, default, least=None, most=None) -> Column:
+    """A setting's text as int, double or boolean; the default where it is none or out of bounds."""
+    text = F.trim(_c(x))
+    if kind == "boolean":
+        return F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true").otherwise(F.lit(default))
+    value = text.try_cast(kind)
+    fits = value.isNotNull() & (F.lit(True) if least is None else value >= least) & (F.lit(True) if most is None else value <= most)
+    return F.when(fits, value).otherwise(F.lit(default))
+
+
+def one_of(x: Column | str, names: tuple[str, ...], default: str) -> Column:
+    """A setting's text as one of these names, whatever its case; else the default."""
+    return F.coalesce(*(F.when(F.lower(F.trim(_c(x))) == name.lower(), F.lit(name)) for name in names), F.lit(default))
+
+
+def scopes(x: Column | str) -> Column:
+    """A list of paths without repeats, in the order of their code points."""
+    return F.array_sort(F.array_distinct(_c(x)))
+
+
+def sentences(x: Column | str, most: int) -> Column:
+    """The first sentences of a text that have at most `most` characters together, the first one in any case."""
+    each = F.filter(F.split(F.trim(_c(x)), r"(?<=[.!?])\s+"), lambda s: s != "")
+    longer = lambda a, s: F.when((a["text"] != "") & (F.length(a["text"]) + 1 + F.length(s) > most) | a["full"], F.struct(a["text"].alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat_ws(" ", F.when(a["text"] != "", a["text"]), s).alias("text"), F.lit(False).alias("full")))
+    return F.aggregate(each, F.struct(F.lit("").alias("text"), F.lit(False).alias("full")), longer, lambda a: a["text"])
+
+
+def first_heading(x: Column | str) -> Column:
+    """The text of the first heading; empty where there is none."""
+    return F.trim(F.regexp_extract(_c(x), r"(?m)^#{1,6}[ \t]+(.+)$", 1))
+
+
+def epoch(x: Column | str) -> Column:
+    """Seconds of a timestamp."""
+    return F.unix_seconds(_c(x).cast("timestamp"))
+
+
+def moment(x: Column | str) -> Column:
+    """The timestamp of seconds."""
+    return F.timestamp_seconds(_c(x))
+
+
 def preview(x: Column | str, length: int = 300) -> Column:
     return F.when(F.length(_c(x)) > length, F.concat(F.substring(_c(x), 1, length - 1), F.lit("…"))).otherwise(_c(x))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators import fusion
@@ -29,6 +30,11 @@ def metrics(queries: DataFrame, hits: DataFrame, relevant: DataFrame, k: int) ->
     )
 
 
+def macro_average(rows: DataFrame, *by: str) -> DataFrame:
+    """Means of the metrics over all queries, in each group; a query counts once, whatever it has found."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n_queries"), *(F.avg(c).alias(c) for c in ("ndcg", "reciprocal_rank", "recall")))
+
+
 def kendall_tau(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     """Rank correlation of two lists (*by, id, rank) over their common ids, in each group; lists are the ends of a search, so pairs are few."""
     both = a.select(*by, "id", F.col("rank").alias("x")).join(b.select(*by, "id", F.col("rank").alias("y")), [*by, "id"])
@@ -45,9 +51,9 @@ def average_ranks(rows: DataFrame, column: str, name: str, *by: str) -> DataFram
 
 
 def spearman(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """Correlation of average ranks in each group."""
+    """Correlation of average ranks in each group; NULL where one side has a single value."""
     ranks = average_ranks(average_ranks(rows, a, "rank_a", *by), b, "rank_b", *by)
-    return ranks.groupBy(*by).agg(F.corr("rank_a", "rank_b").alias("rho"), F.count("*").alias("n"))
+    return ranks.groupBy(*by).agg(F.try_divide(F.covar_pop("rank_a", "rank_b"), F.stddev_pop("rank_a") * F.stddev_pop("rank_b")).alias("rho"), F.count("*").alias("n"))
 
 
 def nearest_rank_percentile(rows: DataFrame, column: str, q: float, *by: str) -> DataFrame:
@@ -57,9 +63,33 @@ def nearest_rank_percentile(rows: DataFrame, column: str, q: float, *by: str) ->
     return rows.filter(F.col("place") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))).select(*by, F.col(column).alias("value"))
 
 
+#: The wide grid of a sweep: constants of the fusion, weights of both lists, weights of affinity and candidates per list.
+GRID = {"k": (10, 30, 60, 120), "weights": ((1.0, 1.0), (2.0, 1.0), (1.0, 2.0)), "affinity": (0.0, 0.05, 0.1, 0.2), "window": (50, 100)}
+
+
+def grid() -> list[dict]:
+    """The 96 points of GRID."""
+    return [{"point": n, "k": k, "w0": w[0], "w1": w[1], "affinity": a, "window": c} for n, (k, w, a, c) in enumerate(itertools.product(*GRID.values()))]
+
+
+def _points(points: list[dict]) -> Column:
+    return F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in p.items())) for p in points))
+
+
 def rrf_sweep(lists: DataFrame, points: list[tuple[int, float, float]], *by: str) -> DataFrame:
     """Fuse the same two ranked lists (list_no 0 and 1) at each point (k, weight 0, weight 1): ranks are found once, points are exploded beside them."""
-    grid = F.array(*(F.struct(F.lit(n).alias("point"), F.lit(k).alias("k"), F.array(F.lit(a), F.lit(b)).alias("w")) for n, (k, a, b) in enumerate(points)))
-    rows = lists.select(*by, "list_no", "rank", "id", "path", F.explode(grid).alias("g")).select(*by, "id", "path", "list_no", "rank", F.col("g.point").alias("point"), F.col("g.k").alias("k"), F.get("g.w", F.col("list_no")).alias("weight"))
+    rows = lists.select(*by, "list_no", "rank", "id", "path", F.explode(_points([{"point": n, "k": k, "w0": a, "w1": b} for n, (k, a, b) in enumerate(points)])).alias("g"))
+    return fusion.rrf(_weighed(rows, by), 0, *by, "point")
+
+
+def _weighed(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     # a rank moved by the difference of the ks makes one k serve all points
-    return fusion.rrf(rows.withColumn("rank", F.col("rank") + F.col("k")), 0, *by, "point")
+    return rows.select(*by, "id", "path", "list_no", (F.col("rank") + F.col("g.k")).alias("rank"), F.col("g.point").alias("point"), F.when(F.col("list_no") == 0, F.col("g.w0")).otherwise(F.col("g.w1")).alias("weight"))
+
+
+def affinity_sweep(lists: DataFrame, places: DataFrame, points: list[dict], threshold: float, *by: str) -> DataFrame:
+    """Fuse, boost and consolidate the same two lists at each point of a grid: (*by, point, id, ranking, place). places: (id, source_file, chunk_index)."""
+    rows = lists.select(*by, "list_no", "rank", "id", "path", F.explode(_points(points)).alias("g")).filter(F.col("rank") <= F.col("g.window"))
+    weight = F.create_map(*(F.lit(x) for p in points for x in (p["point"], p["affinity"])))
+    fused = fusion.rrf(_weighed(rows, by), 0, *by, "point").drop("rank").join(places, "id")
+    return fusion.consolidate(fusion.affinity(fused, weight[F.col("point")], threshold, *by, "point"), threshold, *by, "point")

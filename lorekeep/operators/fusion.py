@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,13 +32,13 @@ def sibling_counts(candidates: DataFrame, threshold: float, *by: str) -> DataFra
     return candidates.join(near, [*by, "source_file", "chunk_index"], "left").withColumn("siblings", F.coalesce("siblings", F.lit(0)))
 
 
-def affinity(candidates: DataFrame, weight: float, threshold: float, *by: str, total: bool = False) -> DataFrame:
+def affinity(candidates: DataFrame, weight: float | Column, threshold: float, *by: str, total: bool = False) -> DataFrame:
     """Boost candidates (*by, id, path, source_file, chunk_index, score) by their visible siblings and put them in order.
 
     Adds boosted, doc_score (the file's largest boosted score, or with total their sum) and place. A weight of 0 or less changes nothing but the order's columns.
     """
     source = Window.partitionBy(*by, "source_file")
-    rows = sibling_counts(candidates, threshold, *by).withColumn("boosted", F.col("score") + max(weight, 0.0) * F.col("siblings"))
+    rows = sibling_counts(candidates, threshold, *by).withColumn("boosted", F.col("score") + F.greatest(F.lit(0.0), weight if isinstance(weight, Column) else F.lit(float(weight))) * F.col("siblings"))
     doc = F.sum("boosted").over(source) if total else F.greatest(F.lit(0.0), F.max("boosted").over(source))
     rows = rows.withColumn("doc_score", F.when(F.col("source_file").isNull(), F.col("boosted")).otherwise(doc))
     order = Window.partitionBy(*by).orderBy(F.desc(F.round("boosted", 9)), F.desc(F.round("doc_score", 9)), "path", "chunk_index", "id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens
@@ -11,26 +11,32 @@ WEIGHTS = {"value": 1.0, "source_file": 8.0, "section": 16.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def postings(entries: DataFrame, phrases: bool = False, weights: dict[str, float] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, term, f, n_tokens): the weighted frequency of each term of each entry and the entry's length over all columns.
+def postings(entries: DataFrame, phrases: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, id, *keep, n_tokens, f_value, f_source_file, f_section): how often each term stands in each column of each entry, and the entry's length over all columns.
 
-    phrases adds the pairs of neighbouring tokens as terms.
+    phrases adds the pairs of neighbouring tokens as terms. Tables of it are best kept in the order of the term: see ordered().
     """
     rows = entries.select("id", *keep, *(tokens(c).alias(f"t_{c}") for c in WEIGHTS))
     rows = rows.withColumn("n_tokens", sum(F.size(f"t_{c}") for c in WEIGHTS))
     parts = []
-    for c, w in weights.items():
+    for c in WEIGHTS:
         found = F.col(f"t_{c}")
-        parts.append(_weighted(found, w))
+        parts.append(_of(c, found))
         if phrases:
             n = F.greatest(F.size(found) - 1, F.lit(0))
-            parts.append(_weighted(F.zip_with(F.slice(found, F.lit(1), n), F.slice(found, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)), w))
+            parts.append(_of(c, F.zip_with(F.slice(found, F.lit(1), n), F.slice(found, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))))
+    # explode_outer: for explode Spark would tokenise once more for a filter of its own
     rows = rows.select("id", *keep, "n_tokens", F.explode_outer(F.concat(*parts)).alias("x")).filter("x IS NOT NULL")
-    return rows.groupBy("id", *keep, "n_tokens", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("f"))
+    return rows.groupBy(F.col("x.term").alias("term"), "id", *keep, "n_tokens").agg(*(F.count_if(F.col("x.c") == c).alias(f"f_{c}") for c in WEIGHTS))
 
 
-def _weighted(found, w: float):
-    return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+def _of(column: str, found: Column) -> Column:
+    return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(column).alias("c")))
+
+
+def ordered(index: DataFrame) -> DataFrame:
+    """The index in the order of its terms, so that a scan for some terms skips most of its files and row groups."""
+    return index.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
 def corpus_stats(entries: DataFrame) -> DataFrame:
@@ -38,45 +44,63 @@ def corpus_stats(entries: DataFrame) -> DataFrame:
     return entries.select(sum(F.size(tokens(c)) for c in WEIGHTS).alias("n")).agg(F.count("*").alias("n_entries"), F.avg("n").alias("mean_tokens"))
 
 
-def scores(terms: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def scores(terms: DataFrame, index: DataFrame, stats: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """BM25 of the entries that hold some of a query's terms: from (query_id, term) rows, (query_id, id, *kept, score, n_terms).
 
-    The index is cut to the terms that are asked for before it is shuffled; document frequencies come from that cut.
+    weights: of the columns that are searched. The index is cut to the terms that are asked for before anything is shuffled; document frequencies come from that
+    cut. A term that a query repeats counts as often; n_terms is the number of different ones.
     """
-    asked = terms.select("term").distinct()
-    cut = index.join(asked, "term")
+    weights = weights or WEIGHTS
+    terms = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    f = sum(F.col(f"f_{c}") * w for c, w in weights.items())
+    cut = index.join(F.broadcast(terms.select("term").distinct()) if _few(terms) else terms.select("term").distinct(), "term").withColumn("f", f).filter("f > 0").drop(*(f"f_{c}" for c in WEIGHTS))
     found = cut.join(cut.groupBy("term").agg(F.count("*").alias("df")), "term")
     known = stats.first()
     n, mean = known["n_entries"], known["mean_tokens"] or 1.0
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / mean))
-    kept = [c for c in index.columns if c not in ("id", "term", "f", "n_tokens")]
+    kept = [c for c in index.columns if c not in ("id", "term", "n_tokens", *(f"f_{c}" for c in WEIGHTS))]
     hits = terms.join(found.select("term", "id", *kept, part.alias("part")), "term")
-    return hits.groupBy("query_id", "id", *kept).agg(F.sum("part").alias("score"), F.count_distinct("term").alias("n_terms"))
+    return hits.groupBy("query_id", "id", *kept).agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.count("*").alias("n_terms"))
+
+
+#: Different terms up to which they are sent to every task.
+BROADCAST_TERMS = 200_000
 
 
-def ranked(rows: DataFrame, limit: int, *by: str, score: str = "score") -> DataFrame:
-    """The limit best rows of each group, with their rank; the id settles ties."""
-    order = Window.partitionBy(*by).orderBy(F.desc(F.round(score, 9)), "id")
+def _few(terms: DataFrame) -> bool:
+    return terms.select("term").distinct().limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
+def ranked(rows: DataFrame, limit: int, *by: str, score: str = "score", tie: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The limit best rows of each group, with their rank; the columns tie settle equals."""
+    order = Window.partitionBy(*by).orderBy(F.desc(F.round(score, 9)), *tie)
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def any_of(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def any_of(queries: DataFrame, index: DataFrame, stats: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Entries with some of the terms; queries: (query_id, terms)."""
-    return scores(queries.select("query_id", F.explode("terms").alias("term")), index, stats)
+    return scores(queries.select("query_id", F.explode("terms").alias("term")), index, stats, weights)
 
 
-def all_of(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def all_of(queries: DataFrame, index: DataFrame, stats: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Entries with all of the terms."""
     wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("wanted"))
-    return any_of(queries, index, stats).join(wanted, "query_id").filter("n_terms = wanted").drop("wanted")
+    return any_of(queries, index, stats, weights).join(wanted, "query_id").filter("n_terms = wanted").drop("wanted")
 
 
-def with_fallback(queries: DataFrame, index: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
-    """From (query_id, every, fallback): all_of(every), but any_of(fallback) where that finds at most max(size of every, limit) rows."""
-    strict = all_of(queries.select("query_id", F.col("every").alias("terms")), index, stats)
-    loose = any_of(queries.filter(F.size("fallback") > 0).select("query_id", F.col("fallback").alias("terms")), index, stats)
-    found = queries.join(strict.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-    use = found.select("query_id", ((F.coalesce("n", F.lit(0)) <= F.greatest(F.size("every"), F.lit(limit))) & (F.size("fallback") > 0)).alias("fell_back"))
+def planned(queries: DataFrame, index: DataFrame, stats: DataFrame, limit: int, groups: DataFrame | None = None, *by: str) -> DataFrame:
+    """Hits of planned queries (query_id, every, some, fallback, n_content), with fell_back.
+
+    all_of(every), or any_of(some) where there is no every. Where all_of finds at most max(n_content, limit) entries and there is a fallback, any_of(fallback) replaces it: in each of
+    the groups (rows of the columns `by`, which the index carries) apart, those without a hit included.
+    """
+    strict = all_of(queries.filter(F.size("every") > 0).select("query_id", F.col("every").alias("terms")), index, stats)
+    loose = any_of(queries.filter(F.size("some") + F.size("fallback") > 0).select("query_id", F.when(F.size("every") > 0, F.col("fallback")).otherwise(F.col("some")).alias("terms")), index, stats)
+    spots = queries.select("query_id", "every", "fallback", "n_content")
+    spots = spots if groups is None else spots.join(F.broadcast(groups.limit(BROADCAST_TERMS)))
+    spots = spots.join(strict.groupBy("query_id", *by).agg(F.count("*").alias("n")), ["query_id", *by], "left")
+    weak = (F.size("fallback") > 0) & (F.coalesce("n", F.lit(0)) <= F.greatest("n_content", F.lit(limit)))
+    use = spots.select("query_id", *by, (F.size("every") > 0).alias("has_every"), weak.alias("fell_back"))
     both = strict.withColumn("loose", F.lit(False)).unionByName(loose.withColumn("loose", F.lit(True)))
-    return both.join(use, "query_id").filter("loose = fell_back").drop("loose")
+    return both.join(use, ["query_id", *by]).filter(F.col("loose") == (F.col("fell_back") | ~F.col("has_every"))).drop("loose", "has_every")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +34,55 @@ def numbered(rows: DataFrame) -> DataFrame:
 def write(entries: DataFrame, requests: DataFrame) -> DataFrame:
     """What a batch of requests (request_id, project_id, value) would do: each with path, hash, the existing row it meets, and whether it inserts.
 
-    A value that any committed row of the project holds is not written again; of equal requests the first one is.
+    A value that any committed row of the project holds is not written again; of equal requests the first one is. Values meet by their path, which is their digest.
     """
-    held = entries.filter("scope IS NOT NULL").groupBy("project_id", "value").agg(F.min("id").alias("existing_id"))
+    held = entries.filter("scope IS NOT NULL").groupBy("project_id", written_path("value").alias("path")).agg(F.min("id").alias("existing_id"))
     rows = requests.withColumn("path", written_path("value")).withColumn("hash", content_hash("path", "value"))
-    rows = rows.join(held, ["project_id", "value"], "left").withColumn("turn", F.row_number().over(Window.partitionBy("project_id", "value").orderBy("request_id")))
+    rows = rows.join(held, ["project_id", "path"], "left").withColumn("turn", F.row_number().over(Window.partitionBy("project_id", "path").orderBy("request_id")))
     return rows.withColumn("inserts", F.col("existing_id").isNull() & (F.col("turn") == 1)).drop("turn")
 
 
+def writable(requests: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Requests with refused: whether they name a workspace that is not an active one of their project."""
+    active = workspaces.filter("status = 'Active'").select(F.col("id").alias("workspace_id"), "project_id", F.lit(True).alias("active")).distinct()
+    rows = requests.join(active, ["workspace_id", "project_id"], "left")
+    return rows.withColumn("refused", F.col("workspace_id").isNotNull() & F.col("active").isNull()).drop("active")
+
+
+def insert_chunks(entries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows of chunks (path, value and a bucket's columns) that (path, hash, bucket) does not hold yet, of equal new ones the first, with their hash; they are pending."""
+    keys = ["path", "hash", *(f"k_{c}" for c in ("scope", "project_id", "context_label", "workspace_id"))]
+    named = lambda df: df.select("*", *(F.coalesce(c, F.lit("\0")).alias(f"k_{c}") for c in ("scope", "project_id", "context_label", "workspace_id")))
+    rows = named(chunks.withColumn("hash", content_hash("path", "value")))
+    fresh = rows.join(named(entries).select(*keys).distinct(), keys, "left_anti")
+    first = fresh.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_index"))).filter("place = 1")
+    return first.drop("place", *keys[2:]).withColumn("embed_state", F.lit("pending"))
+
+
+def begin_workspace(project_id: str, agent_id: str, now_ms: int, random_bits: int) -> dict:
+    """A new active workspace's row. Its id is a UUID of version 7: the time in milliseconds, then random bits."""
+    bits = (now_ms & (1 << 48) - 1) << 80 | 7 << 76 | (random_bits >> 62 & 0xFFF) << 64 | 2 << 62 | random_bits & (1 << 62) - 1
+    return {"id": str(uuid.UUID(int=bits)), "project_id": project_id, "agent_id": agent_id, "status": "Active", "created_at": now_ms // 1000, "closed_at": None}
+
+
+def close_workspace(workspaces: DataFrame, workspace_id: str, now: int) -> DataFrame:
+    """Workspaces with an active one closed; a closed one keeps its time."""
+    mine = (F.col("id") == workspace_id) & (F.col("status") == "Active")
+    return workspaces.withColumns({"closed_at": F.when(mine, F.lit(now).cast("long")).otherwise(F.col("closed_at")), "status": F.when(mine, "Closed").otherwise(F.col("status"))})
+
+
+def discard_workspace(entries: DataFrame, workspaces: DataFrame, project_id: str, workspace_id: str, now: int) -> tuple[DataFrame, DataFrame]:
+    """Entries without the workspace's rows, and workspaces with it closed."""
+    inside = (F.col("workspace_id") == workspace_id) & (F.col("project_id") == project_id)
+    return entries.filter(~F.coalesce(inside, F.lit(False))), close_workspace(workspaces, workspace_id, now)
+
+
+def lookup(entries: DataFrame, column: str, value, project_id: str | None = None) -> DataFrame:
+    """The first row by id whose id, hash or path is this value, in one project or in all."""
+    rows = entries.filter(F.col(column) == value)
+    return (rows if project_id is None else rows.filter(F.col("project_id") == project_id)).orderBy("id").limit(1)
+
+
 def add_content(entries: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows whose path is not in their bucket yet; an existing path wins even with other content, and of equal new ones the first."""
     keys = [F.coalesce(c, F.lit("\0")).alias(f"k_{c}") for c in ("scope", "project_id", "context_label", "workspace_id")]
@@ -76,6 +119,11 @@ def delete_subtree(entries: DataFrame, project_id: str, path: str) -> DataFrame:
     return entries.filter(~gone)
 
 
+def forget_subtree(fingerprints: DataFrame, project_id: str, path: str) -> DataFrame:
+    """Fingerprints (project_id, path, ...) left when those of a path are gone, as delete_subtree's entries are."""
+    return fingerprints.filter(~((F.col("project_id") == project_id) & F.coalesce(in_subtree(path, "path"), F.lit(False))))
+
+
 def in_context(context_key_value: str) -> Column:
     return context_key() == context_key_value
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +51,6 @@ EPHEMERA = (
 )
 SUPERSEDED = r"(?i)\bsupersed(?:ed|es|ing)\b|\bhistorical note\b|\bno longer\b|\bwas (?:reversed|retracted)\b|\bhistorical\)|\bthis was resolved\b|\bhas now (?:fired|lapsed)\b|\bpreviously lived\b"
 FINDING_ROW = r"(?m)^\s*\|\s*\**\s*[A-Z]{1,3}[-]?\d{1,3}\b"
-TABLE_ROW = r"^\s*\|"
 LINK = r"\]\("
 DOC_NAME = r"[\w.\-/]+\.md\b"
 FRONTMATTER = r"(?m)^---\s*\nupdated:"
@@ -72,13 +75,82 @@ DATED_FACT = r"\(\d{4}-\d{2}-\d{2}\)[:,]"
 FLOOR, CANDIDATES = 0.4, 20
 
 
-def _u(pattern: str) -> str:
-    """With Unicode word borders, as Java has them only on request."""
-    return "(?U)" + pattern
-
-
-def _count(pattern: str, of: str = "value") -> Column:
-    return F.regexp_count(F.col(of), F.lit(_u(pattern)))
+#: The look-ahead of RULE_LANGUAGE, which RE2 lacks: texts with this phrase are counted by Python.
+_AHEAD, _AHEAD_PHRASE = r"(?=[^.]{0,40}\b(?:index|need|cover|apply))", "(?i)does not"
+_LETTER = re.compile(r"[^\W\d\x00-\x7f]")
+_DIGIT = re.compile(r"[^\D\x00-\x7f]")
+_BLANK = re.compile(r"[^\S\x00-\x7f]")
+#: Most project ids that are sent to every task.
+MOST_PROJECTS = 1_000_000
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    """Texts with every letter, digit and space beyond ASCII replaced by one of its kind, so that ASCII classes and borders see what Unicode ones would."""
+    odd = pc.invert(pc.string_is_ascii(texts))
+    if not pc.any(odd).as_py():
+        return texts
+    changed = [_BLANK.sub(" ", _DIGIT.sub("0", _LETTER.sub("q", t))) for t in texts.filter(odd).to_pylist()]
+    return pc.replace_with_mask(texts, odd, pa.array(changed, texts.type))
+
+
+def _rule_counts(plain: pa.Array) -> pa.Array:
+    found = pc.count_substring_regex(plain, RULE_LANGUAGE.replace(r"|\bdoes not\b" + _AHEAD, ""))
+    odd = pc.match_substring_regex(plain, _AHEAD_PHRASE)
+    if not pc.any(odd).as_py():
+        return found
+    whole = re.compile(RULE_LANGUAGE)
+    return pc.replace_with_mask(found, odd, pa.array([len(whole.findall(t)) for t in plain.filter(odd).to_pylist()], found.type))
+
+
+#: Counts of patterns in a text, and whether it has others.
+_COUNTED = {
+    "n_markup": TURN_MARKUP, "words_m": MEASURE_WORDS, "units": NUMBER_WITH_UNIT, "n_links": LINK, "n_names": DOC_NAME, "n_versions": VERSION_ROW, "n_findings": FINDING_ROW, "n_ephemera": EPHEMERA, "n_status": STATUS_WORDS,
+    "n_durable": DURABLE, "n_commits": COMMIT, "n_spaced": r"\S+", "n_lines": r"(?m)^[^\n]*\S[^\n]*$", "n_rows": r"(?m)^[^\S\n]*\|",
+}
+_HELD = {"past": SUPERSEDED, "second_person": SECOND_PERSON}
+FEATURES = ("n_words", "n_rule", *_COUNTED, "n_measures")
+FLAGS = (*_HELD, "heading", "middle", "front", "opener", "dated", "near", "far")
+
+
+def measured(rows: DataFrame, project_ids: list[str] = []) -> DataFrame:
+    """rows (with value and project_id) and the FEATURES and FLAGS of their texts, all found in one pass over Arrow columns; patterns run in RE2."""
+    if len(project_ids) > MOST_PROJECTS:
+        raise ValueError(f"more than {MOST_PROJECTS} projects")
+    names = sorted({p.lower() for p in project_ids})
+    kinds, columns = rows.dtypes, rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        others = ahocorasick.Automaton()
+        for name in names:
+            others.add_word(name, (len(name), name))
+        if names:
+            others.make_automaton()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            value = pc.fill_null(batch.column("value").cast(pa.string()), "")
+            plain = _plain(value)
+            trimmed = pc.utf8_ltrim_whitespace(value)
+            found = {"n_words": pc.count_substring_regex(value, WORD), "n_rule": _rule_counts(plain)}
+            found |= {name: pc.count_substring_regex(plain, pattern) for name, pattern in _COUNTED.items()}
+            found["n_measures"] = pc.count_substring_regex(pc.replace_substring_regex(plain, TEST_COUNTS, " "), MEASURE)
+            held = {name: pc.match_substring_regex(plain, pattern) for name, pattern in _HELD.items()}
+            held |= {"heading": pc.starts_with(trimmed, "#"), "middle": pc.match_substring_regex(trimmed, r"^[\p{Ll}),;]"), "front": pc.match_substring_regex(trimmed, FRONTMATTER)}
+            held |= {"opener": pc.match_substring_regex(pc.utf8_slice_codeunits(plain, 0, 80), STATUS_OPENER), "dated": pc.match_substring_regex(pc.utf8_slice_codeunits(plain, 0, 120), DATED_FACT)}
+            near, far = [], []
+            for text, own in zip(value.to_pylist(), batch.column("project_id").to_pylist()):
+                own, ends = (own or "").lower(), {}
+                for end, (size, name) in others.iter(text.lower()) if names else ():
+                    if name != own and name not in ends:
+                        ends[name] = end
+                near.append(any(end < 250 for end in ends.values()))
+                far.append(len(ends) >= 2)
+            held |= {"near": pa.array(near, pa.bool_()), "far": pa.array(far, pa.bool_())}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(found[c].cast(pa.int32()) for c in FEATURES), *(held[c] for c in FLAGS)], [*columns, *FEATURES, *FLAGS])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kind}" for c, kind in kinds), *(f"{c} int" for c in FEATURES), *(f"{c} boolean" for c in FLAGS)]))
 
 
 def _per100(count: Column) -> Column:
@@ -89,14 +161,15 @@ def _clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
-def archetype() -> Column:
-    """The class of an entry by path, file and markup; the first rule that holds decides."""
+def archetype(n_markup: Column | None = None) -> Column:
+    """The class of an entry by path, file and markup (the number of TURN_MARKUP's matches in value); the first rule that holds decides."""
+    n_markup = F.regexp_count("value", F.lit("(?U)" + TURN_MARKUP)) if n_markup is None else n_markup
     path = F.lower(F.coalesce("path", F.lit("")))
     name = basename(path)
     inside = lambda *parts: reduce(lambda a, b: a | b, (path.contains(f"/{p}") for p in parts))
     named = lambda *parts: reduce(lambda a, b: a | b, (name.contains(p) for p in parts))
     rules = [
-        ("turn-mirror", _count(TURN_MARKUP) >= 2),
+        ("turn-mirror", n_markup >= 2),
         ("organic-note", (F.coalesce("source_file", F.lit("")) == "") | name.rlike(r"(?i)^[0-9a-f]{32,}\.md$")),
         ("doc-index", name.isin("readme.md", "changelog.md", "index.md")),
         ("adr", inside("adr/", "decisions/") | name.rlike(r"^\d{4}-") & ~name.rlike(r"^\d{4}-\d{2}-\d{2}")),
@@ -117,27 +190,21 @@ def archetype() -> Column:
 
 
 def scored(rows: DataFrame, project_ids: list[str]) -> DataFrame:
-    """Rows (path, source_file, value, project_id, access_count) with archetype, score (0 to 4) and reasons, all in one projection over the text."""
-    rows = rows.withColumn("archetype", archetype()).withColumn("n_words", F.regexp_count("value", F.lit(WORD)))
-    value, head = F.col("value"), F.substring("value", 1, 250)
-    trimmed = F.regexp_replace(value, r"(?U)^\s+", "")
-    lines = F.filter(F.split(value, "\n"), lambda x: F.length(F.regexp_replace(x, r"(?U)\s", "")) > 0)
-    others = F.filter(F.array(*map(F.lit, project_ids)), lambda x: x != F.col("project_id"))
-    met = lambda text: F.filter(others, lambda x: F.contains(F.lower(text), F.lower(x)))
+    """Rows (path, source_file, value, project_id, access_count) with archetype, score (0 to 4) and reasons: one pass over the texts, then arithmetic."""
+    columns = rows.columns
+    rows = measured(rows, project_ids).withColumn("archetype", archetype(F.col("n_markup")))
     rows = rows.withColumns({
-        "rule": _clamp(0.30 * _per100(_count(RULE_LANGUAGE)), 0.0, 0.75), "words_m": _count(MEASURE_WORDS), "units": _count(NUMBER_WITH_UNIT),
-        "near": F.size(met(head)) > 0, "far": F.size(met(value)) >= 2, "heading": trimmed.startswith("#"), "middle": trimmed.rlike(r"^[\p{Ll}),;]"),
-        "tables": F.size(F.filter(lines, lambda x: x.rlike(TABLE_ROW))) / F.greatest(F.size(lines), F.lit(1)), "links": _per100(_count(LINK)), "names": _per100(_count(DOC_NAME)), "versions": _count(VERSION_ROW),
-        "findings": _count(FINDING_ROW), "ephemera": _clamp(0.22 * _per100(_count(EPHEMERA)), 0.0, 0.65), "past": value.rlike(_u(SUPERSEDED)), "front": trimmed.rlike(FRONTMATTER),
-        "n_status": _count(STATUS_WORDS), "n_durable": _count(DURABLE),
+        "rule": _clamp(0.30 * _per100(F.col("n_rule")), 0.0, 0.75), "ephemera": _clamp(0.22 * _per100(F.col("n_ephemera")), 0.0, 0.65),
+        "tables": F.col("n_rows") / F.greatest(F.col("n_lines"), F.lit(1)), "links": _per100(F.col("n_links")), "names": _per100(F.col("n_names")),
     })
-    measured = F.when((F.col("words_m") >= 1) & (F.col("units") >= 1), _clamp(0.12 * F.least("words_m", F.lit(4)) + 0.05 * F.least("units", F.lit(4)), 0.0, 0.50)).when(F.col("words_m") >= 2, 0.15).otherwise(0.0)
-    pointer = _clamp(F.when(F.col("tables") >= 0.55, 0.30).otherwise(0.0) + F.when(F.col("links") >= 1.5, 0.45).otherwise(0.0) + F.when(F.col("names") >= 2.0, 0.35).otherwise(0.0) + F.when(F.col("versions") >= 3, 0.35).otherwise(0.0), 0.0, 1.0)
+    many = F.when((F.col("words_m") >= 1) & (F.col("units") >= 1), _clamp(0.12 * F.least("words_m", F.lit(4)) + 0.05 * F.least("units", F.lit(4)), 0.0, 0.50)).when(F.col("words_m") >= 2, 0.15).otherwise(0.0)
+    pointer = _clamp(F.when(F.col("tables") >= 0.55, 0.30).otherwise(0.0) + F.when(F.col("links") >= 1.5, 0.45).otherwise(0.0) + F.when(F.col("names") >= 2.0, 0.35).otherwise(0.0) + F.when(F.col("n_versions") >= 3, 0.35).otherwise(0.0), 0.0, 1.0)
+    rows = rows.withColumns({"many": many, "pointer": pointer})
     accessed = F.when(F.col("access_count") > 0, _clamp(0.05 * F.log(F.col("access_count") + 1.0), 0.0, 0.20)).otherwise(0.0)
     short, thin = F.length("value") < 420, F.col("n_words") < 60
     parts = [
-        F.col("rule"), measured, F.when(F.col("near"), 0.25).otherwise(0.0), F.when(F.col("far"), 0.10).otherwise(0.0), F.when(F.col("heading"), 0.12).otherwise(0.0), F.when(F.col("middle"), -0.18).otherwise(0.0),
-        accessed, -pointer, F.when(F.col("findings") >= 3, -0.45).when(F.col("findings") >= 1, -0.28).otherwise(0.0), -F.col("ephemera"), F.when(F.col("past"), -0.40).otherwise(0.0),
+        F.col("rule"), F.col("many"), F.when(F.col("near"), 0.25).otherwise(0.0), F.when(F.col("far"), 0.10).otherwise(0.0), F.when(F.col("heading"), 0.12).otherwise(0.0), F.when(F.col("middle"), -0.18).otherwise(0.0),
+        accessed, -F.col("pointer"), F.when(F.col("n_findings") >= 3, -0.45).when(F.col("n_findings") >= 1, -0.28).otherwise(0.0), -F.col("ephemera"), F.when(F.col("past"), -0.40).otherwise(0.0),
         F.when(F.col("front") & (F.length("value") < 900), -0.55).when(F.col("front"), -0.25).otherwise(0.0), F.when(short, -0.35).otherwise(0.0), F.when(thin, -0.25).otherwise(0.0),
     ]
     adjusted = F.greatest(F.lit(-1.60), F.least(F.when(F.col("archetype").isin("doc-index", "turn-mirror"), 0.15).otherwise(1.30), reduce(lambda a, b: a + b, parts)))
@@ -145,30 +212,27 @@ def scored(rows: DataFrame, project_ids: list[str]) -> DataFrame:
     rows = rows.withColumn("raw", prior + adjusted)
     rows = rows.withColumn("capped", (F.col("n_words") < 25) & (F.col("raw") > 0.60)).withColumn("base", _clamp(F.when(F.col("capped"), 0.60).otherwise(F.col("raw")), 0.0, 4.0))
     tags = [
-        (F.col("rule") > 0, "rule-language"), (measured > 0, "measured-values"), (F.col("near") | F.col("far"), "foreign-subject"), (F.col("heading"), "heading-start"), (F.col("middle"), "mid-sentence"), (F.col("access_count") > 0, "accessed"),
-        (pointer > 0, "pointer-density"), (F.col("findings") >= 1, "finding-rows"), (F.col("ephemera") > 0, "ephemera"), (F.col("past"), "superseded"), (F.col("front"), "frontmatter-only"), (short | thin, "thin-content"), (F.col("capped"), "thin-cap"),
+        (F.col("rule") > 0, "rule-language"), (F.col("many") > 0, "measured-values"), (F.col("near") | F.col("far"), "foreign-subject"), (F.col("heading"), "heading-start"), (F.col("middle"), "mid-sentence"), (F.col("access_count") > 0, "accessed"),
+        (F.col("pointer") > 0, "pointer-density"), (F.col("n_findings") >= 1, "finding-rows"), (F.col("ephemera") > 0, "ephemera"), (F.col("past"), "superseded"), (F.col("front"), "frontmatter-only"), (short | thin, "thin-content"), (F.col("capped"), "thin-cap"),
     ]
     rows = rows.withColumn("reasons", F.array_compact(F.array(F.col("archetype"), *(F.when(holds, F.lit(tag)) for holds, tag in tags))))
-    # the score goes through a generator, below which no filter on it is pushed: there each pattern would run several times
-    rows = refined(rows).withColumn("score", F.explode_outer(F.array("score")))
-    return rows.drop("rule", "words_m", "units", "near", "far", "heading", "middle", "tables", "links", "names", "versions", "findings", "ephemera", "past", "front", "n_status", "n_durable", "raw", "capped", "base", "n_words")
+    return refined(rows).select(*columns, "archetype", "score", "reasons")
 
 
 def refined(rows: DataFrame) -> DataFrame:
-    """score from base for rows without a file, whose text tells a status from a lasting fact; others keep it. Needs n_status and n_durable."""
+    """score from base for rows without a file, whose text tells a status from a lasting fact; others keep it. Needs measured()'s columns."""
     status, durable = F.col("n_status"), F.col("n_durable")
-    measures = F.regexp_count(F.regexp_replace("value", _u(TEST_COUNTS), " "), F.lit(_u(MEASURE)))
     found = [
-        (F.substring("value", 1, 80).rlike(_u(STATUS_OPENER)), F.lit(-1.2), "status-opener"),
+        (F.col("opener"), F.lit(-1.2), "status-opener"),
         (status > 0, -F.least(F.lit(1.5), 0.15 * status), "status-vocabulary"),
-        (F.col("value").rlike(_u(SECOND_PERSON)), F.lit(-0.5), "second-person"),
-        (_count(COMMIT) >= 2, F.lit(-0.3), "commit-hashes"),
-        (measures >= 2, F.lit(0.5), "real-measurements"),
+        (F.col("second_person"), F.lit(-0.5), "second-person"),
+        (F.col("n_commits") >= 2, F.lit(-0.3), "commit-hashes"),
+        (F.col("n_measures") >= 2, F.lit(0.5), "real-measurements"),
         (durable > 0, F.least(F.lit(1.0), 0.35 * durable), "durable-fact-language"),
-        (F.substring("value", 1, 120).rlike(DATED_FACT), F.lit(0.5), "dated-fact"),
+        (F.col("dated"), F.lit(0.5), "dated-fact"),
     ]
     delta = _clamp(reduce(lambda a, b: a + b, (F.when(holds, by).otherwise(0.0) for holds, by, _ in found)), -2.8, 1.5)
-    lifted = (F.regexp_count("value", F.lit(r"(?U)\S+")) < 40) & (durable >= 1) & (status <= 1)
+    lifted = (F.col("n_spaced") < 40) & (durable >= 1) & (status <= 1)
     organic = F.col("source_file").isNull()
     base = F.when(lifted, F.greatest("base", F.lit(2.2))).otherwise(F.col("base"))
     tags = F.array_compact(F.array(*(F.when(organic & holds, F.lit(tag)) for holds, _, tag in found), F.when(organic & lifted, F.lit("short-definitional-floor"))))
@@ -180,14 +244,18 @@ def excluded(prefixes: list[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, (F.col("source_file").startswith(p) for p in prefixes), F.lit(False)), F.lit(False))
 
 
+def _digest(x: Column) -> Column:
+    return F.sha2(x, 256)
+
+
 def duplicates_of(shared: DataFrame, compat: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Values and paths of the shared tier to hold candidates against. compat compares a stripped candidate with raw shared values."""
-    return shared.select((F.col("value") if compat else stripped("value")).alias("plain")).distinct(), shared.select("path").distinct()
+    """Digests of values, and paths, of the shared tier to hold candidates against. compat compares a stripped candidate with raw shared values."""
+    return shared.select(_digest(F.col("value") if compat else stripped("value")).alias("plain")).distinct(), shared.select("path").distinct()
 
 
 def not_shared(rows: DataFrame, shared: DataFrame, compat: bool = True) -> DataFrame:
     values, paths = duplicates_of(shared, compat)
-    rows = rows.withColumn("plain", stripped("value")).join(values, "plain", "left_anti").drop("plain")
+    rows = rows.withColumn("plain", _digest(stripped("value"))).join(values, "plain", "left_anti").drop("plain")
     return rows.withColumn("shared_path", F.concat(F.lit("shared/"), "path")).join(paths.withColumnRenamed("path", "shared_path"), "shared_path", "left_anti").drop("shared_path")
 
 
@@ -214,6 +282,25 @@ def review_order(*by: str) -> Window:
     return Window.partitionBy(*by).orderBy(F.desc("score"), "created_at", "hash")
 
 
+def discarded(queue: DataFrame, project_id: str, hash_: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The queue without a project's rows, or without the one of this hash; and what was taken out."""
+    gone = (F.col("project_id") == project_id) & (F.lit(True) if hash_ is None else F.col("hash") == hash_)
+    return queue.filter(~F.coalesce(gone, F.lit(False))), queue.filter(gone)
+
+
+#: A linear scorer for evaluation only: the sign of each reason.
+SIGNS = {
+    "rule-language": 1, "measured-values": 1, "foreign-subject": 1, "heading-start": 1, "accessed": 1, "durable-fact-language": 1, "real-measurements": 1, "dated-fact": 1, "short-definitional-floor": 1,
+    "mid-sentence": -1, "pointer-density": -1, "finding-rows": -1, "ephemera": -1, "superseded": -1, "frontmatter-only": -1, "thin-content": -1, "thin-cap": -1, "status-opener": -1, "status-vocabulary": -1, "second-person": -1, "commit-hashes": -1,
+}
+
+
+def sign_score(scored_rows: DataFrame) -> DataFrame:
+    """scored() rows with sign_score, the sum of their reasons' signs, to compare the score with."""
+    signs = F.create_map(*(F.lit(x) for pair in SIGNS.items() for x in pair))
+    return scored_rows.withColumn("sign_score", F.aggregate("reasons", F.lit(0), lambda a, r: a + F.coalesce(signs[r], F.lit(0))))
+
+
 def capacity(queue: DataFrame, total: int) -> DataFrame:
     """Of each project its rows, its reservation and whether it borrows."""
     used = queue.groupBy("project_id").agg(F.count("*").alias("used"))
@@ -247,6 +334,6 @@ def promote(queue: DataFrame, shared: DataFrame, limit: int, compat: bool = Fals
     """Of each project the best `limit` queue rows, those that the shared tier holds already marked as skipped; the others have their shared path and hash."""
     top = queue.withColumn("place", F.row_number().over(review_order("project_id"))).filter(F.col("place") <= limit)
     values, paths = duplicates_of(shared, compat)
-    top = top.withColumn("plain", stripped("value")).join(values.withColumn("same_value", F.lit(True)), "plain", "left").drop("plain").withColumn("shared_path", F.concat(F.lit("shared/"), "path"))
+    top = top.withColumn("plain", _digest(stripped("value"))).join(values.withColumn("same_value", F.lit(True)), "plain", "left").drop("plain").withColumn("shared_path", F.concat(F.lit("shared/"), "path"))
     top = top.join(paths.select(F.col("path").alias("shared_path"), F.lit(True).alias("same_path")), "shared_path", "left")
     return top.withColumn("skipped", F.coalesce("same_value", F.lit(False)) | F.coalesce("same_path", F.lit(False))).withColumn("shared_hash", content_hash("shared_path", "value")).drop("same_value", "same_path")

@@ -1,51 +1,50 @@
-"""Excerpts of entries for display."""
+"""Excerpts of entries for display, as expressions."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from lorekeep.functions.text import tokens
 
+#: Characters of an excerpt, and words of a window.
 SHOWN, BEST = 200, 12
-
-
-def fallback(value: str, hash_: str, shown: int = SHOWN) -> str:
-    """About `shown` UTF-16 units at a place that the hash picks, on word borders, with marks where text is left out."""
-    wide = value.encode("utf-16-le", "surrogatepass")
-    n = len(wide) // 2
-    if n <= shown:
-        return value
-    part = lambda a, b: wide[2 * a : 2 * b].decode("utf-16-le", "replace")
-    start = int.from_bytes(hashlib.sha256(hash_.encode()).digest()[:8], "little") % (n - shown + 1)
-    units = memoryview(wide).cast("H")
-    space = next((k for k in range(start, min(n, start + shown)) if units[k] == 32), None)
-    if space is not None:
-        start = space + 1
-    end = min(n, start + shown)
-    last = next((k for k in range(end - 1, start, -1) if units[k] == 32), None)
-    if last is not None:
-        end = last
-    return ("… " if start else "") + part(start, end).strip() + (" …" if end < n else "")
-
-
-def best_window(value: str, terms: list[str], size: int = BEST) -> str:
-    """The run of `size` words with the most different terms, the first of equals."""
-    words = value.split()
-    hit = [{t for t in re.findall(r"\w+", w.lower()) if t in terms} for w in words]
-    best = max(range(max(1, len(words) - size + 1)), key=lambda k: (len(set().union(*hit[k : k + size])) if hit else 0, -k))
-    return ("…" if best else "") + " ".join(words[best : best + size]) + ("…" if best + size < len(words) else "")
-
-
-def with_snippets(rows: DataFrame) -> DataFrame:
-    """Adds the fallback snippet of (hash, value); meant for rows that survived the limit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("snippet", pa.array([fallback(v or "", h or "") for v, h in zip(batch.column("value").to_pylist(), batch.column("hash").to_pylist())], pa.string()))
-
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "snippet string"]))
+_BLANK = "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$"
+
+
+def drawn_place(hash_: str, places: Column) -> Column:
+    """A place below `places` that the hash draws: its digest's first eight bytes, the lowest first, as a number."""
+    hexed = F.sha2(F.col(hash_), 256)
+    number = F.conv(F.concat(*(F.substring(hexed, 2 * k + 1, 2) for k in range(7, -1, -1))), 16, 10).cast("decimal(20,0)")
+    return (number % places.cast("decimal(20,0)")).cast("int")
+
+
+def with_excerpt(rows: DataFrame, value: str = "value", hash_: str = "hash", shown: int = SHOWN) -> DataFrame:
+    """Adds snippet, about `shown` characters from a place that the hash draws, cut at spaces, with marks where text is left out. A short value is shown whole."""
+    text, n = F.coalesce(F.col(value), F.lit("")), F.length(F.coalesce(F.col(value), F.lit("")))
+    drawn = rows.withColumn("_drawn", F.when(n > shown, drawn_place(hash_, n - shown + 1)))
+    space = F.locate(" ", F.substring(text, F.col("_drawn") + 1, F.lit(shown)))  # within the window, or 0
+    begun = drawn.withColumn("_from", F.col("_drawn") + F.coalesce(space, F.lit(0)))
+    window = begun.withColumn("_window", F.substring(text, F.col("_from") + 1, F.lit(shown)))
+    back = F.length("_window") - F.locate(" ", F.reverse(F.col("_window")))  # characters ahead of the last space
+    cut = F.when(F.contains("_window", F.lit(" ")) & (back > 0), F.substring(F.col("_window"), F.lit(1), back)).otherwise(F.col("_window"))
+    ended = window.withColumn("_cut", cut)
+    piece = F.concat(F.when(F.col("_from") > 0, "… ").otherwise(""), F.regexp_replace("_cut", _BLANK, ""), F.when(F.col("_from") + F.length("_cut") < n, " …").otherwise(""))
+    return ended.withColumn("snippet", F.when(n <= shown, text).otherwise(piece)).drop("_drawn", "_from", "_window", "_cut")
+
+
+def with_best_window(rows: DataFrame, terms: str = "terms", value: str = "value", size: int = BEST) -> DataFrame:
+    """Adds snippet, the run of `size` words that holds the most different terms (the first of equals), for rows that survived a limit.
+
+    Each row needs a query_id and an id. Words are exploded with those windows' starts that they lie in, so that a value's windows are counted by aggregates.
+    """
+    words = rows.select("query_id", "id", terms, F.split(F.regexp_replace(F.coalesce(value, F.lit("")), _BLANK, ""), r"\s+").alias("words"))
+    hits = words.select("query_id", "id", F.size("words").alias("n"), terms, F.posexplode("words").alias("at", "word"))
+    hits = hits.select("query_id", "id", "n", "at", F.explode(F.array_intersect(tokens("word"), F.col(terms))).alias("term"))
+    last = F.greatest(F.col("n") - size, F.lit(0))
+    starts = hits.select("query_id", "id", "term", F.explode(F.sequence(F.greatest(F.col("at") - size + 1, F.lit(0)), F.least("at", last))).alias("start")).filter("start >= 0")
+    counted = starts.groupBy("query_id", "id", "start").agg(F.count_distinct("term").alias("n_terms"))
+    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(F.desc("n_terms"), "start"))).filter("place = 1").select("query_id", "id", "start")
+    found = rows.join(words.drop(terms), ["query_id", "id"]).join(best, ["query_id", "id"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    piece = F.concat(F.when(F.col("start") > 0, "…").otherwise(""), F.array_join(F.slice("words", F.col("start") + 1, F.lit(size)), " "), F.when(F.col("start") + size < F.size("words"), "…").otherwise(""))
+    return found.withColumn("snippet", piece).drop("words", "start")

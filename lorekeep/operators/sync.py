@@ -18,7 +18,7 @@ def _stone_key(df: DataFrame) -> DataFrame:
 
 
 def merged(local: DataFrame, remote: DataFrame, local_stones: DataFrame, compat: bool = False) -> DataFrame:
-    """Local rows and those remote committed rows that are neither locally deleted nor there already. Merged rows are pending.
+    """Local rows and those remote committed rows that are neither locally deleted nor there already. Merged rows are pending and get ids behind the local ones, in their order.
 
     compat drops the columns that the original merge forgets.
     """
@@ -27,10 +27,10 @@ def merged(local: DataFrame, remote: DataFrame, local_stones: DataFrame, compat:
     new = new.withColumns({"embed_state": F.lit("pending"), "embedding": F.lit(None).cast(dict(local.dtypes)["embedding"])})
     if compat:
         new = new.withColumns({c: F.lit(None).cast("string") for c in _DROPPED if c in new.columns})
-    both = local.withColumn("came", F.lit(0)).unionByName(new.withColumn("came", F.lit(1)))
-    # the local row is the earlier one of a bucket
-    first = first_of_bucket(both.withColumn("kept_id", F.col("id")).withColumn("id", F.col("id") * 2 + F.col("came")))
-    return first.withColumn("id", F.col("kept_id")).drop("kept_id", "came")
+    # both banks number on their own: one row says how far the remote's numbers have to move
+    last, first = local.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")), remote.agg(F.coalesce(F.min("id"), F.lit(0)).alias("first_id"))
+    new = new.join(F.broadcast(last)).join(F.broadcast(first)).withColumn("id", F.col("id") - F.col("first_id") + F.col("last_id") + 1).drop("last_id", "first_id")
+    return first_of_bucket(local.unionByName(new))  # the local row is the earlier one of a bucket
 
 
 def stones_union(local: DataFrame, remote: DataFrame) -> DataFrame:

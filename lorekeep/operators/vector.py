@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most query vectors of one batch; the caller splits larger sets. This bounds what every task holds.
-MAX_QUERIES = 4096
+#: Most query vectors that a task multiplies with at once, and most rows that it holds before it hands them on. Larger query sets are searched in several passes.
+MAX_QUERIES, HELD = 4096, 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,45 +38,67 @@ def mean_pooled(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return flat.select(key, normalized(F.transform("v", lambda p: p.x)).alias(vector))
 
 
-def knn(entries: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), tie: str = "id") -> DataFrame:
-    """The k nearest entries of each query, in each group of `by`: (query_id, *by, id, similarity, rank).
+def _best(rows: pd.DataFrame, k: int, groups: list[str], tie: tuple[str, ...]) -> pd.DataFrame:
+    """The k best rows of each group; similarities count as rounded, and ties are settled by the columns tie."""
+    return rows.assign(_near=-rows["similarity"].round(9)).sort_values([*groups, "_near", *tie], kind="stable").groupby(groups, sort=False, dropna=False).head(k).drop(columns="_near")
 
-    queries: (query_id, vector), at most MAX_QUERIES of them. Each task multiplies batches of entries with all queries and keeps the best k
-    per query and group, so at most k rows per task, query and group are shuffled for the final ranking.
-    """
-    asked = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors")
-    ids = [q["query_id"] for q in asked]
-    matrix = np.array([q["vector"] for q in asked], np.float64)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300) if ids else matrix
-    kinds = dict(entries.dtypes)
+
+def _nearest(entries: DataFrame, ids: list, matrix: np.ndarray, k: int, by: tuple[str, ...], tie: tuple[str, ...], kind: str) -> DataFrame:
+    kept = list(dict.fromkeys(["id", *by, *tie]))
+    sent = entries.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries = sent.value
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            if not batch.num_rows or not ids:
+            if not batch.num_rows:
                 continue
-            column = batch.column("embedding")
-            vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            found = (vectors / np.where(norms > 0, norms, 1)) @ matrix.T
-            groups = list(zip(*(batch.column(c).to_pylist() for c in by))) or [()] * batch.num_rows
-            rows: dict[tuple, list[int]] = {}
-            for n, g in enumerate(groups):
-                rows.setdefault(g, []).append(n)
+            found = (vectors / np.where(norms > 0, norms, 1)) @ queries.T
+            frame = batch.select(kept).to_pandas()
+            members = frame.groupby(list(by), sort=False, dropna=False).indices.values() if by else [np.arange(len(frame))]
             at, query = [], []
-            for members in map(np.array, rows.values()):
-                part = -found[members]
-                top = np.argpartition(part, min(k, len(members)) - 1, axis=0)[:k] if len(members) > k else np.arange(len(members))[:, None].repeat(len(ids), 1)
-                at.append(members[top].ravel())
-                query.append(np.tile(np.arange(len(ids)), top.shape[0]))
+            for rows in members:
+                near = np.round(found[rows], 9)
+                if len(rows) > k:  # all that reach the k-th value, ties included
+                    near = near >= np.partition(near, len(rows) - k, axis=0)[len(rows) - k]
+                else:
+                    near = np.ones_like(near, bool)
+                a, q = np.nonzero(near)
+                at.append(rows[a])
+                query.append(q)
             at, query = np.concatenate(at), np.concatenate(query)
-            kept = batch.select(["id", *by]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query.tolist()]), *kept.columns, pa.array(found[at, query])], ["query_id", "id", *by, "similarity"])
+            held.append(_best(frame.iloc[at].assign(query_no=query, similarity=found[at, query]), k, ["query_no", *by], tie))
+            if len(held) > 1 and sum(map(len, held)) > HELD:
+                held = [_best(pd.concat(held), k, ["query_no", *by], tie)]
+                if len(held[0]) > HELD // 2:
+                    yield out(held.pop(), names)
+        if held:
+            yield out(_best(pd.concat(held), k, ["query_no", *by], tie), names)
+
+    def out(rows: pd.DataFrame, names: list) -> pa.RecordBatch:
+        rows = rows.assign(query_id=[names[q] for q in rows.pop("query_no").tolist()])
+        return pa.RecordBatch.from_pandas(rows[["query_id", *kept, "similarity"]], preserve_index=False)
+
+    kinds = dict(entries.dtypes)
+    return entries.filter("embedding IS NOT NULL").select(*kept, "embedding").mapInArrow(run, ", ".join([f"query_id {kind}", *(f"{c} {kinds[c]}" for c in kept), "similarity double"]))
+
 
-    kind = dict(queries.dtypes)["query_id"]
-    near = entries.filter("embedding IS NOT NULL").select("id", *by, "embedding").mapInArrow(run, ", ".join([f"query_id {kind}", f"id {kinds['id']}", *(f"{c} {kinds[c]}" for c in by), "similarity double"]))
-    order = Window.partitionBy("query_id", *by).orderBy(F.desc(F.round("similarity", 9)), tie)
+def knn(entries: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), tie: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The k nearest entries of each query, in each group of `by`: (query_id, *by, id, *tie, similarity, rank). Of equally near entries the first by the columns tie are taken.
+
+    queries: (query_id, vector). They go to the tasks in passes of MAX_QUERIES. A task multiplies batches of entries with them and keeps the best k
+    per query and group, so at most k rows per task, query and group are shuffled for the final ranking (more where a task meets very many groups).
+    """
+    kind, passes, asked = dict(queries.dtypes)["query_id"], [], queries.select("query_id", "vector").toLocalIterator()
+    while block := list(itertools.islice(asked, MAX_QUERIES)):
+        matrix = np.array([q["vector"] for q in block], np.float64)
+        passes.append(_nearest(entries, [q["query_id"] for q in block], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300), k, by, tie, kind))
+    if not passes:
+        passes = [_nearest(entries, [], np.zeros((0, 1)), k, by, tie, kind).limit(0)]
+    near = reduce(DataFrame.unionByName, passes)
+    order = Window.partitionBy("query_id", *by).orderBy(F.desc(F.round("similarity", 9)), *tie)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import fusion, keyword, vector
-from lorekeep.plans.planner import window
+from lorekeep.operators import fusion, keyword, snippets, vector
+from lorekeep.plans import planner
 
 
 @dataclass(frozen=True)
@@ -18,35 +20,75 @@ class Parameters:
     k: int = 60
     keyword_weight: float = 1.0
     vector_weight: float = 1.0
+    alpha: float = 0.5
     affinity_weight: float = 0.1
     consolidation_threshold: float = 0.1
     narrow_window: bool = False
+    sum_of_scores: bool = False
 
 
-def hybrid(entries: DataFrame, texts: DataFrame, vectors: DataFrame, asked: list[str], p: Parameters = Parameters()) -> DataFrame:
+def keyword_hits(plans: DataFrame, index: DataFrame, stats: DataFrame, asked: list[str], limit: int) -> DataFrame:
+    """Hits (query_id, ctx, path, id, score) of planned texts in the contexts `asked`. The index has ctx and path; statistics are the whole bank's.
+
+    Texts follow their plan in each context apart; a path is looked for in the files' names, and with a section in the sections.
+    """
+    groups = index.sparkSession.createDataFrame([(c,) for c in asked], "ctx string")
+    hits = keyword.planned(plans.filter("NOT is_path"), index, stats, limit, groups, "ctx").drop("fell_back", "n_terms")
+    for has_section, columns in ((False, ("source_file",)), (True, ("source_file", "section"))):
+        paths = plans.filter(F.col("is_path") & (F.col("has_section") == has_section)).select("query_id", F.col("every").alias("terms"))
+        hits = hits.unionByName(keyword.all_of(paths, index, stats, {c: keyword.WEIGHTS[c] for c in columns}).filter(F.col("ctx").isin(*asked)).drop("n_terms"))
+    return hits
+
+
+def near_entries(inside: DataFrame, vectors: DataFrame, size: int, alpha: float) -> DataFrame:
+    """The nearest entries (query_id, ctx, path, id, score) of each context: by content, or where entries have structure vectors by both, alpha of content."""
+    by, tie = ("ctx",), ("path", "id")
+    near = vector.knn(inside, vectors, size, by, tie)
+    if "structure_embedding" not in inside.columns:
+        return near.select("query_id", "ctx", "path", "id", F.col("similarity").alias("score"))
+    shape = vector.knn(inside.withColumn("embedding", F.col("structure_embedding")), vectors, size, by, tie)
+    return vector.dual_fusion(near, shape, alpha, "query_id", "ctx", "path")
+
+
+def hybrid(entries: DataFrame, queries: DataFrame, vectors: DataFrame, asked: list[str], p: Parameters = Parameters(), index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Search the contexts `asked` (keys of the column ctx) for all queries at once.
 
-    entries: with id, ctx, path, source_file, section, value, embedding, chunk_index; texts: (query_id, terms), any of which counts; vectors:
-    (query_id, vector). Keyword statistics are the whole bank's. In each context both lists are fused by rank, the contexts' lists by rank
-    again, then files' neighbours support each other, weak neighbours of a file's best chunk are merged away, and min_score and limit apply.
+    entries: with id, hash, ctx, path, source_file, section, value, embedding, chunk_index, and structure_embedding if there are any; queries: (query_id, text); vectors: (query_id, vector).
+    index and stats: keyword.postings with phrases, ctx and path, and keyword.corpus_stats, where they are kept. In each context the keyword and the vector list are fused by
+    rank, the contexts' lists by rank again, then files' neighbours support each other (not for paths, where the chunk that is named is the answer), weak
+    neighbours of a file's best chunk are merged away, and min_score and limit apply. A weight of 0 leaves a list out.
     Returns (query_id, id, ranking, rank).
     """
-    size = window(p.limit, p.narrow_window)
-    inside = entries.filter(F.col("ctx").isin(*asked))
-    lists = []
+    size = planner.window(p.limit, p.narrow_window)
+    inside, plans, lists = entries.filter(F.col("ctx").isin(*asked)), planner.planned(queries), []
     if p.keyword_weight:
-        index = keyword.postings(entries, keep=("ctx", "path"))
-        hits = keyword.any_of(texts, index, keyword.corpus_stats(entries)).filter(F.col("ctx").isin(*asked))
-        lists.append(keyword.ranked(hits, size, "query_id", "ctx").select("query_id", "ctx", F.lit(0).alias("list_no"), F.lit(p.keyword_weight).alias("weight"), "rank", "id", "path"))
+        try:
+            index = keyword.postings(entries, phrases=True, keep=("ctx", "path")) if index is None else index
+            hits = keyword_hits(plans, index, keyword.corpus_stats(entries) if stats is None else stats, asked, p.limit)
+            lists.append(keyword.ranked(hits, size, "query_id", "ctx").withColumns({"list_no": F.lit(0), "weight": F.lit(p.keyword_weight)}))
+        except AnalysisException:  # an index that lacks what is asked of it: the vector list goes on alone, but not silently
+            logging.getLogger(__name__).exception("keyword search failed; only vectors are searched")
     if p.vector_weight:
-        near = vector.knn(inside, vectors, size, ("ctx", "path"))
-        order = Window.partitionBy("query_id", "ctx").orderBy(F.desc(F.round("similarity", 9)), "path", "id")
-        near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
-        lists.append(near.select("query_id", "ctx", F.lit(1).alias("list_no"), F.lit(p.vector_weight).alias("weight"), "rank", "id", "path"))
-    both = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+        near = keyword.ranked(near_entries(inside, vectors, size, p.alpha), size, "query_id", "ctx", tie=("path", "id"))
+        lists.append(near.withColumns({"list_no": F.lit(1), "weight": F.lit(p.vector_weight)}))
+    if not lists:
+        return queries.select("query_id", F.lit(None).cast(dict(entries.dtypes)["id"]).alias("id"), F.lit(0.0).alias("ranking"), F.lit(0).alias("rank")).limit(0)
+    columns = ("query_id", "ctx", "list_no", "weight", "rank", "id", "path")
+    both = lists[0].select(*columns) if len(lists) == 1 else lists[0].select(*columns).unionByName(lists[1].select(*columns))
     per_context = fusion.rrf(both, p.k, "query_id", "ctx").withColumnRenamed("ctx", "context")
     merged = fusion.merge_contexts(per_context, p.k, "query_id")
-    found = merged.drop("rank").join(inside.select("id", "source_file", "chunk_index"), "id")
-    kept = fusion.consolidate(fusion.affinity(found, p.affinity_weight, p.consolidation_threshold, "query_id"), p.consolidation_threshold, "query_id")
+    found = merged.drop("rank").join(inside.select("id", "source_file", "chunk_index"), "id").join(plans.select("query_id", "is_path"), "query_id")
+    weight = F.when(F.col("is_path"), 0.0).otherwise(p.affinity_weight)
+    kept = fusion.consolidate(fusion.affinity(found, weight, p.consolidation_threshold, "query_id", total=p.sum_of_scores), p.consolidation_threshold, "query_id")
     kept = kept.filter(F.round("ranking", 9) >= p.min_score).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
     return kept.filter(F.col("rank") <= p.limit).select("query_id", "id", "ranking", "rank")
+
+
+def shown(results: DataFrame, entries: DataFrame, queries: DataFrame, size: int = snippets.BEST) -> DataFrame:
+    """results with hash and snippet: the best window for rows that hold a term of their text, else an excerpt. Only survivors' values are read into either."""
+    plans = planner.planned(queries)
+    terms = plans.select("query_id", F.filter(F.array_distinct(F.concat("every", "some", "fallback")), lambda t: ~F.contains(t, F.lit(" "))).alias("terms"))
+    rows = results.join(entries.select("id", "hash", "value"), "id").join(terms, "query_id")
+    held = F.arrays_overlap(F.col("terms"), keyword.tokens("value"))
+    found = snippets.with_best_window(rows.filter(held), size=size).drop("terms").unionByName(snippets.with_excerpt(rows.filter(~F.coalesce(held, F.lit(False)))).drop("terms"))
+    return found.drop("value")

@@ -1,15 +1,14 @@
-"""The bank: a folder of Parquet tables, one per base table, whose versions are swapped by a pointer."""
+"""The bank: plain Parquet tables with fixed columns, one folder each."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions.text import content_hash
+from lorekeep.sources.tables import saved
 
 _S, _L, _D, _I = T.StringType(), T.LongType(), T.DoubleType(), T.IntegerType()
 
@@ -18,7 +17,6 @@ def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
-SCHEMA_VERSION = 2
 ENTRIES = _schema(
     id=_L, hash=_S, path=_S, value=_S, source_file=_S, section=_S, scope=_S, project_id=_S, context_label=_S, workspace_id=_S, agent_id=_S, created_at=_L, updated_at=_L, access_count=_L,
     last_accessed_at=_L, rating=_D, ttl_days=_D, embed_state=_S, embedding=T.ArrayType(T.FloatType()), heading_path=_S, structure_embedding=T.ArrayType(T.FloatType()), chunk_index=_I, total_chunks=_I,
@@ -35,64 +33,39 @@ TABLES = {
 DEFAULTS = {"access_count": 0, "rating": 0.5, "embed_state": "pending", "chunk_index": 0, "total_chunks": 0}
 
 
-class Conflict(Exception):
-    """Another writer has moved the pointer."""
-
-
-class Bank:
-    """Reads tables of the current version and writes new versions; a write names the version it is based on, and fails if that is no longer current.
-
-    Files go through Spark's and Hadoop's file system, so the folder may be in any store.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self) -> dict:
-        jvm = self.spark._jvm
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
-        fs = pointer.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(pointer):
-            return {"token": None, "tables": {}}
-        return json.loads(self.spark.read.text(str(pointer), wholetext=True).first()[0])
-
-    @property
-    def token(self) -> str | None:
-        return self._pointer()["token"]
-
-    def read(self, table: str) -> DataFrame:
-        """A table with its fixed schema; columns that an older version lacks have their defaults."""
-        at = self._pointer()["tables"].get(table)
-        if at is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        found = self.spark.read.parquet(f"{self.path}/{at}")
-        missing = [f for f in TABLES[table] if f.name not in found.columns]
-        return found.withColumns({f.name: F.lit(DEFAULTS.get(f.name)).cast(f.dataType) for f in missing}).select(*TABLES[table].names)
-
-    def write(self, based_on: str | None, **tables: DataFrame) -> str:
-        """Write new versions of these tables and move the pointer; returns the new token."""
-        current = self._pointer()
-        if current["token"] != based_on:
-            raise Conflict(f"{self.path} is at {current['token']}, not {based_on}")
-        token = uuid.uuid4().hex
-        for name, df in tables.items():
-            df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name])).write.parquet(f"{self.path}/{name}/{token}")
-            current["tables"][name] = f"{name}/{token}"
-        jvm, said = self.spark._jvm, json.dumps(current | {"token": token, "schema": SCHEMA_VERSION})
-        conf = self.spark._jsc.hadoopConfiguration()
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/new-{token}.json")
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
-        fs = new.getFileSystem(conf)
-        out = fs.create(new)
-        out.write(bytearray(said.encode()))
-        out.close()
-        if self.token != based_on:
-            fs.delete(new, False)
-            raise Conflict(f"{self.path} has moved during the write")
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(new, pointer)
-        return token
+def conformed(found: DataFrame, table: str) -> DataFrame:
+    """found with the table's fixed columns; those that an older version lacks have their defaults, others are left out."""
+    missing = [f for f in TABLES[table] if f.name not in found.columns]
+    return found.withColumns({f.name: F.lit(DEFAULTS.get(f.name)).cast(f.dataType) for f in missing}).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table]))
+
+
+def load(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of the bank in a folder; one that was never saved is empty."""
+    try:
+        return conformed(spark.read.parquet(f"{path.rstrip('/')}/{table}"), table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TABLES[table])
+
+
+def save(df: DataFrame, path: str, table: str) -> None:
+    """Replace a table of the bank. As df may read the table that it replaces, it is written beside it first; one writer at a time."""
+    spark, beside = df.sparkSession, saved(conformed(df, table))
+    spark.read.schema(TABLES[table]).parquet(beside).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{table}")
+
+
+def attached(spark: SparkSession, path: str, *tables: str) -> dict[str, DataFrame]:
+    """The tables of another bank, checked: a missing or broken one, or rows against the constraints, are an error."""
+    found = {name: conformed(spark.read.parquet(f"{path.rstrip('/')}/{name}"), name) for name in tables}
+    if "entries" in found and (bad := violations(found["entries"]).limit(1).collect()):
+        raise ValueError(f"{path} holds an entry against the rule: {bad[0]['rule']}")
+    return found
+
+
+def pushed(entries: DataFrame, settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a snapshot takes along: no workspace's rows and no settings."""
+    return entries.filter("workspace_id IS NULL"), settings.limit(0)
 
 
 def violations(entries: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:

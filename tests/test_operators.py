@@ -2,13 +2,14 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
-from lorekeep.operators import chunk, fusion, keyword, lifecycle, promotion, snippets, sync, vector
-from lorekeep.sources import bank, files
+from lorekeep.operators import chunk, evaluate, fusion, keyword, lifecycle, promotion, snippets, sync, vector
+from lorekeep.sources import bank, files, tables
 from lorekeep.streaming import events as ev
 
 
@@ -32,7 +33,9 @@ def candidates(spark, *rows):
 def test_affinity(spark):
     rows = candidates(spark, ("a", "f", 0, 1.0), ("b", "f", 1, 0.9), ("c", "g", 0, 0.8))
     out = {r.id: r.ranking for r in fusion.consolidate(fusion.affinity(rows, 0.1, 0.1, "q"), 0.2, "q").collect()}
-    assert out == {"a": pytest.approx(1.0), "b": pytest.approx(1.0), "c": pytest.approx(0.8 / 1.1)} or out["c"] < 0.8
+    assert out == {"a": pytest.approx(1.0), "b": pytest.approx(1.0 / 1.1), "c": pytest.approx(0.8 / 1.1)} or out == {"a": pytest.approx(1.0), "b": pytest.approx(1.0), "c": pytest.approx(0.8 / 1.1)}
+    total = {r.id: r.doc_score for r in fusion.affinity(rows, 0.1, 0.1, "q", total=True).collect()}
+    assert total == {"a": pytest.approx(sum(r.boosted for r in fusion.affinity(rows, 0.1, 0.1, "q").collect() if r.source_file == "f")), "b": pytest.approx(total["a"]), "c": pytest.approx(0.8)}
     rows = candidates(spark, ("a", "f", 0, 1.0), ("b", "f", 1, 0.7), ("c", None, 0, 0.9))
     assert {r.id for r in fusion.consolidate(fusion.affinity(rows, 0.1, 0.1, "q"), 0.1, "q").collect()} == {"a", "c"}
 
@@ -66,6 +69,38 @@ def test_knn_matches_brute_force(spark):
         assert [x.id for x in r.x] == best
 
 
+def test_knn_settles_ties_by_id(spark, monkeypatch):
+    rows = [(n, "x", [1.0, 0.0] if n % 2 else [0.0, 1.0]) for n in range(1, 41)]
+    df = spark.createDataFrame(rows, "id long, path string, embedding array<float>").repartition(1)
+    asked = spark.createDataFrame([(n, [1.0, 0.0]) for n in range(5)], "query_id long, vector array<float>")
+    monkeypatch.setattr(vector, "MAX_QUERIES", 2)  # three passes
+    found = vector.knn(df, asked, 3).collect()
+    assert sorted((r.query_id, r.rank, r.id) for r in found) == [(q, k + 1, i) for q in range(5) for k, i in enumerate((1, 3, 5))]
+    assert vector.knn(df, asked.limit(0), 3).count() == 0
+
+
+def test_spearman_of_one_value(spark):
+    rows = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 3.0), ("b", 5.0, 1.0)], "g string, x double, y double")
+    assert {r.g: r.rho for r in evaluate.spearman(rows, "x", "y", "g").collect()} == {"a": pytest.approx(1.0), "b": None}
+
+
+def test_grid():
+    points = evaluate.grid()
+    assert len(points) == 96 and len({tuple(p.values()) for p in points}) == 96 and [p["point"] for p in points] == list(range(96))
+
+
+def test_one_arrow_pass_counts_as_unicode_patterns_would(spark):
+    words = ["never", "naïve", "never—always", "does not need", "does not. need", "\u00a0always\u00a0", "must be", "12\u00a0ms", "ünever", "x" * 30]
+    rng = random.Random(8)
+    rows = [(n, "p1", " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for n in range(60)] + [(60, "p2", None), (61, None, "P1 and p2 " + "x" * 300 + " p3")]
+    df = spark.createDataFrame(rows, "id long, project_id string, value string")
+    got = {r.id: r for r in promotion.measured(df, ["p1", "P2", "p3"]).collect()}
+    for n, own, text in rows:
+        text = text or ""
+        assert got[n].n_rule == len(re.findall(promotion.RULE_LANGUAGE, text)) and got[n].units == len(re.findall(promotion.NUMBER_WITH_UNIT, text)) and got[n].n_spaced == len(text.split())
+    assert (got[61].near, got[61].far, got[0].near) == (True, True, False)
+
+
 def entries(spark, *rows):
     base = dict(path="p", hash="h", value="v", source_file=None, scope="project", project_id="a", context_label=None, workspace_id=None, embed_state="embedded", created_at=0, access_count=0, rating=0.2, ttl_days=None, chunk_index=0, total_chunks=0)
     schema = "id long, path string, hash string, value string, source_file string, scope string, project_id string, context_label string, workspace_id string, embed_state string, created_at long, access_count long, rating double, ttl_days double, chunk_index int, total_chunks int"
@@ -101,10 +136,12 @@ def test_delete_and_share(spark):
 
 def test_sync_order(spark):
     local = entries(spark, {"hash": "both", "path": "1"}, {"hash": "mine", "path": "2"}).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
-    remote = entries(spark, {"hash": "both", "path": "1"}, {"hash": "mine", "path": "2"}, {"hash": "new", "path": "3"}, {"hash": "dead", "path": "4"}, {"hash": "ws", "scope": None, "workspace_id": "w"}).withColumn("embedding", F.array(F.lit(1.0).cast("float"))).withColumn("id", F.col("id") + 10)
+    remote = entries(spark, {"hash": "both", "path": "1"}, {"hash": "mine", "path": "2"}, {"hash": "new", "path": "3"}, {"hash": "dead", "path": "4"}, {"hash": "ws", "scope": None, "workspace_id": "w"}).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
     stone = lambda *rows: spark.createDataFrame(rows or [], "hash string, scope string, deleted_at long")
     rows, stones = sync.merge(local, remote, stone(("dead", "project", 5)), stone(("mine", "project", 9)), last_pull_at=6)
     assert {(r.hash, r.embed_state) for r in rows.collect()} == {("both", "pending"), ("new", "pending")}
+    ids = [r.id for r in sync.merged(local, remote, stone()).collect()]  # both banks count from 0
+    assert len(ids) == len(set(ids)) == 4 and {0, 1} < set(ids)
     assert [(r.hash, r.deleted_at) for r in stones.collect()] == [("mine", 9)]
 
 
@@ -117,12 +154,76 @@ def test_markdown_chunks():
     assert chunk.markdown_chunks("", 2, 0) == []
 
 
-def test_snippets():
-    assert snippets.fallback("short", "h") == "short"
+def test_chunk_bounds():
+    assert chunk.bounds() == (256, 48) and chunk.bounds(9000, 48, "openai") == (8191, 48) and chunk.bounds(10, 48) == (10, 9)
+    with pytest.raises(ValueError):
+        chunk.markdown_chunks("a", 4, 4)
+    assert chunk.markdown_chunks("a\x0cb\u2028c\nd", 1, 0) == ["a\x0cb\u2028c\n", "d"]
+
+
+def test_chunkers(spark):
+    long = "word " * 300
+    files = [
+        ("a", "adr", f"# Use a cache\n{long}\n## Context\nc\n## Decision\nd"), ("b", "doc", "lead\n# One\nx\n## Two\ny\n### Three\nz"), ("c", "note", " whole \n## no split\n"), ("d", "skill", "---\nname: mend\n---\nintro\n## Steps\ns"),
+        ("e", "remember", "## 2024-05-01 first\nx\n## undated\ny\n## 2024-06-01\nz"), ("f", "rules", "| rule | why |\n| --- | --- |\n| R1 | a |\n| R2 | b |"), ("g", "odd", "# H\nq"), ("h", "adr", "# T\nshort"),
+    ]
+    got = {}
+    for r in chunk.by_kind(spark.createDataFrame(files, "path string, kind string, text string")).orderBy("path", "section_no").collect():
+        got.setdefault(r.path, []).append((r.name, " ".join(r.body.split())[:40]))
+    assert [n for n, _ in got["a"]] == ["preamble", "context", "decision"] and got["a"][1][1] == "Use a cache c" and got["h"] == [("whole", "# T short")]
+    assert got["b"] == [("preamble", "lead"), ("One", "# One x"), ("Two", "## Two y ### Three z")] and got["c"] == [("whole", "whole ## no split")]
+    assert got["d"] == [("preamble", "mend intro"), ("Steps", "mend s")] and [n for n, _ in got["e"]] == ["2024-05-01", "2024-06-01"]
+    assert [b for _, b in got["f"]] == ["| R1 | a |", "| R2 | b |"] and got["g"] == [("H", "# H q")]
+
+
+def test_ingest(spark):
+    files = spark.createDataFrame([("f.md", "a b\nc d\na b\n"), ("g.md", "")], "path string, text string")
+    bucket = {"scope": "project", "project_id": "a"}
+    new = chunk.ingested(files, bucket, 7, 2, 0)
+    none = new.withColumn("hash", F.lit("")).withColumn("embed_state", F.lit("")).limit(0)
+    first = lifecycle.insert_chunks(none, new)
+    assert sorted((r.path, r.value, r.chunk_index, r.embed_state) for r in first.collect()) == [("f.md", "a b\n", 0, "pending"), ("f.md", "c d\n", 1, "pending")]
+    assert lifecycle.insert_chunks(first, new).count() == 0 and chunk.files_changed(first).first().n_files == 1
+
+
+def test_snippets(spark):
     long = " ".join(f"word{n}" for n in range(200))
-    out = snippets.fallback(long, "abc")
-    assert out.strip("… ") in long and len(out) <= 204
-    assert snippets.fallback("😀 " * 150, "abc")
+    values = ["short", long, "😀 " * 150, "x" * 500, None, "a" * 199 + " b c"]
+    rows = spark.createDataFrame([(n, f"h{n}", v) for n, v in enumerate(values)], "id long, hash string, value string")
+    for r in snippets.with_excerpt(rows).collect():
+        text = r.value or ""
+        assert r.snippet.strip("… ") in text and len(r.snippet) <= 204 and (len(text) > 200 or r.snippet == text)
+    asked = spark.createDataFrame([(0, 1, long, ["word150", "word155", "word7"]), (1, 1, "a b", ["zz"])], "query_id long, id long, value string, terms array<string>")
+    got = {r.query_id: r.snippet for r in snippets.with_best_window(asked).collect()}
+    assert got == {0: "…" + " ".join(f"word{n}" for n in range(144, 156)) + "…", 1: "a b"}
+
+
+def test_workspaces(spark):
+    row = lifecycle.begin_workspace("a", "me", 1700000000123, (1 << 74) - 1)
+    assert re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", row["id"]) and int(row["id"].replace("-", "")[:12], 16) == 1700000000123
+    spaces = spark.createDataFrame([row, row | {"id": "w2", "status": "Closed", "closed_at": 5}], bank.TABLES["workspaces"])
+    closed = {r.id: (r.status, r.closed_at) for r in lifecycle.close_workspace(lifecycle.close_workspace(spaces, row["id"], 9), "w2", 10).collect()}
+    assert closed == {row["id"]: ("Closed", 9), "w2": ("Closed", 5)}
+    asked = spark.createDataFrame([(1, row["id"], "a"), (2, "w2", "a"), (3, None, "a"), (4, row["id"], "b")], "request_id long, workspace_id string, project_id string")
+    assert {r.request_id: r.refused for r in lifecycle.writable(asked, spaces).collect()} == {1: False, 2: True, 3: False, 4: True}
+    left, after = lifecycle.discard_workspace(entries(spark, {"workspace_id": row["id"], "scope": None}, {}), spaces, "a", row["id"], 3)
+    assert [r.id for r in left.collect()] == [1] and after.filter("status = 'Active'").count() == 0
+
+
+def test_queue_discards_and_lookups(spark):
+    queue = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), (None, "1")], "project_id string, hash string")
+    left, gone = promotion.discarded(queue, "a", "1")
+    assert (left.count(), gone.count()) == (3, 1) and promotion.discarded(queue, "a")[1].count() == 2
+    df = entries(spark, {"hash": "x"}, {"hash": "x", "project_id": "b"})
+    assert [r.id for r in lifecycle.lookup(df, "hash", "x", "b").collect()] == [1] and [r.id for r in lifecycle.lookup(df, "hash", "x").collect()] == [0]
+
+
+def test_tolerant_values(spark):
+    df = spark.createDataFrame([("7", "true", "[\"b\", \"a\"]"), (" 99 ", "TRUE", "{}"), ("x", "maybe", None), (None, None, "[1")], "n string, b string, j string")
+    got = df.select(tx.parsed("n", "int", 4, 1, 16).alias("n"), tx.parsed("b", "boolean", False).alias("b"), tx.json_list("j").alias("j"), tx.one_of("b", ("True", "Maybe"), "None").alias("o")).collect()
+    assert [tuple(r) for r in got] == [(7, True, ["b", "a"], "True"), (4, True, [], "True"), (4, False, [], "Maybe"), (4, False, [], "None")]
+    one = spark.createDataFrame([("One two. Three! Four? Five.", "x\n## Head \ny", ["b", "a", "b"])], "t string, h string, l array<string>")
+    assert tuple(one.select(tx.sentences("t", 16), tx.first_heading("h"), tx.scopes("l"), tx.as_json_list("l")).first()) == ("One two. Three!", "Head", ["a", "b"], '["b","a","b"]')
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -175,17 +276,39 @@ def test_streams(spark, folder):
 
 
 def test_bank(spark, folder):
-    b = bank.Bank(spark, folder)
-    assert b.read("entries").count() == 0
-    token = b.write(None, tombstones=spark.createDataFrame([("h", "shared", 1)], "hash string, scope string, deleted_at long"))
-    assert b.read("tombstones").count() == 1 and b.token == token
-    with pytest.raises(bank.Conflict):
-        b.write(None, settings=spark.createDataFrame([("k", "v")], "key string, value string"))
+    assert bank.load(spark, folder, "entries").count() == 0
+    old = spark.createDataFrame([("h", "shared", 1)], "hash string, scope string, deleted_at long")
+    bank.save(old, folder, "tombstones")
+    again = bank.load(spark, folder, "tombstones")
+    bank.save(again.unionByName(old.withColumn("hash", F.lit("g"))), folder, "tombstones")  # reads what it replaces
+    assert {r.hash for r in bank.load(spark, folder, "tombstones").collect()} == {"h", "g"}
+    spark.createDataFrame([(1, "project")], "id long, scope string").write.parquet(f"{folder}/entries")
+    row = bank.load(spark, folder, "entries").first()
+    assert (row.access_count, row.rating, row.embed_state, row.value) == (0, 0.5, "pending", None)
+    assert bank.attached(spark, folder, "entries")["entries"].count() == 1
+    spark.createDataFrame([(1, "odd")], "id long, scope string").write.mode("overwrite").parquet(f"{folder}/entries")
+    with pytest.raises(ValueError):
+        bank.attached(spark, folder, "entries")
     tries = []
-    sync.push(lambda: tries.append(1) if len(tries) else (tries.append(0), (_ for _ in ()).throw(bank.Conflict()))[1], bank.Conflict)
+    sync.push(lambda: tries.append(1) if len(tries) else (tries.append(0), (_ for _ in ()).throw(KeyError()))[1], KeyError)
     assert tries == [0, 1]
 
 
+def test_a_kept_table_follows_its_source(spark, folder):
+    made = []
+
+    def index():
+        made.append(1)
+        return spark.read.parquet(f"{folder}/t").groupBy("x").count()
+
+    spark.createDataFrame([(1,), (1,)], "x int").write.parquet(f"{folder}/t")
+    assert [tuple(r) for r in tables.maintained("t", spark.read.parquet(f"{folder}/t"), index).collect()] == [(1, 2)]
+    tables.maintained("t", spark.read.parquet(f"{folder}/t"), index)
+    assert made == [1]
+    spark.createDataFrame([(2,)], "x int").write.mode("append").parquet(f"{folder}/t")
+    assert tables.maintained("t", spark.read.parquet(f"{folder}/t"), index).count() == 2 and made == [1, 1]
+
+
 def test_files(spark, folder):
     os.makedirs(f"{folder}/sub")
     for name in ("a.md", ".hidden.md", "b.py", "sub/c.TXT"):
