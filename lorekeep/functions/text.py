@@ -136,7 +136,7 @@ def markdown_strip(x: Column | str) -> Column:
 
 
 def slug(x: Column | str) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(_c(x)), "[^a-z0-9-]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(_c(x)), "[^a-z0-9-]+", "-"), F.lit("-"))
 
 
 def backoff_seconds(failures: Column | str) -> Column:

@@ -25,6 +25,36 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+class TokenCounter:
+    """Counts tokens as a tokenizer file of the tokenizers library does; each worker loads it once. The path is one that all workers see."""
+
+    def __init__(self, path: str):
+        self.path, self._loaded = path, None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "_loaded": None}
+
+    def encode(self, text: str) -> list[int]:
+        if self._loaded is None:
+            from tokenizers import Tokenizer
+
+            self._loaded = Tokenizer.from_file(self.path)
+        return self._loaded.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> int:
+        return len(self.encode(text))
+
+
+def encoded(rows: DataFrame, counter: TokenCounter, column: str = "value", window: int = WINDOWS["local"]) -> DataFrame:
+    """rows with ids, the first `window` token ids of a text: what an embedding engine reads of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("ids", pa.array([counter.encode(t or "")[:window] for t in batch.column(column).to_pylist()], pa.list_(pa.int32())))
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kind}" for c, kind in rows.dtypes), "ids array<int>"]))
+
+
 def bounds(most: int = MOST, overlay: int = OVERLAY, engine: str | None = None) -> tuple[int, int]:
     """The bounds that hold for an engine: no more than it reads, and less overlay than chunk."""
     most = min(most, WINDOWS[engine]) if engine else most

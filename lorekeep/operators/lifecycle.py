@@ -184,6 +184,18 @@ def embed(entries: DataFrame, embedder, dimension_type: str = "array<float>") ->
     return entries.filter("embed_state <> 'pending'").unionByName(done)
 
 
+def engine_fingerprint(engine: str, model: str, dimensions: int) -> str:
+    """What vectors were made with, as a setting keeps it."""
+    return f"{engine}|{model}|{dimensions}"
+
+
+def reembedded(entries: DataFrame, stored: str | None, current: str) -> DataFrame:
+    """Entries with all vectors pending again if they were made with another engine."""
+    if stored == current:
+        return entries
+    return entries.withColumns({"embed_state": F.lit("pending"), "embedding": F.lit(None).cast(dict(entries.dtypes)["embedding"])})
+
+
 def upsert(old: DataFrame, new: DataFrame, *key: str, keep_old: tuple[str, ...] = ()) -> DataFrame:
     """Rows of both, the new one where keys meet; columns in keep_old stay as they were."""
     rest = [c for c in old.columns if c not in key]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from fnmatch import translate
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,39 @@ def read_files(spark: SparkSession, directory: str) -> DataFrame:
     return files.filter(F.col("path").rlike(INDEXABLE) & ~F.substring_index("path", "/", -1).startswith("."))
 
 
+def globbed(paths: DataFrame, include: list[str], exclude: list[str] = []) -> DataFrame:
+    """Paths that some include pattern matches and no exclude pattern does."""
+    some = lambda patterns: reduce(lambda a, b: a | b, (F.col("path").rlike(translate(x)) for x in patterns), F.lit(False))
+    return paths.filter(some(include) & ~some(exclude))
+
+
+def classified(paths: DataFrame, rules: list[tuple[str, str, str | None]], default: tuple[str, str | None] = ("doc", None)) -> DataFrame:
+    """Paths with kind and context_label by the first rule (prefix, kind, label) whose prefix they have."""
+    pick = lambda k: reduce(lambda out, rule: F.when(F.col("path").startswith(rule[0]), F.lit(rule[k])).otherwise(out), reversed(rules), F.lit(default[k - 1])).cast("string")
+    return paths.withColumns({"kind": pick(1), "context_label": pick(2)})
+
+
+def tree(paths: DataFrame) -> DataFrame:
+    """The nodes of the tree that paths make: (parent, name, is_folder). What is both a file and a folder is a folder."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n - 1), "/").alias("parent"), F.get(parts, n - 1).alias("name"), (n < F.size(parts)).alias("is_folder")))
+    return paths.select(F.explode(above).alias("x")).groupBy("x.parent", "x.name").agg(F.max("x.is_folder").alias("is_folder"))
+
+
+def ingestable(files: DataFrame, scopes: list[str]) -> DataFrame:
+    """Files (path, text) that may be ingested, in the order of their paths: each is held against the scopes, links resolved, where the driver sees the files."""
+    allowed = [row["path"] for row in files.select("path").toLocalIterator() if in_scope(row["path"], scopes)]
+    return files.join(F.broadcast(files.sparkSession.createDataFrame([(p,) for p in allowed], "path string")) if len(allowed) <= 100_000 else files.sparkSession.createDataFrame([(p,) for p in allowed], "path string"), "path").filter(F.col("path").rlike(INDEXABLE)).orderBy("path")
+
+
+def moved_scopes(settings: DataFrame, old: str, new: str) -> DataFrame:
+    """Settings with keys under the prefix old put under new; where the new key is there already it stays as it is."""
+    mine = F.col("key").startswith(old)
+    moved = settings.filter(mine).withColumn("key", F.concat(F.lit(new), F.expr(f"substring(key, {len(old) + 1})")))
+    rest = settings.filter(~mine)
+    return rest.unionByName(moved.join(rest.select("key"), "key", "left_anti"))
+
+
 def due(files: DataFrame, fingerprints: DataFrame, watermark: int | None) -> DataFrame:
     """Files to digest: all without a watermark, else those changed after it or never fingerprinted."""
     if watermark is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_FAILURES = 5
@@ -17,6 +17,20 @@ def coalesced(events: DataFrame) -> DataFrame:
     return events.groupBy("project_id", "path").agg(F.max_by(F.struct(*rest), "seq").alias("last")).select("project_id", "path", "last.*")
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Events (project_id, path, kind, old_path) between two listings (project_id, path, mtime, hash) of watched folders.
+
+    A file that has gone and one of the same hash that has come in the same project are a rename, if neither side has several of them; a file that was renamed
+    to where nothing is watched has no partner and is deleted.
+    """
+    both = before.select("project_id", "path", F.struct("mtime", "hash").alias("was")).join(after.select("project_id", "path", F.struct("mtime", "hash").alias("now")), ["project_id", "path"], "full_outer")
+    kinds = both.withColumn("kind", F.when(F.col("was").isNull(), "Created").when(F.col("now").isNull(), "Deleted").when(F.col("was.hash") != F.col("now.hash"), "Changed"))
+    one = lambda kind, side: kinds.filter(F.col("kind") == kind).groupBy("project_id", F.col(f"{side}.hash").alias("hash")).agg(F.count("*").alias("n"), F.min("path").alias(side)).filter("n = 1").drop("n")
+    renamed = one("Deleted", "was").join(one("Created", "now"), ["project_id", "hash"]).select("project_id", F.col("now").alias("path"), F.col("was").alias("old_path"))
+    rest = kinds.filter("kind IS NOT NULL").join(renamed.select("project_id", "path").unionByName(renamed.select("project_id", F.col("old_path").alias("path"))), ["project_id", "path"], "left_anti")
+    return rest.select("project_id", "path", "kind", F.lit(None).cast("string").alias("old_path")).unionByName(renamed.select("project_id", "path", F.lit("Renamed").alias("kind"), "old_path"))
+
+
 def prefixes(path: str) -> Column:
     """A path and all folders above it."""
     parts = F.split(path, "/")
@@ -75,6 +89,56 @@ def retry_states(results: DataFrame) -> DataFrame:
     return rows.select("project_id", "watch_path", "seq", failures.cast("int").alias("failures"), F.when(stopped, "Stopped").when(F.col("ok"), "Healthy").otherwise("Retrying").alias("status"), F.when(~stopped & ~F.col("ok"), F.pow(F.lit(2), F.col("run") - 1)).cast("long").alias("retry_after"))
 
 
+def watch_status(results: DataFrame) -> DataFrame:
+    """The state of each watch after its results (project_id, watch_path, seq, ok, at, error): status, failures, last_error and last_sync, the time of its last success."""
+    last = retry_states(results).groupBy("project_id", "watch_path").agg(F.max_by(F.struct("status", "failures"), "seq").alias("last"))
+    seen = results.groupBy("project_id", "watch_path").agg(F.max_by("error", F.when(~F.col("ok"), F.col("seq"))).alias("last_error"), F.max(F.when(F.col("ok"), F.col("at"))).alias("last_sync"))
+    return last.join(seen, ["project_id", "watch_path"]).select("project_id", "watch_path", "last.status", "last.failures", "last_error", "last_sync")
+
+
+def watch_listing(watches: DataFrame, states: DataFrame) -> DataFrame:
+    """All registered watches with their state; one without any is still scanning."""
+    rows = watches.join(states.withColumnRenamed("watch_path", "path"), ["project_id", "path"], "left")
+    return rows.withColumns({"status": F.coalesce("status", F.lit("Scanning")), "failures": F.coalesce("failures", F.lit(0))})
+
+
+def advanced(watches: DataFrame, digested: DataFrame, now: int) -> DataFrame:
+    """Watches with last_change_ts moved to the time of processing where a file of theirs (project_id, watch_path) was digested."""
+    met = digested.select("project_id", F.col("watch_path").alias("path")).distinct().withColumn("met", F.lit(True))
+    return watches.join(met, ["project_id", "path"], "left").withColumn("last_change_ts", F.when(F.col("met"), F.lit(now).cast("long")).otherwise(F.col("last_change_ts"))).drop("met")
+
+
+def admitted(jobs: DataFrame, running: DataFrame, gates: DataFrame) -> DataFrame:
+    """Of the jobs in fair_order() those that start now: as many of each project as its gate (4, or what is set from 1 to 16) leaves beside the running ones (project_id, n)."""
+    gate = F.least(F.lit(16), F.greatest(F.lit(1), F.coalesce("gate", F.lit(4))))
+    rows = jobs.join(gates.select("project_id", "gate"), "project_id", "left").join(running.select("project_id", F.col("n").alias("busy")), "project_id", "left")
+    return rows.filter(F.col("place") <= gate - F.coalesce("busy", F.lit(0))).drop("gate", "busy")
+
+
+def reconciled(wanted: DataFrame, running: DataFrame) -> DataFrame:
+    """What a loop has to do to each watch (project_id, path): start what is wanted and does not run, stop what runs and is not wanted, keep the rest."""
+    both = wanted.select("project_id", "path", F.lit(True).alias("w")).distinct().join(running.select("project_id", "path", F.lit(True).alias("r")).distinct(), ["project_id", "path"], "full_outer")
+    return both.select("project_id", "path", F.when(F.col("r").isNull(), "start").when(F.col("w").isNull(), "stop").otherwise("keep").alias("action"))
+
+
+def each_project(project_ids: list[str], step: Callable[[str], None]) -> dict[str, str | None]:
+    """Call step for each project; one project's failure is its result and does not keep the others."""
+    done: dict[str, str | None] = {}
+    for project in project_ids:
+        try:
+            step(project)
+            done[project] = None
+        except Exception as e:  # noqa: BLE001  what failed is told by project
+            done[project] = f"{type(e).__name__}: {e}"
+    return done
+
+
+def run_extraction(spark: SparkSession, project_ids: Callable[[], list[str]], step: Callable[[str], None], tell: Callable[[dict], None], checkpoint: str, every: str = "30 minutes"):
+    """Start the extraction loop: at each trigger step runs for all projects of that time, and tell gets what became of each."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(lambda _, n: tell(each_project(project_ids(), step))).start()
+
+
 def stream_retry_states(results: DataFrame) -> DataFrame:
     """The same over a stream, with the state of each watch kept between micro-batches."""
 
