@@ -5,9 +5,10 @@ Everything here works on Arrow batches inside tasks or on DataFrame plans; nothi
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of text that one step of a task works on, and powers of the hash's base that a worker keeps.
+PIECE = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -32,12 +35,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share.
+    """A new path below the folder that driver and executors share, which the cluster names in spark.checkpoint.dir.
 
-    It is the one the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, a local one is made.
+    Where that is unset a local folder is made, but only if driver and executors are one process; elsewhere it is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/lorekeep-{uuid.uuid4().hex}"
@@ -58,12 +63,12 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseOR(F.lit(0).cast("long")))
 
 
-def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a null one is empty."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
-def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi of an Arrow text column, their bytes and offsets, in pieces of about limit bytes; a longer text is a piece of its own."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not len(column):
@@ -78,6 +83,31 @@ def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, n
         lo = hi
 
 
+def decoded(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, list[str]]]:
+    """Rows lo to hi of an Arrow text column as strings, in pieces of about limit bytes."""
+    for lo, hi, _, _ in slices(column, limit):
+        yield lo, hi, [x.decode() for x in texts(column.slice(lo, hi - lo))]
+
+
+#: What workers keep between tasks, by the function that drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, made to leave room in a worker, which lives on: what other tasks have kept is dropped at its start, and unused memory given back at its end."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, drop in KEPT.items():
+            if name != keeps:
+                drop()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return done
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each word."""
     n = len(data)
@@ -94,11 +124,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(max(n, 1 << 21), base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
+    """The first n powers of the base and of its inverse, of which those for a PIECE are kept."""
+
+    def first(base: np.uint64, n: int) -> np.ndarray:
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        return np.multiply.accumulate(x)
+
+    if n > PIECE + 1:
+        return first(_BASE, n), first(_INVERSE, n)
+    if not _POWERS:
+        _POWERS.update(up=first(_BASE, PIECE + 1), down=first(_INVERSE, PIECE + 1))
     return _POWERS["up"], _POWERS["down"]
 
 
