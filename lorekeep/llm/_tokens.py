@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -12,10 +13,15 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from lorekeep.llm._shared import KEPT
+
 # Fixed value: how the byte-level vocabulary's pre-tokenizer splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most units of text that a worker remembers in each of two generations: when the newer is full it becomes the older, from which units that recur come back.
-REMEMBERED = 500_000
+#: Most units of text that a worker remembers in each of two generations: when the newer is full it becomes the older, from which units that recur
+#: come back. PARTS is for the parts that units consist of. About 150 bytes each, so some 100 MB in all.
+REMEMBERED, PARTS = 250_000, 250_000
+#: A longer unit is not remembered.
+LONGEST = 40
 
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How the vocabulary writes bytes.
@@ -36,17 +42,17 @@ class _Unclear(Exception):
 
 
 class _Units(dict):
-    """Ids, as bytes, of the pieces of text between single spaces; each is encoded when first asked for."""
+    """Ids, as bytes, of the pieces of text behind single spaces; each is encoded when first asked for."""
 
-    def __init__(self, encode, before: str):
-        self.encode, self.before, self.old = encode, before, {}
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            if not piece or piece[0].isspace() or piece[-1].isspace() or _UNSURE.search(piece):
-                raise _Unclear
-            found = self.encode(self.before + piece)
+            found = self.encode(piece)
+            if len(piece) > LONGEST:
+                return found
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -59,7 +65,8 @@ class Encoder:
 
     A space between two other characters always starts a new pre-token, so a text's ids are those of its pieces between such
     spaces, and pieces recur: each is looked up, and only new ones go to the library's model. Where that is not sure (the
-    text has a special token's string, or white space on which libraries disagree) the library encodes the whole text.
+    text has a special token's string, or white space on which libraries disagree), and for files of another kind than a byte-level
+    BPE with the usual split, the library encodes the whole text.
     """
 
     def __init__(self, path: str):
@@ -73,8 +80,15 @@ class Encoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = os.path.commonprefix(self.special)[:1]  # what all of them start with, maybe nothing
         self.find = regex.compile(PATTERN).findall
-        self.first, self.after = _Units(self._unit, ""), _Units(self._unit, " ")
+        self.after = _Units(self._after)
+        self.words_are_plain = not any(map(str.isalpha, self.special))
         self.parts: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        split, model = made.get("pre_tokenizer") or {}, made["model"]
+        self.usual = (
+            model.get("type") == "BPE" and not made.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
+            and split.get("use_regex", True) and not model.get("ignore_merges") and not model.get("dropout") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in made["added_tokens"])
+        )
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -82,12 +96,22 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= REMEMBERED // 2:
-                self.parts.clear()
             written = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_LETTER)
-            found = self.parts[part] = array(self.kind, map(_ID, self.model.tokenize(written))).tobytes()
+            found = array(self.kind, map(_ID, self.model.tokenize(written))).tobytes()
+            if len(part) <= LONGEST:
+                if len(self.parts) >= PARTS:
+                    self.parts.clear()
+                self.parts[part] = found
         return found
 
+    def _piece(self, before: str, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace() or _UNSURE.search(piece):
+            raise _Unclear
+        return self._unit(before + piece)
+
+    def _after(self, piece: str) -> bytes:
+        return self._part(" " + piece) if self.words_are_plain and piece.isalpha() else self._piece(" ", piece)
+
     def _unit(self, unit: str) -> bytes:
         if self.mark in unit and any(x in unit for x in self.special):
             raise _Unclear
@@ -102,9 +126,11 @@ class Encoder:
         """Little-endian ids of dtype."""
         if not text:
             return b""
+        if not self.usual:
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         pieces = text.split(" ")
         try:
-            return self.first[pieces[0]] + b"".join(map(self.after.__getitem__, pieces[1:]))
+            return self._piece("", pieces[0]) + b"".join(map(self.after.__getitem__, pieces[1:]))
         except _Unclear:
             pass
         if _UNSURE.search(text) or any(x in text for x in self.special):
@@ -117,3 +143,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
     return Encoder(path)
+
+
+KEPT["encoder"] = encoder.cache_clear

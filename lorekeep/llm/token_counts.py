@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm._shared import documents, stash, texts
+from lorekeep.llm._shared import decoded, documents, lean, stash
 from lorekeep.llm._tokens import default_path, encoder
 
 BLOCK = 1024
@@ -30,10 +30,11 @@ def lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            found, counts = np.unique(np.array([len(encode.ids(x.decode())) // encode.dtype.itemsize for x in texts(batch.column(0))], np.int64), return_counts=True)
+            sizes = [len(encode.ids(x)) // encode.dtype.itemsize for _, _, each in decoded(batch.column(0)) for x in each]
+            found, counts = np.unique(np.array(sizes, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], ["n_tokens", "n_docs"])
 
-    return docs.select("text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select("text").mapInArrow(lean(run, "encoder"), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def answers(histogram: DataFrame) -> DataFrame:
@@ -51,9 +52,20 @@ def answers(histogram: DataFrame) -> DataFrame:
     return rows.select(
         "n_tokens", "n_docs", "docs_longer", "tokens_longer",
         (F.col("all_tokens") - F.col("tokens_longer") + F.col("docs_longer") * F.col("n_tokens")).alias("tokens_truncated"),
-        F.col("all_tokens").alias("tokens_total"), (1 - F.col("docs_longer") / F.col("all_docs")).alias("quantile"),
+        F.col("all_tokens").alias("tokens_total"), (1 - F.try_divide("docs_longer", "all_docs")).alias("quantile"),
     )
 
 
+def answers_for(histogram: DataFrame, limits: DataFrame) -> DataFrame:
+    """What answers() says, for each of these context limits (n_tokens), whether or not a document has that length.
+
+    A limit is a length of no documents: it takes part in the same sums, and every limit has one row.
+    """
+    asked = limits.select(F.col("n_tokens").cast("long").alias("n_tokens")).filter("n_tokens >= 0").distinct()
+    both = histogram.withColumn("asked", F.lit(False)).unionByName(asked.select("n_tokens", F.lit(0).cast("long").alias("n_docs"), F.lit(True).alias("asked")))
+    both = both.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"), F.max("asked").alias("asked"))
+    return answers(both.select("n_tokens", "n_docs")).join(asked, "n_tokens")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(stash(lengths(documents(spark, sf_dir, "text"))))

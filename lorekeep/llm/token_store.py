@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm._shared import documents, shared_folder, texts
+from lorekeep.llm._shared import decoded, documents, lean, shared_folder
 from lorekeep.llm._tokens import default_path, encoder
 
 #: A chunk ends where the hash of its last SPAN ids has MASK's bits 0, with LEAST to MOST ids.
 SPAN, MASK, LEAST, MOST = 8, 0xFF, 32, 2048
 BLOCK = 1024
-#: Digests that a task remembers as sent.
-SENT = 500_000
+#: Digests that a task remembers as sent (about 100 bytes each).
+SENT = 150_000
 
 _TABLE = np.random.default_rng(6).integers(0, 1 << 63, 1 << 12, np.uint64) | np.uint64(1)
 
@@ -79,6 +79,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sent, task, row = encoder(tokenizer), set(), TaskContext.get().partitionId(), 0
         width, end = encode.dtype.itemsize, np.array([end_id], encode.dtype).tobytes()
+
         def rows(doc_ids: list, raws: list[bytes]) -> Iterator[tuple]:
             nonlocal row
             offsets = np.cumsum([0, *(len(r) // width for r in raws)])
@@ -97,18 +98,13 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 row += 1
 
         for batch in batches:
-            doc_ids, each, lo = batch.column("doc_id").to_pylist(), texts(batch.column("text")), 0
-            while lo < len(each):
-                raws, size, hi = [], 0, lo
-                while hi < len(each) and size < 500_000 * width:
-                    raws.append(encode.ids(each[hi].decode()) + end)
-                    size, hi = size + len(raws[-1]), hi + 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows(doc_ids[lo:hi], raws)), kinds)], names)
-                lo = hi
+            for lo, hi, each in decoded(batch.column("text")):
+                raws = [encode.ids(x) + end for x in each]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), raws)), kinds)], names)
 
     names = ["kind", "digest", "payload", "doc_id", "digests", "ends"]
     kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind string, digest binary, payload binary, doc_id long, digests array<binary>, ends array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run, "encoder"), "kind string, digest binary, payload binary, doc_id long, digests array<binary>, ends array<int>")
 
 
 def _nodes(recipes: DataFrame) -> DataFrame:
@@ -196,9 +192,9 @@ def read_digests(spark: SparkSession, path: str, tokenizer: str | None = None) -
             crc = shifted_crc(batch.column("crc").to_numpy(), batch.column("after").to_numpy() * 4)
             yield batch.drop_columns(["crc", "after"]).append_column("part_crc", pa.array(crc.astype(np.int64)))
 
-    chunks = _data(spark, path).filter("kind = 'chunk'").select("digest", "payload").mapInArrow(checked, "digest binary, sound boolean, crc long, n_ids long")
+    chunks = _data(spark, path).filter("kind = 'chunk'").select("digest", "payload").mapInArrow(lean(checked), "digest binary, sound boolean, crc long, n_ids long")
     rows = _places(_recipes(spark, path)).join(chunks, "digest").select("doc_id", "start", "n_tokens", "sound", "n_ids", "crc", "after")
-    rows = rows.mapInArrow(moved, "doc_id long, start long, n_tokens long, sound boolean, n_ids long, part_crc long")
+    rows = rows.mapInArrow(lean(moved), "doc_id long, start long, n_tokens long, sound boolean, n_ids long, part_crc long")
     rows = rows.groupBy("start", "doc_id", "n_tokens").agg(F.bit_xor("part_crc").alias("ids_crc32"), F.count("*").alias("n_chunks"), F.min("sound").alias("sound"), F.sum("n_ids").alias("n_ids"))
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", (F.col("sound") & (F.col("n_ids") == F.col("n_tokens"))).alias("verified"))
 
@@ -211,15 +207,16 @@ def read_ids(spark: SparkSession, path: str, tokenizer: str | None = None) -> Da
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([np.frombuffer(p, wide).astype(np.int64) for p in batch.column("payload").to_pylist()], pa.list_(pa.int64()))], ["digest", "ids"])
 
-    chunks = _data(spark, path).filter("kind = 'chunk'").select("digest", "payload").mapInArrow(opened, "digest binary, ids array<long>")
+    chunks = _data(spark, path).filter("kind = 'chunk'").select("digest", "payload").mapInArrow(lean(opened), "digest binary, ids array<long>")
     rows = _places(_recipes(spark, path)).join(chunks, "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("chunks"))
     return rows.select("doc_id", "start", F.flatten(F.transform("chunks", lambda x: x.ids)).alias("ids"))
 
 
 def sound_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest's nodes that the recipes do not bear out; none in a sound store."""
+    """The manifest's nodes that the recipes do not bear out, and those of the recipes that it lacks; none in a sound store."""
     written = spark.read.schema("level int, part int, block long, node string").parquet(f"{path}/manifest")
-    return written.exceptAll(_nodes(_recipes(spark, path))).unionByName(_nodes(_recipes(spark, path)).exceptAll(written))
+    both = written.withColumn("side", F.lit(1)).unionByName(_nodes(_recipes(spark, path)).withColumn("side", F.lit(-1)))
+    return both.groupBy("level", "part", "block", "node").agg(F.sum("side").alias("side")).filter("side <> 0")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
