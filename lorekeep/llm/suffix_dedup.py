@@ -3,17 +3,19 @@
 A byte goes if a string of LENGTH bytes covers it that also starts in a document with a smaller doc_id.
 
 1. Every window of LENGTH bytes has an anchor, the least hash of its ANCHOR-byte strings; equal windows have equal anchors. Tasks
-   count the anchors they meet (each once, or twice if several documents have it), and those met twice in all fill a bitmap of a
-   fixed size. It only keeps text that surely recurs nowhere from being sent; where it is full it lets all pass.
-2. Runs of windows with one anchor are segments. They go to their anchor's partition, with their bytes the first time a task meets
-   them, so a window meets all its equals there.
-3. There, distinct segments of whole anchors are joined into texts of about TEXT bytes. Each gets its suffix order and Burrows-Wheeler
+   count the texts that have an anchor. Those that two texts have fill a bitmap of a fixed size, and those of HOT texts or more another.
+   The first only keeps text that surely recurs nowhere from being sent; where it is full it lets all pass. Windows of the second get
+   a key of their anchor and of the greatest hash of their strings, so that what surrounds a common passage is spread over many keys.
+2. Runs of windows with one key are segments. Tasks send each of their distinct segments once, with the least and the greatest doc_id that
+   has it and its bytes, to its key's partition, so a window meets all its equals there.
+3. There, distinct segments of whole keys are joined into texts of about TEXT bytes. Each gets its suffix order and Burrows-Wheeler
    transform, and intervals of equal prefixes are extended backwards, breadth first: level by level this settles where neighbouring
    suffixes have common prefixes of 0, 1, 2, ... bytes, and stops at LENGTH - 1. Suffixes with no such border between them share LENGTH
-   bytes; each such group has a first document, and for every document the windows whose group began in an earlier one are returned as runs.
-4. A document's runs meet its text once, and it is cut.
+   bytes; each such group has a first document, and a segment's windows whose group began before the last document that has it are its runs.
+4. The documents are read again. Segments that have runs (told by a third bitmap, of the same kind) are joined with them by key and segment,
+   which adaptive execution can split; what a document loses meets its text once, and it is cut.
 
-Memory is bounded by a text of TEXT bytes, or by one anchor's distinct segments if they are more, and a segment's rows.
+Memory is bounded by a text of TEXT bytes, or by one key's distinct segments if they are more.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; strings that recur only within one document, or in
 rows with the same doc_id, stay; rows with equal doc_ids have a result each; a null doc_id counts as smallest; an empty table
@@ -31,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm._shared import _powers, documents, mixed, run_tables, slices
+from lorekeep.llm._shared import _powers, documents, lean, mixed, run_tables, slices, stash
 
 LENGTH, ANCHOR = 50, 20
 #: Upper bits of an anchor that make its bucket; tasks hold one bucket at a time, so a larger corpus takes more.
 BUCKET = 10
-#: Bits of the bitmap of recurring anchors, most windows in a segment, bytes of text for one transform, segments a task remembers.
-BITMAP, WINDOWS, TEXT, SENT = 1 << 26, 256, 1 << 18, 1 << 20
+#: Bits of a bitmap, texts that make an anchor hot, most windows in a segment, bytes of text for one transform, bytes of segments that a task sends at once.
+BITMAP, HOT, WINDOWS, TEXT, SENT = 1 << 26, 1000, 256, 1 << 18, 1 << 24
 _NONE = -(1 << 63)
 
 
@@ -51,11 +53,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first window, number of windows and anchor of each segment of these texts."""
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first window, number of windows, anchor and key of each segment of these texts. The key is the anchor, but for those in the bitmap hot."""
     n = len(data) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
@@ -68,42 +70,61 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
     new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
     cuts = offsets[:-1][(offsets[:-1] < n)]
     new[cuts] = inside[cuts]
+    key = least
+    if hot is not None and hot.any():
+        begin = np.flatnonzero(new)
+        is_hot = np.zeros(len(begin) + 1, bool)
+        is_hot[1:] = _held(least[begin], hot)
+        is_hot = is_hot[np.cumsum(new)] & inside
+        if is_hot.any():
+            most = ~_least(~hashes, length - anchor + 1)[:n]
+            new[1:] |= is_hot[1:] & (most[1:] != most[:-1])
+            key = np.where(is_hot, mixed(least + (most ^ (most >> np.uint64(7)))), least)
     starts = np.flatnonzero(new)
     ends = np.minimum(np.append(starts[1:], n), np.searchsorted(np.cumsum(~inside), np.cumsum(~inside)[starts], "right"))
     pieces = (ends - starts + WINDOWS - 1) // WINDOWS
     owner = np.repeat(np.arange(len(starts)), pieces)
     begin = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WINDOWS
     windows = np.minimum(ends[owner] - begin, WINDOWS)
-    return np.searchsorted(offsets, begin, "right") - 1, begin, windows, least[begin]
+    return np.searchsorted(offsets, begin, "right") - 1, begin, windows, least[begin], key[begin]
 
 
-def _packed(values: np.ndarray, several: np.ndarray) -> bytes:
-    """Ascending 48-bit values as the byte planes of their differences, and a flag for each, compressed."""
+def _names(data: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A hash of each segment's bytes and length."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(7)) * up[: len(data)], out=sums[1:])
+    return mixed((sums[begin + windows + LENGTH - 1] - sums[begin]) * down[begin] * np.uint64(0xA24BAED4963EE407) + windows.astype(np.uint64))
+
+
+def _packed(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending 48-bit values as the byte planes of their differences, and the number of texts of each up to 65,535, compressed."""
     steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return zlib.compress(np.ascontiguousarray(steps.T).tobytes() + np.packbits(several).tobytes(), 1)
+    planes = np.minimum(counts, 65535).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return zlib.compress(np.ascontiguousarray(steps.T).tobytes() + np.ascontiguousarray(planes.T).tobytes(), 1)
 
 
 def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zlib.decompress(packed), np.uint8)
     steps = np.zeros((n, 8), np.uint8)
     steps[:, :6] = raw[: 6 * n].reshape(6, n).T
-    return np.cumsum(steps.view("<u8").ravel()), np.unpackbits(raw[6 * n :], count=n).astype(bool)
+    return np.cumsum(steps.view("<u8").ravel()), np.ascontiguousarray(raw[6 * n :].reshape(2, n).T).view("<u2").ravel()
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, n, packed): the anchors' upper 48 bits by their upper BUCKET bits, each once in about 4 million, with a flag if several texts have it."""
+    """Rows (bucket, n, packed): the anchors' upper 48 bits by their upper BUCKET bits, each once in about 4 million, with the number of texts that have it."""
     held: list[np.ndarray] = []
 
     def met() -> pa.RecordBatch:
         found, counts = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
         cuts = np.searchsorted(found >> np.uint64(48 - BUCKET), np.arange((1 << BUCKET) + 1, dtype=np.uint64))
-        rows = [(k, int(b - a), _packed(found[a:b], counts[a:b] > 1)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows = [(k, int(b - a), _packed(found[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "packed"])
 
     for batch in batches:
         for _, _, data, offsets in slices(batch.column("text")):
-            of, _, _, anchors = segments(data, offsets)
+            of, _, _, anchors, _ = segments(data, offsets)
             anchors = anchors >> np.uint64(16)
             order = np.lexsort((anchors, of))
             of, anchors = of[order], anchors[order]
@@ -116,84 +137,142 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met()
 
 
-def _places(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the bitmap for each anchor's upper 48 bits."""
-    spread = mixed(anchors)
+def _marks(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a bitmap for each value."""
+    spread = mixed(values)
     return spread & np.uint64(bits - 1), (spread >> np.uint64(32)) & np.uint64(bits - 1)
 
 
-def _recurring(docs: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the anchors that several texts may have: one bucket after another in the tasks, which return their bits of it, joined in parts."""
+def _mark(bitmap: np.ndarray, values: np.ndarray) -> None:
+    for places in _marks(values, len(bitmap) * 8):
+        places = np.unique(places).astype(np.int64)
+        if len(places):
+            first = np.flatnonzero(np.diff(places >> 3, prepend=-1))
+            bitmap[places[first] >> 3] |= np.bitwise_or.reduceat(np.left_shift(1, places & 7).astype(np.uint8), first)
+
+
+def _holds(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether a bitmap has each value, or seems to."""
+    found = np.ones(len(values), bool)
+    for place in _marks(values, len(bitmap) * 8):
+        found &= (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+    return found
+
+
+def _held(anchors: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    return _holds(anchors >> np.uint64(16), bitmap)
+
+
+def _bitmaps(rows: DataFrame, run, number: int, bits: int) -> list[np.ndarray]:
+    """Bitmaps of a fixed size that the tasks' run fills: from batches to so many bitmaps. Tasks return them in parts, and other tasks join these."""
+    width = min(bits, 1 << 20) >> 3
+
+    def parts(filled: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for part, found in filled.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(found.tobytes(), 1)])], ["part", "bits"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, bool)
-        for table in run_tables(batches, "bucket"):
-            both = [_unpacked(p, n) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
-            values, several = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
-            order = np.argsort(values, kind="stable")
-            values, several = values[order], several[order]
-            again = values[1:] == values[:-1]
-            for place in _places(np.concatenate([values[several], values[1:][again]]), bits):
-                seen[place.astype(np.int64)] = True
-        for part, packed in enumerate(np.packbits(seen, bitorder="little").reshape(-1, min(bits, 1 << 20) >> 3)):
-            if packed.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(packed.tobytes(), 1)])], ["part", "bits"])
+        found = np.concatenate(run(batches)).reshape(-1, width)
+        yield from parts({part: x for part, x in enumerate(found) if x.any()})
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, packed in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist()):
                 found[part] = found.get(part, 0) | np.frombuffer(zlib.decompress(packed), np.uint8)
-        for part, packed in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(packed.tobytes(), 1)])], ["part", "bits"])
+        yield from parts(found)
 
-    rows = docs.select("text").mapInArrow(_anchors, "bucket int, n int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
-    parts = rows.mapInArrow(filled, "part int, bits binary").repartition("part").mapInArrow(joined, "part int, bits binary").collect()
-    bitmap = np.zeros((-(-bits // (1 << 20)), min(bits, 1 << 20) >> 3), np.uint8)
-    for part, packed in parts:
-        bitmap[part] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return bitmap.ravel()
+    out = np.zeros((number, bits >> 3), np.uint8)
+    for part, packed in rows.mapInArrow(lean(filled), "part int, bits binary").repartition("part").mapInArrow(lean(joined), "part int, bits binary").collect():
+        out.reshape(-1, width)[part] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return list(out)
 
 
-def _may_recur(anchors: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    found = np.ones(len(anchors), bool)
-    for place in _places(anchors >> np.uint64(16), len(bitmap) * 8):
-        found &= (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-    return found
+def _recurring(docs: DataFrame, bits: int, hot: int) -> list[np.ndarray]:
+    """Bitmaps of the anchors that several texts have, and of those that at least `hot` texts have: one bucket after another in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        found = [np.zeros(bits >> 3, np.uint8) for _ in range(2)]
+        for table in run_tables(batches, "bucket"):
+            both = [_unpacked(p, n) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
+            values, counts = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+            order = np.argsort(values, kind="stable")
+            values, counts = values[order], counts[order].astype(np.int64)
+            first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+            values, counts = values[first], np.add.reduceat(counts, first)
+            for bitmap, least in zip(found, (2, hot)):
+                _mark(bitmap, values[counts >= least])
+        return found
+
+    rows = docs.select("text").mapInArrow(lean(_anchors), "bucket int, n int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    return _bitmaps(rows, run, 2, bits)
+
+
+_SEGMENT = "key int, segment long, least_id long, more long, bytes binary"
 
 
-def _sent(docs: DataFrame, bitmap) -> DataFrame:
-    """A row for each segment that may recur: anchor (32 bits: it only says where to meet), segment (a hash of its bytes), doc_id, text_key, at, n_windows and, the first time in a task, bytes."""
+def _segments(docs: DataFrame, sent) -> DataFrame:
+    """A row for each distinct segment of about SENT bytes of them that may recur: key (32 bits: it only says where to meet), segment (a hash of its bytes), least_id and how much the
+    greatest doc_id is more, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        recurring, hot = sent.value
+        held: list[tuple] = []
+
+        def distinct() -> pa.RecordBatch:
+            keys, names, ids, at = (np.concatenate([x[k] for x in held]) for k in range(4))
+            owner = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+            order = np.lexsort((ids, names, keys))
+            keys, names, ids, at, owner = keys[order], names[order], ids[order], at[order], owner[order]
+            first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])))
+            last = np.append(first[1:], len(keys)) - 1
+            payload = [held[o][4][k] for o, k in zip(owner[first].tolist(), at[first].tolist())]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(names[first]), pa.array(ids[first]), pa.array(ids[last] - ids[first]), pa.array(payload, pa.binary())], ["key", "segment", "least_id", "more", "bytes"])
+
+        size = 0
         for batch in batches:
-            doc_ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "text_key"))
+            doc_ids = batch.column("doc_id").to_numpy()
             for lo, _, data, offsets in slices(batch.column("text")):
-                of, begin, windows, anchors = segments(data, offsets)
-                use = np.flatnonzero(_may_recur(anchors, bitmap.value))
+                of, begin, windows, anchors, keys = segments(data, offsets, hot=hot)
+                use = np.flatnonzero(_held(anchors, recurring))
                 if not len(use):
                     continue
-                of, begin, windows, anchors = of[use], begin[use], windows[use], anchors[use]
-                up, down = _powers(len(data) + 1)
-                sums = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum((data.astype(np.uint64) + np.uint64(7)) * up[: len(data)], out=sums[1:])
-                hashes = mixed((sums[begin + windows + LENGTH - 1] - sums[begin]) * down[begin] * np.uint64(0xA24BAED4963EE407) + windows.astype(np.uint64))
-                _, first = np.unique(hashes ^ (anchors >> np.uint64(1)), return_index=True)
-                fresh = {}
-                for k in first.tolist():
-                    if (name := hash((int(anchors[k]), int(hashes[k])))) not in sent:
-                        if len(sent) >= SENT:
-                            sent.clear()
-                        sent.add(name)
-                        fresh[k] = data[begin[k] : begin[k] + windows[k] + LENGTH - 1].tobytes()
-                rows = lo + of
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((anchors >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(hashes.view(np.int64)), pa.array(doc_ids[rows]), pa.array(keys[rows]), pa.array((begin - offsets[of]).astype(np.int32)),
-                    pa.array(windows.astype(np.int32)), pa.array([fresh.get(k) for k in range(len(of))], pa.binary()),
-                ], ["anchor", "segment", "doc_id", "text_key", "at", "n_windows", "bytes"])
-
-    return docs.mapInArrow(run, "anchor int, segment long, doc_id long, text_key int, at int, n_windows int, bytes binary")
+                of, begin, windows, keys = of[use], begin[use], windows[use], keys[use]
+                names, raw = _names(data, begin, windows), data.tobytes()
+                _, first, at = np.unique(names ^ (keys >> np.uint64(1)), return_index=True, return_inverse=True)
+                short = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                payload = [raw[a:b] for a, b in zip(begin[first].tolist(), (begin + windows + LENGTH - 1)[first].tolist())]
+                held.append((short, names.view(np.int64), doc_ids[lo + of], at, payload))
+                size += sum(map(len, payload)) + 28 * len(of)
+                if size > SENT:
+                    yield distinct()
+                    size = 0
+        if held:
+            yield distinct()
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run), _SEGMENT)
+
+
+def _occurrences(docs: DataFrame, sent) -> DataFrame:
+    """A row for each place of a segment that seems to have runs: key, segment, doc_id, place (text_key in the upper half, the first byte in the lower)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recurring, hot, known = sent.value
+        for batch in batches:
+            doc_ids, texts = (batch.column(c).to_numpy() for c in ("doc_id", "text_key"))
+            for lo, _, data, offsets in slices(batch.column("text")):
+                of, begin, windows, anchors, keys = segments(data, offsets, hot=hot)
+                use = np.flatnonzero(_held(anchors, recurring))
+                of, begin, windows, keys = of[use], begin[use], windows[use], keys[use]
+                names = _names(data, begin, windows)
+                use = np.flatnonzero(_holds(names, known))
+                if len(use):
+                    rows = lo + of[use]
+                    place = (texts[rows].astype(np.int64) << 32) | (begin - offsets[of])[use]
+                    yield pa.RecordBatch.from_arrays([pa.array((keys[use] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(names[use].view(np.int64)), pa.array(doc_ids[rows]), pa.array(place)], ["key", "segment", "doc_id", "place"])
+
+    return docs.mapInArrow(lean(run), "key int, segment long, doc_id long, place long")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -308,69 +387,82 @@ def first_documents(parts: list[bytes], windows: np.ndarray, firsts: np.ndarray,
 
 
 def _runs(sent: DataFrame) -> DataFrame:
-    """(doc_id, text_key, lo, hi) of the bytes that each segment row loses. Rows come in the order of anchor and segment."""
-
-    def solved(rows: list[pa.Table]) -> pa.RecordBatch | None:
-        table = pa.concat_tables(rows)
-        anchor, segment, doc, key, at, windows = (table.column(c).to_numpy() for c in ("anchor", "segment", "doc_id", "text_key", "at", "n_windows"))
-        new = np.ones(len(doc), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])
-        head = np.flatnonzero(new)
-        number = np.cumsum(new) - 1
-        held = table.column("bytes")
-        known = np.flatnonzero(held.is_valid().to_numpy())
-        _, pick = np.unique(number[known], return_index=True)
-        parts = held.take(pa.array(known[pick])).to_pylist()
-        first, begin = first_documents(parts, windows[head].astype(np.int64), np.minimum.reduceat(doc, head))
+    """(key, segment, lo, hi, first_id): for windows lo to hi of a segment the first document that has them, where a later one has the segment."""
+
+    def once(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The batch, sorted by key and segment, with one row for each segment."""
+        key, segment, least, more = (batch.column(c).to_numpy() for c in ("key", "segment", "least_id", "more"))
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])))
+        if len(first) == len(key):
+            return batch
+        low = np.minimum.reduceat(least, first)
+        high = np.maximum.reduceat(least + more, first)
+        part = batch.take(pa.array(first))
+        return pa.RecordBatch.from_arrays([part.column("key"), part.column("segment"), pa.array(low), pa.array(high - low), part.column("bytes")], batch.schema.names)
+
+    def solved(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = once(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
+        key, segment, least, more = (batch.column(c).to_numpy() for c in ("key", "segment", "least_id", "more"))
+        parts = batch.column("bytes").to_pylist()
+        windows = np.array([len(p) for p in parts], np.int64) - LENGTH + 1
+        first, begin = first_documents(parts, windows, least)
         change = np.ones(len(first), bool)
         change[1:] = first[1:] != first[:-1]
         change[begin] = True
         lo = np.flatnonzero(change)
         hi = np.append(lo[1:], len(first))
-        run_of = np.searchsorted(begin, lo, "right") - 1
-        runs_at = np.searchsorted(run_of, np.arange(len(begin) + 1))
-        count = (runs_at[1:] - runs_at[:-1])[number]
-        row = np.repeat(np.arange(len(doc)), count)
-        run = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + runs_at[:-1][number[row]]
-        gone = first[lo[run]] < doc[row]
-        row, run = row[gone], run[gone]
-        base = at[row].astype(np.int64) - begin[number[row]]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(key[row]), pa.array((base + lo[run]).astype(np.int32)), pa.array((base + hi[run] + LENGTH - 1).astype(np.int32))], ["doc_id", "text_key", "lo", "hi"])
+        of = np.searchsorted(begin, lo, "right") - 1
+        use = first[lo] < (least + more)[of]
+        lo, hi, of = lo[use], hi[use], of[use]
+        return pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(segment[of]), pa.array((lo - begin[of]).astype(np.int32)), pa.array((hi - begin[of]).astype(np.int32)), pa.array(first[lo])], ["key", "segment", "lo", "hi", "first_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            anchor = batch.column("anchor").to_numpy()
-            lengths = np.diff(np.frombuffer(batch.column("bytes").cast(pa.large_binary()).buffers()[1], np.int64)[: batch.num_rows + 1]) if batch.num_rows else np.zeros(0)
-            lo = 0
+            if not batch.num_rows:
+                continue
+            batch = once(batch)
+            key, lo = batch.column("key").to_numpy(), 0
+            lengths = np.diff(np.frombuffer(batch.column("bytes").cast(pa.large_binary()).buffers()[1], np.int64)[batch.column("bytes").offset :][: batch.num_rows + 1])
             while lo < batch.num_rows:
                 total = size + np.cumsum(lengths[lo:])
-                if total[-1] < TEXT:
-                    held.append(pa.Table.from_batches([batch.slice(lo)]))
-                    size = total[-1]
-                    break
                 cut = lo + int(np.searchsorted(total, TEXT))
-                ahead = np.flatnonzero(anchor[cut:] != anchor[cut])
+                ahead = np.flatnonzero(key[cut:] != key[cut]) if cut < batch.num_rows else ()
                 if not len(ahead):
-                    held.append(pa.Table.from_batches([batch.slice(lo)]))
+                    held.append(batch.slice(lo))
                     size = total[-1]
                     break
                 end = cut + int(ahead[0])
-                yield solved([*held, pa.Table.from_batches([batch.slice(lo, end - lo)])])
+                yield solved([*held, batch.slice(lo, end - lo)])
                 held, size, lo = [], 0, end
         if held:
             yield solved(held)
 
-    return sent.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(run, "doc_id long, text_key int, lo int, hi int")
+    return sent.repartition("key").sortWithinPartitions("key", "segment").mapInArrow(lean(run), "key int, segment long, lo int, hi int, first_id long")
+
 
+def removed(docs: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
+    """From (doc_id long, text_key int, text): (doc_id, text_key, runs) with the byte ranges that each document loses (first byte in the upper half, the byte behind the last in the
+    lower), overlapping and in no order."""
+    context = docs.sparkSession.sparkContext
+    marks = _recurring(docs, bits, hot)
+    runs = stash(_runs(_segments(docs, context.broadcast(marks))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        found = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            _mark(found, batch.column("segment").to_numpy().view(np.uint64))
+        return [found]
 
-def removed(docs: DataFrame, bits: int = BITMAP) -> DataFrame:
-    """From (doc_id long, text_key, text): (doc_id, text_key, runs) with the byte ranges that each document loses, overlapping and in no order."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_recurring(docs, bits))
-    return _runs(_sent(docs, bitmap)).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    known = _bitmaps(runs.select("segment"), run, 1, bits)
+    places = _occurrences(docs, context.broadcast([*marks, *known]))
+    lost = places.join(runs, ["key", "segment"]).filter("first_id < doc_id")
+    begin = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    lost = lost.select("doc_id", F.shiftright("place", 32).cast("int").alias("text_key"), (F.shiftleft(begin + F.col("lo"), 32) + begin + F.col("hi") + F.lit(LENGTH - 1)).alias("run"))
+    return lost.groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("runs"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, **parameters) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.hash("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -379,10 +471,10 @@ def dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             runs = batch.column("runs")
-            at = runs.offsets.to_numpy()
-            lows, highs = (runs.values.field(k).to_numpy() for k in (0, 1))
+            at, both = runs.offsets.to_numpy(), runs.values.to_numpy()
+            lows, highs = both >> 32, both & 0xFFFFFFFF
             for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                lo, hi = lows[at[k] : at[k + 1]].astype(np.int64), highs[at[k] : at[k + 1]].astype(np.int64)
+                lo, hi = lows[at[k] : at[k + 1]], highs[at[k] : at[k + 1]]
                 if not len(lo):
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
                     continue
@@ -395,8 +487,8 @@ def dedup(docs: DataFrame) -> DataFrame:
             sizes, gone, spans, names, kept = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(names, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = rows.join(removed(rows), ["doc_id", "text_key"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<lo:int,hi:int>>")).alias("runs"))
-    found = found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = rows.join(removed(rows, **parameters), ["doc_id", "text_key"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<long>")).alias("runs"))
+    found = found.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != _NONE, F.col("doc_id")).cast(kind))
 
 
