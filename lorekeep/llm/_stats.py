@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorekeep.llm._shared import shingles, slices, span_hashes, word_spans
+from lorekeep.llm._shared import lean, shingles, slices, span_hashes, word_spans
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_upper", "n_digits", "n_punct", "n_unique_words", "n_top_word", "sum_sq_word", "n_long_words", "n_short_words", "n_breaks")
 
@@ -76,4 +76,4 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(found[:, k]) for k in range(len(NAMES)))], [*keep, *NAMES])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} long" for n in NAMES)]))
+    return docs.select(*keep, "text").mapInArrow(lean(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} long" for n in NAMES)]))

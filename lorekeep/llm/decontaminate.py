@@ -4,13 +4,15 @@ Fixed masks select some of a few consecutive tokens and ignore the others. The s
 benchmark item and of every document are hashed, the hashes are joined, and each hit names a diagonal: an item laid over a
 document at an offset. On it tokens are compared one by one; the item is in the document if some window of WINDOW item
 tokens (all of them in a shorter item) agrees in at least AGREE of its places. The masks hit each such window whatever
-places differ, as a test shows by trying all.
+places differ, as a test shows by trying all. Items of fewer than LEAST tokens have masks of their own length, which are used
+only where the benchmark has such items.
 
 The documents are read once and nothing of them is shuffled but the verified pairs: seeds are broadcast while there are
 at most BROADCAST_SEEDS of them; with more, narrow rows of hashes are joined by a shuffle and the hits meet the texts by
 doc_id, those of rows without one by a digest of the text. Both ways give the same rows.
 
-Defined results: null and empty texts and items of fewer than LEAST tokens match nothing; for an item that
+Defined results: null and empty texts match nothing; items of fewer than WEIGHTY tokens are found by leaks(), but
+clean() removes no document for their sake, as any text may hold so few words; for an item that
 fits a document in several places the best figures are returned; repeated rows of a doc_id or item_id are one; rows
 without doc_id are found as a null doc_id, and clean() judges each of them by its own text; an empty
 table on either side gives an empty result; other columns are not read.
@@ -25,7 +27,7 @@ from lorekeep.llm._shared import documents, stash
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("11011", "1101001")
-WINDOW, AGREE, LEAST = 13, 0.8, 7
+WINDOW, AGREE, LEAST, WEIGHTY = 13, 0.8, 7, 4
 BROADCAST_SEEDS = 1_000_000
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -34,23 +36,36 @@ def tokens(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_TOKEN), "")
 
 
-def seeds(hashes: str, masks: tuple[str, ...] = MASKS) -> Column:
-    """Structs (place, seed) of every place of an array of token hashes.
+def short_masks(n: int) -> list[str]:
+    """Masks for an item of n tokens: all of them, or all but one where one may differ."""
+    return ["1" * n] if n < 5 else ["1" * k + "0" + "1" * (n - 1 - k) for k in range(n)]
+
+
+def all_masks(sizes: list[int], masks: tuple[str, ...] = MASKS) -> list[tuple[int, str, int]]:
+    """(number, mask, size) for benchmarks with items of these sizes below LEAST: size is that of the items that have it, or LEAST for all others."""
+    return [*((k, mask, LEAST) for k, mask in enumerate(masks)), *((100 * n + k, mask, n) for n in sorted(sizes) for k, mask in enumerate(short_masks(n)))]
+
+
+def seeds(hashes: str, masks: list[tuple[int, str, int]], items: bool = False) -> Column:
+    """Structs (place, seed) of every place of an array of token hashes; an item has only the masks of its size.
 
     They are exploded with explode_outer: for explode Spark would derive a filter on the array's size, push it below the
     projections and so hash all over again inside the lambda.
     """
-    def one(number: int, mask: str) -> Column:
-        places = F.when(F.size(hashes) >= len(mask), F.sequence(F.lit(0), F.size(hashes) - len(mask))).otherwise(F.array().cast("array<int>"))
+    def one(number: int, mask: str, size: int) -> Column:
+        fits = F.size(hashes) >= len(mask)
+        if items:
+            fits &= F.size(hashes) >= LEAST if size == LEAST else F.size(hashes) == size
+        places = F.when(fits, F.sequence(F.lit(0), F.size(hashes) - len(mask))).otherwise(F.array().cast("array<int>"))
         picked = [k for k, bit in enumerate(mask) if bit == "1"]
         return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(number), *(F.get(hashes, i + k) for k in picked)).alias("seed")))
 
-    return F.concat(*(one(number, mask) for number, mask in enumerate(masks)))
+    return F.concat(*(one(*mask) for mask in masks))
 
 
-def _seeded(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def _seeded(rows: DataFrame, masks: list[tuple[int, str, int]], items: bool = False) -> DataFrame:
     rows = rows.withColumn("hashes", F.transform("tokens", lambda x: F.xxhash64(x)))
-    return rows.withColumn("found", seeds("hashes", masks)).drop("hashes")
+    return rows.withColumn("found", seeds("hashes", masks, items)).drop("hashes")
 
 
 def _verified(hits: DataFrame, window: int, agree: float) -> DataFrame:
@@ -70,10 +85,11 @@ def text_key() -> Column:
 
 def _found(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Rows (doc_id, text_key, item_id, best_window, n_agree, n_tokens) for each place of a document that an item fits."""
-    items = benchmark.select("item_id", tokens("text").alias("item")).filter(F.size("item") >= LEAST).distinct()
+    items = benchmark.select("item_id", tokens("text").alias("item")).filter(F.size("item") > 0).distinct()
     items = stash(items.withColumn("item_key", F.monotonically_increasing_id()))
-    each = _seeded(items.withColumn("tokens", F.col("item")), masks).select("item_key", F.explode_outer("found").alias("x")).select("item_key", F.col("x.seed").alias("seed"), F.col("x.place").alias("item_place"))
-    rows = _seeded(docs.select("doc_id", text_key(), tokens("text").alias("tokens")), masks)
+    used = all_masks([r["n"] for r in items.select(F.size("item").alias("n")).filter(F.col("n") < LEAST).distinct().collect()], masks)
+    each = _seeded(items.withColumn("tokens", F.col("item")), used, items=True).select("item_key", F.explode_outer("found").alias("x")).select("item_key", F.col("x.seed").alias("seed"), F.col("x.place").alias("item_place"))
+    rows = _seeded(docs.select("doc_id", text_key(), tokens("text").alias("tokens")), used)
     offset = (F.col("x.place") - F.col("item_place")).alias("offset")
     if each.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         hits = rows.select("doc_id", "text_key", "tokens", F.explode_outer("found").alias("x")).join(F.broadcast(each), F.col("x.seed") == F.col("seed")).select("doc_id", "text_key", "tokens", "item_key", offset)
@@ -91,8 +107,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The documents that hold no benchmark passage."""
-    found = _found(docs, benchmark, **parameters).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+    """The documents that hold no benchmark passage of WEIGHTY tokens or more."""
+    found = _found(docs, benchmark, **parameters).filter(F.col("n_tokens") >= WEIGHTY).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
     rows = docs.select(F.struct("*").alias("document"), "doc_id", text_key())
     return rows.join(found, F.col("doc_id").eqNullSafe(F.col("leak_id")) & F.col("text_key").eqNullSafe(F.col("leak_key")), "left_anti").select("document.*")
 
@@ -102,14 +118,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    def seeded(table: str, key: str) -> str:
-        return " UNION ALL ".join(rf"SELECT {key}, {n} AS mask, i - 1 AS place, [{', '.join(f'tokens[i + {k}]' for k, bit in enumerate(mask) if bit == '1')}] AS seed FROM (SELECT {key}, tokens, unnest(range(1, len(tokens) - {len(mask) - 2})) AS i FROM {table})" for n, mask in enumerate(MASKS))
+    def seeded(table: str, key: str, size: str = "true") -> str:
+        each = [(number, mask, f"{size} AND EXISTS (SELECT 1 FROM kept WHERE len(tokens) {'>=' if n == LEAST else '='} {n})".replace("SIZE", f"len(tokens) {'>=' if n == LEAST else '='} {n}")) for number, mask, n in all_masks(list(range(1, LEAST)))]
+        return " UNION ALL ".join(rf"SELECT {key}, {n} AS mask, i - 1 AS place, [{', '.join(f'tokens[i + {k}]' for k, bit in enumerate(mask) if bit == '1')}] AS seed FROM (SELECT {key}, tokens, unnest(range(1, len(tokens) - {len(mask) - 2})) AS i FROM {table} WHERE {only})" for n, mask, only in each)
 
     split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS tokens"
     return f"""
-WITH items AS (SELECT DISTINCT item_id, {split} FROM benchmark), kept AS (SELECT * FROM items WHERE len(tokens) >= {LEAST}),
+WITH items AS (SELECT DISTINCT item_id, {split} FROM benchmark), kept AS (SELECT * FROM items WHERE len(tokens) > 0),
 docs AS (SELECT doc_id, {split} FROM documents),
-a AS ({seeded("docs", "doc_id")}), b AS ({seeded("kept", "item_id")}),
+a AS ({seeded("docs", "doc_id")}), b AS ({seeded("kept", "item_id", "SIZE")}),
 hits AS (SELECT DISTINCT a.doc_id, b.item_id, a.place - b.place AS shift FROM a JOIN b USING (mask, seed)),
 same AS (SELECT doc_id, item_id, list_transform(range(1, len(k.tokens) + 1), lambda j: CASE WHEN shift + j >= 1 AND coalesce(d.tokens[CASE WHEN shift + j >= 1 THEN shift + j ELSE NULL END] = k.tokens[j], false) THEN 1 ELSE 0 END) AS same
   FROM hits JOIN docs d USING (doc_id) JOIN kept k USING (item_id)),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm._shared import documents, stash, texts
+from lorekeep.llm._shared import PIECE, decoded, documents, lean, stash
 
 #: Expected rows per language that are learned from.
 SAMPLE = 2000
@@ -266,19 +266,22 @@ def train(rows: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
 
     def run(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, np.ndarray] = {}
-            for text, lang in zip(texts(batch.column("text")), batch.column("lang").to_pylist()):
-                for word in words_of(text.decode()):
-                    seen.setdefault(word, np.zeros(len(languages)))[number[lang]] += 1
-            if seen:
-                total = expected_pieces(list(seen), np.array(list(seen.values())), model, path)
-                piece, lang = np.nonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
+            names = batch.column("lang").to_pylist()
+            for lo, _, each in decoded(batch.column("text"), 1 << 24):
+                seen: dict[str, np.ndarray] = {}
+                for lang, text in zip(names[lo:], each):
+                    for word in words_of(text):
+                        seen.setdefault(word, np.zeros(len(languages)))[number[lang]] += 1
+                if seen:
+                    total = expected_pieces(list(seen), np.array(list(seen.values())), model, path)
+                    piece, lang = np.nonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
     model = np.full((n_pieces + 1, len(languages)), 1.0 / n_pieces)
     model[-1] = UNKNOWN
     for _ in range(rounds):
-        found = chosen.mapInArrow(lambda x, model=model: run(x, model), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        sent = rows.sparkSession.sparkContext.broadcast(model)
+        found = chosen.mapInArrow(lean(lambda x, sent=sent: run(x, sent.value)), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros_like(model)
         counts[found["piece"], found["lang"]] = found["n"]
         own = counts[:-1] / np.maximum(counts[:-1].sum(0), 1)
@@ -293,34 +296,30 @@ def identify(docs: DataFrame, tokenizer: str | None = None, **parameters) -> Dat
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     languages, model = train(docs.filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), path, **parameters)
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = _Scored(model, path)
+        scored = _Scored(sent.value, path)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            each = [x.decode() for x in texts(batch.column("text"))]
-            total, lo = np.zeros((len(each), max(1, len(languages)))), 0
-            while lo < len(each) and languages:
+            for lo, hi, each in decoded(batch.column("text"), 4 * PIECE):
                 if len(scored) > REMEMBERED:
-                    scored = _Scored(model, path)
-                hi, size = lo, 0
-                while hi < len(each) and (hi == lo or size < 4_000_000):
-                    size, hi = size + len(each[hi]), hi + 1
-                places = [np.fromiter(map(scored.__getitem__, words_of(x)), np.int64) for x in each[lo:hi]]
-                scores = scored.settle()
-                for k, place in enumerate(places, lo):
-                    total[k] = scores[place].sum(0)
-                lo = hi
-            best = total.argmax(1)
-            shares = np.exp(total - total.max(1, keepdims=True))
-            shares /= shares.sum(1, keepdims=True)
-            known = [bool(languages) and has_letter(x) for x in each]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), pa.array([languages[b] if ok else "und" for b, ok in zip(best.tolist(), known)], pa.string()),
-                pa.array([float(s[b]) if ok else 0.0 for s, b, ok in zip(shares, best.tolist(), known)], pa.float64()),
-            ], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+                    scored = _Scored(sent.value, path)
+                total = np.zeros((len(each), max(1, len(languages))))
+                if languages:
+                    places = [np.fromiter(map(scored.__getitem__, words_of(x)), np.int64) for x in each]
+                    scores = scored.settle()
+                    for k, place in enumerate(places):
+                        total[k] = scores[place].sum(0)
+                best = total.argmax(1)
+                shares = np.exp(total - total.max(1, keepdims=True))
+                shares /= shares.sum(1, keepdims=True)
+                known = [bool(languages) and has_letter(x) for x in each]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array([languages[b] if ok else "und" for b, ok in zip(best.tolist(), known)], pa.string()),
+                    pa.array([float(s[b]) if ok else 0.0 for s, b, ok in zip(shares, best.tolist(), known)], pa.float64()),
+                ], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

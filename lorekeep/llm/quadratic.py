@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm._shared import documents, stash
+from lorekeep.llm._shared import documents, lean, stash
 from lorekeep.llm._stats import NAMES, text_stats
 
 SHRINK, DIAGONAL, TEMPER, CUT = 0.1, 0.1, 0.5, 0.3
@@ -56,7 +56,7 @@ def moments(labelled: DataFrame) -> dict[int, np.ndarray]:
         for mark, m in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([mark] * m.size), pa.array(np.arange(m.size)), pa.array(m.ravel())], ["quality", "cell", "value"])
 
-    cells = labelled.mapInArrow(run, "quality long, cell long, value double").groupBy("quality", "cell").agg(F.sum("value").alias("value")).collect()
+    cells = labelled.mapInArrow(lean(run), "quality long, cell long, value double").groupBy("quality", "cell").agg(F.sum("value").alias("value")).collect()
     found: dict[int, np.ndarray] = {}
     for quality, cell, value in cells:
         d = round(sum(1 for q, _, _ in cells if q == quality) ** 0.5) if quality not in found else len(found[quality])
@@ -65,7 +65,7 @@ def moments(labelled: DataFrame) -> dict[int, np.ndarray]:
 
 
 def fit(sums: dict[int, np.ndarray], shrink: float = SHRINK, diagonal: float = DIAGONAL) -> dict | None:
-    """Means, inverse Cholesky factors, log determinants and log sizes of classes 0 and 1."""
+    """Means, Cholesky factors, log determinants and log sizes of classes 0 and 1."""
     if not {0, 1} <= set(sums):
         return None
     mean = {k: m[0, 1:] / m[0, 0] for k, m in sums.items()}
@@ -78,15 +78,23 @@ def fit(sums: dict[int, np.ndarray], shrink: float = SHRINK, diagonal: float = D
         own = (1 - shrink) * cov[k] + shrink * pooled
         own = (1 - diagonal) * own + diagonal * np.diag(np.diag(own)) + 1e-4 * np.eye(len(own))
         factor = np.linalg.cholesky(own)
-        found[k] = (mean[k], np.linalg.inv(factor), 2 * np.log(np.diag(factor)).sum(), np.log(size[k]))
+        found[k] = (mean[k], factor, 2 * np.log(np.diag(factor)).sum(), np.log(size[k]))
     return found
 
 
+def solved(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows z with factor z = y for the rows of y, by forward substitution; factor is lower triangular."""
+    z = np.empty_like(y)
+    for k in range(len(factor)):
+        z[:, k] = (y[:, k] - z[:, :k] @ factor[k, :k]) / factor[k, k]
+    return z
+
+
 def score(x: np.ndarray, model: dict | None, temper: float = TEMPER) -> np.ndarray:
     """From 0 to 1, higher: class 1 likelier."""
     if model is None:
         return np.full(len(x), 0.5)
-    density = {k: -0.5 * ((((x - mean) @ inverse.T) ** 2).sum(1) + logdet) for k, (mean, inverse, logdet, _) in model.items()}
+    density = {k: -0.5 * ((solved(factor, x - mean) ** 2).sum(1) + logdet) for k, (mean, factor, logdet, _) in model.items()}
     return 1 / (1 + np.exp(-np.clip(temper * (density[1] - density[0]) + model[1][3] - model[0][3], -500, 500)))
 
 
@@ -101,7 +109,7 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
             found = score(_columns(batch), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return stats.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return stats.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def op9_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:

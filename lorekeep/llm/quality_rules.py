@@ -46,7 +46,7 @@ RULES = {
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
     "shouting": "n_upper / greatest(word_chars, 1)",
     "punctuation": "n_punct / greatest(word_chars, 1)",
-    "top_word": "CASE WHEN n_words >= 20 THEN n_top_word / n_words ELSE 0.0 END",
+    "top_word": "n_top_word / (n_words + 20)",  # so that a few words don't make an extreme share
 }
 
 

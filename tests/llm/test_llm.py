@@ -79,15 +79,17 @@ def test_suffix_dedup(docs, plain, empty):
             if first[b[i : i + 50]] < (-1 if doc is None else doc):
                 gone[i : i + 50] = b"\1" * 50
         want.append((doc, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-    got = [tuple(r)[:5] for r in suffix_dedup.dedup(docs).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, want)) and any(w[2] for w in want)
+    for parameters in ({}, {"hot": 2}):  # with the second, every anchor that recurs gets its finer key
+        got = [tuple(r)[:5] for r in suffix_dedup.dedup(docs, **parameters).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want)) and any(w[2] for w in want)
     assert suffix_dedup.dedup(empty).count() == 0
 
 
 def test_a_full_bitmap_changes_nothing(docs):
-    few = suffix_dedup.removed(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.hash("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")), bits=1 << 20)
-    none = np.full(1 << 17, 255, np.uint8)
-    assert suffix_dedup._may_recur(np.arange(99, dtype=np.uint64), none).all() and few.count() > 0
+    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.hash("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    wide, narrow = ({(r.doc_id, r.text_key): sorted(r.runs) for r in suffix_dedup.removed(rows, bits=bits).collect()} for bits in (1 << 22, 64))
+    assert wide == narrow and wide
+    assert suffix_dedup._holds(np.arange(99, dtype=np.uint64), np.full(8, 255, np.uint8)).all()
 
 
 # 2
@@ -137,6 +139,55 @@ def test_quality_rules_with_few_labels(spark):
     assert quality_rules.least_labels(0.02, 0.01) == 228 and not any(r.calibrated for r in few) and all(r.kept for r in few)
 
 
+def test_cutoffs_against_a_direct_search(spark):
+    """Cutoffs of strata with labels of their own for guides, and of one that takes the others' as guides, recounted row by row; and what they do to good documents that were not used."""
+    rng = random.Random(21)
+
+    def text(good):
+        w = prose(rng, rng.randint(20, 60)).split()
+        share = rng.choice([0, 0, 0, 0.02, 0.1]) if good else rng.choice([0.02, 0.3, 0.6, 0.9])
+        return " ".join(x + "###" if rng.random() < share else x.upper() if rng.random() < share / 2 else x for x in w)
+
+    rows = [(n, text(n % 5 > 0), "en" if n // 5 % 10 else "de", int(n % 5 > 0)) for n in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    used = df.filter("doc_id < 5000")
+    stats = _stats.text_stats(df, "doc_id", "lang", "quality").withColumn("fifth", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 0)
+    frame = stats.select("doc_id", "lang", "quality", "fifth", *(F.expr(x).alias(r) for r, x in quality_rules.RULES.items())).toPandas()
+    cutoffs, calibrated = quality_rules.calibrate(_stats.text_stats(used, "doc_id", "lang"), used.select("doc_id", "quality"), quality_rules.stratum_of())
+    assert calibrated == {"en", "de"}
+    seen, grid, size = frame[frame.doc_id < 5000], quality_rules.GRID, len(quality_rules.GRID)
+    want = {}
+    for name in calibrated:
+        mine = seen[seen.lang == name]
+        good, bad = mine[mine.quality == 1], mine[mine.quality == 0]
+        own = len(good) >= quality_rules.OWN * quality_rules.least_labels(quality_rules.RISK, 0.01)
+        guides = good[good.fifth] if own else seen[(seen.quality == 1) & (seen.lang != name)]
+        tested = good[~good.fifth] if own else good
+        assert own == (name == "en")
+        share = lambda part, rule, k: (part[rule] > grid[k]).sum() / len(part)
+        starts = {}
+        for rule in quality_rules.RULES:
+            gains = [share(bad, rule, k) - quality_rules.PRICE * share(guides, rule, k) for k in range(size)]
+            starts[rule] = size + (max(range(size), key=lambda k: (gains[k], k)) if max(gains) > 0 else size)
+        last = None
+        for step in range(2 * size + 1):
+            rejected = np.zeros(len(tested), bool)
+            for rule, start in starts.items():
+                if start - step < size:
+                    rejected |= (tested[rule] > grid[max(0, start - step)]).to_numpy()
+            if not quality_rules.is_safe(int(rejected.sum()), len(tested), quality_rules.RISK, 0.01):
+                break
+            last = step
+        for rule, start in starts.items():
+            gains = [(share(bad, rule, k) - quality_rules.PRICE * share(good, rule, k), grid[k]) for k in range(max(0, start - last), size)]
+            if gains and max(gains)[0] > 0:
+                want[name, rule] = max(gains)[1]
+    assert cutoffs == want and len(cutoffs) >= 2
+    fresh = frame[(frame.doc_id >= 5000) & (frame.quality == 1)]
+    lost = sum(any(row[rule] > cut for (name, rule), cut in cutoffs.items() if name == row["lang"]) for _, row in fresh.iterrows())
+    assert lost <= 0.04 * len(fresh)
+
+
 def test_steps_stop_at_the_first_that_is_not_safe():
     assert quality_rules.last_safe_step({3: 1, 4: 300}, 1000, 9, 0.02, 0.01) == 3
     assert quality_rules.last_safe_step({0: 300}, 1000, 9, 0.02, 0.01) is None
@@ -190,10 +241,14 @@ def test_targets_like_sharing_again_and_again(spark):
 
 def test_licenses(spark, docs, con, empty):
     odd = [(900, "Intro\nReleased under the MIT license\nmore"), (901, licenses.TEMPLATES["MIT"].lower()), (902, "Copyright 2020 A\n" + licenses.TEMPLATES["ISC"]), (903, "Released under no license at all, sorry"), (904, None), (905, ""), (906, "word " * 9000)]
+    rng, known = random.Random(5), licenses.templates()
+    broken = known["BSD-3-Clause"].replace(". ", ".\n\n").replace(", ", ",\n# ")
+    odd += [(907, prose(rng, 300) + "\n\n" + broken + "\n\n" + prose(rng, 500)), (908, "Copyright 2020 A. Licensed under CC BY-NC 4.0. All of it."), (909, prose(rng, 100) + known["Apache-2.0"] + prose(rng, 9000)), (910, known["GPL-3"][: len(known["GPL-3"]) // 3])]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     got = licenses.scan(more)
     found = {(r.doc_id, r.license) for r in got.collect()}
-    assert {(900, "MIT notice"), (901, "MIT"), (902, "ISC")} <= found and not {d for d, _ in found} & {903, 904, 905, 906}
+    assert {(900, "MIT notice"), (901, "MIT"), (902, "ISC"), (907, "BSD-3-Clause"), (908, "CC-BY-NC-4.0 notice"), (909, "Apache-2.0")} <= found
+    assert not {d for d, _ in found} & {903, 904, 905, 906} and (910, "GPL-3") not in found
     frame = more.toPandas()  # noqa: F841
     other = duckdb.connect()
     other.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text FROM frame")
@@ -208,6 +263,9 @@ def test_masks_hit_every_window():
     for n in range(decontaminate.LEAST, decontaminate.WINDOW):
         for bad in itertools.combinations(range(n), n - math.ceil(decontaminate.AGREE * n)):
             assert any(all(o + k not in bad for k, b in enumerate(m) if b == "1") for m in decontaminate.MASKS for o in range(n - len(m) + 1))
+    for n in range(1, decontaminate.LEAST):
+        for bad in itertools.combinations(range(n), n - math.ceil(decontaminate.AGREE * n - 1e-9)):
+            assert any(all(k not in bad for k, b in enumerate(m) if b == "1") for m in decontaminate.short_masks(n)) and all(len(m) == n for m in decontaminate.short_masks(n))
 
 
 def test_decontamination(spark, docs, empty):
@@ -231,6 +289,21 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(more, benchmark.limit(0)).count() == 0
 
 
+def test_short_benchmark_items(spark):
+    items = [(1, "what is a cat"), (2, "Yes."), (3, "name five very large rivers"), (4, "list the six most common words")]
+    rows = [(1, "Well, what is a CAT? " + "x " * 30), (2, "what is the cat"), (3, "yes and no"), (4, "name five very long rivers"), (5, "name five long wide rivers"), (6, "list the 6 most common words"), (7, "list 6 most common words"), (8, None)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        got = decontaminate.leaks(docs, benchmark, broadcast_seeds=most)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (3, 2), (4, 3), (6, 4)}
+        assert {r.doc_id for r in decontaminate.clean(docs, benchmark, broadcast_seeds=most).collect()} == {2, 3, 5, 7, 8}
+    frame, frame2 = docs.toPandas(), benchmark.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text FROM frame")
+    con.execute("CREATE TABLE benchmark AS SELECT item_id::BIGINT AS item_id, text FROM frame2")
+    same(decontaminate.leaks(docs, benchmark), con.execute(decontaminate.sql()))
+
+
 def test_decontamination_of_rows_without_doc_id(spark):
     rng = random.Random(9)
     item, other = prose(rng, 20), prose(rng, 30)
@@ -313,8 +386,10 @@ def test_components(spark):
 
 
 def test_prefixes_reach_the_recall():
-    x = jaccard_join.prefix_length()
-    assert 1 - (1 - 0.8**x) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (x + 1)) ** jaccard_join.TREES
+    last = jaccard_join.depths()[-1]
+    assert jaccard_join.depths() == [10, 8, 6] and jaccard_join.found_at(0.8, last) >= jaccard_join.RECALL > jaccard_join.found_at(0.8, last + 1)
+    for depth in jaccard_join.depths():
+        assert jaccard_join.found_at(jaccard_join.enough(0.8, depth), depth) >= jaccard_join.RECALL - 1e-9
 
 
 # 6 and 7
@@ -380,6 +455,13 @@ def test_token_counts(spark, docs, plain, tokenizer, empty):
         assert (r.n_docs, r.docs_longer, r.tokens_longer, r.tokens_truncated, r.tokens_total) == ((lengths == r.n_tokens).sum(), len(over), over.sum(), np.minimum(lengths, r.n_tokens).sum(), lengths.sum())
         assert r.quantile == pytest.approx((lengths <= r.n_tokens).mean())
     assert token_counts.answers(token_counts.lengths(empty)).count() == 0
+    limits = spark.createDataFrame([(0,), (3,), (int(lengths.max()) + 999,), (17,), (17,), (None,)], "n_tokens long")
+    asked = {r.n_tokens: r for r in token_counts.answers_for(token_counts.lengths(docs), limits).collect()}
+    assert set(asked) == {0, 3, lengths.max() + 999, 17}
+    for limit, r in asked.items():
+        assert (r.docs_longer, r.tokens_longer, r.tokens_truncated) == ((lengths > limit).sum(), lengths[lengths > limit].sum(), np.minimum(lengths, limit).sum())
+        assert r.quantile == pytest.approx((lengths <= limit).mean())
+    assert {(r.tokens_total, r.quantile) for r in token_counts.answers_for(token_counts.lengths(empty), limits).collect()} == {(0, None)}
 
 
 # 9 and 10
@@ -398,19 +480,44 @@ def test_quadratic(spark, docs, empty):
     assert quadratic.classify(empty, labels).count() == 0
 
 
+def test_quadratic_against_direct_densities(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(("Word" if k % 2 else "w#rd,")[: int(n)] for n in rng.integers(1, 5, int(rng.integers(5, 40)))), k % 2) for k in range(200)]
+    rows += [rows[7], rows[8], (900, rows[6][1], 0), (901, None, 1), (902, "long " * 30000, 1)]  # repeated rows, equal texts, odd texts
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quadratic.classify(df, df.select("doc_id", "quality")).collect()
+    x = quadratic.features({n: np.array(v) for n, v in zip(_stats.NAMES, zip(*_stats.rows(pa.array([r[1] for r in rows], pa.string()))))})
+    learned = np.array([zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows])
+    mark = np.array([r[2] for r in rows])
+    cov = {k: np.cov(x[learned & (mark == k)].T, bias=True) for k in (0, 1)}
+    n = {k: (learned & (mark == k)).sum() for k in (0, 1)}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    pooled += np.diag(np.diag(pooled) * 0.01 + 1e-4)
+    log = {}
+    for k in (0, 1):
+        own = (1 - quadratic.SHRINK) * cov[k] + quadratic.SHRINK * pooled
+        own = (1 - quadratic.DIAGONAL) * own + quadratic.DIAGONAL * np.diag(np.diag(own)) + 1e-4 * np.eye(len(own))
+        y = x - x[learned & (mark == k)].mean(0)
+        log[k] = -0.5 * (np.einsum("ij,jk,ik->i", y, np.linalg.inv(own), y) + np.linalg.slogdet(own)[1])
+    odds = quadratic.TEMPER * (log[1] - log[0]) + np.log(n[1]) - np.log(n[0])
+    want = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    near = lambda pairs: [(k, round(v, 6)) for k, v in sorted(pairs)]
+    assert near((r.doc_id, r.score) for r in got) == near((r[0], float(v)) for r, v in zip(rows, want))
+
+
 def test_forward_sums_all_segmentations():
     path = language_id.default_path()
     model = np.random.default_rng(1).uniform(1e-4, 1e-2, (len(language_id.vocabulary(path)[0]) + 1, 2))
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = sorted(x for x in {sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k))} if len(x) <= language_id.LONGEST)
+    names = sorted(x for x in {sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k))})
     number = {x: k for k, x in enumerate(names)}
 
     def total(word):
         if not word:
             return 1.0
-        return sum(model[number.get(word[:n], -1)] * total(word[n:]) for n in range(1, min(len(word), language_id.LONGEST) + 1) if n == 1 or word[:n] in number)
+        return sum(model[number.get(word[:n], -1)] * total(word[n:]) for n in range(1, len(word) + 1) if n == 1 or word[:n] in number)
 
     for word in ("the", "straße", "汉字x", "a", "reading"):
         assert np.exp(language_id.word_scores([word], model, path)[0]) == pytest.approx(total("▁" + word))
@@ -465,6 +572,33 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
+# All
+
+
+def test_very_long_texts_ties_and_clashing_names(spark, tokenizer):
+    rng = random.Random(31)
+    long = prose(rng, 20000)
+    rows = [(1, long, "en", "a"), (2, long + " end", "de", "a"), (3, "x" * 300_000, "en", None), (4, "汉" * 20_000, None, "b"), (5, long, "en", "b"), (5, long, "en", "b"), (6, "\n" * 50_000 + "one", "fr", "b"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("document", "copies", "member", "component", "signature", "tokens", "item", "found", "held_out", "stratum", "text_key", "size", "mix_source", "quality", "runs"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1)], "doc_id long, quality int")
+    benchmark = spark.createDataFrame([(9, " ".join(long.split()[15000:15020]))], "item_id long, text string")
+    verdicts = {r.doc_id: r for r in quality_rules.rule_verdicts(docs, labels).collect()}
+    assert verdicts[1].n_words == 20000 and verdicts[3].word_chars == 300_000 and verdicts[None].n_words == 0
+    assert {r.doc_id for r in decontaminate.leaks(docs, benchmark).collect()} == {1, 2, 5}
+    classes = [(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard_join.join(docs).collect()]
+    assert sorted(classes, key=str) == sorted([(1, 1, 1, 3), (2, 1, 1, 1), (3, 3, 0, 1), (4, 4, 0, 1), (5, 1, 1, 3), (5, 1, 1, 3), (6, 6, 0, 1), (None, None, 0, 1)], key=str)
+    assert {r["size"] for r in mixing.plan(docs.drop("size")).collect()} == {20000, 20001, 1, 0}
+    want = Counter(len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in rows)
+    assert {r.n_tokens: r.n_docs for r in token_counts.lengths(docs).collect()} == want
+    assert len(quadratic.classify(docs, labels).collect()) == len(rows) and len({r.score for r in quadratic.classify(docs, labels).collect() if r.doc_id in (1, 5)}) == 1
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}[None] == "und"
+    assert suffix_dedup.dedup(docs).count() == len(rows) and licenses.scan(docs).count() == 0
+    for kept in (quality_rules.keep(docs, labels), jaccard_join.keep_one(docs), decontaminate.clean(docs, benchmark), mixing.mix(docs.drop("size"))):
+        assert set(kept.columns) <= set(docs.columns) and kept.count() > 0
+
+
 # The pipeline
 
 
