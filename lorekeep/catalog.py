@@ -103,9 +103,9 @@ def with_ctx(entries: DataFrame) -> DataFrame:
 
 
 def keyword_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The kept index of the entries (with phrases, ctx and path) and its statistics."""
+    """The kept index of the entries (with phrases and ctx) and its statistics."""
     entries, source = with_ctx(sample_entries(spark, sf_dir)), table(spark, sf_dir, "documents")
-    index = maintained("keyword index", source, lambda: keyword.ordered(keyword.postings(entries, phrases=True, keep=("ctx", "path"))))
+    index = maintained("keyword index", source, lambda: keyword.ordered(keyword.postings(entries, phrases=True, keep=("ctx",))))
     return index, maintained("keyword statistics", source, lambda: keyword.corpus_stats(entries))
 
 
@@ -277,8 +277,7 @@ path_hits AS (SELECT h.query_id, h.id, h.score FROM (SELECT * FROM hits_f UNION
 @query(f"WITH {E}, {PLANS}, {PATH_HITS} SELECT query_id, id, round(score, 6) AS score FROM path_hits")
 def source_path_search(spark, sf_dir):
     paths = planner.planned(search_texts(spark, sf_dir)).filter("is_path")
-    asked = [r["ctx"] for r in with_ctx(sample_entries(spark, sf_dir)).select("ctx").distinct().collect()]
-    return search.keyword_hits(paths, *keyword_index(spark, sf_dir), asked, 20).select("query_id", "id", F.round("score", 6).alias("score"))
+    return keyword.planned(paths, *keyword_index(spark, sf_dir), 20).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 # Vectors
@@ -330,7 +329,7 @@ def two_lists(spark, sf_dir, size: int = 100) -> DataFrame:
     """(query_id, list_no, rank, id, path): the keyword list and the vector list over the whole bank."""
     entries = sample_entries(spark, sf_dir)
     hits = keyword.any_of(raw_searches(spark, sf_dir), *keyword_index(spark, sf_dir))
-    words = keyword.ranked(hits, size, "query_id").select("query_id", F.lit(0).alias("list_no"), "rank", "id", "path")
+    words = keyword.ranked(hits, size, "query_id").join(entries.select("id", "path"), "id").select("query_id", F.lit(0).alias("list_no"), "rank", "id", "path")
     near = vector.knn(entries, search_vectors(spark, sf_dir), size).join(entries.select("id", "path"), "id").select("query_id", F.lit(1).alias("list_no"), "rank", "id", "path")
     return words.unionByName(near)
 

@@ -44,24 +44,27 @@ def corpus_stats(entries: DataFrame) -> DataFrame:
     return entries.select(sum(F.size(tokens(c)) for c in WEIGHTS).alias("n")).agg(F.count("*").alias("n_entries"), F.avg("n").alias("mean_tokens"))
 
 
-def scores(terms: DataFrame, index: DataFrame, stats: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """BM25 of the entries that hold some of a query's terms: from (query_id, term) rows, (query_id, id, *kept, score, n_terms).
+def scores(terms: DataFrame, index: DataFrame, stats: DataFrame, weights: list[dict[str, float]] | None = None, contexts: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """BM25 of the entries that hold some of a query's terms: from (query_id, *keys, term) rows, (query_id, *keys, id, score, n_terms); with contexts only theirs, and ctx.
 
-    weights: of the columns that are searched. The index is cut to the terms that are asked for before anything is shuffled; document frequencies come from that
-    cut. A term that a query repeats counts as often; n_terms is the number of different ones.
+    weights: of the columns that are searched; where there are several, terms have a column `searched` with the number of theirs. The index is cut to the terms that
+    are asked for before anything is shuffled; document frequencies come from that cut, of all contexts. A term that a query repeats counts as often; n_terms is the
+    number of different ones.
     """
-    weights = weights or WEIGHTS
-    terms = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    f = sum(F.col(f"f_{c}") * w for c, w in weights.items())
-    cut = index.join(F.broadcast(terms.select("term").distinct()) if _few(terms) else terms.select("term").distinct(), "term").withColumn("f", f).filter("f > 0").drop(*(f"f_{c}" for c in WEIGHTS))
-    found = cut.join(cut.groupBy("term").agg(F.count("*").alias("df")), "term")
+    weights, kept = weights or [WEIGHTS], [] if contexts is None else ["ctx"]
+    terms = terms if "searched" in terms.columns else terms.withColumn("searched", F.lit(0))
+    terms = terms.groupBy("query_id", *keys, "searched", "term").agg(F.count("*").alias("times"))
+    asked = terms.select("term", "searched").distinct()
+    f = F.coalesce(*(F.when(F.col("searched") == k, sum(F.col(f"f_{c}") * w for c, w in own.items())) for k, own in enumerate(weights)))
+    cut = index.join(F.broadcast(asked) if _few(terms) else asked, "term").select("term", "searched", "id", *kept, "n_tokens", f.alias("f")).filter("f > 0")
+    counts = cut.groupBy("term", "searched").agg(F.count("*").alias("df"))
+    inside = cut if contexts is None else cut.filter(F.col("ctx").isin(*contexts))
     known = stats.first()
     n, mean = known["n_entries"], known["mean_tokens"] or 1.0
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / mean))
-    kept = [c for c in index.columns if c not in ("id", "term", "n_tokens", *(f"f_{c}" for c in WEIGHTS))]
-    hits = terms.join(found.select("term", "id", *kept, part.alias("part")), "term")
-    return hits.groupBy("query_id", "id", *kept).agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.count("*").alias("n_terms"))
+    factors = terms.join(counts, ["term", "searched"]).select("query_id", *keys, "term", "searched", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("times") * (K1 + 1)).alias("factor"))
+    part = F.col("factor") * F.col("f") / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / mean))
+    return inside.join(factors, ["term", "searched"]).groupBy("query_id", *keys, "id", *kept).agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))
 
 
 #: Different terms up to which they are sent to every task.
@@ -80,7 +83,7 @@ def ranked(rows: DataFrame, limit: int, *by: str, score: str = "score", tie: tup
 
 def any_of(queries: DataFrame, index: DataFrame, stats: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Entries with some of the terms; queries: (query_id, terms)."""
-    return scores(queries.select("query_id", F.explode("terms").alias("term")), index, stats, weights)
+    return scores(queries.select("query_id", F.explode("terms").alias("term")), index, stats, [weights or WEIGHTS])
 
 
 def all_of(queries: DataFrame, index: DataFrame, stats: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -89,18 +92,23 @@ def all_of(queries: DataFrame, index: DataFrame, stats: DataFrame, weights: dict
     return any_of(queries, index, stats, weights).join(wanted, "query_id").filter("n_terms = wanted").drop("wanted")
 
 
-def planned(queries: DataFrame, index: DataFrame, stats: DataFrame, limit: int, groups: DataFrame | None = None, *by: str) -> DataFrame:
-    """Hits of planned queries (query_id, every, some, fallback, n_content), with fell_back.
+#: Columns that texts, paths, and paths with a section are looked for in.
+SEARCHED = (WEIGHTS, {"source_file": WEIGHTS["source_file"]}, {c: WEIGHTS[c] for c in ("source_file", "section")})
 
-    all_of(every), or any_of(some) where there is no every. Where all_of finds at most max(n_content, limit) entries and there is a fallback, any_of(fallback) replaces it: in each of
-    the groups (rows of the columns `by`, which the index carries) apart, those without a hit included.
+
+def planned(plans: DataFrame, index: DataFrame, stats: DataFrame, limit: int, contexts: list[str] | None = None) -> DataFrame:
+    """Hits (query_id, id, score, fell_back) of plans (query_id, is_path, has_section, every, some, fallback, n_content); with contexts only theirs, and ctx.
+
+    A hit has all of `every`, or some of `some` where there is no every. Where at most max(n_content, limit) entries have all of it and there is a fallback, entries with
+    some of that replace them: in each context apart. Both sides are scored in one pass over the index.
     """
-    strict = all_of(queries.filter(F.size("every") > 0).select("query_id", F.col("every").alias("terms")), index, stats)
-    loose = any_of(queries.filter(F.size("some") + F.size("fallback") > 0).select("query_id", F.when(F.size("every") > 0, F.col("fallback")).otherwise(F.col("some")).alias("terms")), index, stats)
-    spots = queries.select("query_id", "every", "fallback", "n_content")
-    spots = spots if groups is None else spots.join(F.broadcast(groups.limit(BROADCAST_TERMS)))
-    spots = spots.join(strict.groupBy("query_id", *by).agg(F.count("*").alias("n")), ["query_id", *by], "left")
-    weak = (F.size("fallback") > 0) & (F.coalesce("n", F.lit(0)) <= F.greatest("n_content", F.lit(limit)))
-    use = spots.select("query_id", *by, (F.size("every") > 0).alias("has_every"), weak.alias("fell_back"))
-    both = strict.withColumn("loose", F.lit(False)).unionByName(loose.withColumn("loose", F.lit(True)))
-    return both.join(use, ["query_id", *by]).filter(F.col("loose") == (F.col("fell_back") | ~F.col("has_every"))).drop("loose", "has_every")
+    searched = F.when(F.col("has_section"), 2).when(F.col("is_path"), 1).otherwise(0).alias("searched")
+    strict = plans.select("query_id", F.lit(False).alias("loose"), searched, F.explode("every").alias("term"))
+    loose = plans.select("query_id", F.lit(True).alias("loose"), searched, F.explode(F.concat("some", "fallback")).alias("term"))
+    hits = scores(strict.unionByName(loose), index, stats, list(SEARCHED), contexts, ("loose",))
+    sizes = plans.select("query_id", "n_content", F.size(F.array_distinct("every")).alias("wanted"), (F.size("fallback") > 0).alias("may_fall"))
+    whole = ~F.col("loose") & (F.col("n_terms") == F.col("wanted"))
+    group = Window.partitionBy("query_id", *(() if contexts is None else ("ctx",)))
+    rows = hits.join(sizes, "query_id").filter(F.col("loose") | whole)  # those that may be left
+    rows = rows.withColumn("fell_back", F.col("may_fall") & (F.count_if(~F.col("loose")).over(group) <= F.greatest("n_content", F.lit(limit))))
+    return rows.filter(F.col("loose") == (F.col("fell_back") | (F.col("wanted") == 0))).drop("loose", "n_terms", "n_content", "wanted", "may_fall")

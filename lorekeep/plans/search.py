@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import fusion, keyword, snippets, vector
 from lorekeep.plans import planner
+from lorekeep.sources.tables import saved
 
 
 @dataclass(frozen=True)
@@ -27,19 +28,6 @@ class Parameters:
     sum_of_scores: bool = False
 
 
-def keyword_hits(plans: DataFrame, index: DataFrame, stats: DataFrame, asked: list[str], limit: int) -> DataFrame:
-    """Hits (query_id, ctx, path, id, score) of planned texts in the contexts `asked`. The index has ctx and path; statistics are the whole bank's.
-
-    Texts follow their plan in each context apart; a path is looked for in the files' names, and with a section in the sections.
-    """
-    groups = index.sparkSession.createDataFrame([(c,) for c in asked], "ctx string")
-    hits = keyword.planned(plans.filter("NOT is_path"), index, stats, limit, groups, "ctx").drop("fell_back", "n_terms")
-    for has_section, columns in ((False, ("source_file",)), (True, ("source_file", "section"))):
-        paths = plans.filter(F.col("is_path") & (F.col("has_section") == has_section)).select("query_id", F.col("every").alias("terms"))
-        hits = hits.unionByName(keyword.all_of(paths, index, stats, {c: keyword.WEIGHTS[c] for c in columns}).filter(F.col("ctx").isin(*asked)).drop("n_terms"))
-    return hits
-
-
 def near_entries(inside: DataFrame, vectors: DataFrame, size: int, alpha: float) -> DataFrame:
     """The nearest entries (query_id, ctx, path, id, score) of each context: by content, or where entries have structure vectors by both, alpha of content."""
     by, tie = ("ctx",), ("path", "id")
@@ -54,18 +42,20 @@ def hybrid(entries: DataFrame, queries: DataFrame, vectors: DataFrame, asked: li
     """Search the contexts `asked` (keys of the column ctx) for all queries at once.
 
     entries: with id, hash, ctx, path, source_file, section, value, embedding, chunk_index, and structure_embedding if there are any; queries: (query_id, text); vectors: (query_id, vector).
-    index and stats: keyword.postings with phrases, ctx and path, and keyword.corpus_stats, where they are kept. In each context the keyword and the vector list are fused by
+    index and stats: keyword.postings with phrases and ctx, and keyword.corpus_stats, where they are kept. In each context the keyword and the vector list are fused by
     rank, the contexts' lists by rank again, then files' neighbours support each other (not for paths, where the chunk that is named is the answer), weak
     neighbours of a file's best chunk are merged away, and min_score and limit apply. A weight of 0 leaves a list out.
     Returns (query_id, id, ranking, rank).
     """
     size = planner.window(p.limit, p.narrow_window)
-    inside, plans, lists = entries.filter(F.col("ctx").isin(*asked)), planner.planned(queries), []
+    inside, lists = entries.filter(F.col("ctx").isin(*asked)), []
+    plans = entries.sparkSession.read.parquet(saved(planner.planned(queries)))  # small, and read by several joins
     if p.keyword_weight:
         try:
-            index = keyword.postings(entries, phrases=True, keep=("ctx", "path")) if index is None else index
-            hits = keyword_hits(plans, index, keyword.corpus_stats(entries) if stats is None else stats, asked, p.limit)
-            lists.append(keyword.ranked(hits, size, "query_id", "ctx").withColumns({"list_no": F.lit(0), "weight": F.lit(p.keyword_weight)}))
+            index = keyword.postings(entries, phrases=True, keep=("ctx",)) if index is None else index
+            hits = keyword.planned(plans, index, keyword.corpus_stats(entries) if stats is None else stats, p.limit, asked)
+            best = keyword.ranked(hits, size, "query_id", "ctx").join(inside.select("id", "path"), "id")
+            lists.append(best.withColumns({"list_no": F.lit(0), "weight": F.lit(p.keyword_weight)}))
         except AnalysisException:  # an index that lacks what is asked of it: the vector list goes on alone, but not silently
             logging.getLogger(__name__).exception("keyword search failed; only vectors are searched")
     if p.vector_weight:
