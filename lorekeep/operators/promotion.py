@@ -34,42 +34,23 @@ PRIORS = {
 # Patterns of the text features.
 WORD = r"[A-Za-z][A-Za-z0-9_\-']*"
 TURN_MARKUP = r"(?i)</?(invoke|parameter|content|sourceFile|antml:invoke|function_calls)\b|<invoke\s+name=|<parameter\s+name="
-RULE_LANGUAGE = (
-    r"(?i)\bnever\b|\balways\b|\bmust (?:still |be |not |name|make|raise)|\bdo not\b|\bdon't\b|\bdoes not\b(?=[^.]{0,40}\b(?:index|need|cover|apply))|\bprefer\b|\binvariant\b|\btraps?\b|\bgotchas?\b|\bbeware\b"
-    r"|\bmitigations?\b|\bworkarounds?\b|\brule\b|\bcontract\b|\bfuture (?:session|audit|reader|maintainer)|\bbefore proposing\b|\bnot (?:evidence|drift|duplication|debt)\b|\bis correct output\b"
-    r"|\bread (?:that|this|it) (?:comment |note )?before\b|\brecorded here\b|\bso nobody\b|\bexempt\b|\bby design\b|\bdeliberate(?:ly)?\b|\bon purpose\b|\brequired\b|\bsilently\b|\bfails? open\b|\bworse than\b"
-)
-MEASURE_WORDS = (
-    r"(?i)\bmeasured\b|\bbest-of-\d|\bwall (?:clock|time)\b|\bbenchmark(?:ed|dotnet)?\b|\bobserved\b|\breproduc(?:ed|ible)\b|\bverified independently\b|\bp9[59]\b|\bthroughput\b|\bpeak rss\b|\bpassed?\b\s*\d"
-    r"|\bnDCG\b|\brecall@|\bMRR\b"
-)
+RULE_LANGUAGE = r"(?i)\bnever\b|\balways\b|\bmust (?:still |be |not |name|make|raise)|\bdo not\b|\bdon't\b|\bdoes not\b(?=[^.]{0,40}\b(?:index|need|cover|apply))|\bprefer\b|\binvariant\b|\btraps?\b|\bgotchas?\b|\bbeware\b|\bmitigations?\b|\bworkarounds?\b|\brule\b|\bcontract\b|\bfuture (?:session|audit|reader|maintainer)|\bbefore proposing\b|\bnot (?:evidence|drift|duplication|debt)\b|\bis correct output\b|\bread (?:that|this|it) (?:comment |note )?before\b|\brecorded here\b|\bso nobody\b|\bexempt\b|\bby design\b|\bdeliberate(?:ly)?\b|\bon purpose\b|\brequired\b|\bsilently\b|\bfails? open\b|\bworse than\b"
+MEASURE_WORDS = r"(?i)\bmeasured\b|\bbest-of-\d|\bwall (?:clock|time)\b|\bbenchmark(?:ed|dotnet)?\b|\bobserved\b|\breproduc(?:ed|ible)\b|\bverified independently\b|\bp9[59]\b|\bthroughput\b|\bpeak rss\b|\bpassed?\b\s*\d|\bnDCG\b|\brecall@|\bMRR\b"
 NUMBER_WITH_UNIT = r"(?i)\b\d+(?:[.,]\d+)?\s?(?:ms|s|sec|secs|seconds|m|min|mb|gb|kb|%|×|x|tokens?)\b|\b\d+(?:[.,]\d+)?\s?(?:tests?|chunks?|packages?|lines?|files?|commits?)\b"
-EPHEMERA = (
-    r"(?i)\bAC:|\bGate(?:s)?:|\bacceptance criteria\b|\beffort:|\bimpact:|\bevidence:\s*(?:MEASURED|INFERRED)|\bworktree\b|\bwave \d|\bsub-?agents?:|\bpersona\s*/\s*model|\bcloses:|\bdispatch(?:ed|ing)?\b"
-    r"|\bTDD: (?:yes|no)\b|\bowner (?:ruling|action|requirement)\b|\brisk if deferred\b|\breviewer lane\b|\blens (?:a\d|of)\b|\bthis lens\b|\bread-only (?:review|audit)\b|\bout of scope for\b|\bfollow-?ups? §"
-    r"|\bstatus:\s*(?:executed|open|verified)\b|\bPR #\d+|\bissue #\d+|\bPRs? #\d+|\b#\d{3,}\b"
-)
+EPHEMERA = r"(?i)\bAC:|\bGate(?:s)?:|\bacceptance criteria\b|\beffort:|\bimpact:|\bevidence:\s*(?:MEASURED|INFERRED)|\bworktree\b|\bwave \d|\bsub-?agents?:|\bpersona\s*/\s*model|\bcloses:|\bdispatch(?:ed|ing)?\b|\bTDD: (?:yes|no)\b|\bowner (?:ruling|action|requirement)\b|\brisk if deferred\b|\breviewer lane\b|\blens (?:a\d|of)\b|\bthis lens\b|\bread-only (?:review|audit)\b|\bout of scope for\b|\bfollow-?ups? §|\bstatus:\s*(?:executed|open|verified)\b|\bPR #\d+|\bissue #\d+|\bPRs? #\d+|\b#\d{3,}\b"
 SUPERSEDED = r"(?i)\bsupersed(?:ed|es|ing)\b|\bhistorical note\b|\bno longer\b|\bwas (?:reversed|retracted)\b|\bhistorical\)|\bthis was resolved\b|\bhas now (?:fired|lapsed)\b|\bpreviously lived\b"
 FINDING_ROW = r"(?m)^\s*\|\s*\**\s*[A-Z]{1,3}[-]?\d{1,3}\b"
 LINK = r"\]\("
 DOC_NAME = r"[\w.\-/]+\.md\b"
 FRONTMATTER = r"(?m)^---\s*\nupdated:"
 VERSION_ROW = r"(?m)^\s*\|\s*\d+\.\d+"
-STATUS_OPENER = (
-    r"(?i)^\s*(Done\b|Fixed\b|Verified\b|Merged\b|Pinned\b|Recorded\b|Rendered\b|All confirmed|Status\b|Prep done|Shell ready|Task closed|Cleanup complete|Amended\b|Locked in|Draft PR|Fresh verification|No code has changed"
-    r"|f: |Implementation in flight|Extension complete|Rollout complete|Both\b|Ad-hoc verification|Render(?:\s|ing)|Plan written|Software MoE|From\b|Here.s the current|PR[- #]|\*\*1\.)"
-)
-STATUS_WORDS = (
-    r"(?i)\b(merged|pushed|re-pushed|in flight|worktree|pre-push|gate chain|full suite|suite green|passed\b|skipped\b|exit 0|handed over|dispatched|still working|waiting on|re-run|rebased|cherry-pick|draft PR|ready for review"
-    r"|cron job|status board|deliverable|committed as|origin/main|HEAD|CI checks)\b"
-)
+STATUS_OPENER = r"(?i)^\s*(Done\b|Fixed\b|Verified\b|Merged\b|Pinned\b|Recorded\b|Rendered\b|All confirmed|Status\b|Prep done|Shell ready|Task closed|Cleanup complete|Amended\b|Locked in|Draft PR|Fresh verification|No code has changed|f: |Implementation in flight|Extension complete|Rollout complete|Both\b|Ad-hoc verification|Render(?:\s|ing)|Plan written|Software MoE|From\b|Here.s the current|PR[- #]|\*\*1\.)"
+STATUS_WORDS = r"(?i)\b(merged|pushed|re-pushed|in flight|worktree|pre-push|gate chain|full suite|suite green|passed\b|skipped\b|exit 0|handed over|dispatched|still working|waiting on|re-run|rebased|cherry-pick|draft PR|ready for review|cron job|status board|deliverable|committed as|origin/main|HEAD|CI checks)\b"
 SECOND_PERSON = r"(?i)\b(your|you'll|you can|as instructed|per your)\b"
 COMMIT = r"(?i)\b[0-9a-f]{7,10}\b"
 TEST_COUNTS = r"(?i)\b\d+\s*(passed|failed|skipped|errors|warnings|green|assertions?)\b|\bexit 0\b|\b\d+/\d+\b"
 MEASURE = r"\d+(?:\.\d+)?\s*(?:s|ms|x|%|lines?|KB|MB|GB|tokens?)\b"
-DURABLE = (
-    r"(?i)\[facts\]|\bREGRESSION\b|\bgotcha\b|\broot cause\b|\brequires?\b|\bmust\b|\bnever\b|\balways\b|\bconvention\b|\bone \w+ per \w+|\bholds\b|\bby design\b|\bcontract\b|\bprecedence\b|\bsemantics\b"
-)
+DURABLE = r"(?i)\[facts\]|\bREGRESSION\b|\bgotcha\b|\broot cause\b|\brequires?\b|\bmust\b|\bnever\b|\balways\b|\bconvention\b|\bone \w+ per \w+|\bholds\b|\bby design\b|\bcontract\b|\bprecedence\b|\bsemantics\b"
 DATED_FACT = r"\(\d{4}-\d{2}-\d{2}\)[:,]"
 
 FLOOR, CANDIDATES = 0.4, 20
@@ -166,22 +147,22 @@ def archetype(n_markup: Column | None = None) -> Column:
     n_markup = F.regexp_count("value", F.lit("(?U)" + TURN_MARKUP)) if n_markup is None else n_markup
     path = F.lower(F.coalesce("path", F.lit("")))
     name = basename(path)
-    inside = lambda *parts: reduce(lambda a, b: a | b, (path.contains(f"/{p}") for p in parts))
+    inside = lambda *parts: reduce(lambda a, b: a | b, (path.contains(p) for p in parts))
     named = lambda *parts: reduce(lambda a, b: a | b, (name.contains(p) for p in parts))
     rules = [
         ("turn-mirror", n_markup >= 2),
         ("organic-note", (F.coalesce("source_file", F.lit("")) == "") | name.rlike(r"(?i)^[0-9a-f]{32,}\.md$")),
         ("doc-index", name.isin("readme.md", "changelog.md", "index.md")),
-        ("adr", inside("adr/", "decisions/") | name.rlike(r"^\d{4}-") & ~name.rlike(r"^\d{4}-\d{2}-\d{2}")),
+        ("adr", inside("/adr/", "/decisions/") | name.rlike(r"^\d{4}-") & ~name.rlike(r"^\d{4}-\d{2}-\d{2}")),
         ("charter", named("charter")),
-        ("explanation", inside("explanation/", "design/") | named("architecture")),
-        ("plan", inside("plans/") | name.startswith("plan") | named("-plan") | name.endswith("plan.md")),
-        ("review", inside("reviews/") | named("review", "moe-", "findings", "incident") | name.rlike(r"^[a-z]\d+-")),
+        ("explanation", inside("/explanation/", "/design/") | named("architecture")),
+        ("plan", inside("/plans/") | name.startswith("plan") | named("-plan") | name.endswith("plan.md")),
+        ("review", inside("/reviews/") | named("review", "moe-", "findings", "incident") | name.rlike(r"^[a-z]\d+-")),
         ("measurement", named("sweep", "benchmark", "-perf", "perf-")),
-        ("research-synthesis", inside("archive/") | named("research", "synthesis", "report")),
-        ("reference", inside("reference/", "how-to/", "tutorial/")),
-        ("catalog-page", inside("guide") | name.isin("skills.md", "getting-started.md", "glossary.md")),
-        ("changelog-entry", inside("changelog/", "releases/")),
+        ("research-synthesis", inside("/archive/") | named("research", "synthesis", "report")),
+        ("reference", inside("/reference/", "/how-to/", "/tutorial/")),
+        ("catalog-page", inside("/guide") | name.isin("skills.md", "getting-started.md", "glossary.md")),
+        ("changelog-entry", inside("/changelog/", "/releases/")),
     ]
     out = F.when(rules[0][1], rules[0][0])
     for tag, holds in rules[1:]:

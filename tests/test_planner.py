@@ -21,6 +21,19 @@ def test_plans(text, plan):
     assert p.build(text) == plan
 
 
+def test_plans_of_a_table(spark):
+    texts = ["what is the", "Kubernetes", "and or not near", "cache and index", "how does the button style work", "one two three four five the", "", "docs/Guide.md", " docs/a.md#getting-started ", "see docs/a.md now", "A.TXT#x", None]
+    for r in p.planned(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")).collect():
+        text = texts[r.query_id] or ""
+        plan = p.path_plan(text) or p.build(text)
+        assert (tuple(r.every), tuple(r.some), tuple(r.fallback), r.n_content) == (plan.every, plan.some, plan.fallback, plan.n_tokens), text
+        assert bool(r.is_path) == (p.path_plan(text) is not None) and bool(r.has_section) == (plan.columns == ("source_file", "section"))
+
+
+def test_access():
+    assert p.allowed("ro", None, "read") and not p.allowed("ro", "full", "write") and p.allowed(None, "full", "destructive") and not p.allowed(None, None, "destructive") and p.allowed("odd", None, "write")
+
+
 def test_paths():
     assert p.path_plan("docs/Guide.md").every == ("docs", "guide", "md")
     assert p.path_plan("docs/a.md#getting-started").every == ("docs", "a", "md", "getting started")
