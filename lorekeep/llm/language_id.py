@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm._shared import PIECE, decoded, documents, lean, stash
 
-#: Expected rows per language that are learned from.
-SAMPLE = 2000
+#: Expected rows per language that are learned from, and most languages: the model is sent to every task.
+SAMPLE, LANGUAGES = 2000, 500
 #: About how many words a task remembers the scores of; beyond, it starts anew.
 REMEMBERED = 500_000
 ROUNDS, BLOCK, STRIDE = 2, 32, 4096
@@ -254,7 +254,10 @@ def has_letter(text: str) -> bool:
 
 def train(rows: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """From rows (doc_id, text, lang): the languages and their piece probabilities, a row per piece and a last one for unknown characters."""
-    sizes = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages, each of which is a column of the model")
+    sizes = {x["lang"]: x["n"] for x in found}
     languages = sorted(sizes)
     n_pieces = len(vocabulary(path)[0])
     if not languages:
