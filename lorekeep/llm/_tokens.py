@@ -18,8 +18,8 @@ from lorekeep.llm._shared import KEPT
 # Fixed value: how the byte-level vocabulary's pre-tokenizer splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most units of text that a worker remembers in each of two generations: when the newer is full it becomes the older, from which units that recur
-#: come back. PARTS is for the parts that units consist of. About 150 bytes each, so some 100 MB in all.
-REMEMBERED, PARTS = 250_000, 250_000
+#: come back. PARTS is for the parts that units consist of, likewise. About 130 bytes each, so some 200 MB in all, which other stages drop.
+REMEMBERED, PARTS = 450_000, 300_000
 #: A longer unit is not remembered.
 LONGEST = 40
 
@@ -41,11 +41,11 @@ class _Unclear(Exception):
     pass
 
 
-class _Units(dict):
-    """Ids, as bytes, of the pieces of text behind single spaces; each is encoded when first asked for."""
+class _Remembered(dict):
+    """Ids, as bytes, of pieces of text; each is encoded when first asked for, and forgotten when two generations of others have come since it was last met."""
 
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
+    def __init__(self, encode, most: int):
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
@@ -53,7 +53,7 @@ class _Units(dict):
             found = self.encode(piece)
             if len(piece) > LONGEST:
                 return found
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = found
@@ -80,9 +80,8 @@ class Encoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = os.path.commonprefix(self.special)[:1]  # what all of them start with, maybe nothing
         self.find = regex.compile(PATTERN).findall
-        self.after = _Units(self._after)
+        self.after, self.parts = _Remembered(self._after, REMEMBERED), _Remembered(self._part, PARTS)
         self.words_are_plain = not any(map(str.isalpha, self.special))
-        self.parts: dict[str, bytes] = {}
         made = json.loads(self.tokenizer.to_str())
         split, model = made.get("pre_tokenizer") or {}, made["model"]
         self.usual = (
@@ -94,15 +93,8 @@ class Encoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            written = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_LETTER)
-            found = array(self.kind, map(_ID, self.model.tokenize(written))).tobytes()
-            if len(part) <= LONGEST:
-                if len(self.parts) >= PARTS:
-                    self.parts.clear()
-                self.parts[part] = found
-        return found
+        written = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_LETTER)
+        return array(self.kind, map(_ID, self.model.tokenize(written))).tobytes()
 
     def _piece(self, before: str, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace() or _UNSURE.search(piece):
@@ -110,17 +102,17 @@ class Encoder:
         return self._unit(before + piece)
 
     def _after(self, piece: str) -> bytes:
-        return self._part(" " + piece) if self.words_are_plain and piece.isalpha() else self._piece(" ", piece)
+        return self.parts[" " + piece] if self.words_are_plain and piece.isalpha() else self._piece(" ", piece)
 
     def _unit(self, unit: str) -> bytes:
         if self.mark in unit and any(x in unit for x in self.special):
             raise _Unclear
         word = unit[unit[0] == " " :]
         if word.isalpha():
-            return self._part(unit)
+            return self.parts[unit]
         if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return self._part(unit[:-1]) + self._part(unit[-1])
-        return b"".join(map(self._part, self.find(unit)))
+            return self.parts[unit[:-1]] + self.parts[unit[-1]]
+        return b"".join(map(self.parts.__getitem__, self.find(unit)))
 
     def ids(self, text: str) -> bytes:
         """Little-endian ids of dtype."""
