@@ -4,12 +4,11 @@ A document is its set of 5-word shingles; two are linked if the sets' Jaccard si
 
 1. Copies of a text are one member, named by the smallest doc_id; nothing below sees the others. A member's signature is one
    byte of the least value of each of TREES x DEPTH hash functions; DEPTH bytes are its label in each tree.
-2. A tree is the trie of its sorted labels: the members that share a prefix are a node. Descent starts at full labels (in a few trees, then in
-   all of them): in each node, members are compared by their signatures with the node's first member, and ties are kept where the share of equal
-   bytes is not surely below the similarity (MARGIN standard deviations). What is tied is one component, inside which nothing is compared again here.
-   Then prefixes are shortened by STEP, but only for members whose target recall is not reached: those without a tie, and those whose least
-   similar tie would be found at this depth with a probability below RECALL. At the last depth links of the least similarity are found with that
-   probability. Nodes without a member that is still searching, or of one component, are not visited.
+2. A tree is the trie of its sorted labels: the members that share a prefix are a node. Descent starts at full labels: in each node of all trees,
+   members are compared by their signatures with the node's first member, and ties are kept where the share of equal bytes is not surely
+   below the similarity (MARGIN standard deviations). What is tied is one component, inside which nothing is compared again here. Then
+   prefixes are shortened by STEP until members of the least similarity share one with probability RECALL: every member goes that far, as
+   a tie to a close copy says nothing of its other links, but nodes whose members are one component by now are not visited again.
 3. Where a visited node still holds several components, its members are compared with each other by signatures, in blocks of PART x PART. What
    only shares a prefix by chance is never tied, so components stay near what is linked.
 4. A component is compared exactly and completely: its members are dealt into parts of about PART, each two parts meet in one row
@@ -38,8 +37,6 @@ from lorekeep.llm._shared import dealt_anew, documents, lean, mixed, run_tables,
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, STEP, RECALL = 24, 10, 2, 0.999
-#: Trees that are searched first; they tie most of a large group, so that the others find one component there.
-FIRST_TREES = 4
 #: Standard deviations of a signature's estimate by which it may fall short of the similarity.
 MARGIN = 5.0
 PART = 256
@@ -59,11 +56,6 @@ def depths(similarity: float = SIMILARITY, recall: float = RECALL) -> list[int]:
     return [*range(DEPTH, last, -STEP), last]
 
 
-def enough(similarity: float, depth: int, recall: float = RECALL) -> float:
-    """The least similarity at or above which members are found at this depth with probability recall."""
-    return max(similarity, (1 - (1 - recall) ** (1 / TREES)) ** (1 / depth))
-
-
 def least_estimate(similarity: float) -> float:
     """The share of equal signature bytes below which members are surely less similar."""
     return similarity - MARGIN * (similarity * (1 - similarity) / (TREES * DEPTH)) ** 0.5
@@ -102,20 +94,20 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _tied(pairs: DataFrame, least: float) -> DataFrame:
-    """From (a, b, signature, other): (a, b, estimate) of those pairs that may be similar enough."""
+    """From (a, b, signature, other): (a, b) of those pairs that may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 estimate = (_matrix(batch.column("signature")) == _matrix(batch.column("other"))).mean(1)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(estimate)], ["a", "b", "estimate"]).filter(pa.array(estimate >= least))
+                yield batch.select(["a", "b"]).filter(pa.array(estimate >= least))
 
-    return pairs.select("a", "b", "signature", "other").mapInArrow(lean(run), "a long, b long, estimate double")
+    return pairs.select("a", "b", "signature", "other").mapInArrow(lean(run), "a long, b long")
 
 
-def _node(depth: int, trees: int = TREES) -> Column:
+def _node(depth: int) -> Column:
     """Keys of a member's nodes at this depth, one for each tree."""
-    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.lit(depth), F.substring(F.col("signature"), t * DEPTH + 1, F.lit(depth))))
+    return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.lit(depth), F.substring(F.col("signature"), t * DEPTH + 1, F.lit(depth))))
 
 
 def _blocks(rows: DataFrame, least: float) -> DataFrame:
@@ -158,23 +150,17 @@ def _relabelled(labels: DataFrame | None, ties: DataFrame) -> DataFrame:
 
 def forest_components(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(member, component) of the members (member, signature) that may be linked to others; components hold together all that may be linked."""
-    least, labels, visited, found, searching = least_estimate(similarity), None, [], [], classes.select("member")
-    levels = depths(similarity, recall)
-    for depth, trees in [(levels[0], FIRST_TREES), *((depth, TREES) for depth in levels)]:
-        rows = classes.join(searching.withColumn("searching", F.lit(True)), "member", "left")
-        rows = rows.withColumn("component", F.col("member")) if labels is None else rows.join(labels, "member", "left").withColumn("component", F.coalesce("component", "member"))
-        nodes = rows.select("member", "component", F.coalesce("searching", F.lit(False)).alias("searching"), F.explode_outer(_node(depth, trees)).alias("node"))
-        heads = nodes.groupBy("node").agg(F.min(F.struct("component", "member")).alias("head"), F.max("component").alias("high"), F.max("searching").alias("searching"))
-        heads = heads.filter("searching AND head.component < high").select(F.col("node").alias("shared"), F.col("head.component").alias("low"), F.col("head.member").alias("head"))
-        held = stash(dealt_anew(nodes.drop("searching"), "node").join(dealt_anew(heads, "shared"), F.col("node") == F.col("shared")).select("node", "member", "component", "low", "head"))
+    least, labels, visited = least_estimate(similarity), None, []
+    for depth in depths(similarity, recall):
+        rows = classes.withColumn("component", F.col("member")) if labels is None else classes.join(labels, "member", "left").withColumn("component", F.coalesce("component", "member"))
+        nodes = rows.select("member", "component", F.explode_outer(_node(depth)).alias("node"))
+        heads = nodes.groupBy("node").agg(F.min(F.struct("component", "member")).alias("head"), F.max("component").alias("high")).filter("head.component < high")
+        heads = heads.select(F.col("node").alias("shared"), F.col("head.component").alias("low"), F.col("head.member").alias("head"))
+        held = stash(dealt_anew(nodes, "node").join(dealt_anew(heads, "shared"), F.col("node") == F.col("shared")).select("node", "member", "component", "low", "head"))
         visited.append(held.select("node", "member"))
         pairs = held.filter("component <> low").select(F.col("member").alias("a"), F.col("head").alias("b")).distinct()
         pairs = pairs.join(classes.select(F.col("member").alias("a"), "signature"), "a").join(classes.select(F.col("member").alias("b"), F.col("signature").alias("other")), "b")
-        found.append(stash(_tied(pairs, least)))
-        labels = _relabelled(labels, found[-1].select("a", "b"))
-        ends = [ties.select(F.col(end).alias("member"), "estimate") for ties in found for end in "ab"]
-        done = reduce(DataFrame.unionByName, ends).groupBy("member").agg(F.min("estimate").alias("lowest")).filter(F.col("lowest") >= enough(similarity, depth, recall)).select("member")
-        searching = stash(searching.join(done, "member", "left_anti"))
+        labels = _relabelled(labels, stash(_tied(pairs, least)))
     # a visited node whose members are in several components is compared completely
     spots = reduce(DataFrame.unionByName, visited)
     placed = spots.join(labels, "member", "left").select("node", "member", F.coalesce("component", "member").alias("component"))
@@ -306,7 +292,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The documents with, of each class, only the one that names it. Of rows with that doc_id and different texts all stay, of equal ones one; rows without doc_id stay."""
     kept = join(docs, **parameters).filter("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    digest = F.md5(F.col("text").cast("binary"))  # what is shuffled to find equal rows: never the text for its own sake
+    rows = docs.join(kept, "doc_id").withColumn("_lk_digest", digest).dropDuplicates(["doc_id", "_lk_digest"]).select(*docs.columns)
     return rows.unionByName(docs.filter("doc_id IS NULL"))
 
 
