@@ -6,8 +6,9 @@ log probability is the sum over its words (those of over BLOCK characters are su
 
 Learning. Texts with a language are taken from a sample of at most SAMPLE expected rows per language, chosen by a hash of
 doc_id; words are counted, and EM splits each word's count over its segmentations: tasks get a forward-backward pass over the
-words they hold and return expected counts of pieces, which are summed per language. The model is one row of probabilities
-per language, so its size is bounded by vocabulary x languages.
+words they hold and return expected counts of pieces, which are summed per language. Languages are taken AT_ONCE in name order: their
+probabilities are one matrix of at most vocabulary x AT_ONCE, the only one that the driver or a task holds. Where there are more, counts stay
+in tables, and texts pass the blocks one after the other with the best language and the sum so far, so that all languages are compared.
 
 Texts are put in lower case. A task scores a word once while it remembers it. The score is the chosen language's share of the probability of all.
 
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm._shared import PIECE, decoded, documents, lean, stash
 
-#: Expected rows per language that are learned from, and most languages: the model is sent to every task.
-SAMPLE, LANGUAGES = 2000, 500
-#: About how many words a task remembers the scores of; beyond, it starts anew.
-REMEMBERED = 500_000
+#: Expected rows per language that are learned from, and languages whose model is sent to the tasks at once.
+SAMPLE, AT_ONCE = 2000, 256
+#: Languages up to which their names and shares are sent to every task.
+BROADCAST_LANGUAGES = 20_000
+#: About how many bytes of words and their scores a task remembers; beyond, it starts anew.
+REMEMBERED = 80_000_000
 ROUNDS, BLOCK, STRIDE = 2, 32, 4096
 #: Characters of the longest piece that is looked for at least; a vocabulary with longer ones is searched up to its own longest.
 LONGEST = 16
@@ -73,12 +76,13 @@ def _hash_one(piece: str) -> int:
     return int(hashed[0])
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of the words of each length and their characters as a matrix; a word starts with the mark of a new word."""
+def _by_length(words: list[str], languages: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the words of each length and their characters as a matrix, fewer at once for more languages; a word starts with the mark of a new word."""
+    most = max(64, 80_000 // max(1, languages))
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == n)
-        for part in np.array_split(at, len(at) // 20000 + 1):
+        for part in np.array_split(at, len(at) // most + 1):
             yield part, np.frombuffer("".join(words[k] for k in part.tolist()).encode("utf-32-le"), np.uint32).reshape(len(part), n)
 
 
@@ -112,13 +116,13 @@ def _forward(found: dict, chars: np.ndarray, model: np.ndarray) -> list[np.ndarr
     return alpha
 
 
-def _padded(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _padded(words: list[str], languages: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Numbers of the words, their lengths and their characters as a matrix, padded with 0, for groups of words of alike lengths."""
     lengths = np.array([len(w) for w in words])
     order = np.argsort(-lengths, kind="stable")
     lo = 0
     while lo < len(order):
-        at = order[lo : lo + max(1, 4 * STRIDE // int(lengths[order[lo]]))]
+        at = order[lo : lo + max(1, 16 * STRIDE // max(4, languages) // int(lengths[order[lo]]))]
         chars = np.zeros((len(at), int(lengths[at[0]])), np.uint32)
         for row, k in enumerate(at.tolist()):
             chars[row, : lengths[k]] = np.frombuffer(words[k].encode("utf-32-le"), np.uint32)
@@ -163,8 +167,27 @@ def _log_forward(chars: np.ndarray, logs: np.ndarray, path: str) -> np.ndarray:
     return alpha
 
 
+def _log_totals(chars: np.ndarray, lengths: np.ndarray, logs: np.ndarray, path: str) -> np.ndarray:
+    """Logarithms of the whole words' sums. Of the places of a long word only those that a piece can still start from are held."""
+    (rows, n), longest = chars.shape, vocabulary(path)[2]
+    out, last = np.zeros((rows, logs.shape[1])), np.zeros((1, rows, logs.shape[1]))
+    for lo in range(0, n, STRIDE):
+        hi, base = min(n, lo + STRIDE), len(last) - 1
+        pieces = _ending(chars, lo, hi, len(logs) - 1, path)
+        alpha = np.concatenate([last, np.zeros((hi - lo, *last.shape[1:]))])
+        for end in range(lo + 1, hi + 1):
+            k, at = min(end, pieces.shape[2]), base + end - lo
+            alpha[at] = _log_sum(alpha[at - k : at][::-1] + logs[pieces[:, end - 1 - lo, :k]].transpose(1, 0, 2))
+        here = np.flatnonzero((lengths > lo) & (lengths <= hi))
+        out[here] = alpha[base + lengths[here] - lo, here]
+        last = alpha[-longest:]
+    return out
+
+
 def _log_expected(chars: np.ndarray, lengths: np.ndarray, counts: np.ndarray, model: np.ndarray, path: str, total: np.ndarray) -> None:
-    """Adds the expected pieces of padded words to total."""
+    """Adds the expected pieces of padded words to total, in the languages in which they are counted."""
+    used = np.flatnonzero(counts.any(0))
+    counts, model, out = counts[:, used], model[:, used], np.zeros((len(total), len(used)))
     logs, (rows, n) = _log_model(model), chars.shape
     longest, each = vocabulary(path)[2], np.arange(rows)
     alpha = _log_forward(chars, logs, path)
@@ -180,7 +203,8 @@ def _log_expected(chars: np.ndarray, lengths: np.ndarray, counts: np.ndarray, mo
             terms = logs[piece] + beta[start + 1 : start + 1 + len(sizes)]
             beta[start] = np.where((lengths == start)[:, None], beta[start], _log_sum(terms))
             size, row = np.nonzero((piece < len(logs) - 1) & (start + sizes[:, None] < lengths))
-            np.add.at(total, piece[size, row], np.exp(alpha[start][row] + terms[size, row] - whole[row]) * counts[row])
+            np.add.at(out, piece[size, row], np.exp(alpha[start][row] + terms[size, row] - whole[row]) * counts[row])
+    total[:, used] += out
 
 
 def _short_and_long(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -194,10 +218,10 @@ def word_scores(words: list[str], model: np.ndarray, path: str) -> np.ndarray:
     """Log probability of each word in each language."""
     words, short, long = _short_and_long(words)
     out = np.zeros((len(words), model.shape[1]))
-    for at, chars in _by_length([words[k] for k in short.tolist()]):
+    for at, chars in _by_length([words[k] for k in short.tolist()], model.shape[1]):
         out[short[at]] = np.log(np.maximum(_forward(_pieces(chars, path), chars, model)[-1], 1e-300))
-    for at, lengths, chars in _padded([words[k] for k in long.tolist()]):
-        out[long[at]] = _log_forward(chars, _log_model(model), path)[lengths, np.arange(len(at))]
+    for at, lengths, chars in _padded([words[k] for k in long.tolist()], model.shape[1]):
+        out[long[at]] = _log_totals(chars, lengths, _log_model(model), path)
     return out
 
 
@@ -205,10 +229,10 @@ def expected_pieces(words: list[str], counts: np.ndarray, model: np.ndarray, pat
     """Expected number of each piece: counts (words x languages) split over each word's segmentations."""
     total = np.zeros_like(model)
     words, short, long = _short_and_long(words)
-    for at, lengths, chars in _padded([words[k] for k in long.tolist()]):
+    for at, lengths, chars in _padded([words[k] for k in long.tolist()], model.shape[1]):
         _log_expected(chars, lengths, counts[long[at]], model, path, total)
     counts = counts[short]
-    for at, chars in _by_length([words[k] for k in short.tolist()]):
+    for at, chars in _by_length([words[k] for k in short.tolist()], model.shape[1]):
         found, n = _pieces(chars, path), chars.shape[1]
         alpha = _forward(found, chars, model)
         beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
@@ -252,77 +276,111 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train(rows: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """From rows (doc_id, text, lang): the languages and their piece probabilities, a row per piece and a last one for unknown characters."""
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages, each of which is a column of the model")
-    sizes = {x["lang"]: x["n"] for x in found}
+def _normal(counts: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Piece probabilities of counted languages, smoothed by the pieces' shares of all languages' counts."""
+    n = len(counts) - 1
+    own = counts[:-1] / np.maximum(counts[:-1].sum(0), 1)
+    model = (1 - 2 * SMOOTHING) * own + SMOOTHING * every[:, None] + SMOOTHING / n
+    return np.concatenate([model, np.full((1, counts.shape[1]), UNKNOWN)])
+
+
+def train(rows: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> Iterator[tuple[list[str], np.ndarray]]:
+    """From rows (doc_id, text, lang): blocks of languages, in name order, each with its piece probabilities, a row per piece and a last one for unknown characters."""
+    spark, n_pieces = rows.sparkSession, len(vocabulary(path)[0])
+    sizes = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    n_pieces = len(vocabulary(path)[0])
-    if not languages:
-        return [], np.zeros((n_pieces + 1, 0))
-    share = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n))))
+    blocks = [languages[k : k + AT_ONCE] for k in range(0, len(languages), AT_ONCE)]
+    if not blocks:
+        return
+    drawn = spark.createDataFrame([(name, k // AT_ONCE, k % AT_ONCE, min(1.0, sample / sizes[name])) for k, name in enumerate(languages)], "lang string, block int, number long, share double")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("lang-1:"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    chosen = stash(rows.filter(draw < share[F.col("lang")]).select("lang", "text"))
-    number = {name: k for k, name in enumerate(languages)}
+    drawn = F.broadcast(drawn) if len(languages) <= BROADCAST_LANGUAGES else drawn
+    chosen = stash(rows.join(drawn, "lang").filter(draw < F.col("share")).select("block", "number", "text"))
 
     def run(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("lang").to_pylist()
-            for lo, _, each in decoded(batch.column("text"), 1 << 24):
+            numbers = batch.column("number").to_pylist()
+            for lo, _, each in decoded(batch.column("text"), _step_bytes(model.shape[1])):
                 seen: dict[str, np.ndarray] = {}
-                for lang, text in zip(names[lo:], each):
+                for number, text in zip(numbers[lo:], each):
                     for word in words_of(text):
-                        seen.setdefault(word, np.zeros(len(languages)))[number[lang]] += 1
+                        seen.setdefault(word, np.zeros(model.shape[1]))[number] += 1
                 if seen:
                     total = expected_pieces(list(seen), np.array(list(seen.values())), model, path)
-                    piece, lang = np.nonzero(total)
-                    yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
+                    piece, number = np.nonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(number), pa.array(total[piece, number])], ["piece", "number", "n"])
 
-    model = np.full((n_pieces + 1, len(languages)), 1.0 / n_pieces)
-    model[-1] = UNKNOWN
-    for _ in range(rounds):
-        sent = rows.sparkSession.sparkContext.broadcast(model)
-        found = chosen.mapInArrow(lean(lambda x, sent=sent: run(x, sent.value)), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros_like(model)
-        counts[found["piece"], found["lang"]] = found["n"]
-        own = counts[:-1] / np.maximum(counts[:-1].sum(0), 1)
-        every = counts[:-1].sum(1, keepdims=True) / max(counts[:-1].sum(), 1)
-        model[:-1] = (1 - 2 * SMOOTHING) * own + SMOOTHING * every + SMOOTHING / n_pieces
-    return languages, model
+    def counted(tables: list[DataFrame], k: int) -> np.ndarray:
+        counts = np.zeros((n_pieces + 1, len(blocks[k])))
+        for x in tables[k].toArrow().to_batches():  # one block of languages
+            counts[x.column("piece").to_numpy(), x.column("number").to_numpy()] = x.column("n").to_numpy()
+        return counts
 
+    def model_of(tables: list[DataFrame] | None, every: np.ndarray, k: int) -> np.ndarray:
+        if tables is None:
+            return np.concatenate([np.full((n_pieces, len(blocks[k])), 1.0 / n_pieces), np.full((1, len(blocks[k])), UNKNOWN)])
+        return _normal(counted(tables, k), every)
 
-def identify(docs: DataFrame, tokenizer: str | None = None, **parameters) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row. Rows whose crc32(doc_id as text) mod 3 is 1 are not learned from."""
-    path = tokenizer or default_path()
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    languages, model = train(docs.filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), path, **parameters)
-
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    tables, every = None, np.zeros(n_pieces)
+    for _ in range(rounds):
+        found = []
+        for k in range(len(blocks)):
+            sent = spark.sparkContext.broadcast(model_of(tables, every, k))
+            expected = chosen.filter(F.col("block") == k).select("number", "text").mapInArrow(lean(lambda x, sent=sent: run(x, sent.value)), "piece long, number long, n double")
+            found.append(stash(expected.groupBy("piece", "number").agg(F.sum("n").alias("n"))))
+            sent.unpersist()
+        tables, every = found, np.zeros(n_pieces)
+        for table in tables:
+            for piece, n in table.filter(F.col("piece") < n_pieces).groupBy("piece").agg(F.sum("n")).collect():  # one number for each piece of the vocabulary
+                every[piece] += n
+        every /= max(every.sum(), 1)
+    for k, names in enumerate(blocks):
+        yield names, model_of(tables, every, k)
+
+
+def _step_bytes(languages: int) -> int:
+    """Bytes of text that one step scores: fewer for more languages, as each new word has a number for each."""
+    return int(min(4 * PIECE, max(1 << 16, 16 * REMEMBERED // (8 * languages + 130))))
+
+
+def _scored(rows: DataFrame, names: list[str], model: np.ndarray, path: str) -> DataFrame:
+    """rows (doc_id, held_out, text, lang_pred, top, mass) after these languages too: the likeliest so far, its log probability and the logarithm of all probabilities' sum."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    most = REMEMBERED // (8 * len(names) + 130)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _Scored(sent.value, path)
         for batch in batches:
-            for lo, hi, each in decoded(batch.column("text"), 4 * PIECE):
-                if len(scored) > REMEMBERED:
+            for lo, hi, each in decoded(batch.column("text"), _step_bytes(len(names))):
+                if len(scored) > most:
                     scored = _Scored(sent.value, path)
-                total = np.zeros((len(each), max(1, len(languages))))
-                if languages:
-                    places = [np.fromiter(map(scored.__getitem__, words_of(x)), np.int64) for x in each]
-                    scores = scored.settle()
-                    for k, place in enumerate(places):
-                        total[k] = scores[place].sum(0)
-                best = total.argmax(1)
-                shares = np.exp(total - total.max(1, keepdims=True))
-                shares /= shares.sum(1, keepdims=True)
-                known = [bool(languages) and has_letter(x) for x in each]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array([languages[b] if ok else "und" for b, ok in zip(best.tolist(), known)], pa.string()),
-                    pa.array([float(s[b]) if ok else 0.0 for s, b, ok in zip(shares, best.tolist(), known)], pa.float64()),
-                ], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+                places = [np.fromiter(map(scored.__getitem__, words_of(x)), np.int64) for x in each]
+                scores, total = scored.settle(), np.zeros((len(each), len(names)))
+                for k, place in enumerate(places):
+                    total[k] = scores[place].sum(0)
+                part, best = batch.slice(lo, hi - lo), total.argmax(1)
+                own = total.max(1)
+                own_mass = own + np.log(np.exp(total - own[:, None]).sum(1))
+                top, mass = (part.column(c).to_numpy() for c in ("top", "mass"))
+                known, better = np.array([has_letter(x) for x in each], bool), own > top  # of equals the earlier name stays
+                named = [(names[b] if new else old) if ok else "und" for b, new, old, ok in zip(best.tolist(), better.tolist(), part.column("lang_pred").to_pylist(), known.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("text"), pa.array(named, pa.string()), pa.array(np.maximum(own, top)), pa.array(np.logaddexp(own_mass, mass))], ["doc_id", "held_out", "text", "lang_pred", "top", "mass"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(lean(run), f"doc_id {kinds['doc_id']}, held_out boolean, text string, lang_pred string, top double, mass double")
+
+
+def identify(docs: DataFrame, tokenizer: str | None = None, **parameters) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each row. Rows whose crc32(doc_id as text) mod 3 is 1 are not learned from."""
+    path = tokenizer or default_path()
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    none = F.lit(float("-inf"))
+    rows, n = docs.select("doc_id", held.alias("held_out"), "text", F.lit("und").alias("lang_pred"), none.alias("top"), none.alias("mass")), 0
+    for names, model in train(docs.filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), path, **parameters):
+        rows = _scored(stash(rows) if n else rows, names, model, path)  # texts are written once more for each block behind the first
+        n += 1
+    sure = F.when(F.col("lang_pred") != "und", F.exp(F.col("top") - F.col("mass"))).otherwise(0.0) if n else F.lit(0.0)
+    return rows.select("doc_id", "held_out", "lang_pred", sure.alias("score"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

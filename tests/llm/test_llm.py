@@ -590,6 +590,38 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_more_languages_than_one_block(spark, monkeypatch):
+    """Blocks of languages give what one matrix gives; of equally likely languages the first by name is taken, across blocks too."""
+    rng = random.Random(12)
+    names = ["en", "de", "fr", "aa", "zz", "mm", "bb"]
+    rows = []
+    for n in range(280):
+        lang = names[n % 7]
+        style = {"aa": "en", "zz": "en"}.get(lang, lang)  # aa, en and zz are the same language
+        rows.append((n, " ".join("".join(rng.choice({"en": "etaoin", "de": "nirstü", "fr": "éèaslu", "mm": "mnmwvx", "bb": "bpdqbo"}[style]) for _ in range(rng.randint(2, 6))) for _ in range(12)), lang))
+    rows += [(900, None, "en"), (901, "123 456", "de"), (902, "etaoin " * 400, None), (903, "mnmwvx" * 3000, None), (904, "x", "und")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.identify(docs).collect()}
+    for at_once in (3, 1):
+        monkeypatch.setattr(language_id, "AT_ONCE", at_once)
+        assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.identify(docs).collect()} == want
+    right = [want[n][0] == {"zz": "aa", "en": "aa"}.get(lang, lang) for n, t, lang in rows[:280] if lang not in ("en", "aa", "zz")]
+    assert sum(right) > 0.9 * len(right) and want[900] == want[901] == ("und", 0.0) and want[903][0] == "mm"
+
+
+def test_equally_likely_languages(spark):
+    rows = [(n, "word text", lang) for n in range(60) for lang in ("b", "a")]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {(r.lang_pred, round(r.score, 6)) for r in got} == {("a", 0.5)}
+
+
+def test_1200_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(n, f"{letters[n % 26]}{letters[n // 26 % 26]}qx{letters[n // 676 % 26]} " * 3, f"l{n % 1200:04d}") for n in range(3600)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    assert len(got) == 3600 and len({r.lang_pred for r in got}) > 600 and all(0 <= r.score <= 1 for r in got)
+
+
 # All
 
 
