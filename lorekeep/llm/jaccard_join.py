@@ -40,6 +40,8 @@ TREES, DEPTH, STEP, RECALL = 24, 10, 2, 0.999
 #: Standard deviations of a signature's estimate by which it may fall short of the similarity.
 MARGIN = 5.0
 PART = 256
+#: Ends of ties for one file of labels.
+EDGES = 100_000
 _NONE = -(1 << 63)
 
 _SEEDS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -175,13 +177,15 @@ def components(ties: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then the label of that label, and writes the labels; the ends of
     a chain come together in about as many rounds as the logarithm of its length.
     """
-    both = stash(ties.unionAll(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = stash(both.groupBy(F.col("a").alias("member")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
+    both = stash(ties.filter("a <> b").select(ends).select("x.a", "x.b").distinct())
+    files = max(ties.sparkSession.sparkContext.defaultParallelism, both.count() // EDGES)  # of the labels of each round
+    labels = stash(both.groupBy(F.col("a").alias("member")).agg(F.least(F.min("a"), F.min("b")).alias("component")).coalesce(files))
     while True:
         near = both.join(labels, F.col("b") == F.col("member")).groupBy("a").agg(F.min("component").alias("near"))
         near = labels.join(near, F.col("a") == F.col("member")).select("member", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         far = near.select(F.col("member").alias("label"), F.col("component").alias("further"))
-        moved = stash(dealt_anew(near, "component").join(dealt_anew(far, "label"), F.col("component") == F.col("label"), "left").select("member", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        moved = stash(dealt_anew(near, "component").join(dealt_anew(far, "label"), F.col("component") == F.col("label"), "left").select("member", "old", F.least("component", F.coalesce("further", "component")).alias("component")).coalesce(files))
         labels = moved.select("member", "component")
         if not moved.filter("component <> old").limit(1).count():
             return labels
