@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
-from lorekeep.operators import evaluate, fusion, keyword, lifecycle, vector
+from lorekeep.operators import evaluate, fusion, index, keyword, lifecycle, vector
 from lorekeep.plans import planner, search
 from lorekeep.sources.bank import sample_entries, violations
-from lorekeep.sources.tables import maintained
+from lorekeep.sources.tables import kept_path
 from lorekeep.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,11 +102,10 @@ def with_ctx(entries: DataFrame) -> DataFrame:
     return entries.withColumn("ctx", tx.context_key())
 
 
-def keyword_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The kept index of the entries (with phrases and ctx) and its statistics."""
-    entries, source = with_ctx(sample_entries(spark, sf_dir)), table(spark, sf_dir, "documents")
-    index = maintained("keyword index", source, lambda: keyword.ordered(keyword.postings(entries, phrases=True, keep=("ctx",))))
-    return index, maintained("keyword statistics", source, lambda: keyword.corpus_stats(entries))
+def keyword_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The kept index of the entries, found again by later applications with the same spark.checkpoint.dir."""
+    path = kept_path(spark, f"keyword index {index.FORMAT}", table(spark, sf_dir, "documents"))
+    return index.read(spark, path) or index.build(with_ctx(sample_entries(spark, sf_dir)), path)
 
 
 # Identity and model
@@ -244,20 +243,20 @@ def ttl_sweep(spark, sf_dir):
 
 @query(f"WITH {E}, {Q}, {bm25_sql(RAW)} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hits QUALIFY rank <= 10")
 def bm25_weighted(spark, sf_dir):
-    hits = keyword.any_of(raw_searches(spark, sf_dir), *keyword_index(spark, sf_dir))
+    hits = keyword.any_of(raw_searches(spark, sf_dir), keyword_index(spark, sf_dir), k=10)
     return keyword.ranked(hits, 10, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {E}, {Q}, {bm25_sql(RAW, weights={'value': 1.0})} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hits QUALIFY rank <= 10")
 def bm25_or(spark, sf_dir):
-    hits = keyword.any_of(raw_searches(spark, sf_dir), *keyword_index(spark, sf_dir), {"value": 1.0})
+    hits = keyword.any_of(raw_searches(spark, sf_dir), keyword_index(spark, sf_dir), {"value": 1.0}, 10)
     return keyword.ranked(hits, 10, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {E}, {PLANS}, {bm25_sql(STRICT)} SELECT query_id, id, round(score, 6) AS score FROM hits JOIN plans USING (query_id) WHERE n_terms = len(list_distinct(every))")
 def bm25_and(spark, sf_dir):
     asked = planner.planned(search_texts(spark, sf_dir)).filter("NOT is_path").select("query_id", F.col("every").alias("terms"))
-    return keyword.all_of(asked, *keyword_index(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"))
+    return keyword.all_of(asked, keyword_index(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {E}, {PLANS}, {bm25_sql(STRICT, True, tag='_s')}, {bm25_sql(LOOSE, True, tag='_l')}, s AS (SELECT h.* FROM hits_s h JOIN plans USING (query_id) WHERE n_terms = len(list_distinct(every))),
@@ -266,7 +265,7 @@ both_lists AS (SELECT query_id, id, score, false AS loose FROM s UNION ALL SELEC
 SELECT query_id, id, round(score, 6) AS score, fell_back, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM both_lists JOIN n USING (query_id) WHERE loose = (fell_back OR NOT has_every) QUALIFY rank <= 10""")
 def fts_fallback(spark, sf_dir):
     plans = planner.planned(search_texts(spark, sf_dir)).filter("NOT is_path")
-    hits = keyword.planned(plans, *keyword_index(spark, sf_dir), 10)
+    hits = keyword.planned(plans, keyword_index(spark, sf_dir), 10, k=10)
     return keyword.ranked(hits, 10, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), "fell_back", "rank")
 
 
@@ -277,7 +276,7 @@ path_hits AS (SELECT h.query_id, h.id, h.score FROM (SELECT * FROM hits_f UNION
 @query(f"WITH {E}, {PLANS}, {PATH_HITS} SELECT query_id, id, round(score, 6) AS score FROM path_hits")
 def source_path_search(spark, sf_dir):
     paths = planner.planned(search_texts(spark, sf_dir)).filter("is_path")
-    return keyword.planned(paths, *keyword_index(spark, sf_dir), 20).select("query_id", "id", F.round("score", 6).alias("score"))
+    return keyword.planned(paths, keyword_index(spark, sf_dir), 20).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 # Vectors
@@ -328,7 +327,7 @@ lists AS (SELECT query_id, 0 AS list_no, id, row_number() OVER (PARTITION BY que
 def two_lists(spark, sf_dir, size: int = 100) -> DataFrame:
     """(query_id, list_no, rank, id, path): the keyword list and the vector list over the whole bank."""
     entries = sample_entries(spark, sf_dir)
-    hits = keyword.any_of(raw_searches(spark, sf_dir), *keyword_index(spark, sf_dir))
+    hits = keyword.any_of(raw_searches(spark, sf_dir), keyword_index(spark, sf_dir), k=size)
     words = keyword.ranked(hits, size, "query_id").join(entries.select("id", "path"), "id").select("query_id", F.lit(0).alias("list_no"), "rank", "id", "path")
     near = vector.knn(entries, search_vectors(spark, sf_dir), size).join(entries.select("id", "path"), "id").select("query_id", F.lit(1).alias("list_no"), "rank", "id", "path")
     return words.unionByName(near)
@@ -411,7 +410,7 @@ SELECT query_id, id, round(ranking, 6) AS ranking, row_number() OVER (PARTITION
 
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = with_structure(spark, sf_dir, with_ctx(sample_entries(spark, sf_dir)))
-    return search.hybrid(entries, search_texts(spark, sf_dir), search_vectors(spark, sf_dir), ASKED, search.Parameters(), *keyword_index(spark, sf_dir))
+    return search.hybrid(entries, search_texts(spark, sf_dir), search_vectors(spark, sf_dir), ASKED, search.Parameters(), keyword_index(spark, sf_dir))
 
 
 @query(HYBRID)

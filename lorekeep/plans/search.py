@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators import fusion, keyword, snippets, vector
+from lorekeep.operators.index import Index, built
 from lorekeep.plans import planner
 from lorekeep.sources.tables import saved
 
@@ -38,11 +39,11 @@ def near_entries(inside: DataFrame, vectors: DataFrame, size: int, alpha: float)
     return vector.dual_fusion(near, shape, alpha, "query_id", "ctx", "path")
 
 
-def hybrid(entries: DataFrame, queries: DataFrame, vectors: DataFrame, asked: list[str], p: Parameters = Parameters(), index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def hybrid(entries: DataFrame, queries: DataFrame, vectors: DataFrame, asked: list[str], p: Parameters = Parameters(), index: Index | None = None) -> DataFrame:
     """Search the contexts `asked` (keys of the column ctx) for all queries at once.
 
     entries: with id, hash, ctx, path, source_file, section, value, embedding, chunk_index, and structure_embedding if there are any; queries: (query_id, text); vectors: (query_id, vector).
-    index and stats: keyword.postings with phrases and ctx, and keyword.corpus_stats, where they are kept. In each context the keyword and the vector list are fused by
+    index: the keyword index of the entries, where it is kept. In each context the keyword and the vector list are fused by
     rank, the contexts' lists by rank again, then files' neighbours support each other (not for paths, where the chunk that is named is the answer), weak
     neighbours of a file's best chunk are merged away, and min_score and limit apply. A weight of 0 leaves a list out.
     Returns (query_id, id, ranking, rank).
@@ -52,8 +53,7 @@ def hybrid(entries: DataFrame, queries: DataFrame, vectors: DataFrame, asked: li
     plans = entries.sparkSession.read.parquet(saved(planner.planned(queries)))  # small, and read by several joins
     if p.keyword_weight:
         try:
-            index = keyword.postings(entries, phrases=True, keep=("ctx",)) if index is None else index
-            hits = keyword.planned(plans, index, keyword.corpus_stats(entries) if stats is None else stats, p.limit, asked)
+            hits = keyword.planned(plans, built(entries) if index is None else index, p.limit, asked, size)
             best = keyword.ranked(hits, size, "query_id", "ctx").join(inside.select("id", "path"), "id")
             lists.append(best.withColumns({"list_no": F.lit(0), "weight": F.lit(p.keyword_weight)}))
         except AnalysisException:  # an index that lacks what is asked of it: the vector list goes on alone, but not silently

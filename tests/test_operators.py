@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
-from lorekeep.operators import chunk, evaluate, fusion, keyword, lifecycle, promotion, snippets, sync, vector
+from lorekeep.operators import chunk, evaluate, fusion, index, keyword, lifecycle, promotion, snippets, sync, vector
 from lorekeep.sources import bank, files, tables
 from lorekeep.streaming import events as ev
 
@@ -54,7 +54,7 @@ def test_bm25_agrees_with_sqlite(spark):
     want = dict(con.execute("SELECT rowid, -bm25(t, 1.0, 8.0, 16.0) FROM t WHERE t MATCH 'alpha OR große OR \"beta gamma\"'"))
     entries = spark.createDataFrame(rows, "id long, value string, source_file string, section string")
     asked = spark.createDataFrame([(0, ["alpha", "große", "beta gamma"])], "query_id int, terms array<string>")
-    got = {r.id: r.score for r in keyword.any_of(asked, keyword.postings(entries, phrases=True), keyword.corpus_stats(entries)).collect()}
+    got = {r.id: r.score for r in keyword.any_of(asked, index.built(entries)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
