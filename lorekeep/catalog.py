@@ -57,11 +57,15 @@ def _tokens(column: str) -> str:
 
 
 def bm25_sql(terms: str, phrases: bool = False, weights: dict[str, float] = keyword.WEIGHTS, tag: str = "") -> str:
-    """CTEs ending in hits<tag>(query_id, id, score, n_terms) for rows (query_id, term), given by a query."""
-    single = " UNION ALL ".join(f"SELECT id, unnest({_tokens(c)}) AS term, {w}::DOUBLE AS w FROM entries" for c, w in weights.items())
-    pairs = " UNION ALL " + " UNION ALL ".join(f"SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term, {w}::DOUBLE AS w FROM (SELECT id, {_tokens(c)} AS t FROM entries)" for c, w in weights.items()) if phrases else ""
+    """CTEs ending in hits<tag>(query_id, id, score, n_terms) for rows (query_id, term), given by a query. phrases: terms may have several tokens."""
+    each = " UNION ALL ".join(f"SELECT id, '{c}' AS c, {w}::DOUBLE AS w, {_tokens(c)} AS t FROM entries" for c, w in weights.items())
+    if phrases:
+        found = f"""tok{tag} AS (SELECT id, c, w, unnest(t) AS token, unnest(range(len(t))) AS i FROM ({each})), ph{tag} AS (SELECT term, unnest(string_split(term, ' ')) AS token, unnest(range(len(string_split(term, ' ')))) AS k, len(string_split(term, ' ')) AS size FROM (SELECT DISTINCT term FROM terms{tag})),
+tf{tag} AS (SELECT id, term, sum(w) AS f FROM (SELECT term, id, w FROM ph{tag} JOIN tok{tag} USING (token) GROUP BY term, id, c, w, size, i - k HAVING count(*) = size) GROUP BY ALL)"""
+    else:
+        found = f"tf{tag} AS (SELECT id, term, sum(w) AS f FROM (SELECT id, w, unnest(t) AS term FROM ({each})) WHERE term IN (SELECT term FROM terms{tag}) GROUP BY ALL)"
     lengths = " + ".join(f"len({_tokens(c)})" for c in keyword.WEIGHTS)
-    return f"""terms{tag} AS ({terms}), occ{tag} AS ({single}{pairs}), tf{tag} AS (SELECT id, term, sum(w) AS f FROM occ{tag} WHERE term IN (SELECT term FROM terms{tag}) GROUP BY ALL),
+    return f"""terms{tag} AS ({terms}), {found},
 lens{tag} AS (SELECT id, {lengths} AS d FROM entries), stats{tag} AS (SELECT count(*) AS n, avg(d) AS mean FROM lens{tag}), dfs{tag} AS (SELECT term, count(*) AS df FROM tf{tag} GROUP BY term),
 parts{tag} AS (SELECT t.id, t.term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * d / mean)) AS part
   FROM tf{tag} t JOIN dfs{tag} USING (term) JOIN lens{tag} USING (id), stats{tag}),

@@ -60,7 +60,7 @@ def path_plan(text: str) -> Plan | None:
 def planned(texts: DataFrame) -> DataFrame:
     """The plans of a table of texts (query_id, text): query_id, is_path, has_section, every, some, fallback, n_content. Terms are the index's tokens."""
     none = F.array().cast("array<string>")
-    file, section = (F.regexp_extract(F.trim("text"), f"^{_PATH}$", k) for k in (1, 2))
+    file, section = (F.regexp_extract(F.trim("text"), f"(?U)^{_PATH}$", k) for k in (1, 2))
     rows = texts.select("query_id", (file != "").alias("is_path"), (section != "").alias("has_section"), tokens(file).alias("file"), F.array_join(tokens(section), " ").alias("section"), raw_terms(tokens("text")).alias("raw"))
     rows = rows.withColumn("content", content_terms(F.col("raw"))).withColumn("n", F.size("content"))
     shape = lambda k: F.coalesce(*(F.when(F.col("n") >= s[0], F.lit(s[k])) for s in reversed(SHAPES)))

@@ -51,11 +51,72 @@ def test_bm25_agrees_with_sqlite(spark):
     words = "alpha beta gamma delta naïve Größe file_1 zeta eta".split()
     rows = [(n, " ".join(rng.choices(words, k=rng.randint(1, 30))), f"docs/{rng.choice(words)}.md", rng.choice(words)) for n in range(1, 60)]
     con.executemany("INSERT INTO t(rowid, value, source_file, section) VALUES (?, ?, ?, ?)", rows)
-    want = dict(con.execute("SELECT rowid, -bm25(t, 1.0, 8.0, 16.0) FROM t WHERE t MATCH 'alpha OR große OR \"beta gamma\"'"))
     entries = spark.createDataFrame(rows, "id long, value string, source_file string, section string")
-    asked = spark.createDataFrame([(0, ["alpha", "große", "beta gamma"])], "query_id int, terms array<string>")
-    got = {r.id: r.score for r in keyword.any_of(asked, index.built(entries)).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    kept = index.built(entries)
+    phrases = [" ".join(re.findall(r"[^\W_]+", r[1].lower())[:n]) for n, r in ((3, rows[4]), (4, rows[9]), (6, rows[12]), (5, rows[20]))]
+    for terms in (["alpha", "große", "beta gamma"], ["alpha", *phrases], phrases[1:3], ["beta beta", "beta beta beta"]):
+        match = " OR ".join(f'"{t}"' for t in terms)
+        want = dict(con.execute("SELECT rowid, -bm25(t, 1.0, 8.0, 16.0) FROM t WHERE t MATCH ?", (match,)))
+        asked = spark.createDataFrame([(0, [t.replace("ï", "i").replace("ö", "o") for t in terms])], "query_id int, terms array<string>")
+        got = {r.id: r.score for r in keyword.any_of(asked, kept).collect()}
+        assert got.keys() == want.keys() and got and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def random_bank(rng, n, first=0):
+    words = [f"w{k}" for k in range(60)]
+    return [(first + k, " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.randint(0, 40))), f"d/{rng.choice(words)}.md", rng.choice(words), f"c{k % 3}") for k in range(n)]
+
+
+BANK = "id long, value string, source_file string, section string, ctx string"
+
+
+def test_the_k_best_are_the_first_of_all_hits(spark, monkeypatch):
+    """With small segments, several stripes and contexts; ties go to the smaller id; blocks are skipped."""
+    monkeypatch.setattr(index, "SEGMENT", 40)
+    monkeypatch.setattr(keyword, "BLOCK", 4)
+    rng = random.Random(17)
+    kept = index.built(spark.createDataFrame(random_bank(rng, 700) + [(900 + k, "w40 w41 w42", "d/w1.md", "w2", "c0") for k in range(30)], BANK).repartition(3))
+    assert kept.entries == 730 and kept.segments >= 19
+    asked = spark.createDataFrame([(k, 0, False, rng.sample([f"w{j}" for j in range(60)], rng.randint(1, 9)) + ["w40 w41"], ["c1"] if k % 5 == 0 else None) for k in range(25)], "query_id long, searched int, every boolean, terms array<string>, only array<string>")
+    contexts = ["c0", "c1"]
+    every = keyword.search(asked, kept, None, contexts=contexts)
+    want = keyword.ranked(every, 7, "query_id", "ctx").select("query_id", "ctx", "id", F.round("score", 9).alias("score"), "rank")
+    got = keyword.ranked(keyword.search(asked, kept, 7, contexts=contexts), 7, "query_id", "ctx").select("query_id", "ctx", "id", F.round("score", 9).alias("score"), "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 250
+    blocks = keyword.search(asked, kept, 3, contexts=contexts, counted=True).agg(F.sum("blocks_met"), F.sum("blocks_read")).first()
+    assert 0 < blocks[1] < blocks[0]
+    strict = asked.withColumns({"every": F.lit(True), "terms": F.slice("terms", 1, 2)})
+    some = {(r.query_id, r.id) for r in keyword.search(strict, kept, contexts=contexts).collect()}
+    one = [{(r.query_id, r.id) for r in keyword.search(asked.withColumn("terms", F.slice("terms", n, 1)), kept, contexts=contexts).collect()} for n in (1, 2)]
+    singles = {r.query_id for r in asked.filter("size(terms) = 1").collect()}
+    assert {x for x in some if x[0] not in singles} == {x for x in one[0] & one[1] if x[0] not in singles}
+
+
+def test_an_index_kept_by_deltas(spark, folder, monkeypatch):
+    monkeypatch.setattr(index, "SEGMENT", 50)
+    rng = random.Random(5)
+    old = random_bank(rng, 300)
+    now = [r for r in old if r[0] % 10 != 3]
+    now = [(r[0], "quite other words w1 w2 w2", *r[2:]) if r[0] % 10 == 4 else (*r[:4], "c9") if r[0] == 55 else r for r in now] + random_bank(rng, 30, 1000)
+    df = lambda rows: spark.createDataFrame(rows, BANK)
+    index.build(df(old), f"{folder}/ix")
+    tokenised = []
+    real = index.segments
+    monkeypatch.setattr(index, "segments", lambda entries, gen: tokenised.append(entries.count()) or real(entries, gen))
+    kept = index.maintain(df(now), f"{folder}/ix")
+    fresh = index.built(df(now))
+    assert tokenised == [30 + 1 + 30, len(now)] and (kept.entries, kept.tokens) == (fresh.entries, fresh.tokens) == (len(now), fresh.tokens)
+    asked = spark.createDataFrame([(0, ["w1", "w5", "w2 w2", "quite"]), (1, ["w30"])], "query_id long, terms array<string>")
+    both = [sorted((r.query_id, r.id, round(r.score, 9)) for r in keyword.any_of(asked, x).collect()) for x in (kept, fresh, index.read(spark, f"{folder}/ix"))]
+    assert both[0] == both[1] == both[2] and both[0]
+    again = index.maintain(df(now), f"{folder}/ix")  # nothing has changed
+    assert len(tokenised) == 2 and again.entries == kept.entries
+    back = index.maintain(df(old), f"{folder}/ix")  # and a second generation on top
+    assert sorted((r.query_id, r.id, round(r.score, 9)) for r in keyword.any_of(asked, back).collect()) == sorted((r.query_id, r.id, round(r.score, 9)) for r in keyword.any_of(asked, index.built(df(old))).collect())
+    monkeypatch.setattr(index, "MOST_GENERATIONS", 3)
+    rebuilt = index.maintain(df(now), f"{folder}/ix")
+    assert rebuilt.dead is None and rebuilt.entries == len(now) and index.read(spark, f"{folder}/none") is None
+    assert keyword.any_of(asked, index.built(df(now).limit(0))).count() == 0
 
 
 def test_knn_matches_brute_force(spark):

@@ -22,7 +22,7 @@ def test_plans(text, plan):
 
 
 def test_plans_of_a_table(spark):
-    texts = ["what is the", "Kubernetes", "and or not near", "cache and index", "how does the button style work", "one two three four five the", "", "docs/Guide.md", " docs/a.md#getting-started ", "see docs/a.md now", "A.TXT#x", None]
+    texts = ["what is the", "Kubernetes", "and or not near", "cache and index", "how does the button style work", "one two three four five the", "", "docs/Guide.md", " docs/a.md#getting-started ", "docs/a.md#ß-three-words", "see docs/a.md now", "A.TXT#x", None]
     for r in p.planned(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")).collect():
         text = texts[r.query_id] or ""
         plan = p.path_plan(text) or p.build(text)
@@ -37,6 +37,7 @@ def test_access():
 def test_paths():
     assert p.path_plan("docs/Guide.md").every == ("docs", "guide", "md")
     assert p.path_plan("docs/a.md#getting-started").every == ("docs", "a", "md", "getting started")
+    assert p.path_plan("docs/a.md#getting-started-guide-for-all").every == ("docs", "a", "md", "getting started guide for all")
     assert p.path_plan("docs/a.md#x").columns == ("source_file", "section")
     assert p.path_plan("a sentence about a.md files") is None
     assert p.path_plan("script.py") is None

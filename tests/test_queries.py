@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lorekeep import catalog, catalog_extra, catalog_more  # noqa: F401
+from lorekeep import catalog, catalog_extra, catalog_index, catalog_more  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
