@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MAX_FAILURES = 5
 
@@ -156,6 +158,87 @@ def stream_retry_states(results: DataFrame) -> DataFrame:
     return results.groupBy("project_id", "watch_path").applyInPandasWithState(step, "project_id string, watch_path string, seq long, failures int, status string", "failures int, stopped boolean", "append", "NoTimeout")
 
 
+class _Retries(StatefulProcessor):
+    """The state of one watch; a failure that is retried sets a timer, which tells when the time has come."""
+
+    def __init__(self, unit_ms: int):
+        self.unit_ms = unit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "failures int, stopped boolean, seq long")
+
+    def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([(*key, *r) for r in rows], columns=["project_id", "watch_path", "kind", "seq", "failures", "status", "at"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        failures, stopped, _ = self.state.get() if self.state.exists() else (0, False, 0)
+        now, out, seq = timerValues.getCurrentProcessingTimeInMs(), [], 0
+        for frame in rows:
+            for seq, ok in frame.sort_values("seq")[["seq", "ok"]].itertuples(index=False):
+                failures, status = after_result(failures, bool(ok), stopped)
+                stopped = status == "Stopped"
+                out.append(("result", int(seq), failures, status, now))
+        self.state.update((failures, stopped, int(seq)))
+        for timer in list(self.handle.listTimers()):  # what was due before this result is so no more
+            self.handle.deleteTimer(timer)
+        if failures and not stopped:
+            self.handle.registerTimer(now + self.unit_ms * 2 ** (failures - 1))
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        failures, _, seq = self.state.get()
+        yield from self._rows(key, [("retry", seq, failures, "Retrying", expiredTimerInfo.getExpiryTimeInMs())])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_retries(results: DataFrame, unit_ms: int = 1000) -> DataFrame:
+    """A stream of results (project_id, watch_path, seq, ok) as rows of kind result, with the state after each, and of kind retry when a failed watch is due again: 1, 2, 4 and 8 units after its failure.
+
+    The session needs the RocksDB state store. A stopped watch is not retried, nor one that has had another result meanwhile.
+    """
+    return results.groupBy("project_id", "watch_path").transformWithStateInPandas(_Retries(unit_ms), "project_id string, watch_path string, kind string, seq long, failures int, status string, at long", "append", "processingTime")
+
+
+class _LastOfTick(StatefulProcessor):
+    """The last event of one path, until the tick after it."""
+
+    def __init__(self, tick_ms: int, schema: T.StructType):
+        self.tick_ms, self.schema = tick_ms, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = self.schema.fieldNames()
+        at = names.index("seq")
+        last = tuple(self.last.get()) if self.last.exists() else None
+        for frame in rows:
+            newest = frame.loc[frame["seq"].idxmax(), names]
+            if last is None or newest["seq"] > last[at]:
+                last = tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in newest.tolist())
+        self.last.update(last)
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.tick_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = tuple(self.last.get())
+        self.last.clear()
+        yield pd.DataFrame([last], columns=self.schema.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def coalesced_stream(events: DataFrame, tick_ms: int = 1000) -> DataFrame:
+    """A stream of events (project_id, path, seq and others) with only the last event of each path and tick, whatever micro-batches they came in. The session needs the RocksDB state store."""
+    return events.groupBy("project_id", "path").transformWithStateInPandas(_LastOfTick(tick_ms, events.schema), events.schema, "append", "processingTime")
+
+
 def run_mirror(events: DataFrame, digest: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second"):
     """Start the mirror: in each micro-batch the last event of each path goes to digest(events, batch_id)."""
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(lambda batch, n: digest(coalesced(batch), n)).start()
