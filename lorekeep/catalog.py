@@ -348,7 +348,7 @@ def rrf_fusion(spark, sf_dir):
     return fusion.rrf(lists, 60, "query_id", limit=20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-POINTS = [(k, a, b) for k in (10, 60, 120) for a, b in ((1.0, 1.0), (2.0, 1.0), (1.0, 2.0))]
+POINTS = [(k, a, b) for k in evaluate.SWEEP_K for a, b in evaluate.SWEEP_WEIGHTS]
 
 
 @query(f"WITH {LISTS}, g AS (SELECT * FROM (VALUES {', '.join(f'({n}, {k}, {a}::DOUBLE, {b}::DOUBLE)' for n, (k, a, b) in enumerate(POINTS))}) v(point, k, a, b)), fused AS (SELECT point, query_id, id, any_value(path) AS path, sum(CASE list_no WHEN 0 THEN a ELSE b END / (k + rank)) AS s FROM lists JOIN entries USING (id), g GROUP BY ALL), scored AS (SELECT *, s / max(s) OVER (PARTITION BY query_id, point) AS score FROM fused) SELECT point, query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, point ORDER BY round(score, 9) DESC, path, id) AS rank FROM scored QUALIFY rank <= 10")
@@ -422,6 +422,13 @@ def hybrid_search(spark, sf_dir):
     return searched(spark, sf_dir).select("query_id", "id", F.round("ranking", 6).alias("ranking"), "rank")
 
 
+@query(f"WITH {E}, found AS ({HYBRID}), h AS (SELECT DISTINCT hash FROM found JOIN entries USING (id)) SELECT id, access_count + CASE WHEN h.hash IS NULL THEN 0 ELSE 1 END AS access_count, round(CASE WHEN h.hash IS NULL THEN rating ELSE {RATING.format(now=NOW, n='(access_count + 1)')} END, 6) AS rating FROM entries LEFT JOIN h USING (hash)")
+def search_access(spark, sf_dir):
+    """Entries after a search: those it has found count as accessed."""
+    entries = sample_entries(spark, sf_dir)
+    return search.fed_back(entries, searched(spark, sf_dir), NOW).select("id", "access_count", F.round("rating", 6).alias("rating"))
+
+
 @query()
 def search_snippets(spark, sf_dir):
     return search.shown(searched(spark, sf_dir), sample_entries(spark, sf_dir), search_texts(spark, sf_dir)).select("query_id", "id", "rank", "snippet")
@@ -432,8 +439,8 @@ def search_snippets(spark, sf_dir):
 JUDGED = f"WITH {LISTS}, {FUSED.format(a='1.0::DOUBLE', b='1.0::DOUBLE', k=60)}, rel AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), hit AS (SELECT r.query_id, r.rank, rel.id IS NOT NULL AS good FROM ranked r LEFT JOIN rel USING (query_id, id)), nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL)"
 
 
-def judged(spark, sf_dir, k: int) -> DataFrame:
-    """Metrics of the fused search; documents with an item's whole text are relevant.
+def relevant(spark, sf_dir) -> DataFrame:
+    """(query_id, id): the documents with a benchmark item's whole text.
 
     Documents are matched on the items' first 48 characters' tokens before texts are compared, so no item meets every document.
     """
@@ -443,9 +450,14 @@ def judged(spark, sf_dir, k: int) -> DataFrame:
     key = lambda w, i: F.concat_ws(" ", *(F.get(w, i + n) for n in range(1, 5)))
     firsts = items.withColumn("w", five("passage")).withColumn("key", key(F.col("w"), F.lit(0)))
     keys = docs.withColumn("w", five("text")).select("doc_id", F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: key(F.col("w"), i))).alias("key")).distinct()
-    relevant = keys.join(firsts, "key").select("query_id", "doc_id", "passage").join(docs, "doc_id").filter(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("id")).distinct()
+    return keys.join(firsts, "key").select("query_id", "doc_id", "passage").join(docs, "doc_id").filter(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("id")).distinct()
+
+
+def judged(spark, sf_dir, k: int) -> DataFrame:
+    """Metrics of the fused search; documents with an item's whole text are relevant."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     hits = fusion.rrf(two_lists(spark, sf_dir).withColumn("weight", F.lit(1.0)), 60, "query_id").select("query_id", "id", "rank")
-    return evaluate.metrics(items, hits, relevant, k)
+    return evaluate.metrics(items, hits, relevant(spark, sf_dir), k)
 
 
 @query(f"{JUDGED}, dcg AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg FROM hit WHERE good AND rank <= 10 GROUP BY ALL) SELECT item_id AS query_id, round(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n), 0), 6) AS ndcg FROM benchmark b LEFT JOIN nr ON nr.query_id = item_id LEFT JOIN dcg ON dcg.query_id = item_id")
@@ -489,6 +501,21 @@ def affinity_sweep(spark, sf_dir):
     return top.groupBy("point").agg(F.count("*").alias("n"), F.round(F.sum("ranking"), 4).alias("total"), F.sum("id").alias("ids"))
 
 
+RRF_GRID = evaluate.rrf_points()
+
+
+@query(f"""WITH {LISTS}, rel AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), g AS (SELECT * FROM (VALUES {', '.join('({point}, {k}, {w0}::DOUBLE, {w1}::DOUBLE, {min_score}::DOUBLE, {window})'.format(**p) for p in RRF_GRID)}) v(point, k, a, b, least, win)),
+fused AS (SELECT point, least, query_id, id, any_value(path) AS path, sum(CASE list_no WHEN 0 THEN a ELSE b END / (k + rank)) AS s FROM lists JOIN entries USING (id), g WHERE rank <= win GROUP BY ALL),
+scored AS (SELECT *, s / max(s) OVER (PARTITION BY query_id, point) AS score FROM fused),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id, point ORDER BY round(score, 9) DESC, path, id) AS rank FROM scored WHERE round(score, 9) >= least QUALIFY rank <= 10)
+SELECT point, count(*) AS n, round(sum(score), 4) AS total, sum(id)::BIGINT AS ids, count(rel.id) AS n_relevant, round(sum(CASE WHEN rel.id IS NULL THEN 0 ELSE 1 / log2(rank + 1) END), 4) AS dcg FROM top LEFT JOIN rel USING (query_id, id) GROUP BY point""")
+def rrf_grid(spark, sf_dir):
+    """At each of the 96 points the ten best of every query, how many of them are relevant, and their discounted gain."""
+    top = evaluate.rrf_grid(two_lists(spark, sf_dir), RRF_GRID, "query_id").filter("rank <= 10").join(relevant(spark, sf_dir).withColumn("good", F.lit(1)), ["query_id", "id"], "left")
+    gain = F.when(F.col("good") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+    return top.groupBy("point").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.sum("id").alias("ids"), F.count("good").alias("n_relevant"), F.round(F.sum(gain), 4).alias("dcg"))
+
+
 @query(f"WITH {LISTS}, b AS (SELECT a.query_id, a.id, a.rank AS x, c.rank AS y FROM lists a JOIN lists c USING (query_id, id) WHERE a.list_no = 0 AND c.list_no = 1) SELECT p.query_id, round(sum(sign((p.x - q.x) * (p.y - q.y)))::DOUBLE / count(*), 6) AS tau FROM b p JOIN b q ON p.query_id = q.query_id AND p.id < q.id GROUP BY ALL")
 def kendall_tau(spark, sf_dir):
     lists = two_lists(spark, sf_dir)

@@ -63,7 +63,17 @@ def nearest_rank_percentile(rows: DataFrame, column: str, q: float, *by: str) ->
     return rows.filter(F.col("place") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))).select(*by, F.col(column).alias("value"))
 
 
-#: The wide grid of a sweep: constants of the fusion, weights of both lists, weights of affinity and candidates per list.
+# The narrow sweep's points and the wide sweep's axes. Windows are the candidates of each list for a limit of 10.
+SWEEP_K, SWEEP_WEIGHTS = (10, 30, 60), ((1.0, 1.0), (1.0, 2.0), (2.0, 1.0))
+RRF_GRID = {"k": (10, 30, 60, 120), "weights": SWEEP_WEIGHTS, "min_score": (0.0, 0.3, 0.5, 0.7), "window": (100, 50)}
+
+
+def rrf_points() -> list[dict]:
+    """The 96 points of RRF_GRID."""
+    return [{"point": n, "k": k, "w0": w[0], "w1": w[1], "min_score": m, "window": c} for n, (k, w, m, c) in enumerate(itertools.product(*RRF_GRID.values()))]
+
+
+#: The grid of a sweep with affinity: constants of the fusion, weights of both lists, weights of affinity and candidates per list.
 GRID = {"k": (10, 30, 60, 120), "weights": ((1.0, 1.0), (2.0, 1.0), (1.0, 2.0)), "affinity": (0.0, 0.05, 0.1, 0.2), "window": (50, 100)}
 
 
@@ -82,6 +92,13 @@ def rrf_sweep(lists: DataFrame, points: list[tuple[int, float, float]], *by: str
     return fusion.rrf(_weighed(rows, by), 0, *by, "point")
 
 
+def rrf_grid(lists: DataFrame, points: list[dict], *by: str) -> DataFrame:
+    """Fuse the same two ranked lists at each point of rrf_points(): (*by, point, id, path, score, rank) of what reaches the point's least score."""
+    rows = lists.select(*by, "list_no", "rank", "id", "path", F.explode(_points(points)).alias("g")).filter(F.col("rank") <= F.col("g.window"))
+    least = F.element_at(F.array(*(F.lit(p["min_score"]) for p in points)), F.col("point") + 1)
+    return fusion.rrf(_weighed(rows, by), 0, *by, "point").filter(F.round("score", 9) >= least)
+
+
 def _weighed(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     # a rank moved by the difference of the ks makes one k serve all points
     return rows.select(*by, "id", "path", "list_no", (F.col("rank") + F.col("g.k")).alias("rank"), F.col("g.point").alias("point"), F.when(F.col("list_no") == 0, F.col("g.w0")).otherwise(F.col("g.w1")).alias("weight"))

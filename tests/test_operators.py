@@ -5,10 +5,12 @@ import random
 import re
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
 from lorekeep.operators import chunk, evaluate, fusion, index, keyword, lifecycle, promotion, snippets, sync, vector
+from lorekeep.plans import search
 from lorekeep.sources import bank, files, tables
 from lorekeep.streaming import events as ev
 
@@ -119,6 +121,33 @@ def test_an_index_kept_by_deltas(spark, folder, monkeypatch):
     assert keyword.any_of(asked, index.built(df(now).limit(0))).count() == 0
 
 
+def test_a_list_that_fails_while_it_runs(spark, folder):
+    """A file of the index is deleted after planning: the vector list answers alone, with a warning. What is asked wrongly is an error."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(*r, r[2], f"h{r[0]}", 0, [rng.gauss(0, 1) for _ in range(4)]) for r in random_bank(rng, 60)], BANK + ", path string, hash string, chunk_index int, embedding array<float>")
+    kept = index.build(df, f"{folder}/ix")
+    asked, vectors = spark.createDataFrame([(1, "w1 w2")], "query_id long, text string"), spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.5])], "query_id long, vector array<float>")
+    warned = []
+    both = search.hybrid(df, asked, vectors, ["c0", "c1"], index=kept, warned=warned).collect()
+    assert both and not warned
+    for d, _, names in os.walk(f"{folder}/ix/segments"):
+        for name in names:
+            if name.endswith(".parquet"):
+                os.remove(os.path.join(d, name))
+    alone = search.hybrid(df, asked, vectors, ["c0", "c1"], index=kept, warned=warned).collect()
+    only = search.hybrid(df, asked, vectors, ["c0", "c1"], search.Parameters(keyword_weight=0.0)).collect()
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, only)) != sorted(map(tuple, both)) and [r.modality for r in search.warnings(spark, warned).collect()] == ["keyword"]
+    with pytest.raises(RuntimeError):
+        search.hybrid(df, asked, vectors, ["c0"], search.Parameters(vector_weight=0.0), index=kept)
+    with pytest.raises(AnalysisException):
+        search.hybrid(df.drop("path"), asked, vectors, ["c0"], search.Parameters(keyword_weight=0.0))
+
+
+def test_rrf_points():
+    points = evaluate.rrf_points()
+    assert len(points) == 96 == len({tuple(p.values()) for p in points}) and points[0] == {"point": 0, "k": 10, "w0": 1.0, "w1": 1.0, "min_score": 0.0, "window": 100}
+
+
 def test_knn_matches_brute_force(spark):
     rng = random.Random(1)
     rows = [(n, "ab"[n % 2], [rng.gauss(0, 1) for _ in range(8)]) for n in range(200)] + [(200, "a", None)]
