@@ -82,29 +82,34 @@ def context_names(spark, sf_dir):
 
 # Settings
 
-KEYS = [("ingest.scope.a", " 12 "), ("ingest.scope.b", "x"), ("ingest.new.b", "7"), ("watch.gate.p1", "99"), ("watch.gate.p2", "3"), ("watch.on.p1", "TRUE"), ("watch.on.p2", "maybe")]
-_KEYS = "kv AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in KEYS) + ") v(key, value))"
+PREFIXES = ("ingest.scope.", "ingest.new.", "watch.gate.p", "watch.on.p")
+_KEYS = f"""kv AS (SELECT key, arg_max(value, event_id) AS value FROM (SELECT event_id, {list(PREFIXES)}[1 + user_id % 4] || (user_id // 4 % 60) AS key,
+  CASE event_id % 5 WHEN 0 THEN ' ' || (event_id % 23) || ' ' WHEN 1 THEN event_type WHEN 2 THEN 'TRUE' WHEN 3 THEN 'False ' ELSE (event_id % 40)::VARCHAR END AS value FROM events) GROUP BY key)"""
 
 
-def settings(spark):
-    return spark.createDataFrame(KEYS, "key string, value string")
+def settings(spark, sf_dir):
+    """Settings (key, value) that events have left: the last value of each key, well formed or not."""
+    e, n = F.col("event_id"), F.col("event_id") % 5
+    key = F.concat(F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("user_id") % 4 + 1).cast("int")), F.expr("user_id DIV 4 % 60"))
+    value = F.when(n == 0, F.concat(F.lit(" "), e % 23, F.lit(" "))).when(n == 1, F.col("event_type")).when(n == 2, "TRUE").when(n == 3, "False ").otherwise((e % 40).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", key.alias("key"), value.alias("value")).groupBy("key").agg(F.max_by("value", "event_id").alias("value"))
 
 
 @query(f"WITH {_KEYS} SELECT key, value FROM kv WHERE NOT starts_with(key, 'ingest.scope.') UNION ALL SELECT 'ingest.new.' || key[14:], value FROM kv WHERE starts_with(key, 'ingest.scope.') AND 'ingest.new.' || key[14:] NOT IN (SELECT key FROM kv)")
 def scope_migration(spark, sf_dir):
-    return files.moved_scopes(settings(spark), "ingest.scope.", "ingest.new.")
+    return files.moved_scopes(settings(spark, sf_dir), "ingest.scope.", "ingest.new.")
 
 
 @query(f"WITH {_KEYS} SELECT key, CASE WHEN try_cast(trim(value) AS INT) BETWEEN 1 AND 16 THEN try_cast(trim(value) AS INT) ELSE 4 END AS n, CASE WHEN lower(trim(value)) IN ('true', 'false') THEN lower(trim(value)) = 'true' ELSE false END AS b FROM kv")
 def settings_parse(spark, sf_dir):
-    return settings(spark).select("key", tx.parsed("value", "int", 4, 1, 16).alias("n"), tx.parsed("value", "boolean", False).alias("b"))
+    return settings(spark, sf_dir).select("key", tx.parsed("value", "int", 4, 1, 16).alias("n"), tx.parsed("value", "boolean", False).alias("b"))
 
 
 @query(f"WITH {_KEYS}, new AS (SELECT DISTINCT 'watch.gate.p' || (user_id % 4) AS key, 'v' || (user_id % 4) AS value FROM events) SELECT coalesce(n.key, o.key) AS key, coalesce(n.value, o.value) AS value FROM kv o FULL JOIN new n USING (key)")
 def settings_upsert(spark, sf_dir):
     n = F.col("user_id") % 4
     new = table(spark, sf_dir, "events").select(F.concat(F.lit("watch.gate.p"), n).alias("key"), F.concat(F.lit("v"), n).alias("value")).distinct()
-    return lifecycle.upsert(settings(spark), new, "key")
+    return lifecycle.upsert(settings(spark, sf_dir), new, "key")
 
 
 @query("SELECT event_type, to_json(list_sort(list_distinct(list('d' || (user_id % 20)))))::VARCHAR AS scopes FROM events GROUP BY event_type")
@@ -137,6 +142,12 @@ def file_tree(spark, sf_dir):
     return files.tree(page_paths(spark, sf_dir))
 
 
+@query()
+def file_tree_json(spark, sf_dir):
+    """One nested object for each project; a page belongs to the project of its number."""
+    return files.tree_json(page_paths(spark, sf_dir).withColumn("project_id", F.concat(F.lit("p"), F.col("page_id") % 5)))
+
+
 LISTED = "f AS (SELECT 'docs/' || doc_id || '.md' AS path, n_chars AS mtime, lang FROM documents), known AS (SELECT path FROM f WHERE lang = 'en')"
 
 

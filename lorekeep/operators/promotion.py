@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -62,7 +63,7 @@ _LETTER = re.compile(r"[^\W\d\x00-\x7f]")
 _DIGIT = re.compile(r"[^\D\x00-\x7f]")
 _BLANK = re.compile(r"[^\S\x00-\x7f]")
 #: Most project ids that are sent to every task.
-MOST_PROJECTS = 1_000_000
+PROJECTS_AT_ONCE = 200_000
 
 
 def _plain(texts: pa.Array) -> pa.Array:
@@ -93,21 +94,28 @@ FEATURES = ("n_words", "n_rule", *_COUNTED, "n_measures")
 FLAGS = (*_HELD, "heading", "middle", "front", "opener", "dated", "near", "far")
 
 
+def _automaton(names: list[str]):
+    """What finds these names in a text."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for name in names:
+        found.add_word(name, name)
+    found.make_automaton()
+    return found
+
+
 def measured(rows: DataFrame, project_ids: list[str] = []) -> DataFrame:
-    """rows (with value and project_id) and the FEATURES and FLAGS of their texts, all found in one pass over Arrow columns; patterns run in RE2."""
-    if len(project_ids) > MOST_PROJECTS:
-        raise ValueError(f"more than {MOST_PROJECTS} projects")
+    """rows (with value and project_id) and the FEATURES and FLAGS of their texts, all found in one pass over Arrow columns; patterns run in RE2.
+
+    Project ids are sent once to each executor and looked for in blocks of PROJECTS_AT_ONCE, so that one automaton of that size is held at a time.
+    """
     names = sorted({p.lower() for p in project_ids})
+    sent = rows.sparkSession.sparkContext.broadcast([names[k : k + PROJECTS_AT_ONCE] for k in range(0, len(names), PROJECTS_AT_ONCE)])
     kinds, columns = rows.dtypes, rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        others = ahocorasick.Automaton()
-        for name in names:
-            others.add_word(name, (len(name), name))
-        if names:
-            others.make_automaton()
+        one = _automaton(sent.value[0]) if len(sent.value) == 1 else None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -120,14 +128,18 @@ def measured(rows: DataFrame, project_ids: list[str] = []) -> DataFrame:
             held = {name: pc.match_substring_regex(plain, pattern) for name, pattern in _HELD.items()}
             held |= {"heading": pc.starts_with(trimmed, "#"), "middle": pc.match_substring_regex(trimmed, r"^[\p{Ll}),;]"), "front": pc.match_substring_regex(trimmed, FRONTMATTER)}
             held |= {"opener": pc.match_substring_regex(pc.utf8_slice_codeunits(plain, 0, 80), STATUS_OPENER), "dated": pc.match_substring_regex(pc.utf8_slice_codeunits(plain, 0, 120), DATED_FACT)}
-            near, far = [], []
-            for text, own in zip(value.to_pylist(), batch.column("project_id").to_pylist()):
-                own, ends = (own or "").lower(), {}
-                for end, (size, name) in others.iter(text.lower()) if names else ():
-                    if name != own and name not in ends:
-                        ends[name] = end
-                near.append(any(end < 250 for end in ends.values()))
-                far.append(len(ends) >= 2)
+            near, met = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
+            texts, owners = [x.lower() for x in value.to_pylist()], [(x or "").lower() for x in batch.column("project_id").to_pylist()]
+            for block in sent.value:
+                others = one or _automaton(block)
+                for k, (text, own) in enumerate(zip(texts, owners)):
+                    ends: dict[str, int] = {}
+                    for end, name in others.iter(text):
+                        if name != own:
+                            ends.setdefault(name, end)
+                    near[k] |= any(end < 250 for end in ends.values())
+                    met[k] += len(ends)
+            far = met >= 2
             held |= {"near": pa.array(near, pa.bool_()), "far": pa.array(far, pa.bool_())}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(found[c].cast(pa.int32()) for c in FEATURES), *(held[c] for c in FLAGS)], [*columns, *FEATURES, *FLAGS])
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens
@@ -33,18 +36,58 @@ def with_excerpt(rows: DataFrame, value: str = "value", hash_: str = "hash", sho
     return ended.withColumn("snippet", F.when(n <= shown, text).otherwise(piece)).drop("_drawn", "_from", "_window", "_cut")
 
 
-def with_best_window(rows: DataFrame, terms: str = "terms", value: str = "value", size: int = BEST) -> DataFrame:
-    """Adds snippet, the run of `size` words that holds the most different terms (the first of equals), for rows that survived a limit.
+def best_start(spans: list[tuple[int, int, int]], n_words: int, size: int) -> int:
+    """The first word of the window of `size` words that holds the most different terms whole, the first of equals. spans: (first word, last word, term) of occurrences.
 
-    Each row needs a query_id and an id. Words are exploded with those windows' starts that they lie in, so that a value's windows are counted by aggregates.
+    Two pointers over the occurrences: windows only gain a term where an occurrence's end comes in, so only those starts are looked at.
     """
-    words = rows.select("query_id", "id", terms, F.split(F.regexp_replace(F.coalesce(value, F.lit("")), _BLANK, ""), r"\s+").alias("words"))
-    hits = words.select("query_id", "id", F.size("words").alias("n"), terms, F.posexplode("words").alias("at", "word"))
-    hits = hits.select("query_id", "id", "n", "at", F.explode(F.array_intersect(tokens("word"), F.col(terms))).alias("term"))
-    last = F.greatest(F.col("n") - size, F.lit(0))
-    starts = hits.select("query_id", "id", "term", F.explode(F.sequence(F.greatest(F.col("at") - size + 1, F.lit(0)), F.least("at", last))).alias("start")).filter("start >= 0")
-    counted = starts.groupBy("query_id", "id", "start").agg(F.count_distinct("term").alias("n_terms"))
-    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(F.desc("n_terms"), "start"))).filter("place = 1").select("query_id", "id", "start")
-    found = rows.join(words.drop(terms), ["query_id", "id"]).join(best, ["query_id", "id"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
-    piece = F.concat(F.when(F.col("start") > 0, "…").otherwise(""), F.array_join(F.slice("words", F.col("start") + 1, F.lit(size)), " "), F.when(F.col("start") + size < F.size("words"), "…").otherwise(""))
-    return found.withColumn("snippet", piece).drop("words", "start")
+    last = max(0, n_words - size)
+    spans = sorted(x for x in set(spans) if x[1] - x[0] < size)
+    starts = sorted({0, *(min(last, max(0, end - size + 1)) for _, end, _ in spans)})
+    ends = sorted(spans, key=lambda x: x[1])
+    held: dict[int, int] = {}
+    came = gone = best = most = 0
+    for start in starts:
+        while came < len(ends) and ends[came][1] < start + size:
+            held[ends[came][2]] = held.get(ends[came][2], 0) + 1
+            came += 1
+        while gone < len(spans) and spans[gone][0] < start:
+            held[spans[gone][2]] -= 1
+            held = {k: v for k, v in held.items() if v}
+            gone += 1
+        if len(held) > most:
+            best, most = start, len(held)
+    return best
+
+
+def occurrences(words: list[list[str]], terms: list[str]) -> list[tuple[int, int, int]]:
+    """(first word, last word, term) wherever a term stands; words: the tokens of each word; a term of several tokens is a phrase and counts as one."""
+    flat = [(token, at) for at, found in enumerate(words) for token in found]
+    asked: dict[str, list[tuple[list[str], int]]] = {}
+    for k, term in enumerate(terms):
+        first, *_ = parts = term.split(" ")
+        asked.setdefault(first, []).append((parts, k))
+    out = []
+    for i, (token, at) in enumerate(flat):
+        for parts, k in asked.get(token, ()):
+            if i + len(parts) <= len(flat) and all(flat[i + j][0] == x for j, x in enumerate(parts)):
+                out.append((at, flat[i + len(parts) - 1][1], k))
+    return out
+
+
+def with_best_window(rows: DataFrame, terms: str = "terms", value: str = "value", size: int = BEST) -> DataFrame:
+    """Adds snippet, the run of `size` words that holds the most different terms (the first of equals), for rows that survived a limit."""
+    columns = [c for c in rows.columns]
+    words = F.split(F.regexp_replace(F.coalesce(value, F.lit("")), _BLANK, ""), r"\s+")
+    given = rows.withColumn("_words", words).withColumn("_tokens", F.transform("_words", lambda w: tokens(w)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for shown, each, asked in zip(*(batch.column(c).to_pylist() for c in ("_words", "_tokens", terms))):
+                start = best_start(occurrences(each, asked or []), len(shown), size)
+                out.append(("…" if start else "") + " ".join(shown[start : start + size]) + ("…" if start + size < len(shown) else ""))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "snippet"])
+
+    kinds = dict(rows.dtypes)
+    return given.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "snippet string"]))

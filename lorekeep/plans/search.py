@@ -108,7 +108,7 @@ def fed_back(entries: DataFrame, results: DataFrame, now: int) -> DataFrame:
 def shown(results: DataFrame, entries: DataFrame, queries: DataFrame, size: int = snippets.BEST) -> DataFrame:
     """results with hash and snippet: the best window for rows that hold a term of their text, else an excerpt. Only survivors' values are read into either."""
     plans = planner.planned(queries)
-    terms = plans.select("query_id", F.filter(F.array_distinct(F.concat("every", "some", "fallback")), lambda t: ~F.contains(t, F.lit(" "))).alias("terms"))
+    terms = plans.select("query_id", F.array_distinct(F.concat("every", "some", "fallback")).alias("terms"))
     rows = results.join(entries.select("id", "hash", "value"), "id").join(terms, "query_id")
     held = F.arrays_overlap(F.col("terms"), keyword.tokens("value"))
     found = snippets.with_best_window(rows.filter(held), size=size).drop("terms").unionByName(snippets.with_excerpt(rows.filter(~F.coalesce(held, F.lit(False)))).drop("terms"))

@@ -163,10 +163,28 @@ def test_knn_settles_ties_by_id(spark, monkeypatch):
     rows = [(n, "x", [1.0, 0.0] if n % 2 else [0.0, 1.0]) for n in range(1, 41)]
     df = spark.createDataFrame(rows, "id long, path string, embedding array<float>").repartition(1)
     asked = spark.createDataFrame([(n, [1.0, 0.0]) for n in range(5)], "query_id long, vector array<float>")
-    monkeypatch.setattr(vector, "MAX_QUERIES", 2)  # three passes
+    monkeypatch.setattr(vector, "BLOCK", 2)
     found = vector.knn(df, asked, 3).collect()
     assert sorted((r.query_id, r.rank, r.id) for r in found) == [(q, k + 1, i) for q in range(5) for k, i in enumerate((1, 3, 5))]
-    assert vector.knn(df, asked.limit(0), 3).count() == 0
+    assert vector.knn(df, asked.limit(0), 3).count() == 0 and vector.knn(df.limit(0), asked, 3).count() == 0
+
+
+def test_cells_that_are_too_far_are_not_read(spark, folder, monkeypatch):
+    """The same rows with and without cells, in several stripes; of tight clusters most cells are left out."""
+    monkeypatch.setattr(vector, "STRIPE", 200)
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(30)]
+    rows = [(n, f"c{n % 2}", f"p{n % 7}", [x + rng.gauss(0, 0.03) for x in centres[n % 30]]) for n in range(900)] + [(900, "c0", "p", [0.0] * 6), (901, "c1", "p", None)]
+    df = spark.createDataFrame(rows, "id long, ctx string, path string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(n, rows[n][3]) for n in range(20)] + [(99, [0.0] * 6)], "query_id long, vector array<float>")
+    plain = vector.knn(df, asked, 9, ("ctx",), ("path", "id"))
+    kept = vector.clustered(df, f"{folder}/cells")
+    got = vector.knn(kept, asked, 9, ("ctx",), ("path", "id"))
+    key = lambda d: sorted((r.query_id, r.ctx, r["rank"], r.id, round(r.similarity, 8)) for r in d.collect())
+    assert key(got) == key(plain) and len(key(plain)) == 21 * 2 * 9
+    n = vector.knn(kept, asked.filter("query_id < 99"), 9, ("ctx",), counted=True).first()
+    assert n.cells_read < 0.7 * n.cells_met
+    assert vector.clustered(df.limit(0), f"{folder}/none").count() == 0
 
 
 def test_spearman_of_one_value(spark):
