@@ -12,7 +12,7 @@ at most BROADCAST_SEEDS of them; with more, narrow rows of hashes are joined by
 doc_id, those of rows without one by a digest of the text. Both ways give the same rows.
 
 Defined results: null and empty texts match nothing; items of fewer than WEIGHTY tokens are found by leaks(), but
-clean() removes no document for their sake, as any text may hold so few words; for an item that
+clean() removes no document for their sake unless weighty says so, as any text may hold so few words; for an item that
 fits a document in several places the best figures are returned; repeated rows of a doc_id or item_id are one; rows
 without doc_id are found as a null doc_id, and clean() judges each of them by its own text; an empty
 table on either side gives an empty result; other columns are not read.
@@ -106,9 +106,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     return _found(docs, benchmark, **parameters).groupBy("doc_id", "item_id").agg(*(F.max(x).alias(x) for x in ("best_window", "n_agree", "n_tokens")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The documents that hold no benchmark passage of WEIGHTY tokens or more."""
-    found = _found(docs, benchmark, **parameters).filter(F.col("n_tokens") >= WEIGHTY).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, weighty: int = WEIGHTY, **parameters) -> DataFrame:
+    """The documents that hold no passage of a benchmark item of `weighty` tokens or more; with 1 items of any length count."""
+    found = _found(docs, benchmark, **parameters).filter(F.col("n_tokens") >= weighty).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
     rows = docs.select(F.struct("*").alias("document"), "doc_id", text_key())
     return rows.join(found, F.col("doc_id").eqNullSafe(F.col("leak_id")) & F.col("text_key").eqNullSafe(F.col("leak_key")), "left_anti").select("document.*")
 

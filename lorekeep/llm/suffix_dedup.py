@@ -34,10 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm._shared import _powers, documents, lean, mixed, run_tables, slices, stash
+from lorekeep.sources.tables import version
 
 LENGTH, ANCHOR = 50, 20
-#: Upper bits of an anchor that make its bucket; tasks hold one bucket at a time, so a larger corpus takes more.
-BUCKET = 10
+#: Least number of upper bits of an anchor that make its bucket, and bytes of text for one bucket: tasks hold one bucket at a time, about 4 million anchors, so a larger corpus has more.
+BUCKET, BUCKET_BYTES = 10, 1 << 26
+#: Bytes of text in one byte of a file, at most: what the size of a corpus is estimated with.
+INFLATED = 8
 #: Bits of a bitmap, texts that make an anchor hot, most windows in a segment, bytes of text for one transform, bytes of segments that a task sends at once.
 BITMAP, HOT, WINDOWS, TEXT, SENT = 1 << 26, 1000, 256, 1 << 18, 1 << 24
 _NONE = -(1 << 63)
@@ -111,21 +114,33 @@ def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.view("<u8").ravel()), np.ascontiguousarray(raw[6 * n :].reshape(2, n).T).view("<u2").ravel()
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, n, packed): the anchors' upper 48 bits by their upper BUCKET bits, each once in about 4 million, with the number of texts that have it."""
+def _spread(anchors: np.ndarray) -> np.ndarray:
+    """48 bits of each anchor. An anchor is the least of many hashes, so its upper bits are mostly zeros: they are mixed before buckets are made of them."""
+    return mixed(anchors) >> np.uint64(16)
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """Bits of a bucket for a corpus of this size, as its files have it."""
+    size = INFLATED * sum(length for _, length, _ in version(docs))
+    return min(26, max(BUCKET, (size // BUCKET_BYTES).bit_length()))
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], bucket: int = BUCKET) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, n, packed): 48 bits of the anchors by their upper bits, each once in about 4 million, with the number of texts that have it."""
     held: list[np.ndarray] = []
 
     def met() -> pa.RecordBatch:
         found, counts = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        cuts = np.searchsorted(found >> np.uint64(48 - BUCKET), np.arange((1 << BUCKET) + 1, dtype=np.uint64))
-        rows = [(k, int(b - a), _packed(found[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        own = (found >> np.uint64(48 - bucket)).astype(np.int64)
+        cuts = [*np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist(), len(own)]
+        rows = [(int(own[a]), b - a, _packed(found[a:b], counts[a:b])) for a, b in zip(cuts, cuts[1:])]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "packed"])
 
     for batch in batches:
         for _, _, data, offsets in slices(batch.column("text")):
             of, _, _, anchors, _ = segments(data, offsets)
-            anchors = anchors >> np.uint64(16)
+            anchors = _spread(anchors)
             order = np.lexsort((anchors, of))
             of, anchors = of[order], anchors[order]
             once = np.ones(len(of), bool)
@@ -160,7 +175,7 @@ def _holds(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def _held(anchors: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    return _holds(anchors >> np.uint64(16), bitmap)
+    return _holds(_spread(anchors), bitmap)
 
 
 def _bitmaps(rows: DataFrame, run, number: int, bits: int) -> list[np.ndarray]:
@@ -188,7 +203,7 @@ def _bitmaps(rows: DataFrame, run, number: int, bits: int) -> list[np.ndarray]:
     return list(out)
 
 
-def _recurring(docs: DataFrame, bits: int, hot: int) -> list[np.ndarray]:
+def _recurring(docs: DataFrame, bits: int, hot: int, bucket: int) -> list[np.ndarray]:
     """Bitmaps of the anchors that several texts have, and of those that at least `hot` texts have: one bucket after another in the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
@@ -204,7 +219,7 @@ def _recurring(docs: DataFrame, bits: int, hot: int) -> list[np.ndarray]:
                 _mark(bitmap, values[counts >= least])
         return found
 
-    rows = docs.select("text").mapInArrow(lean(_anchors), "bucket int, n int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    rows = docs.select("text").mapInArrow(lean(lambda x: _anchors(x, bucket)), "bucket int, n int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
     return _bitmaps(rows, run, 2, bits)
 
 
@@ -441,11 +456,11 @@ def _runs(sent: DataFrame) -> DataFrame:
     return sent.repartition("key").sortWithinPartitions("key", "segment").mapInArrow(lean(run), "key int, segment long, lo int, hi int, first_id long")
 
 
-def removed(docs: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, bits: int = BITMAP, hot: int = HOT, bucket: int | None = None) -> DataFrame:
     """From (doc_id long, text_key int, text): (doc_id, text_key, runs) with the byte ranges that each document loses (first byte in the upper half, the byte behind the last in the
     lower), overlapping and in no order."""
     context = docs.sparkSession.sparkContext
-    marks = _recurring(docs, bits, hot)
+    marks = _recurring(docs, bits, hot, bucket_bits(docs) if bucket is None else bucket)
     runs = stash(_runs(_segments(docs, context.broadcast(marks))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:

@@ -89,6 +89,8 @@ def test_a_full_bitmap_changes_nothing(docs):
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.hash("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     wide, narrow = ({(r.doc_id, r.text_key): sorted(r.runs) for r in suffix_dedup.removed(rows, bits=bits).collect()} for bits in (1 << 22, 64))
     assert wide == narrow and wide
+    many = {(r.doc_id, r.text_key): sorted(r.runs) for r in suffix_dedup.removed(rows, bucket=19).collect()}
+    assert many == wide and suffix_dedup.bucket_bits(rows) == suffix_dedup.BUCKET
     assert suffix_dedup._holds(np.arange(99, dtype=np.uint64), np.full(8, 255, np.uint8)).all()
 
 
@@ -297,6 +299,7 @@ def test_short_benchmark_items(spark):
         got = decontaminate.leaks(docs, benchmark, broadcast_seeds=most)
         assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (3, 2), (4, 3), (6, 4)}
         assert {r.doc_id for r in decontaminate.clean(docs, benchmark, broadcast_seeds=most).collect()} == {2, 3, 5, 7, 8}
+        assert {r.doc_id for r in decontaminate.clean(docs, benchmark, 1, broadcast_seeds=most).collect()} == {2, 5, 7, 8}
     frame, frame2 = docs.toPandas(), benchmark.toPandas()  # noqa: F841
     con = duckdb.connect()
     con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text FROM frame")
@@ -304,6 +307,20 @@ def test_short_benchmark_items(spark):
     same(decontaminate.leaks(docs, benchmark), con.execute(decontaminate.sql()))
 
 
+def test_anchors_of_many_buckets():
+    """A bucket's anchors grow less and less as buckets become more; together they are the same."""
+    rng = random.Random(3)
+    batch = pa.RecordBatch.from_pydict({"text": [prose(rng, 400) for _ in range(60)]})
+    most, every = [], []
+    for bucket in (2, 6, 12):
+        found = pa.Table.from_batches(list(suffix_dedup._anchors(iter([batch]), bucket)))
+        both = [suffix_dedup._unpacked(p, n) for p, n in zip(found.column("packed").to_pylist(), found.column("n").to_pylist())]
+        assert all((v >> np.uint64(48 - bucket) == b).all() for (v, _), b in zip(both, found.column("bucket").to_pylist()))
+        most.append(max(found.column("n").to_pylist()))
+        every.append(sorted((int(v), int(c)) for values, counts in both for v, c in zip(values, counts)))
+    assert every[0] == every[1] == every[2] and most[0] > 5 * most[1] > 5 * most[2]
+
+
 def test_decontamination_of_rows_without_doc_id(spark):
     rng = random.Random(9)
     item, other = prose(rng, 20), prose(rng, 30)
@@ -675,3 +692,21 @@ def test_pipeline(spark):
         if k == 4:
             assert len(after) == len(before) and out.filter("verified").count() == len(after)
         seen = out
+
+
+def test_the_pipeline_s_rules_reject(spark, folder):
+    """With enough labels rules beyond the base statistics are active, and what they reject does not reach the later stages."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    good = [" ".join(rng.choice(WORDS) + rng.choice("abcdefghijkl") + rng.choice("mnopqrstuvwx") for _ in range(rng.randint(60, 120))) for _ in range(620)]
+    bad = [" ".join(rng.choice(["###", "$$$", "&&&", "***", "|||"]) + rng.choice(WORDS) + rng.choice("abcdefghijkl") + rng.choice("mnopqrstuvwx") for _ in range(rng.randint(60, 120))) for _ in range(120)]
+    rows = [(n, t, "en", "s1", len(t)) for n, t in enumerate(good + bad)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(n, int(n < len(good)), 0) for n in range(len(rows))], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(good[5].split()[10:30]))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    verdicts = {r.doc_id: r for r in quality_rules.op2_quality_rules(spark, folder).collect()}
+    out = {r.doc_id for r in verdicts.values() if not r.kept}
+    assert not any(r.base_failed for r in verdicts.values()) and len(out & set(range(len(good), len(rows)))) > 60 and len(out & set(range(len(good)))) < 30
+    stored = {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()}
+    assert stored and not stored & out and 5 not in stored and len(stored) > 500
