@@ -209,7 +209,9 @@ def scored(rows: DataFrame, project_ids: list[str]) -> DataFrame:
         (F.col("pointer") > 0, "pointer-density"), (F.col("n_findings") >= 1, "finding-rows"), (F.col("ephemera") > 0, "ephemera"), (F.col("past"), "superseded"), (F.col("front"), "frontmatter-only"), (short | thin, "thin-content"), (F.col("capped"), "thin-cap"),
     ]
     rows = rows.withColumn("reasons", F.array_compact(F.array(F.col("archetype"), *(F.when(holds, F.lit(tag)) for holds, tag in tags))))
-    return refined(rows).select(*columns, "archetype", "score", "reasons")
+    # a row each time: filters on the score stay above, instead of repeating all of its arithmetic in one method that is too large to compile
+    kept = refined(rows).select(*columns, "archetype", F.explode_outer(F.array(F.struct("score", "reasons"))).alias("found"))
+    return kept.select(*columns, "archetype", "found.score", "found.reasons")
 
 
 def refined(rows: DataFrame) -> DataFrame:
