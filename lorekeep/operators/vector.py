@@ -125,16 +125,16 @@ def _nearest(candidates: _Candidates, queries: np.ndarray, k: int) -> tuple[np.n
     return rows, q, similarity, met, read
 
 
-def knn(entries: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), tie: tuple[str, ...] = ("id",), counted: bool = False) -> DataFrame:
+def knn(entries: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), tie: tuple[str, ...] = ("id",), counted: bool = False, at_most: int | None = None) -> DataFrame:
     """The k nearest entries of each query, in each group of `by`: (query_id, *by, id, *tie, similarity, rank). Of equally near entries the first by the columns tie are taken.
 
     queries: (query_id, vector). entries may come from clustered(). At most k rows per stripe, query and group are shuffled for the final ranking. counted: instead, one row
-    with cells_met and cells_read, over all queries.
+    with cells_met and cells_read, over all queries. at_most: how many entries there are at most, where that is known; else they are counted.
     """
     kept, kinds, kind = list(dict.fromkeys(["id", *by, *tie])), dict(entries.dtypes), dict(queries.dtypes)["query_id"]
     held = entries.filter("embedding IS NOT NULL")
     spark = entries.sparkSession
-    stripes = max(spark.sparkContext.defaultParallelism, -(-held.select("id").count() // STRIPE))
+    stripes = max(spark.sparkContext.defaultParallelism, -(-(held.select("id").count() if at_most is None else at_most) // STRIPE))
     cells = {"cell": "long", "pivot": "array<double>", "angle": "double"}
     full = held.select(*kept, "embedding", *(F.col(c) if c in held.columns else F.lit(None).cast(t).alias(c) for c, t in cells.items()))
     dealt = ["cell", F.pmod(F.xxhash64("id"), F.lit(max(1, stripes // 8)))] if "cell" in held.columns else ["id"]  # cells are split where there are many stripes, so that none is hot

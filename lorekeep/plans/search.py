@@ -31,13 +31,13 @@ class Parameters:
     sum_of_scores: bool = False
 
 
-def near_entries(inside: DataFrame, vectors: DataFrame, size: int, alpha: float) -> DataFrame:
+def near_entries(inside: DataFrame, vectors: DataFrame, size: int, alpha: float, at_most: int | None = None) -> DataFrame:
     """The nearest entries (query_id, ctx, path, id, score) of each context: by content, or where entries have structure vectors by both, alpha of content."""
     by, tie = ("ctx",), ("path", "id")
-    near = vector.knn(inside, vectors, size, by, tie)
+    near = vector.knn(inside, vectors, size, by, tie, at_most=at_most)
     if "structure_embedding" not in inside.columns:
         return near.select("query_id", "ctx", "path", "id", F.col("similarity").alias("score"))
-    shape = vector.knn(inside.withColumn("embedding", F.col("structure_embedding")), vectors, size, by, tie)
+    shape = vector.knn(inside.withColumn("embedding", F.col("structure_embedding")), vectors, size, by, tie, at_most=at_most)
     return vector.dual_fusion(near, shape, alpha, "query_id", "ctx", "path")
 
 
@@ -80,7 +80,7 @@ def hybrid(entries: DataFrame, queries: DataFrame, vectors: DataFrame, asked: li
         return best.withColumns({"list_no": F.lit(0), "weight": F.lit(p.keyword_weight)}).select(*columns)
 
     def by_vectors() -> DataFrame:
-        near = keyword.ranked(near_entries(inside, vectors, size, p.alpha), size, "query_id", "ctx", tie=("path", "id"))
+        near = keyword.ranked(near_entries(inside, vectors, size, p.alpha, None if index is None else index.entries), size, "query_id", "ctx", tie=("path", "id"))
         return near.withColumns({"list_no": F.lit(1), "weight": F.lit(p.vector_weight)}).select(*columns)
 
     columns = ("query_id", "ctx", "list_no", "weight", "rank", "id", "path")

@@ -10,6 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this application has made for one use each.
+_MADE: list[str] = []
+
+
 def _top(spark: SparkSession) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
@@ -22,7 +26,8 @@ def _top(spark: SparkSession) -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir. Where that is unset a local folder is made, but only if driver and executors are one process."""
-    return f"{_top(spark)}/lorekeep-{uuid.uuid4().hex}"
+    _MADE.append(f"{_top(spark)}/lorekeep-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def saved(df: DataFrame) -> str:
@@ -54,6 +59,12 @@ def drop(spark: SparkSession, path: str) -> None:
     store.delete(found, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has written for one use, when no DataFrame that reads them is needed any more. Kept tables stay."""
+    while _MADE:
+        drop(spark, _MADE.pop())
+
+
 def version(df: DataFrame) -> tuple:
     """The files that df reads, with their sizes and times, as the store lists them: another version of a table has another. No row is read."""
     found = []
