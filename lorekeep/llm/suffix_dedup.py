@@ -43,6 +43,8 @@ BUCKET, BUCKET_BYTES = 10, 1 << 26
 INFLATED = 8
 #: Bits of a bitmap, texts that make an anchor hot, most windows in a segment, bytes of text for one transform, bytes of segments that a task sends at once.
 BITMAP, HOT, WINDOWS, TEXT, SENT = 1 << 26, 1000, 256, 1 << 18, 1 << 24
+#: Bytes of text whose anchors are made at once: their arrays stay in a core's cache.
+NEAR = 1 << 18
 _NONE = -(1 << 63)
 
 
@@ -84,7 +86,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
             new[1:] |= is_hot[1:] & (most[1:] != most[:-1])
             key = np.where(is_hot, mixed(least + (most ^ (most >> np.uint64(7)))), least)
     starts = np.flatnonzero(new)
-    ends = np.minimum(np.append(starts[1:], n), np.searchsorted(np.cumsum(~inside), np.cumsum(~inside)[starts], "right"))
+    ends = np.minimum(np.append(starts[1:], n), offsets[np.searchsorted(offsets, starts, "right")] - length + 1)
     pieces = (ends - starts + WINDOWS - 1) // WINDOWS
     owner = np.repeat(np.arange(len(starts)), pieces)
     begin = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WINDOWS
@@ -138,7 +140,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], bucket: int = BUCKET) -> Iterato
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "packed"])
 
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column("text")):
+        for _, _, data, offsets in slices(batch.column("text"), NEAR):
             of, _, _, anchors, _ = segments(data, offsets)
             anchors = _spread(anchors)
             order = np.lexsort((anchors, of))
@@ -248,7 +250,7 @@ def _segments(docs: DataFrame, sent) -> DataFrame:
         size = 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy()
-            for lo, _, data, offsets in slices(batch.column("text")):
+            for lo, _, data, offsets in slices(batch.column("text"), NEAR):
                 of, begin, windows, anchors, keys = segments(data, offsets, hot=hot)
                 use = np.flatnonzero(_held(anchors, recurring))
                 if not len(use):
@@ -276,7 +278,7 @@ def _occurrences(docs: DataFrame, sent) -> DataFrame:
         recurring, hot, known = sent.value
         for batch in batches:
             doc_ids, texts = (batch.column(c).to_numpy() for c in ("doc_id", "text_key"))
-            for lo, _, data, offsets in slices(batch.column("text")):
+            for lo, _, data, offsets in slices(batch.column("text"), NEAR):
                 of, begin, windows, anchors, keys = segments(data, offsets, hot=hot)
                 use = np.flatnonzero(_held(anchors, recurring))
                 of, begin, windows, keys = of[use], begin[use], windows[use], keys[use]
@@ -333,15 +335,21 @@ class Transform:
             symbols = np.concatenate([symbols[~one], symbols[one]])
         self.begin = at.astype(np.int32)
 
+        self.symbol = text[order - 1].astype(np.int16)
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.before = place[order - 1]
 
     def extended(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of one suffix have one extension, the suffix that starts a symbol earlier; the others go down the matrix."""
-        one = hi - lo == 1
-        single = self.before[lo[one]]
-        lo, hi, code = lo[~one], hi[~one], np.zeros(len(one) - len(single), np.int32)
+        """The extension of an interval of one suffix is the suffix that starts a symbol earlier; two suffixes stay together if they have the same symbol before them; larger intervals go
+        down the matrix."""
+        size = hi - lo
+        two = lo[size == 2]
+        same = self.symbol[two] == self.symbol[two + 1]
+        pair, apart = self.before[two[same]], two[~same]
+        single = self.before[np.concatenate([lo[size == 1], apart, apart + 1])]
+        lo, hi = lo[size > 2], hi[size > 2]
+        code = np.zeros(len(lo), np.int32)
         for zeros in self.zeros:
             zlo, zhi = zeros[lo], zeros[hi]
             left, right = np.flatnonzero(zhi > zlo), np.flatnonzero(hi - lo > zhi - zlo)
@@ -352,7 +360,7 @@ class Transform:
             )
         size = hi - lo
         lo = self.first[code] + lo - self.begin[code]
-        return np.concatenate([single, lo]), np.concatenate([single + 1, lo + size])
+        return np.concatenate([single, pair, lo]), np.concatenate([single + 1, pair + 2, lo + size])
 
 
 def borders(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
