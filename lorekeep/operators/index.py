@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens
@@ -36,6 +36,8 @@ _ROW = "segment long, term string, n int, tokens long, ids array<long>, ctxs arr
 _FIELDS = [x.split()[0] for x in _ROW.split(", ")]
 #: Part of the name of kept indexes: another one for each change of what is kept or of how texts are cut into tokens.
 FORMAT = 2
+#: A segment's number is its generation, the task that made it and its place among that task's, from these bits on.
+_GENERATION, _TASK = 52, 28
 _DEAD, _COMMIT = "gen long, segment long, place int", "gen long, base long, entries long, tokens long, segments long"
 
 
@@ -114,7 +116,7 @@ def segments(entries: DataFrame, generation: int) -> DataFrame:
     """The segments of digested entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size, words = (generation << 52) + (TaskContext.get().partitionId() << 28), [], 0, 0
+        number, held, size, words = (generation << _GENERATION) + (TaskContext.get().partitionId() << _TASK), [], 0, 0
         for batch in batches:
             total = np.cumsum(sum(pc.fill_null(pc.list_value_length(batch.column(f"t_{c}")), 0).to_numpy(zero_copy_only=False) for c in COLUMNS)) if batch.num_rows else np.zeros(0)
             lo = 0
@@ -134,6 +136,12 @@ def segments(entries: DataFrame, generation: int) -> DataFrame:
     return entries.select("id", "ctx", "digest", *(tokens(c).alias(f"t_{c}") for c in COLUMNS)).mapInArrow(run, _ROW)
 
 
+def dealt(stripes: int) -> Column:
+    """The stripe of a segment. Segments that are the n-th of their tasks lie evenly on the stripes, since tasks have consecutive numbers; each n begins elsewhere."""
+    nth = F.hash(F.col("segment").bitwiseAND(F.lit((1 << _TASK) - 1)))
+    return F.pmod(F.shiftright("segment", _TASK) + nth, F.lit(stripes)).cast("int")
+
+
 def _commits(spark: SparkSession, path: str) -> list:
     return sorted(spark.read.schema(_COMMIT).parquet(f"{path}/commits").collect()) if exists(spark, f"{path}/commits") else []  # one row for each update
 

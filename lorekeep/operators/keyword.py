@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens  # noqa: F401  search texts are cut like entries
-from lorekeep.operators.index import COLUMNS, SHIFT, Index
+from lorekeep.operators.index import COLUMNS, SHIFT, Index, dealt
 from lorekeep.sources.tables import stash
 
 WEIGHTS = {"value": 1.0, "source_file": 8.0, "section": 16.0}
@@ -64,8 +64,8 @@ def _phrases(terms: DataFrame, index: Index) -> DataFrame:
         if key and len(spots) == wanted:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(*key, spots), kinds)], schema=schema)
 
-    dealt = found.repartition("segment", "term").sortWithinPartitions("segment", "term", "shift")
-    return dealt.mapInArrow(run, "segment long, term string, places array<int>, f_value array<int>, f_source_file array<int>, f_section array<int>").filter("size(places) > 0")
+    sorted_lists = found.repartition("segment", "term").sortWithinPartitions("segment", "term", "shift")
+    return sorted_lists.mapInArrow(run, "segment long, term string, places array<int>, f_value array<int>, f_source_file array<int>, f_section array<int>").filter("size(places) > 0")
 
 
 def _without_dead(lists: DataFrame, index: Index) -> DataFrame:
@@ -225,7 +225,7 @@ def search(asked: DataFrame, index: Index, k: int | None = None, weights: tuple[
 
     segments = index.headers().select("segment", "ids", "ctxs", "lengths")
     stripes = max(spark.sparkContext.defaultParallelism, -(-index.segments // STRIPE))
-    stripe = F.pmod(F.xxhash64("segment"), F.lit(stripes)).cast("int").alias("stripe")
+    stripe = dealt(stripes).alias("stripe")
     kinds = {"segment": "long", "ids": "array<long>", "ctxs": "array<string>", "lengths": "array<int>", "term": "string", "places": "array<int>", **dict.fromkeys(_COUNTS, "array<int>"), "query_id": kind, "searched": "int", "every": "boolean", "only": "array<string>", "terms": "array<string>", "factors": "array<double>"}
 
     def side(df: DataFrame, kind_no: int, stripe: Column) -> DataFrame:
@@ -273,7 +273,8 @@ def search(asked: DataFrame, index: Index, k: int | None = None, weights: tuple[
                 types = [batch.schema.field("query_id").type, pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
-    found = rows.repartition("stripe").sortWithinPartitions("stripe", "kind").mapInArrow(run, f"query_id {kind}, ctx string, id long, score double, n_hits long, blocks_met long, blocks_read long")
+    # a task for each stripe, however few bytes it has: its work is the scoring
+    found = rows.repartitionById(stripes, "stripe").sortWithinPartitions("stripe", "kind").mapInArrow(run, f"query_id {kind}, ctx string, id long, score double, n_hits long, blocks_met long, blocks_read long")
     return found if counted else found.filter("id IS NOT NULL").select("query_id", "ctx", "id", "score")
 
 

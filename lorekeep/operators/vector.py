@@ -141,7 +141,7 @@ def knn(entries: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()
     stripe = F.pmod(F.xxhash64(*dealt), F.lit(stripes)).cast("int")
     left = full.select(stripe.alias("stripe"), F.lit(0).alias("kind"), *full.columns, F.lit(None).cast(kind).alias("query_id"), F.lit(None).cast("array<double>").alias("vector"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(1).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in full.dtypes), "query_id", F.col("vector").cast("array<double>").alias("vector"))
-    met = left.unionByName(asked).repartition("stripe").sortWithinPartitions("stripe", "kind")
+    met = left.unionByName(asked).repartitionById(stripes, "stripe").sortWithinPartitions("stripe", "kind")  # a task for each, however few bytes it has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, data = None, [], None
