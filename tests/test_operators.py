@@ -102,6 +102,17 @@ def test_release_drops_what_one_use_has_written(spark, folder):
     assert not tables.exists(spark, path) and tables.stash(df).count() == 1
 
 
+def test_segments_lie_evenly_on_stripes(spark):
+    numbers = [(g << 52) + (task << 28) + n for g in range(3) for task in range(16) for n in range(4)]
+    rows = spark.createDataFrame([(x,) for x in numbers], "segment long")
+    for stripes in (1, 4, 8, 16):
+        loads = [r["count"] for r in rows.groupBy(index.dealt(stripes).alias("stripe")).count().collect()]
+        assert loads == [len(numbers) // stripes] * stripes
+    few = rows.filter("segment < shiftleft(6L, 28)").groupBy(index.dealt(16)).count()  # six tasks of one generation
+    assert sum(r["count"] for r in few.collect()) == 24
+    assert spark.range(1).select(F.lit(1 << 52).alias("segment")).select(index.dealt(7).alias("s")).first().s in range(7)
+
+
 def test_an_index_kept_by_deltas(spark, folder, monkeypatch):
     monkeypatch.setattr(index, "SEGMENT", 50)
     rng = random.Random(5)
