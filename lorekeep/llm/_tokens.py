@@ -7,9 +7,12 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -22,12 +25,19 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED, PARTS = 450_000, 300_000
 #: A longer unit is not remembered.
 LONGEST = 40
+#: Different words that one call to the library encodes.
+AT_ONCE = 1 << 10
+#: Units whose ids are gathered at once.
+GATHERED = 1 << 17
+#: Characters that are split off the ends of words of letters.
+MARKS = ".,;:!?"
 
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How the vocabulary writes bytes.
 _LETTER = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 _ID = attrgetter("id")
 _UNSURE = re.compile(r"[\x1c-\x1f\x85]")
+_BORDER = re.compile(r"^\s|\s\s|\s$")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -60,6 +70,22 @@ class _Remembered(dict):
         return found
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The ids of the units that are seen, one after the other, from ids of units of these sizes."""
+    begin, out = np.cumsum(sizes) - sizes, [ids[:0]]
+    for lo in range(0, len(seen), GATHERED):
+        part = seen[lo : lo + GATHERED]
+        size = sizes[part]
+        at = np.repeat(begin[part] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        out.append(ids[at])
+    return np.concatenate(out)
+
+
 class Encoder:
     """Ids of texts as the file's tokenizer has them without special tokens added.
 
@@ -86,8 +112,12 @@ class Encoder:
         split, model = made.get("pre_tokenizer") or {}, made["model"]
         self.usual = (
             model.get("type") == "BPE" and not made.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
-            and split.get("use_regex", True) and not model.get("ignore_merges") and not model.get("dropout") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in made["added_tokens"])
+            and split.get("use_regex", True) and not model.get("ignore_merges") and not model.get("dropout") and not made.get("truncation") and not made.get("padding")
+            and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in made["added_tokens"])
         )
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id begins with a space
+        self.opens[[k for x, k in vocabulary.items() if x.startswith(_LETTER[32])]] = True
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -124,12 +154,102 @@ class Encoder:
         try:
             return self._piece("", pieces[0]) + b"".join(map(self.after.__getitem__, pieces[1:]))
         except _Unclear:
-            pass
+            return self._by_gaps(text)
+
+    def _by_gaps(self, text: str) -> bytes:
+        if not text:
+            return b""
         if _UNSURE.search(text) or any(x in text for x in self.special):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         first, *rest = _GAP.split(text)
         return self._unit(first) + b"".join(self._unit(" " + x) for x in rest)
 
+    def _unclear(self, words: list[str]) -> np.ndarray:
+        """Which pieces are no units of their own."""
+        joined = " ".join(filter(None, words))
+        if _BORDER.search(joined):
+            out = np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in words), bool, len(words))
+        else:
+            out = np.zeros(len(words), bool)
+            if "" in words:
+                out[words.index("")] = True
+        if _UNSURE.search(joined) or self.mark in joined:
+            out |= np.fromiter((bool(_UNSURE.search(x)) or any(y in x for y in self.special) for x in words), bool, len(words))
+        return out
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of clear words, each with a space before it, and how many each has: an id that begins with a space is a word's first."""
+        ids = [np.zeros(0, self.dtype)]
+        for lo in range(0, len(words), AT_ONCE):
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(words[lo : lo + AT_ONCE])], add_special_tokens=False)
+            ids.append(np.array(found[0].ids, self.dtype))
+        all_ids = np.concatenate(ids)
+        first = np.flatnonzero(self.opens[all_ids])
+        if len(first) != len(words):
+            raise ValueError("the tokenizer's ids do not tell where words begin")
+        return all_ids, np.diff(np.append(first, len(all_ids)))
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Like _joined, for words of letters only: each is one pre-token."""
+        written = (" " + "\n ".join(words)).encode().decode("latin-1").translate(_LETTER).split(_LETTER[10]) if words else []
+        ids, sizes = array(self.kind), array("q")
+        for lo in range(0, len(written), AT_ONCE):  # few objects at a time
+            found = list(map(self.model.tokenize, written[lo : lo + AT_ONCE]))
+            ids.extend(map(_ID, chain.from_iterable(found)))
+            sizes.extend(map(len, found))
+        return np.array(ids, self.dtype), np.array(sizes, np.int64)
+
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different clear words, each with a space before it, and how many each has."""
+        bases = pc.utf8_rtrim(words, MARKS)
+        coded = bases.dictionary_encode()
+        base, of = _strings(coded.dictionary), coded.indices.to_numpy()
+        letters = np.fromiter(map(str.isalpha, base), bool, len(base))
+        plain = letters[of]
+        place = np.cumsum(letters) - 1
+        marked = np.flatnonzero(plain & (pc.binary_length(words).to_numpy() > pc.binary_length(bases).to_numpy()))
+        ends = [x[n:] for x, n in zip(_strings(words.take(marked)), pc.utf8_length(bases.take(marked)).to_pylist())]
+        marks = {x: k for k, x in enumerate(dict.fromkeys(ends))}
+        parts = [(self._letters([x for x, k in zip(base, letters.tolist()) if k])), (self._joined(_strings(words.filter(pa.array(~plain)))))]
+        raws = [*map(self._part, marks), b""]
+        ids = np.concatenate([*(x for x, _ in parts), np.frombuffer(b"".join(raws), self.dtype)])
+        sizes = np.concatenate([*(x for _, x in parts), [len(x) // self.dtype.itemsize for x in raws]])
+        seen = np.full((len(words), 2), len(sizes) - 1)
+        seen[plain, 0] = place[of[plain]]
+        seen[~plain, 0] = letters.sum() + np.arange((~plain).sum())
+        seen[marked, 1] = len(sizes) - len(raws) + np.array([marks[x] for x in ends], np.int64)
+        return _gathered(ids, sizes, seen.ravel()), sizes[seen].sum(1)
+
+    def streams(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after each, and the offsets between texts. Each different word of the texts is encoded once, and nothing is remembered."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.split_pattern(texts, " ")
+        offsets = np.append(0, np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64))
+        pieces = split.flatten().dictionary_encode()
+        words, codes = _strings(pieces.dictionary), pieces.indices.to_numpy()
+        begin = offsets[:-1]
+        unclear = self._unclear(words) if self.usual else np.ones(len(words), bool)
+        other = np.logical_or.reduceat(unclear[codes], begin) if len(texts) else np.zeros(0, bool)
+        # what stands in the streams: clear words, first words, whole texts, the end and nothing
+        clear = np.flatnonzero(~unclear)
+        ids, sizes = self._spaced(pieces.dictionary.take(clear))
+        place = np.zeros(len(words), np.int64)
+        place[clear] = np.arange(len(clear))
+        firsts, first = np.unique(codes[begin[~other]], return_inverse=True)
+        alone = [self._pack(x.ids) for x in self.tokenizer.encode_batch_fast([words[k] for k in firsts.tolist()], add_special_tokens=False)]
+        whole = [(self._by_gaps if self.usual else self.ids)(x) for x in texts.filter(pa.array(other)).to_pylist()]
+        raws = [*alone, *whole, self._pack([end_id]), b""]
+        ids = np.concatenate([ids, np.frombuffer(b"".join(raws), self.dtype)])
+        sizes = np.append(sizes, [len(x) // self.dtype.itemsize for x in raws])
+        end, nothing = len(sizes) - 2, len(sizes) - 1
+        seen = place[codes]
+        if whole:
+            seen[np.repeat(other, np.diff(offsets))] = nothing
+        seen[begin[~other]] = len(clear) + first
+        seen[begin[other]] = len(clear) + len(alone) + np.arange(len(whole))
+        seen = np.insert(seen, offsets[1:], end)
+        return _gathered(ids, sizes, seen), np.append(0, np.cumsum(sizes[seen])[offsets[1:] + np.arange(len(texts))])
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm._shared import decoded, documents, lean, shared_folder
+from lorekeep.llm._shared import documents, lean, shared_folder, slices
 from lorekeep.llm._tokens import default_path, encoder
 
 #: A chunk ends where the hash of its last SPAN ids has MASK's bits 0, with LEAST to MOST ids.
@@ -37,6 +37,8 @@ SPAN, MASK, LEAST, MOST = 8, 0xFF, 32, 2048
 BLOCK = 1024
 #: Digests that a task remembers as sent (about 100 bytes each).
 SENT = 150_000
+#: Bytes of text whose different words are encoded together.
+TOGETHER = 1 << 24
 
 _TABLE = np.random.default_rng(6).integers(0, 1 << 63, 1 << 12, np.uint64) | np.uint64(1)
 
@@ -78,15 +80,13 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sent, task, row = encoder(tokenizer), set(), TaskContext.get().partitionId(), 0
-        width, end = encode.dtype.itemsize, np.array([end_id], encode.dtype).tobytes()
 
-        def rows(doc_ids: list, raws: list[bytes]) -> Iterator[tuple]:
+        def rows(doc_ids: list, ids: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
             nonlocal row
-            offsets = np.cumsum([0, *(len(r) // width for r in raws)])
-            for doc_id, raw, ends in zip(doc_ids, raws, cuts_of(np.frombuffer(b"".join(raws), encode.dtype), offsets)):
+            for doc_id, start, ends in zip(doc_ids, offsets.tolist(), cuts_of(ids, offsets)):
                 digests, last = [], 0
                 for cut in ends:
-                    payload = raw[last * width : cut * width]
+                    payload = ids[start + last : start + cut].tobytes()
                     digests.append(digest(payload))
                     if digests[-1] not in sent:
                         if len(sent) >= SENT:
@@ -98,9 +98,9 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 row += 1
 
         for batch in batches:
-            for lo, hi, each in decoded(batch.column("text")):
-                raws = [encode.ids(x) + end for x in each]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), raws)), kinds)], names)
+            for lo, hi, _, _ in slices(batch.column("text"), TOGETHER):
+                ids, offsets = encode.streams(batch.column("text").slice(lo, hi - lo), end_id)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), ids, offsets)), kinds)], names)
 
     names = ["kind", "digest", "payload", "doc_id", "digests", "ends"]
     kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]

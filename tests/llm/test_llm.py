@@ -446,6 +446,19 @@ def test_ids_are_the_library_s(tokenizer):
         assert np.frombuffer(encode.ids(text), encode.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_streams_are_the_library_s(tokenizer, monkeypatch):
+    rng = random.Random(8)
+    encode = _tokens.Encoder(_tokens.default_path())
+    monkeypatch.setattr(_tokens, "AT_ONCE", 5)
+    monkeypatch.setattr(_tokens, "GATHERED", 7)
+    texts = [None, "", " ", "a", " a", "a ", "a  b", "word, word. word... the word's end!?", "a\tb\nc d", "a\x1cb c", "a\x85 b", "<|endoftext|> a", "né naïve ÀÉ. 汉字, 🙂🙂", "Ġ b Ġ"]
+    texts += ["".join(rng.choice("abé1 .,!'\n 汉") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    for some in (texts, texts[:1], [], ["two words"] * 3):
+        ids, offsets = encode.streams(pa.array(some, pa.string()), 7)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*tokenizer.encode(x or "", add_special_tokens=False).ids, 7] for x in some]
+    assert not any((encode.after, encode.after.old))  # nothing but texts of unusual white space leaves something in memory
+
+
 def test_crc_parts():
     rng = np.random.default_rng(2)
     parts = [rng.integers(0, 256, n, np.uint8).tobytes() for n in (0, 1, 5, 400, 77)]
