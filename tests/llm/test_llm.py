@@ -446,6 +446,23 @@ def test_ids_are_the_library_s(tokenizer):
         assert np.frombuffer(encode.ids(text), encode.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_descent_holds_few_files(spark, docs, monkeypatch):
+    files, stash = [], jaccard_join.stash
+    monkeypatch.setattr(jaccard_join, "stash", lambda df: (files.append((df.columns, len((out := stash(df)).inputFiles()))), out)[1])
+    with_many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in with_many}
+    try:
+        for k, v in with_many.items():
+            spark.conf.set(k, v)
+        members = stash(jaccard_join._members(docs.select("doc_id", "text"), 5).select(F.monotonically_increasing_id().alias("member"), "signature"))
+        jaccard_join.forest_components(members, 0.8, 0.999)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    held = [n for columns, n in files if "head" in columns]
+    assert held and max(held) <= spark.sparkContext.defaultParallelism
+
+
 def test_streams_are_the_library_s(tokenizer, monkeypatch):
     rng = random.Random(8)
     encode = _tokens.Encoder(_tokens.default_path())
