@@ -449,7 +449,7 @@ def test_ids_are_the_library_s(tokenizer):
 def test_descent_holds_few_files(spark, docs, monkeypatch):
     files, stash = [], jaccard_join.stash
     monkeypatch.setattr(jaccard_join, "stash", lambda df: (files.append((df.columns, len((out := stash(df)).inputFiles()))), out)[1])
-    with_many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false"}
+    with_many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k) for k in with_many}
     try:
         for k, v in with_many.items():
