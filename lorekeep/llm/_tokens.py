@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from array import array
 from functools import lru_cache
 from itertools import chain
@@ -25,19 +26,20 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED, PARTS = 450_000, 300_000
 #: A longer unit is not remembered.
 LONGEST = 40
-#: Different words that one call to the library encodes.
+#: Different units of other kinds than letters that one call to the library encodes.
 AT_ONCE = 1 << 10
 #: Units whose ids are gathered at once.
 GATHERED = 1 << 17
-#: Characters that are split off the ends of words of letters.
-MARKS = ".,;:!?"
+#: Different words of letters whose ids a worker remembers from one slice of text to the next, in Arrow arrays (some 40 bytes each).
+KNOWN = 1 << 20
+#: Characters that are split off the ends of words of letters, where any run of them is one pre-token.
+MARKS = string.punctuation
 
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How the vocabulary writes bytes.
 _LETTER = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 _ID = attrgetter("id")
 _UNSURE = re.compile(r"[\x1c-\x1f\x85]")
-_BORDER = re.compile(r"^\s|\s\s|\s$")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -74,16 +76,27 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
-def _gathered(ids: np.ndarray, sizes: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The ids of the units that are seen, one after the other, from ids of units of these sizes."""
-    begin, out = np.cumsum(sizes) - sizes, [ids[:0]]
+def _packed(raw: bytes | np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes cut into binary values of these sizes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(raw)])
+
+
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large string or binary column, and the offsets between its values."""
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8), offsets - offsets[0]
+
+
+def _gathered(units: pa.Array, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the units that are seen, one after the other, and the offsets between them."""
+    data, at, total = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)], 0
     for lo in range(0, len(seen), GATHERED):
-        part = seen[lo : lo + GATHERED]
-        size = sizes[part]
-        at = np.repeat(begin[part] - (np.cumsum(size) - size), size)
-        at += np.arange(len(at))
-        out.append(ids[at])
-    return np.concatenate(out)
+        raw, offsets = _parts(units.take(pa.array(seen[lo : lo + GATHERED])))
+        data.append(raw)
+        at.append(offsets[1:] + total)
+        total += len(raw)
+    return np.concatenate(data), np.concatenate(at)
 
 
 class Encoder:
@@ -107,6 +120,7 @@ class Encoder:
         self.mark = os.path.commonprefix(self.special)[:1]  # what all of them start with, maybe nothing
         self.find = regex.compile(PATTERN).findall
         self.after, self.parts = _Remembered(self._after, REMEMBERED), _Remembered(self._part, PARTS)
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.words_are_plain = not any(map(str.isalpha, self.special))
         made = json.loads(self.tokenizer.to_str())
         split, model = made.get("pre_tokenizer") or {}, made["model"]
@@ -164,91 +178,125 @@ class Encoder:
         first, *rest = _GAP.split(text)
         return self._unit(first) + b"".join(self._unit(" " + x) for x in rest)
 
-    def _unclear(self, words: list[str]) -> np.ndarray:
+    def _unclear(self, words: pa.Array) -> np.ndarray:
         """Which pieces are no units of their own."""
-        joined = " ".join(filter(None, words))
-        if _BORDER.search(joined):
-            out = np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in words), bool, len(words))
-        else:
-            out = np.zeros(len(words), bool)
-            if "" in words:
-                out[words.index("")] = True
-        if _UNSURE.search(joined) or self.mark in joined:
-            out |= np.fromiter((bool(_UNSURE.search(x)) or any(y in x for y in self.special) for x in words), bool, len(words))
+        size = pc.binary_length(words).to_numpy()
+        out = (size == 0) | (pc.binary_length(pc.utf8_trim_whitespace(words)).to_numpy() < size)
+        data = _parts(words)[0]
+        if ((data - np.uint8(0x1C)) < 4).any() or (data == 0x85).any() or self.mark.encode() in data.tobytes():
+            odd = np.zeros(len(words), bool)
+            for x in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", *self.special):
+                odd |= pc.match_substring(words, x).to_numpy(zero_copy_only=False)
+            out |= odd
         return out
 
-    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of clear words, each with a space before it, and how many each has: an id that begins with a space is a word's first."""
+    def _joined(self, units: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of units that begin with a space, and how many bytes each has: an id that begins with a space is a unit's first."""
         ids = [np.zeros(0, self.dtype)]
-        for lo in range(0, len(words), AT_ONCE):
-            found = self.tokenizer.encode_batch_fast([" " + " ".join(words[lo : lo + AT_ONCE])], add_special_tokens=False)
+        for lo in range(0, len(units), AT_ONCE):
+            found = self.tokenizer.encode_batch_fast(["".join(units[lo : lo + AT_ONCE])], add_special_tokens=False)
             ids.append(np.array(found[0].ids, self.dtype))
         all_ids = np.concatenate(ids)
         first = np.flatnonzero(self.opens[all_ids])
-        if len(first) != len(words):
+        if len(first) != len(units):
             raise ValueError("the tokenizer's ids do not tell where words begin")
-        return all_ids, np.diff(np.append(first, len(all_ids)))
+        return all_ids.tobytes(), np.diff(np.append(first, len(all_ids))) * self.dtype.itemsize
 
-    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Like _joined, for words of letters only: each is one pre-token."""
-        written = (" " + "\n ".join(words)).encode().decode("latin-1").translate(_LETTER).split(_LETTER[10]) if words else []
+    def _letters(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """Like _joined, for words of letters only, with a space before them or not: each is one pre-token."""
+        written = "\n".join(words).encode().decode("latin-1").translate(_LETTER).split(_LETTER[10]) if words else []
         ids, sizes = array(self.kind), array("q")
-        for lo in range(0, len(written), AT_ONCE):  # few objects at a time
-            found = list(map(self.model.tokenize, written[lo : lo + AT_ONCE]))
+        for lo in range(0, len(written), 32):  # few objects at a time
+            found = list(map(self.model.tokenize, written[lo : lo + 32]))
             ids.extend(map(_ID, chain.from_iterable(found)))
             sizes.extend(map(len, found))
-        return np.array(ids, self.dtype), np.array(sizes, np.int64)
-
-    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of different clear words, each with a space before it, and how many each has."""
-        bases = pc.utf8_rtrim(words, MARKS)
+        return ids.tobytes(), np.array(sizes, np.int64) * self.dtype.itemsize
+
+    def _remembered(self, bases: pa.Array) -> np.ndarray:
+        """Where each of different strings, with a space before it or not, stands in known, or -1 if it is no word of letters; new words are encoded."""
+        at = pc.index_in(bases, self.known)
+        new = bases.filter(pc.is_null(at))
+        letters = np.fromiter((len(x) <= LONGEST and x.isalpha() for x in _strings(pc.utf8_ltrim(new, " "))), bool, len(new))
+        new = new.filter(pa.array(letters))
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        old = np.flatnonzero(place >= 0)
+        if len(self.known) + len(new) > KNOWN:  # those of before are forgotten
+            kept = pa.array(place[old])
+            self.known, self.known_ids = self.known.take(kept), self.known_ids.take(kept)
+            place[old] = np.arange(len(old))
+        place[np.flatnonzero(place < 0)[letters]] = len(self.known) + np.arange(len(new))
+        self.known, self.known_ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.known_ids, _packed(*self._letters(_strings(new)))])
+        return place
+
+    def _units(self, units: pa.Array) -> pa.Array:
+        """Ids, as bytes, of different clear pieces, with a space before them or not.
+
+        Where lines of one word meet, as in "one.\nTwo", the line's end is a pre-token and each line is a word of its own.
+        """
+        lines = pc.split_pattern(units, "\n")
+        begin = np.append(0, np.cumsum(lines.value_lengths().to_numpy(), dtype=np.int64))
+        lines = lines.flatten()
+        bases = pc.utf8_rtrim(lines, MARKS)
         coded = bases.dictionary_encode()
-        base, of = _strings(coded.dictionary), coded.indices.to_numpy()
-        letters = np.fromiter(map(str.isalpha, base), bool, len(base))
-        plain = letters[of]
-        place = np.cumsum(letters) - 1
-        marked = np.flatnonzero(plain & (pc.binary_length(words).to_numpy() > pc.binary_length(bases).to_numpy()))
-        ends = [x[n:] for x, n in zip(_strings(words.take(marked)), pc.utf8_length(bases.take(marked)).to_pylist())]
-        marks = {x: k for k, x in enumerate(dict.fromkeys(ends))}
-        parts = [(self._letters([x for x, k in zip(base, letters.tolist()) if k])), (self._joined(_strings(words.filter(pa.array(~plain)))))]
-        raws = [*map(self._part, marks), b""]
-        ids = np.concatenate([*(x for x, _ in parts), np.frombuffer(b"".join(raws), self.dtype)])
-        sizes = np.concatenate([*(x for _, x in parts), [len(x) // self.dtype.itemsize for x in raws]])
-        seen = np.full((len(words), 2), len(sizes) - 1)
-        seen[plain, 0] = place[of[plain]]
-        seen[~plain, 0] = letters.sum() + np.arange((~plain).sum())
-        seen[marked, 1] = len(sizes) - len(raws) + np.array([marks[x] for x in ends], np.int64)
-        return _gathered(ids, sizes, seen.ravel()), sizes[seen].sum(1)
+        place = self._remembered(coded.dictionary)[coded.indices.to_numpy()]
+        other = np.logical_or.reduceat(place < 0, begin[:-1]) if len(units) else np.zeros(0, bool)
+        # the marks behind a word, cut from the column's bytes
+        data, offsets = _parts(lines)
+        size = np.diff(offsets) - pc.binary_length(bases).to_numpy()
+        marked = np.flatnonzero(size)
+        size = size[marked]
+        marks = _packed(data[np.repeat(offsets[marked + 1] - np.cumsum(size), size) + np.arange(size.sum())], size).dictionary_encode()
+        # units of other kinds
+        spaced = pc.starts_with(units, " ").to_numpy(zero_copy_only=False)
+        joined = _packed(*self._joined(_strings(units.filter(pa.array(other & spaced)))))
+        alone = [self._pack(x.ids) for x in self.tokenizer.encode_batch_fast(_strings(units.filter(pa.array(other & ~spaced))), add_special_tokens=False)]
+        tails = [self._part(x.decode()) for x in marks.dictionary.to_pylist()]
+        known = len(self.known_ids)
+        table = pa.concat_arrays([self.known_ids, joined, pa.array([*alone, *tails, self._part("\n"), b""], pa.large_binary())])
+        line_end, nothing = len(table) - 2, len(table) - 1
+        seen = np.full((len(lines), 3), nothing)
+        seen[:, 0] = line_end
+        seen[begin[:-1], 0] = nothing
+        seen[:, 1] = place
+        seen[marked, 2] = known + len(joined) + len(alone) + marks.indices.to_numpy()
+        seen[np.repeat(other, np.diff(begin))] = nothing
+        seen[begin[:-1][other & spaced], 1] = known + np.arange(len(joined))
+        seen[begin[:-1][other & ~spaced], 1] = known + len(joined) + np.arange(len(alone))
+        raw, at = _gathered(table, seen.ravel())
+        return _packed(raw, np.diff(at[3 * begin]))
 
     def streams(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, end_id after each, and the offsets between texts. Each different word of the texts is encoded once, and nothing is remembered."""
+        """The ids of all texts, end_id after each, and the offsets between texts. Each different piece of the texts is encoded once; only words of letters are remembered."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.split_pattern(texts, " ")
         offsets = np.append(0, np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64))
         pieces = split.flatten().dictionary_encode()
-        words, codes = _strings(pieces.dictionary), pieces.indices.to_numpy()
+        words, codes = pieces.dictionary, pieces.indices.to_numpy()
         begin = offsets[:-1]
         unclear = self._unclear(words) if self.usual else np.ones(len(words), bool)
         other = np.logical_or.reduceat(unclear[codes], begin) if len(texts) else np.zeros(0, bool)
         # what stands in the streams: clear words, first words, whole texts, the end and nothing
         clear = np.flatnonzero(~unclear)
-        ids, sizes = self._spaced(pieces.dictionary.take(clear))
-        place = np.zeros(len(words), np.int64)
-        place[clear] = np.arange(len(clear))
         firsts, first = np.unique(codes[begin[~other]], return_inverse=True)
-        alone = [self._pack(x.ids) for x in self.tokenizer.encode_batch_fast([words[k] for k in firsts.tolist()], add_special_tokens=False)]
+        spaced = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("", words.take(pa.array(clear)), " ")))
+        units = self._units(pa.concat_arrays([spaced, words.take(pa.array(firsts))]))
         whole = [(self._by_gaps if self.usual else self.ids)(x) for x in texts.filter(pa.array(other)).to_pylist()]
-        raws = [*alone, *whole, self._pack([end_id]), b""]
-        ids = np.concatenate([ids, np.frombuffer(b"".join(raws), self.dtype)])
-        sizes = np.append(sizes, [len(x) // self.dtype.itemsize for x in raws])
-        end, nothing = len(sizes) - 2, len(sizes) - 1
-        seen = place[codes]
+        table = pa.concat_arrays([units, pa.array([*whole, self._pack([end_id]), b""], pa.large_binary())])
+        end, nothing = len(table) - 2, len(table) - 1
+        place = np.full(len(words), nothing, np.int32)
+        place[clear] = np.arange(len(clear))
+        ends = offsets[1:] + np.arange(len(texts))
+        inside = np.ones(len(codes) + len(texts), bool)
+        inside[ends] = False
+        inner = place[codes]
         if whole:
-            seen[np.repeat(other, np.diff(offsets))] = nothing
-        seen[begin[~other]] = len(clear) + first
-        seen[begin[other]] = len(clear) + len(alone) + np.arange(len(whole))
-        seen = np.insert(seen, offsets[1:], end)
-        return _gathered(ids, sizes, seen), np.append(0, np.cumsum(sizes[seen])[offsets[1:] + np.arange(len(texts))])
+            inner[np.repeat(other, np.diff(offsets))] = nothing
+        inner[begin[~other]] = len(clear) + first
+        inner[begin[other]] = len(units) + np.arange(len(whole))
+        seen = np.full(len(inside), end, np.int32)
+        seen[inside] = inner
+        raw, at = _gathered(table, seen)
+        return raw.view(self.dtype), np.append(0, at[ends + 1]) // self.dtype.itemsize
 
 
 @lru_cache(maxsize=2)

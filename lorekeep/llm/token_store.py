@@ -40,16 +40,27 @@ SENT = 150_000
 #: Bytes of text whose different words are encoded together.
 TOGETHER = 1 << 24
 
+#: Ids that are hashed at once, so that their hashes stay in a core's cache.
+HASHED = 1 << 14
+
+_WEIGHTS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(SPAN)]
 _TABLE = np.random.default_rng(6).integers(0, 1 << 63, 1 << 12, np.uint64) | np.uint64(1)
 
 
 def cuts_of(ids: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
     """Ends of the chunks of each of the id streams that lie between offsets. As no chunk is shorter than SPAN, the hash never tells of the stream before."""
-    x = _TABLE[ids & 0xFFF] + ids
-    rolled = np.zeros(len(ids), np.uint64)
-    for k in range(min(SPAN, len(ids))):
-        rolled[k:] += x[: len(ids) - k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)
-    marks = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+    marks = [np.zeros(0, np.int64)]
+    for lo in range(0, len(ids), HASHED):
+        before = min(lo, SPAN - 1)
+        part = ids[lo - before : lo + HASHED]
+        x = _TABLE[part & 0xFFF] + part
+        rolled, y = np.zeros(len(x), np.uint64), np.empty(len(x), np.uint64)
+        for k in range(min(SPAN, len(x))):
+            rolled[k:] += np.multiply(x[: len(x) - k], _WEIGHTS[k], out=y[k:])
+        rolled >>= np.uint64(40)
+        rolled &= np.uint64(MASK)
+        marks.append(np.flatnonzero(rolled[before:] == 0) + lo + 1)
+    marks = np.concatenate(marks)
     at = np.searchsorted(marks, offsets, "right")
     for start, stop, a, b in zip(offsets.tolist(), offsets[1:].tolist(), at, at[1:]):
         found, last, n = [], 0, stop - start

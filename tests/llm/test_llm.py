@@ -476,6 +476,51 @@ def test_streams_are_the_library_s(tokenizer, monkeypatch):
     assert not any((encode.after, encode.after.old))  # nothing but texts of unusual white space leaves something in memory
 
 
+class _Counted:
+    """A part of the library that counts the characters it gets."""
+
+    def __init__(self, of):
+        self.of, self.n = of, 0
+
+    def tokenize(self, word):
+        self.n += len(word)
+        return self.of.tokenize(word)
+
+    def encode_batch_fast(self, some, **how):
+        self.n += sum(map(len, some))
+        return self.of.encode_batch_fast(some, **how)
+
+
+def test_streams_give_the_library_each_word_once(tokenizer):
+    rng = random.Random(9)
+    encode = _tokens.Encoder(_tokens.default_path())
+    encode.tokenizer, encode.model = _Counted(encode.tokenizer), _Counted(encode.model)
+    first, second = (["".join(rng.choices("abdeéilnorst", k=8)) for _ in range(40)] for _ in range(2))
+    marks = [".", ",***", "", "'$", "!?"]
+    texts = [" ".join(f"{x}{rng.choice(marks)}\n{y}{rng.choice(marks)}" for y in second) for x in first]
+    for k in range(3):  # the same words in other orders
+        before = encode.tokenizer.n + encode.model.n
+        ids, offsets = encode.streams(pa.array(texts), 0)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*x.ids, 0] for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # at most each of the 80 words with a space and without, and the marks
+        assert encode.tokenizer.n + encode.model.n - before < (2 * 80 * 12 if k == 0 else 50)
+        texts = [" ".join(rng.sample(x.split(" "), 40)) for x in rng.sample(texts, 40)]
+
+
+@pytest.mark.parametrize("known", [0, 20, 1 << 20])
+def test_remembered_words_change_no_ids(tokenizer, monkeypatch, known):
+    rng = random.Random(10)
+    encode = _tokens.Encoder(_tokens.default_path())
+    monkeypatch.setattr(_tokens, "KNOWN", known)
+    some = ["a", "bc", "é", "Word", "the", "x" * 50, ".", ",", "'", "***", "\n", "\n\n", "\r\n", "\u00a0", " ", " ", "'s", "$", "-", "1", "٣", "汉", "\u0301"]
+    for _ in range(40):
+        texts = ["".join(rng.choices(some, k=rng.randint(0, 40))) for _ in range(rng.randint(1, 30))]
+        ids, offsets = encode.streams(pa.array(texts), 0)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*x.ids, 0] for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = {y for x in texts for y in x.replace("\n", " ").split(" ")}
+        assert len(encode.known) == len(encode.known_ids) <= max(known, 2 * len(words))
+
+
 def test_crc_parts():
     rng = np.random.default_rng(2)
     parts = [rng.integers(0, 256, n, np.uint8).tobytes() for n in (0, 1, 5, 400, 77)]
@@ -511,6 +556,16 @@ def test_cuts_follow_the_content():
     assert max(np.diff([0, *token_store.cuts(np.zeros(9000, "<u2"))])) <= token_store.MOST
 
 
+def test_cuts_do_not_depend_on_what_is_hashed_at_once(monkeypatch):
+    ids = np.random.default_rng(6).integers(0, 50257, 30000).astype("<u2")
+    offsets = np.array([0, 0, 5, 9000, 9001, 30000])
+    whole = list(token_store.cuts_of(ids, offsets))
+    assert sum(map(len, whole)) > 60
+    for n in (3, 8, 1000):
+        monkeypatch.setattr(token_store, "HASHED", n)
+        assert list(token_store.cuts_of(ids, offsets)) == whole
+
+
 def test_token_counts(spark, docs, plain, tokenizer, empty):
     lengths = np.array([len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in plain])
     got = token_counts.answers(token_counts.lengths(docs)).collect()
