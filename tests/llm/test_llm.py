@@ -427,6 +427,48 @@ def test_links_between_pairs_of_close_copies(spark):
     assert sum(x[1] for x in got.values()) >= 0.99 * sum(x[1] for x in want.values()) > 0 and len({x[0] for x in want.values()}) == 60
 
 
+def test_join_runs_few_tasks(spark):
+    """Every shuffle costs a task for each partition, however few rows there are: with 40 partitions a search for each prefix length ran about 2,100 here, one for all of them about 650."""
+    rng = random.Random(31)
+    texts = [*near_copies(40, 100, 3, 5), prose(rng, 100)]
+    for _ in range(40):  # a chain of revisions
+        w = texts[-1].split()
+        w[rng.randrange(100)] = f"edit{len(texts)}"
+        texts.append(" ".join(w))
+    rows = dict(enumerate(texts + [prose(rng, 60) for _ in range(40)]))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few tasks", "op5_jaccard_join")
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(df).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_classes(rows)
+    status = spark.sparkContext.statusTracker()
+    stages = {x for job in status.getJobIdsForGroup("few tasks") for x in status.getJobInfo(job).stageIds}
+    assert sum(found.numCompletedTasks for x in stages if (found := status.getStageInfo(x))) < 1300
+
+
+def test_contracted_ties_lead_as_far(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "EDGES", 5)
+    rng = random.Random(37)
+    chain = rng.sample(range(-50, 150), 120)
+    ties = [*zip(chain, chain[1:]), *[(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(25)], (7000, 7000)]
+    rng.shuffle(ties)
+    first, labels = {}, {r.member: r.component for r in jaccard_join.components(spark.createDataFrame(ties, "a long, b long").repartition(3)).collect()}
+    for a, b in ties:  # merged one by one
+        x, y = first.setdefault(a, {a}), first.setdefault(b, {b})
+        first |= dict.fromkeys(x | y, x | y)
+    assert all(labels.get(x, x) == min(group) for x, group in first.items()) and 7000 not in labels
+    members, roots = jaccard_join._roots(*np.array(ties).T)
+    assert dict(zip(members.tolist(), roots.tolist())) == {x: min(group) for x, group in first.items()}
+
+
 # 6 and 7
 
 
