@@ -9,7 +9,8 @@ only where the benchmark has such items.
 
 The documents are read once and nothing of them is shuffled but the verified pairs: seeds are broadcast while there are
 at most BROADCAST_SEEDS of them; with more, narrow rows of hashes are joined by a shuffle and the hits meet the texts by
-doc_id, those of rows without one by a digest of the text. Both ways give the same rows.
+doc_id, those of rows without one by a digest of the text. Both ways give the same rows. Texts are looked up in pieces, and a hit takes along
+only the tokens on which its item lies: generated code holds all hits of a row at once, and with a long text in each of them that filled executors.
 
 Defined results: null and empty texts match nothing; items of fewer than WEIGHTY tokens are found by leaks(), but
 clean() removes no document for their sake unless weighty says so, as any text may hold so few words; for an item that
@@ -20,6 +21,8 @@ table on either side gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from lorekeep.llm._shared import documents, stash
 MASKS = ("11011", "1101001")
 WINDOW, AGREE, LEAST, WEIGHTY = 13, 0.8, 7, 4
 BROADCAST_SEEDS = 1_000_000
+#: Places of a text that are looked up at a time, unless items are longer than half of that.
+PLACES = 4096
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
 
 
@@ -46,26 +51,59 @@ def all_masks(sizes: list[int], masks: tuple[str, ...] = MASKS) -> list[tuple[in
     return [*((k, mask, LEAST) for k, mask in enumerate(masks)), *((100 * n + k, mask, n) for n in sorted(sizes) for k, mask in enumerate(short_masks(n)))]
 
 
-def seeds(hashes: str, masks: list[tuple[int, str, int]], items: bool = False) -> Column:
-    """Structs (place, seed) of every place of an array of token hashes; an item has only the masks of its size.
+def alone(mask: str, window: int, agree: float) -> bool:
+    """Whether a mask hits each window that agrees well enough by itself: a place that differs spoils at most as many of its positions as it selects tokens."""
+    return mask.count("1") * (window - math.ceil(agree * window - 1e-9)) < window - len(mask) + 1
 
-    They are exploded with explode_outer: for explode Spark would derive a filter on the array's size, push it below the
-    projections and so hash all over again inside the lambda.
-    """
-    def one(number: int, mask: str, size: int) -> Column:
-        fits = F.size(hashes) >= len(mask)
-        if items:
-            fits &= F.size(hashes) >= LEAST if size == LEAST else F.size(hashes) == size
-        places = F.when(fits, F.sequence(F.lit(0), F.size(hashes) - len(mask))).otherwise(F.array().cast("array<int>"))
-        picked = [k for k, bit in enumerate(mask) if bit == "1"]
-        return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(number), *(F.get(hashes, i + k) for k in picked)).alias("seed")))
 
-    return F.concat(*(one(*mask) for mask in masks))
+def needed(sizes: list[int], masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE) -> list[tuple[int, str, int, int | None]]:
+    """(number, mask, least, most) for benchmarks with items of these sizes below window: items of least to most tokens have the mask. Items of a window or more need only one that suffices."""
+    one = next((k for k, mask in enumerate(masks) if window >= LEAST and alone(mask, window, agree)), None)
+    out = []
+    for k, mask, size in all_masks([n for n in sizes if n < LEAST], masks):
+        if size < LEAST:
+            out.append((k, mask, size, size))
+        elif one is None or k == one:
+            out.append((k, mask, LEAST, None))
+        elif any(n >= LEAST for n in sizes):
+            out.append((k, mask, LEAST, window - 1))
+    return out
+
 
+def _seeded(rows: DataFrame, masks: list[tuple[int, str, int, int | None]], items: bool = False) -> DataFrame:
+    """A row (place, seed and other columns) for each place from `first` to `last` of an array of tokens and each mask; an item has only the masks of its size.
 
-def _seeded(rows: DataFrame, masks: list[tuple[int, str, int]], items: bool = False) -> DataFrame:
+    Places are exploded before tokens are picked, so that a row has its tokens by reference and no array of seeds is made. A mask that goes beyond the tokens' end
+    makes a seed of those up to there, which at most finds a diagonal too many. It is explode_outer since for explode Spark would derive a filter on the
+    array's size and push it below, where all is made over again.
+    """
+    size, place = F.size("hashes"), F.col("place")
+    last = F.least(F.col("last"), size - min(len(mask) for _, mask, _, _ in masks))
     rows = rows.withColumn("hashes", F.transform("tokens", lambda x: F.xxhash64(x)))
-    return rows.withColumn("found", seeds("hashes", masks, items)).drop("hashes")
+    rows = rows.select("*", F.explode_outer(F.when(last >= F.col("first"), F.sequence(F.col("first"), last))).alias("place"))
+
+    def seed(number: int, mask: str, least: int, most: int | None) -> Column:
+        hashed = F.xxhash64(F.lit(number), *(F.get("hashes", place + k) for k, bit in enumerate(mask) if bit == "1"))
+        return F.when((size >= least) & (size <= most if most else F.lit(True)) & (place + len(mask) <= size), hashed) if items else hashed
+
+    found = [seed(*mask) for mask in masks]
+    return rows.select("*", (found[0] if len(found) == 1 else F.explode(F.array(*found))).alias("seed"))
+
+
+def _pieces(docs: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, text_key, tokens, begin, first, last) for each PLACES places of a text: the tokens there and as many around them as an item may need. begin is the number of the
+    first token, first and last tell the places among them. What is found in a piece waits in memory until the piece is done."""
+    places, start, size = max(PLACES, 2 * longest), F.col("start"), F.size("words")
+    rows = docs.select("doc_id", text_key(), tokens("text").alias("words"))
+    rows = rows.select("*", F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(places)))).alias("start"))
+    begin = F.greatest(start - longest, F.lit(0))
+    return rows.select("doc_id", "text_key", F.slice("words", begin + 1, start - begin + places + longest).alias("tokens"), begin.alias("begin"), (start - begin).alias("first"), (start - begin + places - 1).alias("last"))
+
+
+def _laid(hits: DataFrame, *kept: str) -> DataFrame:
+    """hits (tokens, offset, n) with only those tokens on which an item of n tokens lies, and its offset among them: 0, or below if it begins before them."""
+    before = F.least("offset", F.lit(0))
+    return hits.select(*kept, F.slice("tokens", F.greatest("offset", F.lit(0)) + 1, F.greatest(F.col("n") + before, F.lit(0))).alias("tokens"), before.alias("offset"))
 
 
 def _verified(hits: DataFrame, window: int, agree: float) -> DataFrame:
@@ -87,17 +125,21 @@ def _found(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS
     """Rows (doc_id, text_key, item_id, best_window, n_agree, n_tokens) for each place of a document that an item fits."""
     items = benchmark.select("item_id", tokens("text").alias("item")).filter(F.size("item") > 0).distinct()
     items = stash(items.withColumn("item_key", F.monotonically_increasing_id()))
-    used = all_masks([r["n"] for r in items.select(F.size("item").alias("n")).filter(F.col("n") < LEAST).distinct().collect()], masks)
-    each = _seeded(items.withColumn("tokens", F.col("item")), used, items=True).select("item_key", F.explode_outer("found").alias("x")).select("item_key", F.col("x.seed").alias("seed"), F.col("x.place").alias("item_place"))
-    rows = _seeded(docs.select("doc_id", text_key(), tokens("text").alias("tokens")), used)
-    offset = (F.col("x.place") - F.col("item_place")).alias("offset")
+    size = F.size("item")
+    sizes = items.agg(F.max(size).alias("longest"), F.collect_set(F.when(size < max(LEAST, window), size)).alias("short")).first()
+    longest, used = sizes["longest"] or 0, needed(sizes["short"], masks, window, agree)
+    each = _seeded(items.select("item_key", F.col("item").alias("tokens"), F.lit(0).alias("first"), (size - 1).alias("last"), size.alias("n")), used, items=True)
+    each = each.select("item_key", "seed", F.col("place").alias("item_place"), "n").filter("seed IS NOT NULL")
+    rows = _seeded(_pieces(docs, longest), used)
+    offset = F.col("place") - F.col("item_place")
     if each.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = rows.select("doc_id", "text_key", "tokens", F.explode_outer("found").alias("x")).join(F.broadcast(each), F.col("x.seed") == F.col("seed")).select("doc_id", "text_key", "tokens", "item_key", offset)
+        hits = _laid(rows.join(F.broadcast(each), "seed").withColumn("offset", offset), "doc_id", "text_key", "item_key")
         hits = hits.join(F.broadcast(items), "item_key")
     else:
-        hits = rows.select("doc_id", "text_key", F.explode_outer("found").alias("x")).join(each, F.col("x.seed") == F.col("seed")).select("doc_id", "text_key", "item_key", offset).distinct()
+        hits = rows.select("doc_id", "text_key", "begin", "place", "seed").join(each, "seed").select("doc_id", "text_key", "item_key", (F.col("begin") + offset).alias("offset")).distinct()
         texts = docs.select(F.col("doc_id").alias("own_id"), text_key().alias("own_key"), tokens("text").alias("tokens"))
         hits = hits.join(items, "item_key").join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("text_key").eqNullSafe(F.col("own_key")))
+        hits = _laid(hits.withColumn("n", size), "doc_id", "text_key", "item_id", "item")
     return _verified(hits, window, agree)
 
 

@@ -837,3 +837,28 @@ def test_the_pipeline_s_rules_reject(spark, folder):
     assert not any(r.base_failed for r in verdicts.values()) and len(out & set(range(len(good), len(rows)))) > 60 and len(out & set(range(len(good)))) < 30
     stored = {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()}
     assert stored and not stored & out and 5 not in stored and len(stored) > 500
+
+
+def test_decontamination_holds_no_long_text_for_each_hit(spark, docs, monkeypatch):
+    """A text of 40,000 tokens with a hit at nearly every place: when each hit had all of its text's tokens in memory, that took some 38 GB. And pieces of any size find the same."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    benchmark = spark.createDataFrame([(5, passage), (6, "v1 v2 v3 v4 v5 v6 v7 v8"), (7, "only")], "item_id long, text string")
+    long = spark.createDataFrame([(1, " ".join([passage] * 1000)), (2, "v0 v1 v2 v3 v4 v5 v6 v7 x8 only"), (3, passage[4:].replace("w9 ", "z ")), (4, passage[:-9]), (5, "w0 w1"), (6, None)], "doc_id long, text string")
+    want = [(1, 5, 13, 40, 40), (2, 6, 7, 7, 8), (2, 7, 1, 1, 1), (3, 5, 13, 37, 40), (4, 5, 13, 37, 40)]
+    assert sorted(map(tuple, decontaminate.leaks(long, benchmark).collect())) == want
+    few = long.filter("doc_id > 1").unionByName(docs.select("doc_id", "text").limit(60))
+    many = benchmark.unionByName(docs.filter("length(text) > 90").selectExpr("doc_id + 100 AS item_id", "substring(text, 7, 80) AS text").limit(20))
+    found = sorted(map(str, decontaminate.leaks(few, many).collect()))
+    monkeypatch.setattr(decontaminate, "PLACES", 3)
+    assert found and found == sorted(map(str, decontaminate.leaks(few, many).collect())) == sorted(map(str, decontaminate.leaks(few, many, broadcast_seeds=0).collect()))
+
+
+def test_one_mask_is_enough_for_long_items():
+    """Items of a window or more have one mask where it hits each window by itself, as trying all shows; shorter ones have all."""
+    assert decontaminate.needed([], decontaminate.MASKS) == [(0, "11011", 7, None)]
+    assert decontaminate.needed([3, 9], decontaminate.MASKS)[:2] == [(0, "11011", 7, None), (1, "1101001", 7, 12)]
+    for mask in (*decontaminate.MASKS, "111", "110100101"):
+        for window, agree in ((13, 0.8), (13, 0.9), (10, 0.8), (20, 0.8), (7, 0.8), (13, 1.0)):
+            differ = window - math.ceil(agree * window - 1e-9)
+            hit = all(any(all(o + k not in bad for k, b in enumerate(mask) if b == "1") for o in range(window - len(mask) + 1)) for bad in itertools.combinations(range(window), differ))
+            assert hit or not decontaminate.alone(mask, window, agree)
