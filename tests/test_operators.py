@@ -447,3 +447,17 @@ def test_files(spark, folder):
     known = found.limit(1).select("path")
     assert files.due(found, known, None).count() == 2 and files.due(found, known, 1 << 40).count() == 1
     assert files.in_scope(f"{folder}/sub/c.TXT", [folder]) and not files.in_scope("/etc", [folder]) and not files.in_scope(folder, [])
+
+
+def test_whole_passages_in_texts(spark):
+    """All passages against all texts, short ones too: their words may be cut in a text, so that of five words only three are sure to stand in it. While passages are few no words are shuffled."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", " ", "a  b  c  d  e  f  g", "xb c d efg h"]
+    passages = [(n, t[rng.randint(0, 5) :][: rng.randint(1, 30)]) for n, t in enumerate(texts[:60])] + [(100, None), (101, "b c d e f"), (102, "b c d e"), (103, "  b  c  d "), (104, "c d ef"), (105, ""), (None, "b c d efg h"), (106, "b c")]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "xb c d efg h")], "id long, text string").repartition(3)
+    items = spark.createDataFrame(passages, "query_id long, passage string")
+    want = {(q, i) for q, p in passages for i, t in [*enumerate(texts), (None, "xb c d efg h")] if p is not None and t is not None and p in t}
+    for most in (evaluate.BROADCAST_PASSAGES, 0):
+        got = list(map(tuple, evaluate.holding(docs, items, most).collect()))
+        assert len(got) == len(set(got)) and set(got) == want
+    assert "hashpartitioning(key" not in evaluate.holding(docs, items)._jdf.queryExecution().executedPlan().toString()
