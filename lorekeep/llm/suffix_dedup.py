@@ -3,12 +3,12 @@
 A byte goes if a string of LENGTH bytes covers it that also starts in a document with a smaller doc_id.
 
 1. Every window of LENGTH bytes has an anchor, the least hash of its ANCHOR-byte strings; equal windows have equal anchors. Tasks
-   count the texts that have an anchor. Those that two texts have fill a bitmap of a fixed size, and those of HOT texts or more another.
+   count the texts that have an anchor. Those that two texts have fill a bitmap of a size that the corpus' files set, and those of HOT texts or more another.
    The first only keeps text that surely recurs nowhere from being sent; where it is full it lets all pass. Windows of the second get
    a key of their anchor and of the greatest hash of their strings, so that what surrounds a common passage is spread over many keys.
 2. Runs of windows with one key are segments. Tasks send each of their distinct segments once, with the least and the greatest doc_id that
    has it and its bytes, to its key's partition, so a window meets all its equals there.
-3. There, distinct segments of whole keys are joined into texts of about TEXT bytes. Each gets its suffix order and Burrows-Wheeler
+3. There, a segment that is the only one of its key has all its windows from the first document that has it. Other distinct segments of whole keys are joined into texts of about TEXT bytes. Each gets its suffix order and Burrows-Wheeler
    transform, and intervals of equal prefixes are extended backwards, breadth first: level by level this settles where neighbouring
    suffixes have common prefixes of 0, 1, 2, ... bytes, and stops at LENGTH - 1. Suffixes with no such border between them share LENGTH
    bytes; each such group has a first document, and a segment's windows whose group began before the last document that has it are its runs.
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ BUCKET, BUCKET_BYTES = 10, 1 << 26
 INFLATED = 8
 #: Bits of a bitmap, texts that make an anchor hot, most windows in a segment, bytes of text for one transform, bytes of segments that a task sends at once.
 BITMAP, HOT, WINDOWS, TEXT, SENT = 1 << 26, 1000, 256, 1 << 18, 1 << 24
+#: Bytes of text (as INFLATED has them) for a bit of the bitmaps, and most bits of one: beyond BITMAP they grow with the corpus, as a full one lets all segments pass.
+BIT_BYTES, MOST_BITS = 64, 1 << 29
 #: Bytes of text whose anchors are made at once: their arrays stay in a core's cache.
 NEAR = 1 << 18
 _NONE = -(1 << 63)
@@ -127,6 +130,17 @@ def bucket_bits(docs: DataFrame) -> int:
     return min(26, max(BUCKET, (size // BUCKET_BYTES).bit_length()))
 
 
+def bitmap_bits(docs: DataFrame) -> int:
+    """Bits of a bitmap for a corpus of this size, a power of two."""
+    size = INFLATED * sum(length for _, length, _ in version(docs))
+    return min(MOST_BITS, max(BITMAP, 1 << (size // BIT_BYTES - 1).bit_length()))
+
+
+def _meeting(keys: np.ndarray) -> np.ndarray:
+    """32 bits of each key, where its segments meet. Like anchors they are mixed first: as the least of many hashes they have few different upper bits, and many keys would meet in one."""
+    return (mixed(keys) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], bucket: int = BUCKET) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, n, packed): 48 bits of the anchors by their upper bits, each once in about 4 million, with the number of texts that have it."""
     held: list[np.ndarray] = []
@@ -180,9 +194,9 @@ def _held(anchors: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return _holds(_spread(anchors), bitmap)
 
 
-def _bitmaps(rows: DataFrame, run, number: int, bits: int) -> list[np.ndarray]:
-    """Bitmaps of a fixed size that the tasks' run fills: from batches to so many bitmaps. Tasks return them in parts, and other tasks join these."""
-    width = min(bits, 1 << 20) >> 3
+def _bitmaps(rows: DataFrame, run, *sizes: int) -> list[np.ndarray]:
+    """Bitmaps of these numbers of bits that the tasks' run fills: from batches to the bitmaps. Tasks return them in parts, and other tasks join these."""
+    width = min(*sizes, 1 << 20) >> 3
 
     def parts(filled: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for part, found in filled.items():
@@ -199,17 +213,18 @@ def _bitmaps(rows: DataFrame, run, number: int, bits: int) -> list[np.ndarray]:
                 found[part] = found.get(part, 0) | np.frombuffer(zlib.decompress(packed), np.uint8)
         yield from parts(found)
 
-    out = np.zeros((number, bits >> 3), np.uint8)
+    out = np.zeros(sum(sizes) >> 3, np.uint8)
     for part, packed in rows.mapInArrow(lean(filled), "part int, bits binary").repartition("part").mapInArrow(lean(joined), "part int, bits binary").collect():
         out.reshape(-1, width)[part] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return list(out)
+    return np.split(out, np.cumsum(sizes)[:-1] >> 3)
 
 
 def _recurring(docs: DataFrame, bits: int, hot: int, bucket: int) -> list[np.ndarray]:
     """Bitmaps of the anchors that several texts have, and of those that at least `hot` texts have: one bucket after another in the tasks."""
+    sizes = bits, min(bits, BITMAP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        found = [np.zeros(bits >> 3, np.uint8) for _ in range(2)]
+        found = [np.zeros(x >> 3, np.uint8) for x in sizes]
         for table in run_tables(batches, "bucket"):
             both = [_unpacked(p, n) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
             values, counts = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
@@ -222,7 +237,7 @@ def _recurring(docs: DataFrame, bits: int, hot: int, bucket: int) -> list[np.nda
         return found
 
     rows = docs.select("text").mapInArrow(lean(lambda x: _anchors(x, bucket)), "bucket int, n int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
-    return _bitmaps(rows, run, 2, bits)
+    return _bitmaps(rows, run, *sizes)
 
 
 _SEGMENT = "key int, segment long, least_id long, more long, bytes binary"
@@ -258,7 +273,7 @@ def _segments(docs: DataFrame, sent) -> DataFrame:
                 of, begin, windows, keys = of[use], begin[use], windows[use], keys[use]
                 names, raw = _names(data, begin, windows), data.tobytes()
                 _, first, at = np.unique(names ^ (keys >> np.uint64(1)), return_index=True, return_inverse=True)
-                short = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                short = _meeting(keys)
                 payload = [raw[a:b] for a, b in zip(begin[first].tolist(), (begin + windows + LENGTH - 1)[first].tolist())]
                 held.append((short, names.view(np.int64), doc_ids[lo + of], at, payload))
                 size += sum(map(len, payload)) + 28 * len(of)
@@ -287,7 +302,7 @@ def _occurrences(docs: DataFrame, sent) -> DataFrame:
                 if len(use):
                     rows = lo + of[use]
                     place = (texts[rows].astype(np.int64) << 32) | (begin - offsets[of])[use]
-                    yield pa.RecordBatch.from_arrays([pa.array((keys[use] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(names[use].view(np.int64)), pa.array(doc_ids[rows]), pa.array(place)], ["key", "segment", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_meeting(keys[use])), pa.array(names[use].view(np.int64)), pa.array(doc_ids[rows]), pa.array(place)], ["key", "segment", "doc_id", "place"])
 
     return docs.mapInArrow(lean(run), "key int, segment long, doc_id long, place long")
 
@@ -423,21 +438,31 @@ def _runs(sent: DataFrame) -> DataFrame:
         part = batch.take(pa.array(first))
         return pa.RecordBatch.from_arrays([part.column("key"), part.column("segment"), pa.array(low), pa.array(high - low), part.column("bytes")], batch.schema.names)
 
+    def alone(key: np.ndarray) -> np.ndarray:
+        """Which rows, sorted by key, are the only segment of their key: nothing else can have one of its windows."""
+        new = np.append(True, key[1:] != key[:-1])
+        return new & np.append(new[1:], True)
+
     def solved(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = once(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
         key, segment, least, more = (batch.column(c).to_numpy() for c in ("key", "segment", "least_id", "more"))
-        parts = batch.column("bytes").to_pylist()
-        windows = np.array([len(p) for p in parts], np.int64) - LENGTH + 1
-        first, begin = first_documents(parts, windows, least)
-        change = np.ones(len(first), bool)
-        change[1:] = first[1:] != first[:-1]
-        change[begin] = True
-        lo = np.flatnonzero(change)
-        hi = np.append(lo[1:], len(first))
-        of = np.searchsorted(begin, lo, "right") - 1
-        use = first[lo] < (least + more)[of]
-        lo, hi, of = lo[use], hi[use], of[use]
-        return pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(segment[of]), pa.array((lo - begin[of]).astype(np.int32)), pa.array((hi - begin[of]).astype(np.int32)), pa.array(first[lo])], ["key", "segment", "lo", "hi", "first_id"])
+        windows = pc.binary_length(batch.column("bytes")).to_numpy().astype(np.int64) - LENGTH + 1
+        single = alone(key)
+        whole = np.flatnonzero(single & (more > 0))
+        several = np.flatnonzero(~single)
+        of, lo, hi, firsts = whole, np.zeros(len(whole), np.int64), windows[whole], least[whole]
+        if len(several):
+            first, begin = first_documents(batch.column("bytes").take(pa.array(several)).to_pylist(), windows[several], least[several])
+            change = np.ones(len(first), bool)
+            change[1:] = first[1:] != first[:-1]
+            change[begin] = True
+            at = np.flatnonzero(change)
+            end = np.append(at[1:], len(first))
+            owner = np.searchsorted(begin, at, "right") - 1
+            use = first[at] < (least + more)[several[owner]]
+            at, end, owner = at[use], end[use], owner[use]
+            of, lo, hi, firsts = (np.concatenate(x) for x in ((of, several[owner]), (lo, at - begin[owner]), (hi, end - begin[owner]), (firsts, first[at])))
+        return pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(segment[of]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(firsts)], ["key", "segment", "lo", "hi", "first_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -446,7 +471,8 @@ def _runs(sent: DataFrame) -> DataFrame:
                 continue
             batch = once(batch)
             key, lo = batch.column("key").to_numpy(), 0
-            lengths = np.diff(np.frombuffer(batch.column("bytes").cast(pa.large_binary()).buffers()[1], np.int64)[batch.column("bytes").offset :][: batch.num_rows + 1])
+            lengths = pc.binary_length(batch.column("bytes")).to_numpy().astype(np.int64)
+            lengths = np.where(alone(key), lengths // 8 + 1, lengths)  # they are no part of the text
             while lo < batch.num_rows:
                 total = size + np.cumsum(lengths[lo:])
                 cut = lo + int(np.searchsorted(total, TEXT))
@@ -464,10 +490,11 @@ def _runs(sent: DataFrame) -> DataFrame:
     return sent.repartition("key").sortWithinPartitions("key", "segment").mapInArrow(lean(run), "key int, segment long, lo int, hi int, first_id long")
 
 
-def removed(docs: DataFrame, bits: int = BITMAP, hot: int = HOT, bucket: int | None = None) -> DataFrame:
+def removed(docs: DataFrame, bits: int | None = None, hot: int = HOT, bucket: int | None = None) -> DataFrame:
     """From (doc_id long, text_key int, text): (doc_id, text_key, runs) with the byte ranges that each document loses (first byte in the upper half, the byte behind the last in the
     lower), overlapping and in no order."""
     context = docs.sparkSession.sparkContext
+    bits = bitmap_bits(docs) if bits is None else bits
     marks = _recurring(docs, bits, hot, bucket_bits(docs) if bucket is None else bucket)
     runs = stash(_runs(_segments(docs, context.broadcast(marks))))
 
@@ -477,7 +504,7 @@ def removed(docs: DataFrame, bits: int = BITMAP, hot: int = HOT, bucket: int | N
             _mark(found, batch.column("segment").to_numpy().view(np.uint64))
         return [found]
 
-    known = _bitmaps(runs.select("segment"), run, 1, bits)
+    known = _bitmaps(runs.select("segment"), run, bits)
     places = _occurrences(docs, context.broadcast([*marks, *known]))
     lost = places.join(runs, ["key", "segment"]).filter("first_id < doc_id")
     begin = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))

@@ -862,3 +862,37 @@ def test_one_mask_is_enough_for_long_items():
             differ = window - math.ceil(agree * window - 1e-9)
             hit = all(any(all(o + k not in bad for k, b in enumerate(mask) if b == "1") for o in range(window - len(mask) + 1)) for bad in itertools.combinations(range(window), differ))
             assert hit or not decontaminate.alone(mask, window, agree)
+
+
+def test_bitmaps_grow_with_the_corpus(spark, monkeypatch, docs):
+    """At 6 GB of files some 100 million anchors recur, which filled the 64 million bits that there were for any corpus, and all segments passed."""
+    for gigabytes, bits in ((0.1, 1 << 26), (0.5, 1 << 26), (1, 1 << 27), (6, 1 << 29), (100, 1 << 29)):
+        monkeypatch.setattr(suffix_dedup, "version", lambda _: [("a", int(gigabytes * 4e8), 0), ("b", int(gigabytes * 6e8), 0)])
+        assert suffix_dedup.bitmap_bits(docs) == bits
+
+
+def test_meeting_keys_are_spread():
+    """Anchors are least hashes, so that their upper halves are few: a million of them met in 3,500 fewer places."""
+    rng = np.random.default_rng(5)
+    anchors = np.full(1_000_000, np.iinfo(np.uint64).max)
+    for _ in range(31):
+        anchors = np.minimum(anchors, rng.integers(0, np.iinfo(np.uint64).max, len(anchors), np.uint64))
+    assert len(np.unique(suffix_dedup._meeting(anchors))) > 0.9995 * len(np.unique(anchors)) > len(np.unique(anchors >> np.uint64(32)))
+
+
+def test_copies_alone_under_their_key(spark):
+    """Exact copies, the first of them in another partition than the rest, meet alone; texts that cross them meet several segments. Against all pairs of windows."""
+    rng = random.Random(77)
+    base = [prose(rng, 60) for _ in range(6)]
+    texts = [base[0], base[1], base[0], base[2] + " " + base[0][40:200], base[1], base[3], base[3][:99], base[4] * 2, base[0], "tail " + base[5], base[5], base[5][7:]]
+    rows = spark.createDataFrame([(100 - n, t) for n, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want, seen = {}, {}
+    for doc, text in sorted((100 - n, t.encode()) for n, t in enumerate(texts)):
+        gone = bytearray(len(text))
+        for k in range(len(text) - 49):
+            if seen.setdefault(text[k : k + 50], doc) < doc:
+                gone[k : k + 50] = b"\x01" * 50
+        want[doc] = (sum(gone), len(re.findall(rb"\x01+", bytes(gone))))
+    for parameters in ({}, {"bits": 64}, {"bits": 1 << 12, "hot": 2}):
+        got = suffix_dedup.dedup(rows, **parameters).collect()
+        assert {r.doc_id: (r.n_removed, r.n_spans) for r in got} == want and sum(n for n, _ in want.values()) > 1000
